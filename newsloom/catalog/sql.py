@@ -109,7 +109,7 @@ def kept_paragraphs(col: str) -> str:
 
 # --- documents as articles and chunks ------------------------------------------------------
 
-PUBLISHED = f"TIMESTAMP '{X.FIRST_MOMENT}' + to_minutes(((doc_id * 37) % {X.MINUTES})::INT)"
+PUBLISHED = f"TIMESTAMP '{X.FIRST_MOMENT}' + to_minutes(((doc_id * 7919) % {X.MINUTES})::INT)"
 
 FILES = f"""
 files AS (

@@ -27,7 +27,7 @@ def article_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("_good"))
     title = X.preview(F.element_at(X.sentences(F.col("text")), 1), TITLE_CHARS, ellipsis=False)
-    published = F.timestamp_add("MINUTE", F.pmod(F.col("doc_id") * 37, F.lit(MINUTES)), F.lit(FIRST_MOMENT).cast("timestamp_ntz"))
+    published = F.timestamp_add("MINUTE", F.pmod(F.col("doc_id") * 7919, F.lit(MINUTES)), F.lit(FIRST_MOMENT).cast("timestamp_ntz"))
     return (
         spread(docs, "doc_id").join(labels, "doc_id", "left")
         .select(
