@@ -1 +1,98 @@
-"""placeholder"""
+"""Queries answered by running a stream over the given tables to its end."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from newsloom import constants as C
+from newsloom.catalog import query, sql as Q
+from newsloom.operators.ranking import first_n
+from newsloom.plans.ingest import Indexer
+from newsloom.session import scratch_path
+from newsloom.sources import fixtures as X
+from newsloom.sources.chunk_table import ChunkTable
+from newsloom.sources.file_log import FileLog
+from newsloom.streaming import incremental as I
+
+
+def _stream(spark, sf, name):
+    return I.table_stream(spark, sf, X.table(spark, sf, name).schema, pattern=f"{name}.parquet")
+
+
+@query("stream_index", f"""
+WITH {Q.CHUNKS}, c AS (SELECT path, count(*) AS n FROM articles JOIN chunks USING (article_id) GROUP BY path)
+SELECT (SELECT count(*) FROM c) AS indexed_files, (SELECT count(*) FROM files) - (SELECT count(*) FROM c) AS failed_files,
+  (SELECT sum(n)::BIGINT FROM c) AS total_chunks, (SELECT count(*) FROM chunks) AS stored_chunks""")
+def stream_index(spark, sf):
+    """Documents written as article records, then indexed file by file."""
+    root = scratch_path(spark, "stream-index")
+    records = X.article_files(spark, sf)
+    records.repartition(4, "path").write.parquet(f"{root}/records")
+    schema = spark.read.parquet(f"{root}/records").schema
+    files = I.table_stream(spark, f"{root}/records", schema, files_per_batch=2).withColumn(
+        "read_error", F.lit(None).cast("string")
+    )
+    store, log = ChunkTable(spark, f"{root}/chunks", 8), FileLog(spark, f"{root}/log")
+    I.index_stream(files, Indexer(spark, store, log), f"{root}/progress", X.CRAWLED_AT).awaitTermination()
+    return log.stats().withColumn("stored_chunks", store.read().agg(F.count("*")).scalar())
+
+
+@query("stream_url_ledger", f"SELECT DISTINCT {Q.normalize_url('url')} AS url FROM pages")
+def stream_url_ledger(spark, sf):
+    root = scratch_path(spark, "stream-urls")
+    I.url_ledger_stream(_stream(spark, sf, "pages"), f"{root}/ledger", f"{root}/progress").awaitTermination()
+    return spark.read.parquet(f"{root}/ledger").select("url")
+
+
+# windows and sessions that the watermark has closed, as the stream emits them
+_CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
+
+
+@query("stream_hourly_counts", f"""
+WITH h AS (SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS events FROM events GROUP BY 1, 2, 3)
+SELECT * FROM h WHERE window_end <= date_trunc('millisecond', {_CLOSED})""")
+def stream_hourly_counts(spark, sf):
+    root = scratch_path(spark, "stream-hours")
+    rows = I.count_stream(_stream(spark, sf, "events"), ["event_type"], "1 hour")
+    I.run_to_folder(rows, f"{root}/out", f"{root}/progress")
+    naive = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return spark.read.parquet(f"{root}/out").select(naive("window_start"), naive("window_end"), "event_type", "events")
+
+
+@query("stream_sessions", f"""
+WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS starts FROM events),
+s AS (SELECT user_id, ts, sum(starts) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
+SELECT user_id, count(*) AS events, min(ts) AS started, max(ts) AS last_event FROM s GROUP BY user_id, n
+HAVING max(ts) + INTERVAL 30 MINUTE <= date_trunc('millisecond', {_CLOSED})""")
+def stream_sessions(spark, sf):
+    root = scratch_path(spark, "stream-sessions")
+    rows = I.session_stream(_stream(spark, sf, "events"), "user_id")
+    I.run_to_folder(rows, f"{root}/out", f"{root}/progress")
+    naive = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return spark.read.parquet(f"{root}/out").select("user_id", "events", naive("started"), naive("last_event"))
+
+
+@query("stream_history", """
+WITH r AS (SELECT conv_id::VARCHAR AS session_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations)
+SELECT session_id, count(*) AS kept, min(turn) AS oldest_seq, max(turn) AS newest_seq FROM r WHERE rn <= 4 GROUP BY session_id""")
+def stream_history(spark, sf):
+    root = scratch_path(spark, "stream-history")
+    messages = _stream(spark, sf, "conversations").select(
+        F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("seq")
+    )
+    I.run_updates_to_folder(I.history_stream(messages, 4), f"{root}/out", f"{root}/progress")
+    changes = spark.read.parquet(f"{root}/out")
+    return first_n(changes, ["session_id"], [F.col("batch").desc()], 1).drop("batch")
+
+
+@query("stream_merge", """
+SELECT ts, 'step' AS type, event_type AS content, NULL::VARCHAR AS detail FROM events WHERE event_type = 'click'
+UNION ALL SELECT ts, 'delta', NULL, props FROM events WHERE event_type = 'view'""")
+def stream_merge(spark, sf):
+    root = scratch_path(spark, "stream-merge")
+    steps = _stream(spark, sf, "events").filter("event_type = 'click'").select(
+        "ts", F.lit("step").alias("type"), F.col("event_type").alias("content"))
+    deltas = _stream(spark, sf, "events").filter("event_type = 'view'").select(
+        "ts", F.lit("delta").alias("type"), F.col("props").alias("detail"))
+    I.run_to_folder(I.merged_stream(steps, deltas), f"{root}/out", f"{root}/progress")
+    return spark.read.parquet(f"{root}/out")

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from newsloom import schemas as S
 from newsloom.functions import chunking, providers, urls
-from newsloom.session import spread
 
 
 def chunk_articles(articles: DataFrame, chunk_tokens: int | None = None, overlap_tokens: int | None = None) -> DataFrame:
@@ -26,6 +25,7 @@ def process_articles(
     summarizer: providers.Summarizer | None = providers.LeadSentences(),
     chunk_tokens: int | None = None,
     overlap_tokens: int | None = None,
+    keep: list[str] = [],
 ) -> DataFrame:
     """Chunk, embed and summarize articles into rows of :data:`schemas.CHUNK`.
 
@@ -42,6 +42,7 @@ def process_articles(
         articles.withColumn("article_summary", article_summary), chunk_tokens, overlap_tokens
     )
     rows = rows.select(
+        *keep,
         "article_id",
         urls.chunk_id(F.col("article_id"), F.col("chunk_index")).alias("chunk_id"),
         F.col("chunk_index").cast("int").alias("chunk_index"),
@@ -52,7 +53,7 @@ def process_articles(
         chunk_summary(F.col("chunk")).alias("chunk_summary"),
         providers.embedding(F.col("chunk"), embedder).alias("content_vector"),
     )
-    return rows.select(*S.CHUNK.fieldNames())
+    return rows.select(*keep, *S.CHUNK.fieldNames())
 
 
 def document_sizes(chunks: DataFrame) -> DataFrame:
@@ -61,8 +62,3 @@ def document_sizes(chunks: DataFrame) -> DataFrame:
         F.count("*").alias("chunk_count"),
         F.sum(F.length("content")).alias("total_content_length"),
     )
-
-
-def balanced(articles: DataFrame) -> DataFrame:
-    """Spread a scan with too few splits over the cores before the Python stage."""
-    return spread(articles, "article_id")

@@ -31,14 +31,14 @@ def read_article_files(spark: SparkSession, directory: str, recursive: bool = Tr
     )
 
 
-def _error(files: DataFrame) -> Column:
+def record_error(files: DataFrame) -> Column:
     broken = article_error(F.col("title"), F.col("content"), F.col("url"))
     return F.coalesce(F.col("read_error"), broken) if "read_error" in files.columns else broken
 
 
 def validate(files: DataFrame) -> DataFrame:
     """``(path, is_valid, error)`` without building article rows."""
-    return files.select("path", _error(files).alias("error")).select(
+    return files.select("path", record_error(files).alias("error")).select(
         "path", F.col("error").isNull().alias("is_valid"), "error"
     )
 
@@ -49,7 +49,7 @@ def clean(files: DataFrame, default_source: str, keep: list[str] = []) -> DataFr
     The URL itself is stored as it came.
     """
     url = X.strip(F.col("url"))
-    return files.filter(_error(files).isNull()).select(
+    return files.filter(record_error(files).isNull()).select(
         *keep,
         urls.article_id(url).alias("article_id"),
         X.strip(F.col("title")).alias("title"),

@@ -55,18 +55,22 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BUILT: dict[tuple[str, str], str] = {}
 
 
-def corpus(spark: SparkSession, sf_dir: str, buckets: int = 16) -> DataFrame:
-    """The chunk table of ``documents``: built once per session, then read.
+def corpus_root(spark: SparkSession, sf_dir: str, buckets: int = 16) -> str:
+    """Folder of the chunk table of ``documents``, built once per session.
 
-    The table is written below the shared checkpoint folder, so later queries
-    do not depend on the executors that produced it.
+    It lies below the shared checkpoint folder, so later queries do not depend
+    on the executors that produced it.
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _BUILT:
         store = ChunkTable(spark, scratch_path(spark, "corpus"), buckets)
         store.replace_all(enrich.process_articles(articles(spark, sf_dir), F.lit(CRAWLED_AT)))
         _BUILT[key] = store.root
-    return ChunkTable(spark, _BUILT[key], buckets).read()
+    return _BUILT[key]
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ChunkTable(spark, corpus_root(spark, sf_dir)).read()
 
 
 def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
