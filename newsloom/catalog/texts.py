@@ -176,7 +176,7 @@ def _written(spark, sf):
         .when(p == "4-NOT SPECIFIED", fmt("d MMM yyyy"))
         .otherwise(F.concat(fmt("H"), F.lit(" hours ago")))
     )
-    return X.table(spark, sf, "orders").select("o_orderkey", rendered.alias("text"))
+    return spread(X.table(spark, sf, "orders"), "o_orderkey").select("o_orderkey", rendered.alias("text"))
 
 
 # "May." is no accepted spelling, so those dates stay unread, as the rules say

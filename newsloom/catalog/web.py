@@ -190,8 +190,7 @@ def link_quota(spark, sf):
 WITH p AS (SELECT page_id, {Q.without_noise('html')} AS html FROM pages)
 SELECT page_id, {Q.inner_text(Q.element('html', 'title'))} AS page_title, {Q.inner_text(Q.element('html', 'h1'))} AS headline FROM p""")
 def html_fields(spark, sf):
-    html = H.without_noise(F.col("html"))
-    pages = _pages(spark, sf).select("page_id", html.alias("html"))
+    pages = T.computed_once(_pages(spark, sf), ["page_id"], html=H.without_noise(F.col("html")))
     return pages.select("page_id", H.title_tag(F.col("html")).alias("page_title"), H.headline(F.col("html")).alias("headline"))
 
 
@@ -200,7 +199,7 @@ WITH p AS (SELECT page_id, {Q.without_noise('html')} AS html FROM pages),
 t AS (SELECT page_id, {Q.kept_paragraphs('html')} AS kept FROM p)
 SELECT page_id, len(kept)::INT AS paragraphs, array_to_string(kept, chr(10) || chr(10)) AS body FROM t""")
 def html_body(spark, sf):
-    pages = _pages(spark, sf).select("page_id", H.without_noise(F.col("html")).alias("html"))
+    pages = T.computed_once(_pages(spark, sf), ["page_id"], html=H.without_noise(F.col("html")))
     kept = H.keep_fallback_paragraphs(H.article_paragraphs(F.col("html")))
     return pages.select("page_id", F.size(kept).alias("paragraphs"), H.body_text(F.col("html")).alias("body"))
 

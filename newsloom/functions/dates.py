@@ -7,7 +7,7 @@ from itertools import chain
 from pyspark.sql import Column, functions as F
 
 from newsloom import constants as C
-from newsloom.functions.text import strip
+from newsloom.functions.text import let, strip
 
 # --- fixed values: accepted layouts, searched anywhere in the lowered text ----
 DAY_AND_TIME = r"(?U)(?:updated\s+)?(\w+\.?)\s+(\d{1,2}),?\s+(\d{4})\s+(\d{1,2}):(\d{2})\s*(am|pm)?"
@@ -21,6 +21,13 @@ def _months() -> Column:
     return F.create_map(*pairs)
 
 
+def _groups(text: Column, pattern: str, count: int) -> Column:
+    """Array of the first match's groups; null when nothing matches."""
+    marked = "\u0001".join(f"${i}" for i in range(1, count + 1))
+    found = F.regexp_extract(text, pattern, 0)
+    return F.when(found != "", F.split(F.regexp_replace(found, pattern, marked), "\u0001", -1))
+
+
 def _number(text: Column) -> Column:
     return text.try_cast("int")
 
@@ -37,12 +44,33 @@ def _stamp(year, month, day, hour=None, minute=None, second=None) -> Column:
 
 def _iso(text: Column) -> Column:
     zoneless = F.regexp_replace(F.replace(text, F.lit("Z"), F.lit("+00:00")), r"[+-]\d{2}:\d{2}$", "")
-    part = lambda n: F.regexp_extract(zoneless, ISO_DATE_TIME, n)
-    optional = lambda n: F.when(part(n) == "", F.lit("0")).otherwise(part(n))
-    seconds = F.replace(optional(6), F.lit(","), F.lit(".")).try_cast("decimal(16,6)")
-    stamp = _stamp(_number(part(1)), _number(part(2)), _number(part(3)),
-                   _number(part(4)), _number(optional(5)), seconds)
-    return F.when(text.contains("T"), stamp)
+
+    def build(g: Column) -> Column:
+        optional = lambda i: F.when(g[i] == "", F.lit("0")).otherwise(g[i])
+        seconds = F.replace(optional(5), F.lit(","), F.lit(".")).try_cast("decimal(16,6)")
+        return _stamp(_number(g[0]), _number(g[1]), _number(g[2]), _number(g[3]), _number(optional(4)), seconds)
+
+    return F.when(text.contains("T"), let(_groups(zoneless, ISO_DATE_TIME, 6), build))
+
+
+def _written(lowered: Column) -> Column:
+    months = _months()
+    month = lambda name: F.try_element_at(months, name)
+
+    def with_time(g: Column) -> Column:
+        clock, half = _number(g[3]), g[5]
+        hour = (
+            F.when((half == "pm") & (clock != 12), clock + 12)
+            .when((half == "am") & (clock == 12), 0)
+            .otherwise(clock)
+        )
+        return _stamp(_number(g[2]), month(g[0]), _number(g[1]), hour, _number(g[4]))
+
+    return F.coalesce(
+        let(_groups(lowered, DAY_AND_TIME, 6), with_time),
+        let(_groups(lowered, MONTH_FIRST, 3), lambda g: _stamp(_number(g[2]), month(g[0]), _number(g[1]))),
+        let(_groups(lowered, DAY_FIRST, 3), lambda g: _stamp(_number(g[2]), month(g[1]), _number(g[0]))),
+    )
 
 
 def parse_date(col: Column) -> Column:
@@ -51,30 +79,12 @@ def parse_date(col: Column) -> Column:
     A trailing zone is dropped, not converted.  Each layout that matches but
     names no month or no real moment leaves the field to the next one.
     """
-    text = strip(col)
-    lowered = F.regexp_replace(F.lower(text), r"(?U)\s*(" + "|".join(C.ZONE_WORDS) + r")\s*$", "")
-    lowered = F.regexp_replace(lowered, r"(?U)\s+at\s+", " ")
-    lowered = strip(F.regexp_replace(lowered, r"(?U)\s+", " "))
-    months = _months()
+    def lower(text: Column) -> Column:
+        plain = F.regexp_replace(F.lower(text), r"(?U)\s*(?:" + "|".join(C.ZONE_WORDS) + r")\s*$", "")
+        plain = F.regexp_replace(plain, r"(?U)\s+at\s+", " ")
+        return strip(F.regexp_replace(plain, r"(?U)\s+", " "))
 
-    def month(pattern: str, group: int) -> Column:
-        return F.try_element_at(months, F.regexp_extract(lowered, pattern, group))
-
-    def number(pattern: str, group: int) -> Column:
-        return _number(F.regexp_extract(lowered, pattern, group))
-
-    half = F.regexp_extract(lowered, DAY_AND_TIME, 6)
-    clock = number(DAY_AND_TIME, 4)
-    hour = (
-        F.when((half == "pm") & (clock != 12), clock + 12)
-        .when((half == "am") & (clock == 12), 0)
-        .otherwise(clock)
-    )
-    with_time = _stamp(number(DAY_AND_TIME, 3), month(DAY_AND_TIME, 1), number(DAY_AND_TIME, 2),
-                       hour, number(DAY_AND_TIME, 5))
-    month_first = _stamp(number(MONTH_FIRST, 3), month(MONTH_FIRST, 1), number(MONTH_FIRST, 2))
-    day_first = _stamp(number(DAY_FIRST, 3), month(DAY_FIRST, 2), number(DAY_FIRST, 1))
-    return F.coalesce(_iso(text), with_time, month_first, day_first)
+    return let(strip(col), lambda text: F.coalesce(_iso(text), let(lower(text), _written)))
 
 
 def iso_text(stamp: Column) -> Column:

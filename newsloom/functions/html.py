@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from newsloom.functions.text import strip
+from newsloom.functions.text import let, strip
 
 NOISE = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
 
@@ -75,7 +75,7 @@ def title_tag(html: Column) -> Column:
 
 def headline(html: Column) -> Column:
     marked = inner_text(element_with(html, "data-testid", "headline"))
-    return F.when(marked != "", marked).otherwise(inner_text(element(html, "h1")))
+    return F.coalesce(F.nullif(marked, F.lit("")), inner_text(element(html, "h1")))
 
 
 def subtitle(html: Column) -> Column:
@@ -88,7 +88,7 @@ def byline(html: Column) -> Column:
 
 def timestamp_text(html: Column) -> Column:
     marked = inner_text(element_with(html, "data-testid", "timestamp-text"))
-    return F.when(marked != "", marked).otherwise(inner_text(element(html, "time")))
+    return F.coalesce(F.nullif(marked, F.lit("")), inner_text(element(html, "time")))
 
 
 def article_paragraphs(html: Column) -> Column:
@@ -120,11 +120,10 @@ def body_text(html: Column) -> Column:
     marked = keep_paragraphs(F.transform(elements_with(html, r"[a-z][a-z0-9]*", "data-testid", "paragraph"), inner_text))
     typed = keep_paragraphs(F.transform(elements_with(html, "p", "data-type", "paragraph"), inner_text))
     plain = keep_fallback_paragraphs(article_paragraphs(html))
-    chosen = (
-        F.when(F.size(marked) > ENOUGH_PARAGRAPHS, marked)
-        .when(F.size(typed) > ENOUGH_PARAGRAPHS, typed)
-        .otherwise(plain)
-    )
+    enough = lambda texts: F.size(texts) > ENOUGH_PARAGRAPHS
+    chosen = let(marked, lambda first: F.when(enough(first), first).otherwise(
+        let(typed, lambda second: F.when(enough(second), second).otherwise(plain))
+    ))
     return F.array_join(chosen, "\n\n")
 
 
@@ -165,21 +164,20 @@ def tag_names(html: Column) -> Column:
 
 def tag_counts(html: Column, tags: list[str]) -> Column:
     """``array<struct<tag, n>>`` of the listed tags that occur, in list order."""
-    names = tag_names(html)
-    counted = F.transform(
-        F.array(*[F.lit(t) for t in tags]),
-        lambda t: F.struct(t.alias("tag"), F.size(F.filter(names, lambda n: n == t)).alias("n")),
-    )
+    listed = F.array(*[F.lit(t) for t in tags])
+    counted = let(tag_names(html), lambda names: F.transform(
+        listed, lambda t: F.struct(t.alias("tag"), F.size(F.filter(names, lambda n: n == t)).alias("n"))
+    ))
     return F.filter(counted, lambda c: c["n"] > 0)
 
 
 def attribute_counts(html: Column, attribute: str) -> Column:
     """``array<struct<value, n>>`` of an attribute's values, alphabetical."""
     values = F.regexp_extract_all(html, F.lit(rf"""(?i)\s{attribute}=["']([^"']*)["']"""), 1)
-    return F.transform(
-        F.array_sort(F.array_distinct(values)),
-        lambda v: F.struct(v.alias("value"), F.size(F.filter(values, lambda x: x == v)).alias("n")),
-    )
+    return let(values, lambda found: F.transform(
+        F.array_sort(F.array_distinct(found)),
+        lambda v: F.struct(v.alias("value"), F.size(F.filter(found, lambda x: x == v)).alias("n")),
+    ))
 
 
 def element_samples(html: Column, tag: str, limit: int = 10, chars: int = 80) -> Column:

@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 import time
+from collections import Counter
 from collections.abc import Callable, Sequence
 from typing import Protocol
 
@@ -50,13 +51,12 @@ class WordHistogram:
         out = np.zeros((len(texts), self.dim))
         known: dict[str, int] = {}
         for row, content in enumerate(texts):
-            words = [w for w in WORD_RE.findall(content.lower()) if w not in STOP_SET]
-            for word in words:
-                if word not in known:
-                    known[word] = word_bucket(word, self.dim)
-            buckets = [known[w] for w in words]
-            if buckets:
-                out[row] = np.bincount(buckets, minlength=self.dim)
+            for word, count in Counter(WORD_RE.findall(content.lower())).items():
+                bucket = known.get(word)
+                if bucket is None:
+                    bucket = known[word] = -1 if word in STOP_SET else word_bucket(word, self.dim)
+                if bucket >= 0:
+                    out[row, bucket] += count
         norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
         return np.divide(out, norms, out=np.zeros_like(out), where=norms > 0)
 
@@ -95,8 +95,11 @@ def embedding(col: Column, embedder: Embedder | None = None) -> Column:
     def run(texts: pa.Array) -> pa.Array:
         values = texts.to_pylist()
         filled = [v for v in values if v and v.strip()]
-        vectors = iter(np.asarray(model.embed(filled), dtype=np.float32)) if filled else iter(())
-        return pa.array([next(vectors) if v and v.strip() else None for v in values], pa.list_(pa.float32()))
+        made = np.asarray(model.embed(filled), dtype=np.float32) if filled else np.zeros((0, model.dim), np.float32)
+        sizes = [made.shape[1] if v and v.strip() else None for v in values]
+        offsets = np.concatenate([[0], np.cumsum([s or 0 for s in sizes])]).astype(np.int32)
+        empty = pa.array([s is None for s in sizes], pa.bool_())
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(made.ravel()), mask=empty)
 
     return run(col)
 

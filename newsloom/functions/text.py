@@ -2,24 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from newsloom import constants as C
 
-# Unicode white space plus the four ASCII separators Python also counts
-SPACE = r"[\s\x1c-\x1f]"
-SENTENCE_BREAK = r"(?U)(?<=[.!?。！？])" + SPACE + "+"
+# white space as Python counts it: Unicode spaces plus the ASCII separators
+SPACE_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(
+    chr(c) for c in range(0x2000, 0x200B)
+) + "\u2028\u2029\u202f\u205f\u3000"
+SPACE = "[\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+# white space that is not already one single blank
+_LOOSE = SPACE.replace("\\x20", "\\x1f") + SPACE + "*| " + SPACE + "+"
+# squeezed text has single blanks only
+SENTENCE_BREAK = "(?<=[.!?。！？]) "
+SENTENCE_END = "[.!?。！？](?=" + SPACE + ")"
 WORD = r"[\p{L}\p{N}]+"
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once per row.
+
+    Catalyst inlines a projected expression wherever it is used; a lambda
+    variable is bound to the computed value instead.
+    """
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def computed_once(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """``keep`` plus new columns that later steps may use any number of times.
+
+    The one-row ``inline`` keeps the optimizer from merging this projection
+    into the next one and repeating its regular expressions there.
+    """
+    made = F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))
+    return df.select(*keep, F.inline(made))
+
+
 def strip(col: Column) -> Column:
     """Remove leading and trailing white space of any kind."""
-    return F.regexp_replace(col, f"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.trim(col, F.lit(SPACE_CHARS))
 
 
 def squeeze(col: Column) -> Column:
     """Strip, then turn each run of white space into one blank."""
-    return strip(F.regexp_replace(col, f"(?U){SPACE}+", " "))
+    return F.trim(F.regexp_replace(col, _LOOSE, " "))
 
 
 def is_blank(col: Column) -> Column:
@@ -33,8 +59,7 @@ def clean_author(col: Column) -> Column:
 
 def sentences(col: Column) -> Column:
     """Sentences of a text; text without a break after its marks is one sentence."""
-    parts = F.split(squeeze(col), SENTENCE_BREAK, -1)
-    return F.filter(parts, lambda s: F.trim(s) != "")
+    return F.filter(F.split(squeeze(col), SENTENCE_BREAK, -1), lambda s: s != "")
 
 
 def windows(col: Column, size: int, overlap: int) -> Column:
@@ -73,8 +98,14 @@ def first_filled(*cols: Column) -> Column:
 
 
 def lead(col: Column, count: int) -> Column:
-    """The first ``count`` sentences, joined by blanks (the offline summary)."""
-    return F.concat_ws(" ", F.slice(sentences(col), 1, count))
+    """The first ``count`` sentences, joined by blanks (the offline summary).
+
+    Reads no further than the end of the last one; a text with fewer is whole.
+    """
+    start = f"(?s)^(?:.*?{SENTENCE_END}){{{count}}}"
+    return let(strip(col), lambda text: squeeze(
+        F.coalesce(F.nullif(F.regexp_extract(text, start, 0), F.lit("")), text)
+    ))
 
 
 def tokens(col: Column) -> Column:

@@ -11,8 +11,7 @@ from newsloom.operators.ranking import first_n
 
 def page_links(pages: DataFrame, inside: str | None = "h3", origin: str = "") -> DataFrame:
     """``(page_id, pos, href, url, text)`` of every link on every page."""
-    found = H.anchors(H.without_noise(F.col("html")), inside)
-    links = pages.select("page_id", F.inline(found))
+    links = pages.select("page_id", F.inline(H.anchors(H.without_noise(F.col("html")), inside)))
     return links.withColumn("url", urls.absolute_url(F.col("href"), origin))
 
 
@@ -46,20 +45,19 @@ def link_quota(links: DataFrame, category: str = "category", home_cap: int = C.H
 
 def extract_articles(pages: DataFrame) -> DataFrame:
     """Article fields of each page; content shorter than the minimum is dropped."""
-    page = pages.withColumn("html", H.without_noise(F.col("html")))
-    rows = page.select(
+    page = X.computed_once(pages, ["page_id", "url"], html=H.without_noise(F.col("html")))
+    rows = X.computed_once(page, ["page_id", "url", "html"], content=H.body_text(F.col("html")))
+    rows = rows.filter(F.length("content") >= C.MIN_CONTENT_CHARS).select(
         "page_id",
         urls.normalize_url(F.col("url")).alias("url"),
         H.headline(F.col("html")).alias("title"),
         F.nullif(H.subtitle(F.col("html")), F.lit("")).alias("subtitle"),
         F.nullif(H.byline(F.col("html")), F.lit("")).alias("author"),
         F.nullif(H.timestamp_text(F.col("html")), F.lit("")).alias("published_at"),
-        H.body_text(F.col("html")).alias("content"),
+        "content",
         H.is_exclusive(F.col("html")).alias("is_exclusive"),
     )
-    return rows.filter(F.length("content") >= C.MIN_CONTENT_CHARS).withColumn(
-        "category", urls.infer_category(F.col("url"))
-    )
+    return rows.withColumn("category", urls.infer_category(F.col("url")))
 
 
 def merge_listing(scraped: DataFrame, links: DataFrame) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from newsloom import constants as C
-from newsloom.functions.text import strip
 
 
 def wanted(category: str | None = None, exclusive_only: bool = False) -> Column | None:
@@ -36,15 +35,15 @@ def on_day(day: str) -> Column:
 
 
 def article_error(title: Column, content: Column, url: Column) -> Column:
-    """Why an article record is unusable, or null; the first problem counts."""
-    body = strip(F.coalesce(content, F.lit("")))
-    empty = lambda c: strip(F.coalesce(c, F.lit(""))) == ""
+    """Why an article record (of stripped fields) is unusable, or null; the
+    first problem counts."""
+    empty = lambda c: F.coalesce(c, F.lit("")) == ""
     return (
         F.when(empty(title), F.lit("Missing title"))
-        .when(body == "", F.lit("Missing content"))
+        .when(empty(content), F.lit("Missing content"))
         .when(
-            F.length(body) < C.MIN_CONTENT_CHARS,
-            F.concat(F.lit("Content too short ("), F.length(body).cast("string"), F.lit(" chars)")),
+            F.length(content) < C.MIN_CONTENT_CHARS,
+            F.concat(F.lit("Content too short ("), F.length(content).cast("string"), F.lit(" chars)")),
         )
         .when(empty(url), F.lit("Missing URL"))
     )

@@ -24,25 +24,27 @@ class Query:
 
 
 def _vector_cutoffs(chunks: DataFrame, queries: Sequence[Query], fetch: int):
-    """Struct ``q0 .. qn`` with the worst kept ``(-score, chunk_id)`` per query.
+    """Array with the worst kept ``(-score, chunk_id)`` of each query.
 
     A row is among the nearest exactly when its pair is not above the cutoff,
     which replaces the join between vector hits and keyword hits.
     """
-    key = lambda q: F.struct(
-        (-similarity("content_vector", q.vector)).alias("s"), F.col("chunk_id").alias("c")
-    )
     vectors = chunks.filter(F.col("content_vector").isNotNull())
+    key = F.struct((-F.col("near")).alias("s"), F.col("chunk_id").alias("c")).alias("key")
+    rows = vectors.select("chunk_id", F.posexplode(_similarities(queries)).alias("q", "near")).select("q", key)
     if len(queries) == 1:
-        top = vectors.select(F.lit(0).alias("q"), key(queries[0]).alias("key")).orderBy("key").limit(fetch)
+        top = rows.orderBy("key").limit(fetch)
     else:
-        pairs = F.array(*[F.struct(F.lit(i).alias("q"), key(q).alias("key")) for i, q in enumerate(queries)])
-        top = first_n(vectors.select(F.inline(pairs)), ["q"], [F.col("key").asc()], fetch)
-    return top.agg(F.struct(*[
-        F.max(F.when(F.col("q") == i, F.col("key"))).alias(f"q{i}") for i in range(len(queries))
+        top = first_n(rows, ["q"], [F.col("key").asc()], fetch)
+    return top.agg(F.array(*[
+        F.max(F.when(F.col("q") == i, F.col("key"))) for i in range(len(queries))
     ]).alias("cutoffs")).scalar()
 
 
+def _similarities(queries: Sequence[Query]):
+    return F.array(*[similarity("content_vector", q.vector) for q in queries])
+
+
 def hybrid_hits(
     chunks: DataFrame,
     queries: Sequence[Query],
@@ -64,25 +66,24 @@ def hybrid_hits(
     keys = row_keys(chunks)
     keep = list(dict.fromkeys([*keys, "article_id", "content_vector", "category", "is_exclusive"]))
     scored = TextScorer(chunks, [q.text for q in queries]).scored(*keep)
-    scored = scored.withColumn("_cut", _vector_cutoffs(chunks, queries, fetch))
     scored = filters.apply(scored, condition)
-
-    def entry(i: int, q: Query):
-        near = similarity("content_vector", q.vector)
-        cut = F.col("_cut")[f"q{i}"]
-        own = F.struct((-near).alias("s"), F.col("chunk_id").alias("c"))
-        nearby = F.coalesce(own <= cut, F.lit(False))
-        text = F.col(f"text_{i}")
-        score = F.when(nearby, near * vector_weight).otherwise(0.0) + text * text_weight
-        matched = nearby | (text > 0)
-        if condition is not None and pad_filtered:
-            matched = F.lit(True)
-        return F.struct(F.lit(q.name).alias("name"), score.alias("score"), matched.alias("matched"))
+    # one row per query from here on: its number, vector score and text score
+    texts = F.array(*[F.col(f"text_{i}") for i in range(len(queries))])
+    pairs = F.arrays_zip(_similarities(queries).alias("near"), texts.alias("text"))
+    ids = list(dict.fromkeys([*keys, "article_id"]))
+    rows = scored.select(*ids, F.posexplode(pairs).alias("q", "pair")).select(
+        *ids, "q", F.col("pair.near").alias("near"), F.col("pair.text").alias("text")
+    )
+    cut = F.get(_vector_cutoffs(chunks, queries, fetch), F.col("q"))
+    own = F.struct((-F.col("near")).alias("s"), F.col("chunk_id").alias("c"))
+    rows = rows.withColumn("nearby", F.coalesce(F.col("near").isNotNull() & (own <= cut), F.lit(False)))
+    if condition is None or not pad_filtered:
+        rows = rows.filter(F.col("nearby") | (F.col("text") > 0))
+    vector_part = F.when(F.col("nearby"), F.col("near") * vector_weight).otherwise(0.0)
+    name = F.get(F.array(*[F.lit(q.name) for q in queries]), F.col("q"))
+    rows = rows.select(*ids, name.alias("name"), (vector_part + F.col("text") * text_weight).alias("score"))
 
     order = [F.col("score").desc(), F.col("chunk_id").asc()]
-    ids = list(dict.fromkeys([*keys, "article_id"]))
-    entries = F.array(*[entry(i, q) for i, q in enumerate(queries)])
-    rows = scored.select(*ids, F.inline(entries)).filter("matched").drop("matched")
     if len(queries) == 1:
         return rows.orderBy(*order).limit(k)
     return first_n(rows, ["name"], order, k)

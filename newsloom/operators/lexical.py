@@ -6,11 +6,12 @@ from collections import Counter
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from newsloom import constants as C
 from newsloom.functions.providers import STOP_SET, WORD_RE
-from newsloom.functions.text import tokens
+from newsloom.functions.text import computed_once, tokens
 from newsloom.operators.ranking import first_n
 
 
@@ -44,15 +45,19 @@ class TextScorer:
         self.terms = sorted(set().union(*self.queries)) if self.queries else []
         self.boosts = {f: b for f, b in boosts.items() if f in chunks.columns} if self.terms else {}
         self.chunks = chunks
+        if not self.boosts:
+            return
         asked = "array(" + ", ".join(f"'{t}'" for t in self.terms) + ")"
-        words = chunks.select("*", *[tokens(F.col(f)).alias(f"_words_{f}") for f in self.boosts])
-        found = words.selectExpr(
-            *chunks.columns,
-            *[f"size(_words_{f}) AS _len_{f}" for f in self.boosts],
-            *[f"filter(_words_{f}, w -> array_contains({asked}, w)) AS _hit_{f}" for f in self.boosts],
-        )
-        self.rows = found.selectExpr(
-            *chunks.columns,
+        keep = chunks.columns
+        words = {f"_words_{f}": tokens(F.col(f)) for f in self.boosts}
+        rows = computed_once(chunks, keep, **words)
+        found = {}
+        for f in self.boosts:
+            found[f"_len_{f}"] = F.size(f"_words_{f}")
+            found[f"_hit_{f}"] = F.filter(f"_words_{f}", lambda w: w.isin(self.terms))
+        rows = computed_once(rows, keep, **found)
+        self.rows = rows.selectExpr(
+            *keep,
             *[f"_len_{f}" for f in self.boosts],
             *[f"transform({asked}, t -> size(filter(_hit_{f}, w -> w = t))) AS _tf_{f}" for f in self.boosts],
         )
@@ -106,20 +111,40 @@ def keyword_search(
 
 # --- posting table ----------------------------------------------------------------
 
+def term_counts(col: Column) -> Column:
+    """``array<struct<term, tf>>`` of a text's distinct tokens, counted in its own task."""
+
+    @F.arrow_udf("array<struct<term:string,tf:int>>")
+    def count(texts: pa.Array) -> pa.Array:
+        offsets, terms, counts = [0], [], []
+        for content in texts.to_pylist():
+            for word, n in Counter(WORD_RE.findall((content or "").lower())).items():
+                if word not in STOP_SET:
+                    terms.append(word)
+                    counts.append(n)
+            offsets.append(len(terms))
+        rows = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(counts, pa.int32())], ["term", "tf"])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)
+
+    return count(col)
+
+
 def postings(chunks: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """``(field, term, chunk_id, article_id, tf, len)`` of every distinct token."""
-    per_field = F.array(*[
-        F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("words")) for f in fields
-    ])
-    rows = chunks.select("article_id", "chunk_id", F.inline(per_field))
-    rows = rows.filter(F.size("words") > 0)
-    lengths = F.size("words").alias("len")
-    # explode within the row, count with map-side aggregation: all tokens of a
-    # chunk sit in one task, so the partial count is already the full count
-    counted = rows.select("article_id", "chunk_id", "field", lengths, F.explode("words").alias("term"))
-    return counted.groupBy("field", "term", "article_id", "chunk_id", "len").agg(
-        F.count("*").cast("int").alias("tf")
-    )
+    """``(field, article_id, chunk_id, len, term, tf)`` of every distinct token.
+
+    Counting happens inside the row, so nothing is shuffled here.
+    """
+    per_field = [
+        chunks.select(F.lit(f).alias("field"), "article_id", "chunk_id", term_counts(F.col(f)).alias("terms"))
+        for f in fields
+    ]
+    rows = per_field[0]
+    for other in per_field[1:]:
+        rows = rows.unionByName(other)
+    keys = ["field", "article_id", "chunk_id"]
+    length = F.aggregate("terms", F.lit(0), lambda a, t: a + t["tf"])
+    rows = computed_once(rows, [*keys, "terms"], len=length)
+    return rows.select(*keys, "len", F.inline("terms"))
 
 
 @dataclass(frozen=True)
@@ -146,12 +171,11 @@ class PostingTable:
             .sortWithinPartitions("bucket", "term")
             .write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
         )
-        stats = chunks.select(F.inline(F.array(*[
-            F.struct(F.lit(f).alias("field"), F.size(tokens(F.col(f))).alias("len")) for f in fields
-        ])))
-        stats = stats.filter(F.col("len") > 0).groupBy("field").agg(
-            F.count("*").cast("double").alias("docs"), F.avg("len").alias("mean_len")
-        )
+        # a chunk's length is the sum of its term counts, so the statistics come
+        # from the stored postings and no text is read again
+        stats = self.postings(chunks.sparkSession).groupBy("field").agg(
+            F.count_distinct("chunk_id").cast("double").alias("docs"), F.sum("tf").cast("double").alias("words")
+        ).select("field", "docs", (F.col("words") / F.col("docs")).alias("mean_len"))
         stats.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/fields")
         return self
 

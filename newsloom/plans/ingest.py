@@ -48,8 +48,8 @@ class Indexer:
         do not stop the batch.
         """
         staged = f"{self.table.root}/staged/{uuid.uuid4().hex}"
-        checked = files.select("*", A.record_error(files).alias("problem"))
-        good = A.clean(checked.filter("problem IS NULL"), self.default_source, keep=["path"])
+        checked = A.check_records(files)
+        good = A.to_articles(checked, self.default_source, keep=["path"])
         chunks = enrich.process_articles(
             good, F.lit(asof), self.embedder, self.summarizer, keep=["path"]
         )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from newsloom import schemas as S
@@ -31,30 +31,33 @@ def read_article_files(spark: SparkSession, directory: str, recursive: bool = Tr
     )
 
 
-def record_error(files: DataFrame) -> Column:
-    broken = article_error(F.col("title"), F.col("content"), F.col("url"))
-    return F.coalesce(F.col("read_error"), broken) if "read_error" in files.columns else broken
+def check_records(files: DataFrame) -> DataFrame:
+    """The records with stripped fields and ``problem``, null for usable ones."""
+    fields = ["title", "content", "url"]
+    others = [c for c in files.columns if c not in fields]
+    rows = X.computed_once(files, others, **{f: X.strip(F.col(f)) for f in fields})
+    problem = article_error(*[F.col(f) for f in fields])
+    if "read_error" in others:
+        problem = F.coalesce(F.col("read_error"), problem)
+    return rows.withColumn("problem", problem)
 
 
 def validate(files: DataFrame) -> DataFrame:
     """``(path, is_valid, error)`` without building article rows."""
-    return files.select("path", record_error(files).alias("error")).select(
-        "path", F.col("error").isNull().alias("is_valid"), "error"
+    return check_records(files).select(
+        "path", F.col("problem").isNull().alias("is_valid"), F.col("problem").alias("error")
     )
 
 
-def clean(files: DataFrame, default_source: str, keep: list[str] = []) -> DataFrame:
-    """Usable articles: trimmed fields, parsed date, id from the normalized URL.
+def to_articles(checked: DataFrame, default_source: str, keep: list[str] = []) -> DataFrame:
+    """Usable records as articles: parsed date, id from the normalized URL.
 
     The URL itself is stored as it came.
     """
-    url = X.strip(F.col("url"))
-    return files.filter(record_error(files).isNull()).select(
+    return checked.filter("problem IS NULL").select(
         *keep,
-        urls.article_id(url).alias("article_id"),
-        X.strip(F.col("title")).alias("title"),
-        url.alias("url"),
-        X.strip(F.col("content")).alias("content"),
+        urls.article_id(F.col("url")).alias("article_id"),
+        "title", "url", "content",
         F.coalesce(F.col("source"), F.lit(default_source)).alias("source"),
         F.col("category"),
         X.squeeze(F.col("author")).alias("author"),
@@ -65,6 +68,11 @@ def clean(files: DataFrame, default_source: str, keep: list[str] = []) -> DataFr
     )
 
 
+def clean(files: DataFrame, default_source: str, keep: list[str] = []) -> DataFrame:
+    """Check and convert article records in one step."""
+    return to_articles(check_records(files), default_source, keep)
+
+
 def request_articles(spark: SparkSession, payloads: list[dict], default_source: str) -> DataFrame:
     """Articles handed over as request payloads instead of files."""
     rows = [tuple(p.get(f) for f in S.ARTICLE_FILE.fieldNames()) for p in payloads]

@@ -26,14 +26,14 @@ def article_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as crawled article records."""
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("_good"))
-    title = X.preview(F.element_at(X.sentences(F.col("text")), 1), TITLE_CHARS, ellipsis=False)
+    title = F.nullif(F.substring(X.lead(F.col("text"), 1), 1, TITLE_CHARS), F.lit(""))
     published = F.timestamp_add("MINUTE", F.pmod(F.col("doc_id") * 7919, F.lit(MINUTES)), F.lit(FIRST_MOMENT).cast("timestamp_ntz"))
     return (
         spread(docs, "doc_id").join(labels, "doc_id", "left")
         .select(
             F.concat(F.lit("articles/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".json")).alias("path"),
             "doc_id",
-            F.when(F.size(X.sentences(F.col("text"))) > 0, title).alias("title"),
+            title.alias("title"),
             F.concat(F.lit("https://example.com/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string")).alias("url"),
             F.col("text").alias("content"),
             F.col("lang").alias("author"),
