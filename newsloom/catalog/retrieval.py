@@ -190,7 +190,7 @@ def term_frequencies(spark, sf):
 _POSTINGS: dict[tuple[str, str], PostingTable] = {}
 
 
-def _posting_table(spark, sf) -> PostingTable:
+def posting_table(spark, sf) -> PostingTable:
     key = (spark.sparkContext.applicationId, sf)
     if key not in _POSTINGS:
         table = PostingTable(scratch_path(spark, "postings"), 16)
@@ -210,7 +210,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9
 SELECT query_id, rank::INT AS rank, chunk_id, round(score, 6) AS score FROM r WHERE rank <= 5""")
 def keyword_batch(spark, sf):
     asked = X.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return _scored(_posting_table(spark, sf).search(asked, 5, {"content": 1.0}), "query_id", "rank", "chunk_id")
+    return _scored(posting_table(spark, sf).search(asked, 5, {"content": 1.0}), "query_id", "rank", "chunk_id")
 
 
 # --- hybrid and modes -----------------------------------------------------------------------------

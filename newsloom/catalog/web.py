@@ -11,7 +11,6 @@ from newsloom.operators import crawl, filters, ledger
 from newsloom.session import spread
 from newsloom.sources import fixtures as X
 
-U = F.col("url")
 ORIGIN = "https://example.com"
 CRAWL_DAY = "2024-01-31"
 
@@ -22,7 +21,7 @@ def _pages(spark, sf):
 
 @query("url_normalize", f"SELECT page_id, {Q.normalize_url('url')} AS clean_url FROM pages")
 def url_normalize(spark, sf):
-    return X.table(spark, sf, "pages").select("page_id", urls.normalize_url(U).alias("clean_url"))
+    return X.table(spark, sf, "pages").select("page_id", urls.normalize_url(F.col("url")).alias("clean_url"))
 
 
 @query("url_article_id", f"""
@@ -31,14 +30,14 @@ SELECT page_id, md5({Q.normalize_url('url')}) AS article_id, substring(md5({Q.no
 FROM pages""")
 def url_article_id(spark, sf):
     return X.table(spark, sf, "pages").select(
-        "page_id", urls.article_id(U).alias("article_id"), urls.short_id(U).alias("short_id"),
-        urls.chunk_id(urls.article_id(U), F.lit(0)).alias("first_chunk_id"),
+        "page_id", urls.article_id(F.col("url")).alias("article_id"), urls.short_id(F.col("url")).alias("short_id"),
+        urls.chunk_id(urls.article_id(F.col("url")), F.lit(0)).alias("first_chunk_id"),
     )
 
 
 @query("url_slug", f"SELECT page_id, {Q.slug('url')} || '.json' AS file_name FROM pages")
 def url_slug(spark, sf):
-    return X.table(spark, sf, "pages").select("page_id", urls.file_name(U).alias("file_name"))
+    return X.table(spark, sf, "pages").select("page_id", urls.file_name(F.col("url")).alias("file_name"))
 
 
 # the fixture sites have language folders, so categories are inferred from link
@@ -63,13 +62,13 @@ def url_category(spark, sf):
             F.col("o_orderkey"),
         ).alias("url"),
     )
-    return part.unionByName(orders).select("link_id", urls.infer_category(U).alias("category"))
+    return part.unionByName(orders).select("link_id", urls.infer_category(F.col("url")).alias("category"))
 
 
 @query("article_url_filter", f"SELECT page_id, {Q.is_article_url('url', ['example.com', 'example.org'])} AS is_article FROM pages")
 def article_url_filter(spark, sf):
     return X.table(spark, sf, "pages").select(
-        "page_id", urls.is_article_url(U, ["example.com", "example.org"]).alias("is_article")
+        "page_id", urls.is_article_url(F.col("url"), ["example.com", "example.org"]).alias("is_article")
     )
 
 
@@ -233,7 +232,7 @@ def listing_merge(spark, sf):
     pages = X.table(spark, sf, "pages")
     labels = X.table(spark, sf, "labels").withColumnRenamed("doc_id", "page_id")
     links = pages.select("page_id", "url").join(labels, "page_id").select(
-        urls.normalize_url(U).alias("clean_url"),
+        urls.normalize_url(F.col("url")).alias("clean_url"),
         F.concat(F.lit("Page "), F.col("page_id")).alias("title"),
         (F.col("quality") == 1).alias("is_exclusive"),
     )
@@ -251,7 +250,7 @@ k AS (SELECT page_id, folder, slug, turn FROM r WHERE turn < 100
 SELECT page_id, folder || '/{CRAWL_DAY}/' || slug || CASE WHEN turn = 1 THEN '' ELSE '_' || (turn - 1) END || '.json' AS path FROM k""")
 def article_files(spark, sf):
     pages = X.table(spark, sf, "pages").select(
-        "page_id", "url", urls.infer_category(U).alias("category"), F.col("page_id").alias("position")
+        "page_id", "url", urls.infer_category(F.col("url")).alias("category"), F.col("page_id").alias("position")
     )
     return crawl.article_files(pages, CRAWL_DAY).select("page_id", "path")
 

@@ -171,9 +171,11 @@ class PostingTable:
             .sortWithinPartitions("bucket", "term")
             .write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
         )
-        # a chunk's length is the sum of its term counts, so the statistics come
-        # from the stored postings and no text is read again
-        stats = self.postings(chunks.sparkSession).groupBy("field").agg(
+        # everything else comes from the stored postings; no text is read again
+        stored = self.postings(chunks.sparkSession)
+        terms = stored.groupBy("bucket", "field", "term").agg(F.count("*").cast("double").alias("df"))
+        terms.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/terms")
+        stats = stored.groupBy("field").agg(
             F.count_distinct("chunk_id").cast("double").alias("docs"), F.sum("tf").cast("double").alias("words")
         ).select("field", "docs", (F.col("words") / F.col("docs")).alias("mean_len"))
         stats.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/fields")
@@ -194,24 +196,21 @@ class PostingTable:
             .groupBy("query_id", "term").agg(F.count("*").cast("double").alias("weight"))
             .withColumn("bucket", self.bucket_of(F.col("term"), self.buckets))
         )
-        vocabulary = asked.select("bucket", "term").distinct()
         fields = spark.read.parquet(f"{self.path}/fields")  # one row per field
-        found = self.postings(spark).join(vocabulary, ["bucket", "term"], "left_semi")
-        frequency = found.groupBy("field", "term").agg(F.count("*").cast("double").alias("df"))
+        terms = spark.read.parquet(f"{self.path}/terms").filter(F.col("field").isin(list(boosts)))
         boost = F.element_at(
             F.create_map(*[F.lit(v) for f, b in boosts.items() for v in (f, float(b))]), F.col("field")
         )
-        # one row per asked (field, term); query_id fans out only where asked
         weights = (
-            asked.join(frequency, "term").join(F.broadcast(fields), "field")
-            .filter(F.col("field").isin(list(boosts)))
+            asked.join(terms, ["bucket", "term"]).join(F.broadcast(fields), "field")
             .select("query_id", "bucket", "term", "field", "mean_len",
                     (F.col("weight") * boost * inverse_frequency(F.col("docs"), F.col("df"))).alias("weight"))
         )
         part = F.col("weight") * saturation(F.col("tf").cast("double"), F.col("len").cast("double"), F.col("mean_len"))
-        per_field = (
-            found.join(weights, ["bucket", "term", "field"])
-            .groupBy("query_id", "article_id", "chunk_id", "field").agg(F.sum(part).alias("score"))
+        per_field = [F.sum(F.when(F.col("field") == f, part)) for f in boosts]
+        score = F.greatest(*per_field) if len(per_field) > 1 else per_field[0]
+        best = (
+            self.postings(spark).join(weights, ["bucket", "term", "field"])
+            .groupBy("query_id", "article_id", "chunk_id").agg(score.alias("score"))
         )
-        best = per_field.groupBy("query_id", "article_id", "chunk_id").agg(F.max("score").alias("score"))
         return first_n(best, ["query_id"], [F.col("score").desc(), F.col("chunk_id").asc()], k, "rank")
