@@ -87,12 +87,33 @@ def research_articles(spark, sf):
     return _scored(rows, "no", "article_id", "chunk_id", "title", "url")
 
 
-@query("compare_report")
+@query("compare_report", f"""
+WITH {_ranked(TOPICS, 6, 3)},
+asked AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{t}')" for i, t in enumerate(TOPICS))}) t(place, topic)),
+parts AS (SELECT topic, count(*) AS n,
+  string_agg('- ' || title || chr(10) || '  ' || summary, chr(10) ORDER BY rank) AS brief,
+  string_agg('[' || rank || '] ' || title || chr(10) || '    Published: ' || strftime(published_at, '%Y-%m-%dT%H:%M:%S')
+    || chr(10) || '    Category: ' || category || chr(10) || '    URL: ' || url || chr(10) || '    Summary: ' || summary || chr(10), chr(10) ORDER BY rank) AS detail
+  FROM (SELECT p.topic, p.rank, c.title, c.article_summary AS summary, c.published_at, c.category, c.url FROM picked p JOIN chunks c USING (chunk_id)) GROUP BY topic)
+SELECT '=== 多主题对比分析报告 ===' || chr(10) || '主题: {', '.join(TOPICS)}' || chr(10) || chr(10) || '## 对比分析（LLM 生成失败，以下为原始数据摘要）' || chr(10) || chr(10)
+  || string_agg('### ' || topic || chr(10) || coalesce(brief, '- No articles found') || chr(10), chr(10) ORDER BY place)
+  || chr(10) || chr(10) || '=== 原始文章数据 ===' || chr(10)
+  || string_agg(chr(10) || '--- ' || topic || ' (' || coalesce(n, 0) || ' articles) ---' || chr(10) || coalesce(detail, 'No articles found.'), chr(10) ORDER BY place) AS report
+FROM asked LEFT JOIN parts USING (topic)""")
 def compare_report(spark, sf):
     return R.compare_report(_engine(spark, sf), ",".join(TOPICS))
 
 
-@query("research_report")
+@query("research_report", f"""
+WITH {_ranked(_ANGLES, 6, 3)},
+merged AS (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY score DESC, chunk_id) AS again FROM picked),
+final AS (SELECT *, row_number() OVER (ORDER BY score DESC, chunk_id) AS no FROM merged WHERE again = 1),
+f AS (SELECT no, title, article_summary AS summary, c.category, c.published_at, url FROM final JOIN chunks c USING (chunk_id) WHERE no <= 10)
+SELECT '# 深度研究报告：{TEXT}' || chr(10) || '*基于 ' || count(*) || ' 篇相关文章的多角度分析*' || chr(10) || chr(10) || '## 概述' || chr(10)
+  || '以下是关于「{TEXT}」的相关新闻汇总（共 ' || count(*) || ' 篇）。' || chr(10) || chr(10) || '## 相关文章摘要' || chr(10)
+  || string_agg(no || '. 「' || title || '」：' || summary, chr(10) ORDER BY no) || chr(10) || chr(10)
+  || '*注：由于分析服务暂时不可用，仅提供文章摘要。*' || chr(10) || chr(10) || '---' || chr(10) || '## 参考文章' || chr(10)
+  || string_agg(no || '. 「' || title || '」 [' || category || '] (' || strftime(published_at, '%Y-%m-%dT%H:%M:%S') || ')' || chr(10) || '   ' || url, chr(10) ORDER BY no) AS report FROM f""")
 def research_report(spark, sf):
     return R.research_report(_engine(spark, sf), TEXT)
 
@@ -113,14 +134,24 @@ def database_latest(spark, sf):
     return R.database_info(_engine(spark, sf), "latest", "src4")
 
 
-@query("database_categories")
+_SHARES = f"""
+WITH {Q.CHUNKS}, terms AS (SELECT category, count(*) AS n FROM chunks WHERE category IS NOT NULL GROUP BY category ORDER BY n DESC, category LIMIT 20),
+shares AS (SELECT string_agg('  ' || category || ': ' || n || ' 条记录', chr(10) ORDER BY n DESC, category) AS list FROM terms)"""
+
+
+@query("database_categories", _SHARES + """
+SELECT '=== 分类分布 (共 ' || count(DISTINCT article_id) || ' 篇文章) ===' || chr(10) || chr(10) || (SELECT list FROM shares) AS report FROM chunks""")
 def database_categories(spark, sf):
-    return R.database_info(_engine(spark, sf), "categories")
+    return R.database_info(_engine(spark, sf), "categories", exact=True)
 
 
-@query("database_overview")
+@query("database_overview", _SHARES + """
+SELECT '=== 数据库统计 ===' || chr(10) || '总文章数: ' || count(DISTINCT article_id) || chr(10) || '总分块数: ' || count(*)
+  || chr(10) || '最新文章日期: ' || strftime(max(published_at), '%Y-%m-%dT%H:%M:%S') || chr(10) || '最早文章日期: ' || strftime(min(published_at), '%Y-%m-%dT%H:%M:%S')
+  || chr(10) || chr(10) || '分类分布:' || chr(10) || (SELECT list FROM shares) AS report FROM chunks""")
 def database_overview(spark, sf):
-    return R.database_info(_engine(spark, sf), "anything")
+    # an unknown question means the overview
+    return R.database_info(_engine(spark, sf), "anything", exact=True)
 
 
 _DAY = Q.CHUNKS + f""",

@@ -8,7 +8,7 @@ from newsloom import constants as C
 from newsloom.catalog import query, sql as Q
 from newsloom.functions.providers import embed_text
 from newsloom.operators import filters, recency
-from newsloom.operators.hybrid import hybrid_search
+from newsloom.operators.hybrid import Query, hybrid_search, indexed_hits
 from newsloom.operators.lexical import PostingTable, keyword_search, postings
 from newsloom.operators.ranking import best_per_article, first_n
 from newsloom.operators.vector import vector_search
@@ -194,7 +194,7 @@ def posting_table(spark, sf) -> PostingTable:
     key = (spark.sparkContext.applicationId, sf)
     if key not in _POSTINGS:
         table = PostingTable(scratch_path(spark, "postings"), 16)
-        _POSTINGS[key] = table.build(_doc_rows(spark, sf), ["content"], spread=2)
+        _POSTINGS[key] = table.build(_doc_rows(spark, sf), ["content"])
     return _POSTINGS[key]
 
 
@@ -242,6 +242,23 @@ def search_hybrid(spark, sf):
     return _scored(hybrid_search(X.corpus(spark, sf), TEXT, VECTOR, 10), "chunk_id", "article_id")
 
 
+_INDEXES: dict[tuple[str, str], PostingTable] = {}
+
+
+def corpus_index(spark, sf) -> PostingTable:
+    """Posting table of the chunk table's four text fields."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXES:
+        _INDEXES[key] = PostingTable(scratch_path(spark, "index"), 16).build(X.corpus(spark, sf))
+    return _INDEXES[key]
+
+
+@query("hybrid_indexed", f"WITH {_BASE}{Q.hybrid(TEXT, 10, C.API_WEIGHTS)} {_top(10)}")
+def hybrid_indexed(spark, sf):
+    hits = indexed_hits(X.corpus(spark, sf), corpus_index(spark, sf), [Query(TEXT, VECTOR)], 10)
+    return _scored(hits, "chunk_id", "article_id")
+
+
 @query("hybrid_search_filtered", f"""
 WITH {_BASE}{Q.hybrid(TEXT, 20, C.API_WEIGHTS, where="AND c.category = 'src7' AND c.is_exclusive", pad=True)} {_top(10)}""")
 def hybrid_search_filtered(spark, sf):

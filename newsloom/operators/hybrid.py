@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from newsloom import constants as C
 from newsloom.operators import filters
-from newsloom.operators.lexical import TextScorer
+from newsloom.operators.lexical import PostingTable, TextScorer
 from newsloom.operators.ranking import first_n
 from newsloom.operators.vector import row_keys, similarity, with_rows
 
@@ -89,6 +89,36 @@ def hybrid_hits(
     return first_n(rows, ["name"], order, k)
 
 
+def indexed_hits(
+    chunks: DataFrame,
+    index: PostingTable,
+    queries: Sequence[Query],
+    k: int = 5,
+    weights: tuple[float, float] = C.API_WEIGHTS,
+) -> DataFrame:
+    """:func:`hybrid_hits` without a filter, from a posting table.
+
+    Reads the vectors and the postings of the asked terms, no chunk text.  The
+    two score lists are added up by key, which is a full outer join on it.
+    """
+    vector_weight, text_weight = weights
+    spark = chunks.sparkSession
+    vectors = chunks.filter(F.col("content_vector").isNotNull())
+    near = vectors.select("article_id", "chunk_id", F.posexplode(_similarities(queries)).alias("query_id", "near"))
+    order = [F.col("near").desc(), F.col("chunk_id").asc()]
+    near = near.orderBy(*order).limit(k) if len(queries) == 1 else first_n(near, ["query_id"], order, k)
+    asked = spark.createDataFrame([(i, q.text) for i, q in enumerate(queries)], "query_id int, text string")
+    keys = ["query_id", "article_id", "chunk_id"]
+    both = near.select(*keys, (F.col("near") * vector_weight).alias("part")).unionByName(
+        index.scores(asked).select(*keys, (F.col("score") * text_weight).alias("part"))
+    )
+    rows = both.groupBy(*keys).agg(F.sum("part").alias("score"))
+    top = [F.col("score").desc(), F.col("chunk_id").asc()]
+    rows = rows.orderBy(*top).limit(k) if len(queries) == 1 else first_n(rows, ["query_id"], top, k)
+    name = F.get(F.array(*[F.lit(q.name) for q in queries]), F.col("query_id"))
+    return rows.select("chunk_id", "article_id", name.alias("name"), "score")
+
+
 def hybrid_search(
     chunks: DataFrame,
     text: str,

@@ -151,9 +151,9 @@ def postings(chunks: DataFrame, fields: Sequence[str]) -> DataFrame:
 class PostingTable:
     """Postings stored by term bucket, plus one row of statistics per field.
 
-    A query reads only the buckets its terms fall into.  Inside a bucket the
-    rows are spread over files by chunk, so the postings of a very common term
-    are written and read by many tasks.
+    A query reads only the buckets its terms fall into, and inside them, since
+    the rows are sorted by term, only the row groups that can hold them.  The
+    rebalanced write splits a bucket with a very common term over many files.
     """
 
     path: str
@@ -163,11 +163,10 @@ class PostingTable:
     def bucket_of(term: Column, buckets: int) -> Column:
         return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
-    def build(self, chunks: DataFrame, fields: Sequence[str] = tuple(C.FIELD_BOOSTS), spread: int = 8) -> "PostingTable":
+    def build(self, chunks: DataFrame, fields: Sequence[str] = tuple(C.FIELD_BOOSTS)) -> "PostingTable":
         rows = postings(chunks, fields).withColumn("bucket", self.bucket_of(F.col("term"), self.buckets))
-        salt = F.pmod(F.xxhash64("chunk_id"), F.lit(spread))
         (
-            rows.repartition("bucket", salt)
+            rows.hint("rebalance", F.col("bucket"))
             .sortWithinPartitions("bucket", "term")
             .write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
         )
@@ -185,7 +184,12 @@ class PostingTable:
         return spark.read.parquet(f"{self.path}/postings")
 
     def search(self, queries: DataFrame, k: int, boosts: Mapping[str, float] = C.FIELD_BOOSTS) -> DataFrame:
-        """Top ``k`` chunks of each row of ``queries(query_id, text)``.
+        """Top ``k`` chunks of each row of ``queries(query_id, text)``."""
+        order = [F.col("score").desc(), F.col("chunk_id").asc()]
+        return first_n(self.scores(queries, boosts), ["query_id"], order, k, "rank")
+
+    def scores(self, queries: DataFrame, boosts: Mapping[str, float] = C.FIELD_BOOSTS) -> DataFrame:
+        """``(query_id, article_id, chunk_id, score)`` of every matching chunk.
 
         Terms meet postings in an equi-join; adaptive execution broadcasts the
         term side when it is small and splits a hot term's partition when not.
@@ -209,8 +213,7 @@ class PostingTable:
         part = F.col("weight") * saturation(F.col("tf").cast("double"), F.col("len").cast("double"), F.col("mean_len"))
         per_field = [F.sum(F.when(F.col("field") == f, part)) for f in boosts]
         score = F.greatest(*per_field) if len(per_field) > 1 else per_field[0]
-        best = (
+        return (
             self.postings(spark).join(weights, ["bucket", "term", "field"])
             .groupBy("query_id", "article_id", "chunk_id").agg(score.alias("score"))
         )
-        return first_n(best, ["query_id"], [F.col("score").desc(), F.col("chunk_id").asc()], k, "rank")

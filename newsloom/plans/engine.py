@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, functions as F
 from newsloom import constants as C
 from newsloom.functions import providers, render
 from newsloom.operators import recency
-from newsloom.operators.hybrid import Query, hybrid_hits
-from newsloom.operators.lexical import query_terms
+from newsloom.operators.hybrid import Query, hybrid_hits, indexed_hits
+from newsloom.operators.lexical import PostingTable, query_terms
 from newsloom.operators.ranking import best_per_article
 from newsloom.operators.vector import vector_search, with_rows
 
@@ -77,9 +77,11 @@ class Engine:
         asof: str,
         embedder: providers.Embedder | None = None,
         generate: Callable[[str], str] | None = None,
+        index: PostingTable | None = None,
     ) -> None:
         self.chunks, self.asof, self.generate = chunks, asof, generate
         self.embedder = embedder or providers.WordHistogram()
+        self.index = index
 
     def embed(self, text: str) -> list[float]:
         return providers.embed_text(text, self.embedder)
@@ -100,11 +102,16 @@ class Engine:
         """Best chunk per article among the ``2k`` best hybrid chunks."""
         if not text.strip():
             return self._none()
-        hits = hybrid_hits(
-            self.chunks, [Query(text, self.embed(text))], 2 * k, C.TOOL_WEIGHTS, category, exclusive_only
-        )
+        asked = [Query(text, self.embed(text))]
+        hits = self._hits(asked, 2 * k, category, exclusive_only)
         return with_rows(best_per_article(hits.drop("name"), k), self.chunks, ROW_COLUMNS)
 
+    def _hits(self, asked: list[Query], k: int, category: str | None = None, exclusive_only: bool = False) -> DataFrame:
+        """Hybrid hits, from the posting table when there is one and no filter."""
+        if self.index is not None and not category and not exclusive_only:
+            return indexed_hits(self.chunks, self.index, asked, k, C.TOOL_WEIGHTS)
+        return hybrid_hits(self.chunks, asked, k, C.TOOL_WEIGHTS, category, exclusive_only)
+
     def recent(self, hours: int, k: int, category: str | None = None, exclusive_only: bool = False) -> DataFrame:
         """Newest articles of the window; an empty window falls back to the
         latest articles, which ignore the exclusive filter."""
@@ -157,7 +164,7 @@ class Engine:
     def batch(self, queries: Sequence[tuple[str, str]], k: int, per_query: int) -> DataFrame:
         """Hybrid search of several named texts in one pass, best chunk per article."""
         asked = [Query(text, self.embed(text), name) for name, text in queries]
-        hits = hybrid_hits(self.chunks, asked, k, C.TOOL_WEIGHTS)
+        hits = self._hits(asked, k)
         if len(asked) == 1:
             return best_per_article(hits, per_query, rank="rank")
         return best_per_article(hits, per_query, ["name"], rank="rank")

@@ -56,7 +56,8 @@ class Indexer:
         # chunks are needed twice (table and log): compute them once
         chunks.write.parquet(staged)
         chunks = self.spark.read.parquet(staged)
-        self.table.upsert(chunks.drop("path"))
+        # files in path order: of two files with one URL the later one wins
+        self.table.upsert(chunks, order="path")
         done = chunks.groupBy("path").agg(F.min("article_id").alias("article_id"), F.count("*").alias("chunks"))
         results = checked.select("path", "problem").join(done, "path", "left").select(
             "path",

@@ -235,12 +235,17 @@ def research_report(
 
 # --- corpus information ------------------------------------------------------------------------
 
-def database_info(engine: Engine, query_type: str = "stats", category: str | None = None, limit: int = 5) -> DataFrame:
-    """``stats``, ``latest`` or ``categories``; anything else means ``stats``."""
+def database_info(
+    engine: Engine, query_type: str = "stats", category: str | None = None, limit: int = 5, exact: bool = False
+) -> DataFrame:
+    """``stats``, ``latest`` or ``categories``; anything else means ``stats``.
+
+    The article count is a sketch unless ``exact``.
+    """
     limit = C.clamp("database_limit", limit)
     if query_type == "latest":
         return _latest_report(engine, category, limit)
-    stats = recency.database_stats(engine.chunks)
+    stats = recency.database_stats(engine.chunks, exact)
     line = lambda c: F.concat(F.lit("  "), c["category"], F.lit(": "), c["doc_count"].cast("string"), F.lit(" 条记录"))
     shares = F.array_join(F.transform("categories", line), "\n")
     articles = F.col("total_articles").cast("string")

@@ -18,12 +18,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from newsloom import schemas as S
+from newsloom.operators.ranking import first_n
 
 
 class ChunkTable:
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 64, schema: StructType = S.CHUNK, spread: int = 4):
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64, schema: StructType = S.CHUNK):
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
-        self.schema, self.spread = schema, spread
+        self.schema = schema
 
     # --- snapshots --------------------------------------------------------------
     def _fs(self, name: str):
@@ -133,11 +134,10 @@ class ChunkTable:
 
     def _replace(self, snapshot: dict, rows: DataFrame, touched: list[int]) -> None:
         commit = uuid.uuid4().hex
-        # salted by chunk so that one article with very many chunks is written
-        # by several tasks
-        salt = F.pmod(F.xxhash64("chunk_id"), F.lit(self.spread))
         target = f"{self.root}/rows/commit={commit}"
-        rows.repartition("bucket", salt).write.partitionBy("bucket").parquet(target)
+        # "rebalance" sizes the write tasks at run time: small buckets share
+        # one, and a bucket with very many rows is split over several
+        rows.hint("rebalance", F.col("bucket")).write.partitionBy("bucket").parquet(target)
         fs, path = self._fs(f"rows/commit={commit}")
         written = {
             status.getPath().getName().split("=")[1]
@@ -151,9 +151,11 @@ class ChunkTable:
         """Buckets of a change: at most ``buckets`` numbers."""
         return [r[0] for r in rows.select("bucket").distinct().collect()]
 
-    def upsert(self, rows: DataFrame, mode: str = "chunk") -> dict:
+    def upsert(self, rows: DataFrame, mode: str = "chunk", order: str | None = None) -> dict:
         """Add rows, the last write of a ``chunk_id`` winning.
 
+        Of rows that repeat a ``chunk_id`` within one call the one with the
+        largest ``order`` value stays; without an order they must be unique.
         ``mode="chunk"`` leaves higher-numbered chunks of an article that got
         shorter in place; ``mode="article"`` replaces whole articles.
         """
@@ -163,22 +165,25 @@ class ChunkTable:
             self.create()
         snapshot = self._snapshot()
         stored = StructType.fromJson(snapshot["schema"]).fieldNames()
-        fresh = self._bucketed(rows.select(*[
+        kept = [] if order is None else [F.col(order).alias("_order")]
+        fresh = self._bucketed(rows.select(*kept, *[
             F.col(c) if c in rows.columns else F.lit(None).cast(self.schema[c].dataType).alias(c) for c in stored
         ]))
         # the change is read three times below: fix it in a file first
         staged = f"{self.root}/staged/{uuid.uuid4().hex}"
         fresh.write.parquet(staged)
         fresh = self.spark.read.parquet(staged)
+        if order is not None:
+            fresh = first_n(fresh, ["bucket", "chunk_id"], [F.col("_order").desc()], 1).drop("_order")
         touched = self._touched(fresh)
         if not touched:
             return {"written": 0, "buckets": 0}
         key = "chunk_id" if mode == "chunk" else "article_id"
         old = self._read(snapshot, touched)
         keys = fresh.select("bucket", key).distinct()
-        merged = old.join(keys, ["bucket", key], "left_anti").unionByName(fresh.dropDuplicates(["bucket", "chunk_id"]))
+        merged = old.join(keys, ["bucket", key], "left_anti").unionByName(fresh)
         self._replace(snapshot, merged, touched)
-        return {"written": fresh.count(), "buckets": len(touched)}
+        return {"written": self.spark.read.parquet(staged).select("chunk_id").distinct().count(), "buckets": len(touched)}
 
     def delete_article(self, article_id: str) -> int:
         """Remove an article's chunks; returns how many there were."""
