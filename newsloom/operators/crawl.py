@@ -127,7 +127,7 @@ def missing_days(days: DataFrame, today: str, max_days: int = C.BACKFILL_DAYS) -
     """
     end = F.lit(today).cast("date")
     present = days.select("day").filter(F.col("day").isNotNull()).distinct()
-    start = F.greatest(F.min("day"), F.date_sub(end, max_days))
+    start = F.when(F.min("day").isNotNull(), F.greatest(F.min("day"), F.date_sub(end, max_days)))
     bounds = present.agg(start.alias("start"))
     calendar = bounds.filter(F.col("start").isNotNull()).select(
         F.explode(F.sequence("start", end, F.expr("INTERVAL 1 DAY"))).alias("day")

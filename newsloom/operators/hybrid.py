@@ -132,4 +132,5 @@ def hybrid_search(
 ) -> DataFrame:
     """Top ``k`` chunk rows of one query, best first."""
     hits = hybrid_hits(chunks, [Query(text, vector)], k, weights, category, exclusive_only, pad_filtered)
-    return with_rows(hits.drop("name"), chunks, columns).orderBy(F.col("score").desc(), F.col("chunk_id").asc())
+    rows = with_rows(hits.drop("name"), chunks, columns)
+    return rows.orderBy(F.col("score").desc(), F.col("chunk_id").asc()).limit(k)

@@ -73,12 +73,15 @@ def url_changes(rows: DataFrame, key: str) -> DataFrame:
     )
 
 
-def url_change_stats(rows: DataFrame, applied: Column | None = None) -> DataFrame:
+def url_change_stats(rows: DataFrame, applied: Column | None = None, broken: Column | None = None) -> DataFrame:
     """Counts of a URL rewrite; rows without a URL count only in the total."""
     changed = F.coalesce(F.col("url") != normalize_url(F.col("url")), F.lit(False))
     applied = F.lit(False) if applied is None else applied
-    return rows.agg(
+    counts = [
         F.count("*").alias("total"),
         F.count_if(changed).alias("needs_update"),
         F.count_if(changed & applied).alias("updated"),
-    )
+    ]
+    if broken is not None:
+        counts.append(F.count_if(broken).alias("errors"))
+    return rows.agg(*counts)

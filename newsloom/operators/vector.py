@@ -49,7 +49,8 @@ def with_rows(hits: DataFrame, chunks: DataFrame, columns: Sequence[str]) -> Dat
     if not missing:
         return hits
     rows = chunks.select(*keys, *[c for c in missing if c not in keys])
-    return rows.join(F.broadcast(hits), keys)
+    # every score passes; Spark prunes partitions only for a side with a filter
+    return rows.join(F.broadcast(hits.filter(F.col("score") >= -1.0)), keys)
 
 
 def vector_search(
@@ -75,4 +76,4 @@ def vector_search(
         hits = hits.orderBy(F.col("score").desc(), F.col("chunk_id").asc()).limit(k)
     if min_score > 0:
         hits = hits.filter(F.col("score") >= min_score)
-    return with_rows(hits, chunks, columns).orderBy(F.col("score").desc(), F.col("chunk_id").asc())
+    return with_rows(hits, chunks, columns).orderBy(F.col("score").desc(), F.col("chunk_id").asc()).limit(k)

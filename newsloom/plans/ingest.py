@@ -102,8 +102,7 @@ def rewrite_urls(spark: SparkSession, source: str, target: str, apply: bool = Fa
     if apply:
         cleaned = files.filter(F.col("read_error").isNull()).withColumn("url", normalize_url(F.col("url")))
         cleaned.drop("path", "read_error").write.mode("errorifexists").json(target)
-    stats = ledger.url_change_stats(files.filter(F.col("read_error").isNull()), F.lit(apply))
-    return stats.withColumn("errors", files.agg(F.count("read_error")).scalar())
+    return ledger.url_change_stats(files, F.lit(apply), F.col("read_error").isNotNull())
 
 
 def write_articles(articles: DataFrame, target: str) -> None:
