@@ -108,10 +108,11 @@ def lead(col: Column, count: int) -> Column:
     ))
 
 
-def tokens(col: Column) -> Column:
-    """Lower-cased words without stop words; null text has no tokens."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(col, F.lit(""))), F.lit(WORD), 0)
-    return F.filter(words, lambda w: ~w.isin(C.STOP_WORDS))
+def tokens(column: str) -> Column:
+    """Lower-cased words of a column without stop words; null text has none."""
+    stop = ", ".join(f"'{w}'" for w in C.STOP_WORDS)
+    words = f"regexp_extract_all(lower(coalesce({column}, '')), r'{WORD}', 0)"
+    return F.expr(f"filter({words}, w -> w NOT IN ({stop}))")
 
 
 def stream_slices(col: Column, size: int = C.STREAM_SLICE_CHARS) -> Column:

@@ -11,7 +11,7 @@ from newsloom import constants as C
 from newsloom.operators import filters
 from newsloom.operators.lexical import PostingTable, TextScorer
 from newsloom.operators.ranking import first_n
-from newsloom.operators.vector import row_keys, similarity, with_rows
+from newsloom.operators.vector import row_keys, similarities, with_rows
 
 
 @dataclass(frozen=True)
@@ -42,7 +42,7 @@ def _vector_cutoffs(chunks: DataFrame, queries: Sequence[Query], fetch: int):
 
 
 def _similarities(queries: Sequence[Query]):
-    return F.array(*[similarity("content_vector", q.vector) for q in queries])
+    return similarities("content_vector", [q.vector for q in queries])
 
 
 def hybrid_hits(
@@ -69,7 +69,9 @@ def hybrid_hits(
     scored = filters.apply(scored, condition)
     # one row per query from here on: its number, vector score and text score
     texts = F.array(*[F.col(f"text_{i}") for i in range(len(queries))])
-    pairs = F.arrays_zip(_similarities(queries).alias("near"), texts.alias("text"))
+    nothing = F.array_repeat(F.lit(None).cast("double"), len(queries))
+    near = F.coalesce(_similarities(queries), nothing)
+    pairs = F.arrays_zip(near.alias("near"), texts.alias("text"))
     ids = list(dict.fromkeys([*keys, "article_id"]))
     rows = scored.select(*ids, F.posexplode(pairs).alias("q", "pair")).select(
         *ids, "q", F.col("pair.near").alias("near"), F.col("pair.text").alias("text")

@@ -49,12 +49,12 @@ class TextScorer:
             return
         asked = "array(" + ", ".join(f"'{t}'" for t in self.terms) + ")"
         keep = chunks.columns
-        words = {f"_words_{f}": tokens(F.col(f)) for f in self.boosts}
+        words = {f"_words_{f}": tokens(f) for f in self.boosts}
         rows = computed_once(chunks, keep, **words)
         found = {}
         for f in self.boosts:
             found[f"_len_{f}"] = F.size(f"_words_{f}")
-            found[f"_hit_{f}"] = F.filter(f"_words_{f}", lambda w: w.isin(self.terms))
+            found[f"_hit_{f}"] = F.expr(f"filter(_words_{f}, w -> array_contains({asked}, w))")
         rows = computed_once(rows, keep, **found)
         self.rows = rows.selectExpr(
             *keep,
@@ -196,7 +196,7 @@ class PostingTable:
         """
         spark = queries.sparkSession
         asked = (
-            queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term"))
+            queries.select("query_id", F.explode(tokens("text")).alias("term"))
             .groupBy("query_id", "term").agg(F.count("*").cast("double").alias("weight"))
             .withColumn("bucket", self.bucket_of(F.col("term"), self.buckets))
         )

@@ -4,22 +4,46 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from newsloom.operators import filters
 
 
-def similarity(vector: str, query: Sequence[float]) -> Column:
-    """``(1 + cosine) / 2`` in double precision; zero vectors score 0.5, null stays null.
+def similarities(vector: str, queries: Sequence[Sequence[float]]) -> Column:
+    """``array<double>`` of ``(1 + cosine) / 2`` to each query.
 
-    The sums run in array order, so a row scores the same in every plan.
+    Zero vectors score 0.5; a missing vector or one of another length is null.
+    Each row is summed on its own in double precision, so it scores the same in
+    every batch and every plan.  Numpy over Arrow batches, as Spark's array
+    lambdas box every single element.
     """
-    probe = "array(" + ", ".join(f"{float(v)!r}D" for v in query) + ")"
-    length = sum(float(v) * float(v) for v in query) ** 0.5
-    dot = f"aggregate(zip_with({vector}, {probe}, (a, b) -> CAST(a AS DOUBLE) * b), 0D, (s, x) -> s + x)"
-    square = f"aggregate({vector}, 0D, (s, a) -> s + CAST(a AS DOUBLE) * CAST(a AS DOUBLE))"
-    cosine = f"coalesce({dot} / nullif(sqrt({square}) * {length!r}D, 0D), 0D)"
-    return F.expr(f"if({vector} IS NULL, NULL, ({cosine} + 1D) / 2D)")
+    probes = np.asarray(queries, dtype=np.float64)
+    lengths = np.sqrt((probes * probes).sum(axis=1))
+
+    @F.arrow_udf("array<double>")
+    def score(vectors: pa.Array) -> pa.Array:
+        count, dim = probes.shape
+        fits = pc.fill_null(pc.equal(pc.list_value_length(vectors), dim), False)
+        rows = vectors.filter(fits).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+        own = np.sqrt((rows * rows).sum(axis=1))
+        cosines = np.zeros((len(rows), count))
+        for i in range(count):
+            size = own * lengths[i]
+            np.divide((rows * probes[i]).sum(axis=1), size, out=cosines[:, i], where=size > 0)
+        usable = fits.to_numpy(zero_copy_only=False)
+        offsets = np.concatenate([[0], np.cumsum(usable * count)]).astype(np.int32)
+        values = pa.array(((cosines + 1.0) / 2.0).ravel())
+        return pa.ListArray.from_arrays(pa.array(offsets), values, mask=pa.array(~usable))
+
+    return score(F.col(vector))
+
+
+def similarity(vector: str, query: Sequence[float]) -> Column:
+    """Score of one query."""
+    return F.get(similarities(vector, [query]), 0)
 
 
 def row_keys(chunks: DataFrame) -> list[str]:
@@ -31,8 +55,7 @@ def nearest(chunks: DataFrame, query: Sequence[float], k: int, keep: Sequence[st
     """Keys and scores of the ``k`` nearest chunks; reads no text."""
     keys = row_keys(chunks)
     return (
-        chunks.select(*dict.fromkeys([*keys, *keep]), similarity("content_vector", query).alias("score"))
-        .filter(F.col("score").isNotNull())
+        chunks.select(*dict.fromkeys([*keys, *keep]), F.explode(similarities("content_vector", [query])).alias("score"))
         .orderBy(F.col("score").desc(), F.col("chunk_id").asc())
         .limit(k)
     )
