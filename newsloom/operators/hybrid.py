@@ -134,5 +134,5 @@ def hybrid_search(
 ) -> DataFrame:
     """Top ``k`` chunk rows of one query, best first."""
     hits = hybrid_hits(chunks, [Query(text, vector)], k, weights, category, exclusive_only, pad_filtered)
-    rows = with_rows(hits.drop("name"), chunks, columns)
+    rows = with_rows(hits.drop("name"), chunks, columns, k)
     return rows.orderBy(F.col("score").desc(), F.col("chunk_id").asc()).limit(k)

@@ -61,11 +61,14 @@ def nearest(chunks: DataFrame, query: Sequence[float], k: int, keep: Sequence[st
     )
 
 
-def with_rows(hits: DataFrame, chunks: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Add display columns to hits.
+BROADCAST_HITS = 10_000
 
-    ``hits`` comes out of a limit, which bounds it whatever the corpus size, so
-    it is broadcast; on a bucketed chunk table the bucket prunes the scan.
+
+def with_rows(hits: DataFrame, chunks: DataFrame, columns: Sequence[str], bound: int) -> DataFrame:
+    """Add display columns to at most ``bound`` hits.
+
+    Few hits are broadcast, which lets a bucketed chunk table prune its scan;
+    beyond :data:`BROADCAST_HITS` Spark chooses the join from measured sizes.
     """
     keys = row_keys(chunks)
     missing = [c for c in columns if c not in hits.columns]
@@ -73,7 +76,8 @@ def with_rows(hits: DataFrame, chunks: DataFrame, columns: Sequence[str]) -> Dat
         return hits
     rows = chunks.select(*keys, *[c for c in missing if c not in keys])
     # every score passes; Spark prunes partitions only for a side with a filter
-    return rows.join(F.broadcast(hits.filter(F.col("score") >= -1.0)), keys)
+    hits = hits.filter(F.col("score") >= -1.0)
+    return rows.join(F.broadcast(hits) if bound <= BROADCAST_HITS else hits, keys)
 
 
 def vector_search(
@@ -99,4 +103,4 @@ def vector_search(
         hits = hits.orderBy(F.col("score").desc(), F.col("chunk_id").asc()).limit(k)
     if min_score > 0:
         hits = hits.filter(F.col("score") >= min_score)
-    return with_rows(hits, chunks, columns).orderBy(F.col("score").desc(), F.col("chunk_id").asc()).limit(k)
+    return with_rows(hits, chunks, columns, k).orderBy(F.col("score").desc(), F.col("chunk_id").asc()).limit(k)

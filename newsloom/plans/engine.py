@@ -96,7 +96,7 @@ class Engine:
         if not text.strip():
             return self._none()
         hits = vector_search(self.chunks, self.embed(text), 2 * k, 0.0, category, exclusive_only)
-        return with_rows(best_per_article(hits, k), self.chunks, ROW_COLUMNS)
+        return with_rows(best_per_article(hits, k), self.chunks, ROW_COLUMNS, k)
 
     def hybrid(self, text: str, k: int, category: str | None = None, exclusive_only: bool = False) -> DataFrame:
         """Best chunk per article among the ``2k`` best hybrid chunks."""
@@ -104,7 +104,7 @@ class Engine:
             return self._none()
         asked = [Query(text, self.embed(text))]
         hits = self._hits(asked, 2 * k, category, exclusive_only)
-        return with_rows(best_per_article(hits.drop("name"), k), self.chunks, ROW_COLUMNS)
+        return with_rows(best_per_article(hits.drop("name"), k), self.chunks, ROW_COLUMNS, k)
 
     def _hits(self, asked: list[Query], k: int, category: str | None = None, exclusive_only: bool = False) -> DataFrame:
         """Hybrid hits, from the posting table when there is one and no filter."""

@@ -133,7 +133,7 @@ def compare_topics(engine: Engine, topics: Sequence[str], max_per_topic: int = 3
     names = list(dict.fromkeys(t.strip() for t in topics if t.strip()))
     limit = C.clamp("compare_per_topic", max_per_topic)
     hits = engine.batch([(t, t) for t in names], 2 * limit, limit)
-    rows = with_rows(hits, engine.chunks, ROW_COLUMNS)
+    rows = with_rows(hits, engine.chunks, ROW_COLUMNS, limit * len(names))
     return rows.select(
         F.col("name").alias("topic"), "rank", "article_id", "score",
         _filled(F.col("title"), "N/A").alias("title"),
@@ -204,7 +204,7 @@ def research_articles(
     per_angle = max(2, limit // len(angles) + 1)
     hits = engine.batch(angles, 2 * per_angle, per_angle)
     merged = best_per_article(hits.drop("rank"), limit, rank="no")
-    return with_rows(merged, engine.chunks, ROW_COLUMNS)
+    return with_rows(merged, engine.chunks, ROW_COLUMNS, limit)
 
 
 def research_report(

@@ -13,6 +13,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # cut "first n of each key" before the shuffle for any n in use here
+    "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
     # merge one user's sessions inside each map task before the shuffle, so a
     # user with a third of all events does not ship every event to one reducer
     "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
