@@ -4,6 +4,7 @@
                                    [--dry-run] [--clear-failed] [--stats] [--force] [--asof T]
     python -m newsloom.cli stream  --root DIR --articles DIR [--batch-files N] [--asof T]
     python -m newsloom.cli extract --pages PARQUET --out DIR --day D
+    python -m newsloom.cli links   --pages PARQUET --out DIR [--origin URL] [--any-link]
     python -m newsloom.cli backfill --articles DIR --today D [--max-days N] [--origin URL]
     python -m newsloom.cli clean-urls --articles DIR --out DIR [--apply]
     python -m newsloom.cli tool    --root DIR --asof T NAME [key=value ...]
@@ -21,6 +22,7 @@ from pyspark.sql import SparkSession, functions as F
 from newsloom import constants as C
 from newsloom.config import Settings
 from newsloom.functions import urls
+from newsloom.functions.providers import WordHistogram
 from newsloom.operators import crawl
 from newsloom.plans.api import Api
 from newsloom.plans.engine import Engine
@@ -57,6 +59,12 @@ def _parser() -> argparse.ArgumentParser:
     extract.add_argument("--out", required=True)
     extract.add_argument("--day", required=True)
 
+    links = commands.add_parser("links")
+    links.add_argument("--pages", required=True)
+    links.add_argument("--out", required=True)
+    links.add_argument("--origin", default="")
+    links.add_argument("--any-link", action="store_true", help="not only links in <h3>")
+
     backfill = commands.add_parser("backfill")
     backfill.add_argument("--articles", required=True)
     backfill.add_argument("--today", default=now[:10])
@@ -85,7 +93,10 @@ def _parser() -> argparse.ArgumentParser:
 
 def _indexer(spark: SparkSession, root: str, settings: Settings) -> Indexer:
     table = ChunkTable(spark, f"{root}/chunks", settings.table_buckets)
-    return Indexer(spark, table, FileLog(spark, f"{root}/log"), settings.default_source)
+    return Indexer(
+        spark, table, FileLog(spark, f"{root}/log"), settings.default_source, WordHistogram(settings.vector_dim),
+        chunk_tokens=settings.chunk_tokens, overlap_tokens=settings.overlap_tokens,
+    )
 
 
 def _index(spark: SparkSession, args, settings: Settings) -> int:
@@ -131,6 +142,9 @@ def run(spark: SparkSession, argv: list[str]) -> int:
     elif args.command == "extract":
         rows = crawl.extract_articles(spark.read.parquet(args.pages))
         write_articles(rows.drop("page_id").withColumn("day", F.lit(args.day)), args.out)
+    elif args.command == "links":
+        found = crawl.page_links(spark.read.parquet(args.pages), None if args.any_link else "h3", args.origin)
+        crawl.article_links(found, settings.site_domain).write.mode("errorifexists").parquet(args.out)
     elif args.command == "backfill":
         files = A.read_article_files(spark, args.articles)
         day = F.regexp_extract("path", r"/(?:day=)?(\d{4}-\d{2}-\d{2})/[^/]+$", 1)
@@ -140,7 +154,7 @@ def run(spark: SparkSession, argv: list[str]) -> int:
         rewrite_urls(spark, args.articles, args.out, args.apply).show()
     else:
         table = ChunkTable(spark, f"{args.root}/chunks", settings.table_buckets)
-        engine = Engine(table.read(), args.asof)
+        engine = Engine(table.read(), args.asof, WordHistogram(settings.vector_dim))
         if args.command == "tool":
             arguments = {k: _value(v) for k, v in (pair.split("=", 1) for pair in args.arguments)}
             print(engine.tool(args.name, **arguments).first()["report"])

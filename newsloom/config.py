@@ -17,11 +17,7 @@ class Settings:
     chunk_tokens: int = C.CHUNK_TOKENS
     overlap_tokens: int = C.OVERLAP_TOKENS
     vector_dim: int = 64
-    provider_attempts: int = 3
-    provider_delay_seconds: float = 1.0
     table_buckets: int = 64
-    posting_buckets: int = 64
-    query_block: int = 64
 
     @classmethod
     def from_env(cls, env: dict[str, str] | None = None) -> "Settings":

@@ -29,8 +29,11 @@ class Indexer:
         default_source: str = "news",
         embedder: providers.Embedder | None = None,
         summarizer: providers.Summarizer | None = providers.LeadSentences(),
+        chunk_tokens: int | None = None,
+        overlap_tokens: int | None = None,
     ) -> None:
         self.spark, self.table, self.log = spark, table, log
+        self.chunk_tokens, self.overlap_tokens = chunk_tokens, overlap_tokens
         self.default_source, self.embedder, self.summarizer = default_source, embedder, summarizer
 
     def pending(self, directory: str, include_failed: bool = False) -> DataFrame:
@@ -51,7 +54,7 @@ class Indexer:
         checked = A.check_records(files)
         good = A.to_articles(checked, self.default_source, keep=["path"])
         chunks = enrich.process_articles(
-            good, F.lit(asof), self.embedder, self.summarizer, keep=["path"]
+            good, F.lit(asof), self.embedder, self.summarizer, self.chunk_tokens, self.overlap_tokens, keep=["path"]
         )
         # chunks are needed twice (table and log): compute them once
         chunks.write.parquet(staged)

@@ -1,7 +1,5 @@
 import json
 
-from pyspark.sql import functions as F
-
 from newsloom.cli import run
 
 NOW = "2026-01-24 00:00:00"
@@ -39,3 +37,11 @@ def test_extract_writes_article_files(spark, tmp_path):
     assert run(spark, ["extract", "--pages", f"{tmp_path}/pages", "--out", f"{tmp_path}/out", "--day", "2026-01-24"]) == 0
     row = spark.read.json(f"{tmp_path}/out").first()
     assert row["title"] == "Head" and row["url"] == "https://e.com/tech/x" and row["category"] == "tech"
+
+
+def test_links(spark, tmp_path):
+    html = '<h3><a href="/tech/one?x=1">EXCLUSIVE A long enough title</a></h3><h3><a href="/tech/one">Same page once more</a></h3>'
+    spark.createDataFrame([(1, "https://example.com/", html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages")
+    assert run(spark, ["links", "--pages", f"{tmp_path}/pages", "--out", f"{tmp_path}/links", "--origin", "https://example.com"]) == 0
+    row = spark.read.parquet(f"{tmp_path}/links").collect()
+    assert [(r["title"], r["priority"], r["clean_url"]) for r in row] == [("A long enough title", 0, "https://example.com/tech/one")]
