@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from newsloom.llm import exact_dedup
+from newsloom.llm import exact_dedup, packing, simhash
 
 QUERIES = {
+    "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 
 SQL = {
