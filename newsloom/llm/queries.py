@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from newsloom.llm import exact_dedup, packing, simhash
+from newsloom.llm import exact_dedup, packing, simhash, toxicity
 
 QUERIES = {
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
