@@ -16,6 +16,7 @@ the pieces of its length, and ranks come from counts by task.
 from __future__ import annotations
 
 import os
+import re
 from bisect import bisect_right
 
 import numpy as np
@@ -28,7 +29,10 @@ from newsloom.llm.base import map_arrow, small_batches, table, utf8, written
 TOKENIZER = "word_bpe_49k.json"
 MAX_TOKENS = 2048
 END_OF_TEXT = 0
-WORD_CACHE = 400_000        # words whose ids a worker remembers
+WORD_CACHE = 400_000        # words of one generation whose ids a worker remembers; there are two
+#: Words the vocabulary's pattern cuts into runs of letters, single digits and runs of signs (no apostrophes).
+PART = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+PLAIN = re.compile(rb"(?:[!-&(-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 
 GROUPS = 48                 # length classes of the linear program
 ROUNDS = 1500               # of multiplicative weights
@@ -44,29 +48,76 @@ class WordTokens:
     The vocabulary's pattern never joins characters across white space, so the
     ids of a text are the ids of its white-space separated words in order.  Words
     repeat a lot; their packed ids are remembered up to ``WORD_CACHE`` words.
+    Words of plain letters, digits and signs are cut further where the pattern
+    cuts them, and many such parts are encoded in one call: each ends with one
+    id that carries the vocabulary's word end.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def packed(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of UTF-8 texts."""
-        split = [t.split() for t in texts]
+        # the vocabulary lower-cases as well, but looks for its special tokens before that
+        lowered = [t.lower() for t in texts]
+        special = {k for k, t in enumerate(lowered) if b"<|" in t and any(s in t for s in self.special)}
+        split = [[] if k in special else t.split() for k, t in enumerate(lowered)]
         missing = {w for words in split for w in words if w not in self.known}
-        if missing:
-            if len(self.known) + len(missing) > WORD_CACHE:
-                self.known.clear()
-                missing = {w for words in split for w in words}
-            new = list(missing)
-            for at in range(0, len(new), 20_000):
-                part = new[at:at + 20_000]
-                made = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-                self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, made))
+        if len(self.known) + len(missing) > WORD_CACHE:
+            self.older, self.known = self.known, {}
+            missing = {w for words in split for w in words}
         known = self.known
-        return [b"".join([known[w] for w in words]) for words in split]
+        if missing:
+            for w in missing & self.older.keys():
+                known[w] = self.older[w]
+                missing.discard(w)
+            self.learn(missing)
+        return [self.encoded(texts[k]) if k in special else b"".join([known[w] for w in words])
+                for k, words in enumerate(split)]
+
+    def encoded(self, text: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, words: set[bytes]) -> None:
+        known, parts, cut, whole = self.known, {}, [], []
+        for w in words:
+            if w.isalpha():  # ASCII letters
+                parts[w] = known.get(w)
+            elif PLAIN.fullmatch(w):
+                pieces = PART.findall(w)
+                cut.append((w, pieces))
+                for piece in pieces:
+                    if piece not in parts:
+                        parts[piece] = known.get(piece)
+            else:
+                whole.append(w)
+        new = [p for p, ids in parts.items() if ids is None]
+        for at in range(0, len(new), 500):
+            part = new[at:at + 500]
+            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, "<u4")
+            last = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(last) == len(part):
+                raw, start = ids.tobytes(), 0
+                for p, end in zip(part, last.tolist()):
+                    parts[p] = raw[start:end]
+                    start = end
+            else:
+                parts.update((p, self.encoded(p)) for p in part)
+        for w, pieces in cut:
+            known[w] = b"".join([parts[p] for p in pieces])
+        for w in words:
+            if w in parts:
+                known[w] = parts[w]
+        for w in whole:
+            known[w] = self.encoded(w)
 
 
 _TOKENS: dict[str, WordTokens] = {}
