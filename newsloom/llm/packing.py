@@ -15,6 +15,7 @@ the pieces of its length, and ranks come from counts by task.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from bisect import bisect_right
@@ -42,6 +43,16 @@ ROUNDED = 0.9               # share of a fractional count that is realised befor
 
 # --- tokens -----------------------------------------------------------------
 
+class Known(dict):
+    """Packed ids by word that notes the words it is asked for in vain."""
+
+    def __init__(self):
+        self.new: set[bytes] = set()
+
+    def __missing__(self, word: bytes) -> None:
+        self.new.add(word)
+
+
 class WordTokens:
     """Token ids of whole texts, found word by word.
 
@@ -61,27 +72,29 @@ class WordTokens:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.known, self.older = Known(), Known()
 
     def packed(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of UTF-8 texts."""
-        # the vocabulary lower-cases as well, but looks for its special tokens before that
-        lowered = [t.lower() for t in texts]
-        special = {k for k, t in enumerate(lowered) if b"<|" in t and any(s in t for s in self.special)}
-        split = [[] if k in special else t.split() for k, t in enumerate(lowered)]
-        missing = {w for words in split for w in words if w not in self.known}
-        if len(self.known) + len(missing) > WORD_CACHE:
-            self.older, self.known = self.known, {}
-            missing = {w for words in split for w in words}
-        known = self.known
-        if missing:
-            for w in missing & self.older.keys():
+        if len(self.known) > WORD_CACHE:
+            self.known, self.older = Known(), self.known
+        known, rows = self.known, []
+        for text in texts:
+            # the vocabulary lower-cases as well, but looks for its special tokens before that
+            words = text.lower().split()
+            if b"<|" in text and any(s in w for w in words for s in self.special):
+                rows.append(([], [self.encoded(text)]))
+            else:
+                rows.append((words, [known[w] for w in words]))
+        new, known.new = known.new, set()
+        if new:
+            for w in new & self.older.keys():
                 known[w] = self.older[w]
-                missing.discard(w)
-            self.learn(missing)
-        return [self.encoded(texts[k]) if k in special else b"".join([known[w] for w in words])
-                for k, words in enumerate(split)]
+                new.discard(w)
+            self.learn(new)
+            rows = [(words, [known[w] if ids is None else ids for w, ids in zip(words, parts)] if words else parts)
+                    for words, parts in rows]
+        return [b"".join(parts) for _, parts in rows]
 
     def encoded(self, text: bytes) -> bytes:
         return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
@@ -90,7 +103,7 @@ class WordTokens:
         known, parts, cut, whole = self.known, {}, [], []
         for w in words:
             if w.isalpha():  # ASCII letters
-                parts[w] = known.get(w)
+                parts[w] = None
             elif PLAIN.fullmatch(w):
                 pieces = PART.findall(w)
                 cut.append((w, pieces))
@@ -133,6 +146,7 @@ def token_pieces(docs: DataFrame, path: str, max_tokens: int = MAX_TOKENS) -> Da
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        gc.disable()  # nothing here makes cycles, and looking for them takes a tenth of the time
         # threads per word cost more than they gain, and Spark has a task on every core
         tokens = _TOKENS.get(path) or _TOKENS.setdefault(path, WordTokens(path))
         for batch in batches:

@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
-from newsloom.llm import exact_dedup, packing, simhash, toxicity
+from newsloom.llm import (
+    exact_dedup, langid, line_dedup, mixing, packing, secret_scan, simhash, toxicity, url_filter, vafile,
+)
 
 QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op6_secret_scan": secret_scan.op6_secret_scan,
+    "op7_vafile_topk": vafile.op7_vafile_topk,
+    "op8_url_filter": url_filter.op8_url_filter,
+    "op9_language_id": langid.op9_language_id,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 
 SQL = {
     "op4_exact_dedup": exact_dedup.OP4_SQL.strip(),
+    "op5_line_dedup": line_dedup.OP5_SQL.strip(),
+    "op7_vafile_topk": vafile.OP7_SQL.strip(),
 }
