@@ -1,10 +1,10 @@
 """Language of texts by a byte convolutional network.
 
-Bytes are embedded, filters of several widths slide over windows of a fixed
+Bytes (A-Z lower-cased) are embedded, filters of several widths slide over windows of a fixed
 length, the greatest response of each filter in a window is kept, and a softmax
 layer turns those into languages.  The network is trained in numpy on labelled
 texts; tasks apply it to all windows of a text in batches and average the
-windows' log-probabilities.
+windows' probabilities.
 
 Applying needs no multiplications before the last layer: what a byte at an offset
 adds to all filters is a row of a table.
@@ -25,7 +25,7 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8                 # of each width
 EMBEDDING = 8
-EPOCHS = 6
+EPOCHS = 10
 BATCH = 64
 RATE = 0.01
 SEED = 7
@@ -131,15 +131,14 @@ class Reader:
         lettered = [bool(t) and any(map(str.isalpha, t)) for t in texts]
         if not self.languages:
             return [NONE] * len(texts), [0.0] * len(texts)
-        windows, owner, size = windows_of([t.encode() if ok else b"" for t, ok in zip(texts, lettered)])
+        windows, owner, size = windows_of([t.encode().lower() if ok else b"" for t, ok in zip(texts, lettered)])
         logs = self.log_chances(windows)
-        total = np.stack([np.bincount(owner, logs[:, k] * size, len(texts)) for k in range(logs.shape[1])], 1)
-        mean = total / np.maximum(np.bincount(owner, size, len(texts)), 1)[:, None]
-        chance = np.exp(mean - mean.max(axis=1, keepdims=True))
-        chance /= chance.sum(axis=1, keepdims=True)
+        # the share of a text's bytes that looks like each language
+        total = np.stack([np.bincount(owner, np.exp(logs[:, k]) * size, len(texts)) for k in range(logs.shape[1])], 1)
+        chance = total / np.maximum(np.bincount(owner, size, len(texts)), 1)[:, None]
         best = chance.argmax(axis=1)
         return ([self.languages[b] if ok else NONE for b, ok in zip(best, lettered)],
-                [float(c[b]) if ok else 0.0 for c, b, ok in zip(chance, best, lettered)])
+                [min(float(c[b]), 1.0) if ok else 0.0 for c, b, ok in zip(chance, best, lettered)])
 
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Reader:
@@ -159,7 +158,7 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Reader:
     def cut(batches):
         for batch in batches:
             langs = batch.column("lang").to_pylist()
-            windows, owner, size = windows_of(utf8(batch, "text"))
+            windows, owner, size = windows_of([t.lower() for t in utf8(batch, "text")])
             keep: list[int] = []
             for k in range(len(langs)):
                 own = np.flatnonzero((owner == k) & (size >= 32))

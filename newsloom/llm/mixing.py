@@ -26,7 +26,7 @@ from newsloom.llm.base import held_out, map_arrow, small_batches, table, written
 TRAIN_DOCS = 2_000
 FEATURES = 1 << 16
 EPOCHS = 6
-MAX_STEPS = 60
+MAX_STEPS = 30
 TOLERANCE = 1e-6            # of the targets' sum
 WORD_CACHE = 400_000
 
@@ -126,8 +126,13 @@ def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], train_docs: in
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
     rows = map_arrow(texts, run, "doc_id long, domain string, features array<int>").toPandas()
     rows = rows.assign(order=[xxhash.xxh32_intdigest(str(i)) for i in rows["doc_id"]]).sort_values(["order", "domain"])
-    return learned([np.asarray(f, np.int64) for f in rows["features"]],
+    model = learned([np.asarray(f, np.int64) for f in rows["features"]],
                    np.array([domains.index(d) for d in rows["domain"]], np.int64), len(domains))
+    # the sample has other shares than the labels
+    found = {r[0]: r[1] for r in usable.groupBy("domain").count().collect()}
+    sample = rows["domain"].value_counts()
+    model.bias = model.bias + np.log([(found.get(d, 0) + 1) / (sample.get(d, 0) + 1) for d in domains])
+    return model
 
 
 # --- rates ------------------------------------------------------------------
@@ -147,36 +152,46 @@ def _matrix(column, n: int) -> np.ndarray:
 def fitted_gradients(marked: DataFrame, weights: list[float], max_steps: int = MAX_STEPS) -> np.ndarray:
     """Gradients of the steps that take the expected totals of ``marked (tokens, posterior)`` to the targets.
 
-    The squared misses are weighted with the inverse of ``sum t p p'``.  In that
-    measure a full step lands on the targets unless rates are cut at zero, and
-    the steps after it mend what the cuts left.
+    The squared misses are weighted with the inverse of ``sum t p p'`` over the
+    documents whose rate is not zero.  In that measure a full step lands on the
+    targets unless more rates are cut at zero; the steps after it mend what the
+    cuts left, and one that leads away is taken again at half its length.
     """
     n = len(weights)
 
-    def totals(gradients: np.ndarray, square: bool) -> np.ndarray:
+    def totals(gradients: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         def run(batches):
-            total = np.zeros((n, n) if square else n)
+            total, curve = np.zeros(n), np.zeros((n, n))
             for batch in batches:
                 if batch.num_rows:
-                    p, t = _matrix(batch.column("posterior"), n), batch.column("tokens").to_numpy()
-                    total += (p * t[:, None]).T @ p if square else p.T @ (t * rates_after(p, gradients))
-            yield {"total": [total.ravel().tolist()]}
+                    p, t = _matrix(batch.column("posterior"), n), batch.column("tokens").to_numpy().astype(float)
+                    rate = rates_after(p, gradients)
+                    total += p.T @ (t * rate)
+                    curve += (p * (t * (rate > 0))[:, None]).T @ p
+            yield {"total": [total.tolist() + curve.ravel().tolist()]}
 
         rows = map_arrow(marked.select("tokens", "posterior"), run, "total array<double>")
-        parts = rows.select([F.col("total")[k].alias(f"t{k}") for k in range(n * n if square else n)])
-        return np.array([x or 0.0 for x in parts.agg(*[F.sum(c).alias(c) for c in parts.columns]).first()])
+        parts = rows.select([F.col("total")[k].alias(f"t{k}") for k in range(n + n * n)])
+        found = np.array([x or 0.0 for x in parts.agg(*[F.sum(c).alias(c) for c in parts.columns]).first()])
+        return found[:n], found[n:].reshape(n, n)
 
-    curve = totals(np.zeros((0, n)), True).reshape(n, n)
-    inverse = np.linalg.pinv(curve, rcond=1e-10, hermitian=True)
-    gradients = np.zeros((0, n))
-    target = None
+    gradients, least, step = np.zeros((0, n)), np.inf, 1.0
+    now, curve = totals(gradients)
+    target = np.array(weights) / sum(weights) * now.sum()
     for _ in range(max_steps):
-        now = totals(gradients, False)
-        target = np.array(weights) / sum(weights) * now.sum() if target is None else target
-        if np.abs(now - target).max() <= TOLERANCE * max(target.sum(), 1):
+        miss = np.abs(now - target).max()
+        if miss <= TOLERANCE * max(target.sum(), 1):
             break
-        gradients = np.vstack([gradients, inverse @ (now - target)])
-    return gradients
+        if miss < least:
+            least, base, step = miss, (gradients, now, curve), 1.0
+        else:
+            step /= 2  # too far: again from the best rates, half as far
+            if step < 1e-3:
+                break
+        gradients, now, curve = base
+        gradients = np.vstack([gradients, step * np.linalg.pinv(curve, rcond=1e-10, hermitian=True) @ (now - target)])
+        now, curve = totals(gradients)
+    return gradients if np.abs(now - target).max() <= least else base[0]
 
 
 def mixture(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float] = WEIGHTS) -> DataFrame:

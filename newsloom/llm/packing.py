@@ -15,25 +15,25 @@ the pieces of its length, and ranks come from counts by task.
 
 from __future__ import annotations
 
-import gc
 import os
 import re
 from bisect import bisect_right
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.base import map_arrow, small_batches, table, utf8, written
+from newsloom.llm.base import map_arrow, small_batches, table, written
 
 TOKENIZER = "word_bpe_49k.json"
 MAX_TOKENS = 2048
 END_OF_TEXT = 0
-WORD_CACHE = 400_000        # words of one generation whose ids a worker remembers; there are two
-#: Words the vocabulary's pattern cuts into runs of letters, single digits and runs of signs (no apostrophes).
-PART = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[0-9]|[!-&(-/:-@\[-`{-~]+")
-PLAIN = re.compile(rb"(?:[!-&(-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+WORD_CACHE = 500_000        # words whose ids a worker remembers beside those of one batch
+#: What the vocabulary's pattern cuts words into: runs of letters, single digits, runs of signs (no apostrophes).
+PART = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 
 GROUPS = 48                 # length classes of the linear program
 ROUNDS = 1500               # of multiplicative weights
@@ -43,94 +43,102 @@ ROUNDED = 0.9               # share of a fractional count that is realised befor
 
 # --- tokens -----------------------------------------------------------------
 
-class Known(dict):
-    """Packed ids by word that notes the words it is asked for in vain."""
-
-    def __init__(self):
-        self.new: set[bytes] = set()
-
-    def __missing__(self, word: bytes) -> None:
-        self.new.add(word)
-
-
 class WordTokens:
     """Token ids of whole texts, found word by word.
 
     The vocabulary's pattern never joins characters across white space, so the
     ids of a text are the ids of its white-space separated words in order.  Words
-    repeat a lot; their packed ids are remembered up to ``WORD_CACHE`` words.
-    Words of plain letters, digits and signs are cut further where the pattern
-    cuts them, and many such parts are encoded in one call: each ends with one
-    id that carries the vocabulary's word end.
+    repeat a lot: the different words of a batch are looked up among those met
+    before, and the ids of the batch are gathered from theirs.  New words are
+    encoded many to a call; a word of plain letters, digits and signs has as many
+    ids with the vocabulary's word end as the pattern cuts it into parts.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
-        self.known, self.older = Known(), Known()
+        self.known: dict[str, int] = {}
+        self.ids, self.start = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def packed(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of UTF-8 texts."""
-        if len(self.known) > WORD_CACHE:
-            self.known, self.older = Known(), self.known
-        known, rows = self.known, []
-        for text in texts:
-            # the vocabulary lower-cases as well, but looks for its special tokens before that
-            words = text.lower().split()
-            if b"<|" in text and any(s in w for w in words for s in self.special):
-                rows.append(([], [self.encoded(text)]))
-            else:
-                rows.append((words, [known[w] for w in words]))
-        new, known.new = known.new, set()
-        if new:
-            for w in new & self.older.keys():
-                known[w] = self.older[w]
-                new.discard(w)
-            self.learn(new)
-            rows = [(words, [known[w] if ids is None else ids for w, ids in zip(words, parts)] if words else parts)
-                    for words, parts in rows]
-        return [b"".join(parts) for _, parts in rows]
-
-    def encoded(self, text: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, words: set[bytes]) -> None:
-        known, parts, cut, whole = self.known, {}, [], []
+    def encoded(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def learn(self, words: list[str]) -> None:
+        """Append the ids of ``words``."""
+        cut, odd = [], []
         for w in words:
-            if w.isalpha():  # ASCII letters
-                parts[w] = None
-            elif PLAIN.fullmatch(w):
-                pieces = PART.findall(w)
-                cut.append((w, pieces))
-                for piece in pieces:
-                    if piece not in parts:
-                        parts[piece] = known.get(piece)
+            if w.isascii() and w.isalpha():
+                cut.append((w, 1))
             else:
-                whole.append(w)
-        new = [p for p, ids in parts.items() if ids is None]
-        for at in range(0, len(new), 500):
-            part = new[at:at + 500]
-            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, "<u4")
-            last = (np.flatnonzero(self.ends[ids]) + 1) * 4
-            if len(last) == len(part):
-                raw, start = ids.tobytes(), 0
-                for p, end in zip(part, last.tolist()):
-                    parts[p] = raw[start:end]
-                    start = end
+                parts = PART.findall(w)
+                if parts and sum(map(len, parts)) == len(w):
+                    cut.append((w, len(parts)))
+                else:
+                    odd.append(w)
+        ids, sizes = [self.ids], [np.diff(self.start)]
+        for at in range(0, len(cut), 100):
+            part = cut[at:at + 100]
+            made = self.encoded(" ".join([w for w, _ in part]))
+            last = np.flatnonzero(self.ends[made]) + 1
+            count = np.cumsum([n for _, n in part])
+            if len(last) == count[-1]:
+                ids.append(made)
+                sizes.append(np.diff(last[count - 1], prepend=0))
+                self.known.update(zip([w for w, _ in part], range(len(self.known), len(self.known) + len(part))))
             else:
-                parts.update((p, self.encoded(p)) for p in part)
-        for w, pieces in cut:
-            known[w] = b"".join([parts[p] for p in pieces])
-        for w in words:
-            if w in parts:
-                known[w] = parts[w]
-        for w in whole:
-            known[w] = self.encoded(w)
+                odd += [w for w, _ in part]
+        for w in odd:
+            made = self.encoded(w)
+            ids.append(made)
+            sizes.append([len(made)])
+            self.known[w] = len(self.known)
+        self.ids = np.concatenate(ids)
+        self.start = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype(np.int64)
+
+    def forget(self, words: list[str]) -> None:
+        """Keep only those of ``words`` that are known."""
+        kept = [w for w in words if w in self.known]
+        at = np.array([self.known[w] for w in kept], np.int64)
+        sizes = self.start[at + 1] - self.start[at]
+        self.ids = self.ids[_ranges(self.start[at], sizes)]
+        self.start = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+        self.known = dict(zip(kept, range(len(kept))))
+
+    def packed(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text; null as empty."""
+        # the vocabulary lower-cases as well, but looks for its special tokens before that
+        texts = texts.fill_null("")
+        marked = pc.match_substring(texts, "<|")
+        special = {k: text for k in np.flatnonzero(marked.to_numpy(zero_copy_only=False)).tolist()
+                   if any(s in (text := texts[k].as_py()).lower() for s in self.special)}
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        found = split.flatten().dictionary_encode()
+        words = found.dictionary.to_pylist()
+        if len(self.known) > WORD_CACHE:
+            self.forget(words)
+        place = np.array([self.known.get(w, -1) for w in words], np.int64)
+        new = np.flatnonzero(place < 0).tolist()
+        if new:
+            self.learn([words[k] for k in new])
+            place[new] = [self.known[words[k]] for k in new]
+        place = place[found.indices.to_numpy()]
+        sizes = self.start[place + 1] - self.start[place]
+        ids = self.ids[_ranges(self.start[place], sizes)]
+        reach = np.concatenate(([0], np.cumsum(sizes)))
+        offsets = split.offsets.to_numpy()
+        bounds = reach[offsets - offsets[0]].tolist()
+        return [self.encoded(special[k]) if k in special else ids[a:b] for k, (a, b) in enumerate(zip(bounds, bounds[1:]))]
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges ``start, start + 1, ...`` of the given sizes, one after another."""
+    total = np.cumsum(size)
+    return np.repeat(start - np.concatenate(([0], total[:-1])), size) + np.arange(total[-1] if len(total) else 0)
 
 
 _TOKENS: dict[str, WordTokens] = {}
@@ -142,20 +150,21 @@ def token_pieces(docs: DataFrame, path: str, max_tokens: int = MAX_TOKENS) -> Da
     ``ids`` packs unsigned 32-bit little-endian ids.  Null and empty texts are
     the end mark alone.
     """
-    end = np.array([END_OF_TEXT], "<u4").tobytes()
+    end = np.array([END_OF_TEXT], np.uint32)
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        gc.disable()  # nothing here makes cycles, and looking for them takes a tenth of the time
         # threads per word cost more than they gain, and Spark has a task on every core
         tokens = _TOKENS.get(path) or _TOKENS.setdefault(path, WordTokens(path))
         for batch in batches:
             out: dict[str, list] = {"doc_id": [], "piece": [], "start": [], "length": [], "ids": []}
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), tokens.packed(utf8(batch, "text"))):
-                ids += end
-                for piece, at in enumerate(range(0, len(ids), 4 * max_tokens)):
-                    part = ids[at:at + 4 * max_tokens]
-                    for name, value in zip(out, (doc_id, piece, at // 4, len(part) // 4, part)):
+            if not batch.num_rows:
+                continue
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), tokens.packed(batch.column("text"))):
+                ids = np.concatenate((ids, end))
+                for piece, at in enumerate(range(0, len(ids), max_tokens)):
+                    part = ids[at:at + max_tokens]
+                    for name, value in zip(out, (doc_id, piece, at, len(part), part.astype("<u4").tobytes())):
                         out[name].append(value)
             yield out
 
