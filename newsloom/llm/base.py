@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,8 +16,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from newsloom.session import scratch_path
 
 #: Rows of text in one Arrow batch; long texts are bounded by Spark's byte limit for a batch.
-TEXT_BATCH_ROWS = "2000"
-TEXT_BATCH_BYTES = "16m"
+TEXT_BATCH_ROWS = "1000"
+TEXT_BATCH_BYTES = "8m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,3 +68,30 @@ def utf8(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """Texts of a batch as UTF-8 bytes, null as empty."""
     column = batch.column(batch.schema.get_field_index(name))
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
+
+
+class BatchWords:
+    """White-space separated words of a batch of texts, null as empty.
+
+    ``different`` holds each word once; ``code`` has its place in there for every
+    word in order, and ``row`` the text it stands in.
+    """
+
+    def __init__(self, texts: pa.Array):
+        split = pc.utf8_split_whitespace(texts.fill_null(""))
+        found = split.flatten().dictionary_encode()
+        self.different = found.dictionary
+        code, offsets = found.indices.to_numpy(), split.offsets.to_numpy()
+        row = np.repeat(np.arange(len(texts)), np.diff(offsets))
+        empty = pc.index(self.different, "").as_py()  # stands for space at the ends of a text
+        kept = code != empty if empty >= 0 else slice(None)
+        self.code, self.row, self.rows = code[kept], row[kept], len(texts)
+
+    def sizes(self) -> np.ndarray:
+        """Number of words of each text."""
+        return np.bincount(self.row, minlength=self.rows)
+
+
+def hashed(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of strings, the same in every process."""
+    return pd.util.hash_array(words.to_numpy(zero_copy_only=False).astype(object), categorize=False)

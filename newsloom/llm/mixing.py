@@ -16,11 +16,13 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.base import held_out, map_arrow, small_batches, table, written
+from newsloom.llm.base import BatchWords, hashed, held_out, map_arrow, small_batches, table, written
 
 #: Labelled documents of each domain the classifier learns from, by smallest hash of the id.
 TRAIN_DOCS = 2_000
@@ -28,7 +30,6 @@ FEATURES = 1 << 16
 EPOCHS = 6
 MAX_STEPS = 30
 TOLERANCE = 1e-6            # of the targets' sum
-WORD_CACHE = 400_000
 
 #: Share of the tokens each domain is to have, where nothing else is asked.
 WEIGHTS = {"good": 0.90, "poor": 0.08, "toxic": 0.02}
@@ -36,30 +37,24 @@ WEIGHTS = {"good": 0.90, "poor": 0.08, "toxic": 0.02}
 
 # --- posteriors -------------------------------------------------------------
 
-def feature(word: str) -> int:
-    return xxhash.xxh32_intdigest(word.encode()) % FEATURES
+class Features:
+    """Hash features of a batch: the different words of each text, and the shapes they have.
 
+    ``row`` and ``feature`` list the pairs, sorted; ``tokens`` counts the words.
+    A shape is a word's case, its number of signs and the sign it ends with.
+    """
 
-class Features:
-    """Hash features of the different words of a text and of the shapes of its words."""
-
-    def __init__(self):
-        self.known: dict[str, tuple[int, int]] = {}
-
-    def of(self, text: str | None) -> tuple[list[int], int]:
-        """Features, and the number of words."""
-        words = text.split() if text else []
-        different = set(words)
-        known = self.known
-        missing = [w for w in different if w not in known]
-        if len(known) + len(missing) > WORD_CACHE:
-            known.clear()
-            missing = different
-        for w in missing:
-            letters = sum(c.isalpha() for c in w)
-            shape = ("upper" if w.isupper() else "lower") + str(min(len(w) - letters, 4)) + w[-1] * (not w[-1].isalpha())
-            known[w] = feature(w.lower().strip(".,!?")), feature("\0" + shape)
-        return sorted({x for w in different for x in known[w]}), len(words)
+    def __init__(self, texts: pa.Array):
+        words = BatchWords(texts)
+        word = words.different
+        signs = pc.subtract(pc.utf8_length(word), pc.utf8_length(pc.replace_substring_regex(word, r"[^\pL]", "")))
+        last = pc.replace_substring_regex(pc.utf8_slice_codeunits(word, -1), r"\pL", "")
+        shape = pc.binary_join_element_wise(pc.if_else(pc.utf8_is_upper(word), "upper", "lower"),
+                                            pc.cast(pc.min_element_wise(signs, 4), pa.string()), last, "\0")
+        bare = pc.utf8_trim(pc.utf8_lower(word), characters=".,!?")
+        found = [(hashed(x) % np.uint64(FEATURES)).astype(np.int64) for x in (bare, shape)]
+        pairs = np.unique(np.concatenate([words.row * FEATURES + f[words.code] for f in found]))
+        self.row, self.feature, self.rows, self.tokens = pairs // FEATURES, pairs % FEATURES, words.rows, words.sizes()
 
 
 class Softmax:
@@ -68,16 +63,16 @@ class Softmax:
     def __init__(self, weights: np.ndarray, bias: np.ndarray):
         self.weights, self.bias = weights.astype(np.float32), bias
 
-    def posteriors(self, sets: list[list[int]]) -> np.ndarray:
-        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-        flat = np.fromiter((x for s in sets for x in s), np.int64, int(sizes.sum()))
-        sums = np.zeros((len(sets), len(self.bias)))
-        row = np.repeat(np.arange(len(sets)), sizes)
-        for k in range(len(self.bias)):
-            sums[:, k] = np.bincount(row, self.weights[flat, k], len(sets))
-        logits = sums / np.sqrt(np.maximum(sizes, 1))[:, None] + self.bias
-        chance = np.exp(logits - logits.max(axis=1, keepdims=True))
-        return chance / chance.sum(axis=1, keepdims=True)
+    def posteriors(self, found: Features) -> np.ndarray:
+        each = self.weights[found.feature]
+        sums = np.stack([np.bincount(found.row, each[:, k], found.rows) for k in range(len(self.bias))], 1)
+        sizes = np.bincount(found.row, minlength=found.rows)
+        return _chances(sums / np.sqrt(np.maximum(sizes, 1))[:, None] + self.bias)
+
+
+def _chances(logits: np.ndarray) -> np.ndarray:
+    chance = np.exp(logits - logits.max(axis=1, keepdims=True))
+    return chance / chance.sum(axis=1, keepdims=True)
 
 
 def learned(sets: list[np.ndarray], domain: np.ndarray, n: int, epochs: int = EPOCHS) -> Softmax:
@@ -88,7 +83,7 @@ def learned(sets: list[np.ndarray], domain: np.ndarray, n: int, epochs: int = EP
     for _ in range(epochs):
         for at in range(0, len(sets), 64):
             part, target = sets[at:at + 64], domain[at:at + 64]
-            chance = _batch(weights, bias, part)
+            chance = _chances(np.stack([weights[s].sum(axis=0) / np.sqrt(max(len(s), 1)) for s in part]) + bias)
             chance[np.arange(len(part)), target] -= 1
             sizes = np.array([len(s) for s in part])
             flat = np.concatenate(part) if len(part) else np.zeros(0, np.int64)
@@ -101,12 +96,6 @@ def learned(sets: list[np.ndarray], domain: np.ndarray, n: int, epochs: int = EP
     return Softmax(weights, bias)
 
 
-def _batch(weights: np.ndarray, bias: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
-    sums = np.stack([weights[s].sum(axis=0) / np.sqrt(max(len(s), 1)) for s in sets]) + bias
-    chance = np.exp(sums - sums.max(axis=1, keepdims=True))
-    return chance / chance.sum(axis=1, keepdims=True)
-
-
 def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], train_docs: int = TRAIN_DOCS) -> Softmax:
     """Classifier from ``labelled (doc_id, domain)``; ids labelled more than once count under each label."""
     usable = (labelled.select(F.col("doc_id").cast("long").alias("doc_id"), "domain").distinct()
@@ -118,10 +107,11 @@ def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], train_docs: in
     chosen = written(chosen, "mixing-labels")
 
     def run(batches):
-        features = Features()
         for batch in batches:
+            found = Features(batch.column("text"))
+            cuts = np.searchsorted(found.row, np.arange(found.rows + 1)).tolist()
             yield {"doc_id": batch.column("doc_id"), "domain": batch.column("domain"),
-                   "features": [features.of(t)[0] for t in batch.column("text").to_pylist()]}
+                   "features": [found.feature[a:b] for a, b in zip(cuts, cuts[1:])]}
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
     rows = map_arrow(texts, run, "doc_id long, domain string, features array<int>").toPandas()
@@ -194,45 +184,45 @@ def fitted_gradients(marked: DataFrame, weights: list[float], max_steps: int = M
     return gradients if np.abs(now - target).max() <= least else base[0]
 
 
-def mixture(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float] = WEIGHTS) -> DataFrame:
-    """The columns of ``docs`` with ``_tokens, _domain, _posterior, _rate, _copies``.
+def mixture(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float] = WEIGHTS,
+            keep: list[str] | None = None) -> DataFrame:
+    """The ``keep`` columns of ``docs``, all by default, with ``_tokens, _domain, _posterior, _rate, _copies``.
 
     ``labelled``: ``doc_id, domain``.  Tokens are white-space separated words.
     ``_copies`` rounds the rate up or down by a hash of the id, so that it is the
     rate on average.  Null and empty texts have no tokens and the posterior of
     the domains' frequencies; their rate moves no total.  Targets that no rates
-    reach are approached.  An empty table gives an empty result.
+    reach are approached.  Rows that repeat an id are documents each.  An empty
+    table gives an empty result.  What is kept is written once with the
+    posteriors, so texts are classified once.
     """
     spark = docs.sparkSession
     small_batches(spark)
     domains = list(weights)
+    names = docs.columns if keep is None else keep
     model = spark.sparkContext.broadcast(fit(docs, labelled, domains))  # FEATURES weights for each domain
-    names = docs.columns
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name in names)
 
-    def marks(keep: list[str]):
-        def run(batches):
-            features = Features()
-            for batch in batches:
-                found = [features.of(t) for t in batch.column("_text").to_pylist()]
-                chance = model.value.posteriors([f[0] for f in found])
-                yield {c: batch.column(c) for c in keep} | {
-                    "tokens": [f[1] for f in found], "posterior": chance.tolist()}
-        return run
+    def marks(batches):
+        for batch in batches:
+            found = Features(batch.column("_text"))
+            yield {c: batch.column(c) for c in names} | {
+                "_tokens": found.tokens, "_posterior": model.value.posteriors(found).tolist()}
 
-    marked = written(map_arrow(docs.select(F.col("text").alias("_text")), marks([]),
-                               "tokens long, posterior array<double>"), "posteriors")
-    gradients = fitted_gradients(marked, list(weights.values()))
+    source = docs.select(*names, F.col("text").alias("_text"))
+    order = [f.name for f in docs.schema if f.name in names]
+    marked = written(map_arrow(source.select(*order, "_text"), marks,
+                               kinds + "_tokens long, _posterior array<double>"), "posteriors")
+    gradients = fitted_gradients(
+        marked.select(F.col("_tokens").alias("tokens"), F.col("_posterior").alias("posterior")), list(weights.values()))
 
     def rated(batches):
-        for columns in marks(names)(batches):
-            chance = np.array(columns["posterior"]).reshape(-1, len(domains))
-            yield {c: columns[c] for c in names} | {
-                "_tokens": columns["tokens"], "_domain": [domains[k] for k in chance.argmax(axis=1)] if len(chance) else [],
-                "_posterior": columns["posterior"], "_rate": rates_after(chance, gradients)}
+        for batch in batches:
+            chance = _matrix(batch.column("_posterior"), len(domains))
+            yield {c: batch.column(c) for c in batch.schema.names} | {
+                "_domain": [domains[k] for k in chance.argmax(axis=1)], "_rate": rates_after(chance, gradients)}
 
-    source = docs.select(*names, F.col("text").alias("_text"))
-    out = map_arrow(source, rated, kinds + ", _tokens long, _domain string, _posterior array<double>, _rate double")
+    out = map_arrow(marked, rated, kinds + "_tokens long, _posterior array<double>, _domain string, _rate double")
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     return out.withColumn("_copies", F.floor(F.col("_rate") + spread).cast("int"))
 
@@ -252,7 +242,7 @@ def mixed(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float]) -> D
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = mixture(docs, domains_of(table(spark, sf_dir, "labels")))
+    rows = mixture(docs, domains_of(table(spark, sf_dir, "labels")), keep=["doc_id"])
     return rows.select("doc_id", F.col("_tokens").alias("tokens"), F.col("_domain").alias("domain"),
                        *[F.col("_posterior")[k].alias(f"p_{name}") for k, name in enumerate(WEIGHTS)],
                        F.col("_rate").alias("rate"), F.col("_copies").alias("copies"))

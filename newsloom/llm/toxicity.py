@@ -19,11 +19,12 @@ What a task needs has a fixed size: ``VOCABULARY`` words at most.
 from __future__ import annotations
 
 import numpy as np
-import xxhash
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.base import held_out, map_arrow, small_batches, table, written
+from newsloom.llm.base import BatchWords, hashed, held_out, map_arrow, small_batches, table, written
 
 #: Labelled documents of each class the models and the calibration use, by smallest hash of the id.
 TRAIN_DOCS = 4_000
@@ -33,42 +34,19 @@ LEAST_CONTEXTS = 3          # words with fewer are rare
 LEAST_EVIDENCE = 20.0       # of the likelihood-ratio statistic
 MARGIN = 1.0                # of a log ratio that is still taken for topic or language
 DISCOUNT = 0.75
-WORD_CACHE = 400_000
 CALIBRATION_FOLD = 1        # of crc32(doc_id) mod 5; fold 0 is held out
 
 
 # --- words ------------------------------------------------------------------
 
-def word_number(word: str) -> int:
-    """32-bit number of a lower-cased word without the signs around it."""
-    if not word.isalnum():
-        inside = [i for i, c in enumerate(word) if c.isalnum()]
-        if inside:
-            word = word[inside[0]:inside[-1] + 1]
-    return xxhash.xxh32_intdigest(word.encode())
+class Numbers(BatchWords):
+    """Words of a batch with a 32-bit number for each, from its lower-cased form without the signs around it."""
 
-
-class Numbers:
-    """Word numbers of texts; those of words already met are remembered."""
-
-    def __init__(self):
-        self.known: dict[str, int] = {}
-
-    def of(self, text: str | None) -> np.ndarray:
-        words = text.lower().split() if text else []
-        known = self.known
-        try:
-            return np.array([known[w] for w in words], np.int64)
-        except KeyError:
-            if len(known) > WORD_CACHE:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = word_number(w)
-            return np.array([known[w] for w in words], np.int64)
-
-
-_NUMBERS = Numbers()
+    def __init__(self, texts: pa.Array):
+        super().__init__(texts)
+        lower = pc.utf8_lower(self.different)
+        bare = pc.replace_substring_regex(lower, r"^[^\pL\pN]+|[^\pL\pN]+$", "")
+        self.numbers = (hashed(pc.if_else(pc.equal(bare, ""), lower, bare)) >> np.uint64(32)).astype(np.int64)
 
 
 def shared_counts(docs: DataFrame) -> DataFrame:
@@ -76,9 +54,8 @@ def shared_counts(docs: DataFrame) -> DataFrame:
     def run(batches):
         total = np.zeros(SHARED_SLOTS, np.int64)
         for batch in batches:
-            numbers = [_NUMBERS.of(t) for t in batch.column("text").to_pylist()]
-            if numbers:
-                total += np.bincount(np.concatenate(numbers) % SHARED_SLOTS, minlength=SHARED_SLOTS)
+            words = Numbers(batch.column("text"))
+            total += np.bincount(words.numbers[words.code] % SHARED_SLOTS, minlength=SHARED_SLOTS)
         slot = np.flatnonzero(total)
         yield {"slot": slot, "n": total[slot]}
 
@@ -89,13 +66,11 @@ def contexts(labelled: DataFrame) -> DataFrame:
     """``toxic, before, word``: the different word pairs of either class, -1 before a text."""
     def run(batches):
         for batch in batches:
-            columns: list[list[np.ndarray]] = [[], [], []]
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                w = _NUMBERS.of(text)
-                for column, values in zip(columns, (np.full(len(w), toxic), np.concatenate(([-1], w))[:-1], w)):
-                    column.append(values)
-            if columns[0]:
-                yield dict(zip(("toxic", "before", "word"), map(np.concatenate, columns)))
+            words = Numbers(batch.column("text"))
+            number = words.numbers[words.code]
+            before = np.concatenate(([-1], number))[:-1] if len(number) else number
+            before[np.diff(words.row, prepend=-1) != 0] = -1
+            yield {"toxic": batch.column("toxic").to_numpy()[words.row], "before": before, "word": number}
 
     return map_arrow(labelled.select("text", "toxic"), run, "toxic int, before long, word long").distinct()
 
@@ -133,19 +108,15 @@ def ratios(docs: DataFrame, models: dict[int, float], keep: list[str]) -> DataFr
     fields = {f.name: f.dataType.simpleString() for f in docs.schema}
 
     def run(batches):
-        models, known = shared.value, {}
+        number = np.array(sorted(shared.value), np.int64)
+        ratio = np.array([shared.value[n] for n in number.tolist()] + [0.0])
         for batch in batches:
-            out = []
-            for text in batch.column("_text").to_pylist():
-                words = text.lower().split() if text else []
-                missing = [w for w in words if w not in known]
-                if len(known) + len(missing) > WORD_CACHE:
-                    known.clear()
-                    missing = words
-                for w in missing:
-                    known[w] = models.get(word_number(w), 0.0)
-                out.append(sum([known[w] for w in words]) / len(words) if words else 0.0)
-            yield {n: batch.column(n) for n in keep} | {"_ratio": out}
+            words = Numbers(batch.column("_text"))
+            at = np.searchsorted(number, words.numbers)
+            known = np.append(number, -1)[at] == words.numbers
+            each = np.where(known, ratio[at], 0.0)
+            total = np.bincount(words.row, each[words.code], words.rows)
+            yield {n: batch.column(n) for n in keep} | {"_ratio": total / np.maximum(words.sizes(), 1)}
 
     source = docs.select(*keep, F.col("text").alias("_text"))
     return map_arrow(source, run, ", ".join(f"`{n}` {fields[n]}" for n in keep) + ", _ratio double")
@@ -160,7 +131,7 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     toxic, clean = np.sort(x[y == 1]), np.sort(x[y == 0])
     if not len(toxic) or not len(clean):
         return 1.0, -1.0
-    values = np.unique(x)
+    values = np.unique(np.append(x[x > 0], 0.0))  # a text without evidence is not toxic
     cuts = np.append((values[:-1] + values[1:]) / 2, values[-1] + 1)
     missed = np.searchsorted(toxic, cuts) / len(toxic)
     false = 1 - np.searchsorted(clean, cuts) / len(clean)
