@@ -97,17 +97,18 @@ def file_log_state(spark, sf):
 @query("batch_rollup", """
 SELECT event_type AS directory, count(*) AS total_files, count(*) FILTER (value < 30) AS indexed,
   count(*) FILTER (value >= 30 AND value < 60) AS skipped, count(*) FILTER (value >= 60) AS failed,
-  coalesce(sum(user_id) FILTER (value < 30), 0)::BIGINT AS total_chunks FROM events GROUP BY event_type
+  coalesce(sum(user_id) FILTER (value < 30), 0)::BIGINT AS total_chunks, round(avg(user_id), 6) AS seconds_per_file FROM events GROUP BY event_type
 UNION ALL SELECT NULL, count(*), count(*) FILTER (value < 30), count(*) FILTER (value >= 30 AND value < 60),
-  count(*) FILTER (value >= 60), coalesce(sum(user_id) FILTER (value < 30), 0)::BIGINT FROM events""")
+  count(*) FILTER (value >= 60), coalesce(sum(user_id) FILTER (value < 30), 0)::BIGINT, round(avg(user_id), 6) FROM events""")
 def batch_rollup(spark, sf):
     value = F.col("value")
     results = X.table(spark, sf, "events").select(
-        F.col("event_type").alias("directory"), F.col("user_id").alias("chunks"),
+        F.col("event_type").alias("directory"), F.col("user_id").alias("chunks"), F.col("user_id").alias("seconds"),
         F.when(value < 30, "indexed").when(value < 60, "skipped").otherwise("failed").alias("outcome"),
     )
     totals = ledger.batch_rollup(results).withColumn("directory", F.lit(None).cast("string"))
-    return ledger.batch_rollup(results, "directory").unionByName(totals)
+    rows = ledger.batch_rollup(results, "directory").unionByName(totals)
+    return rows.withColumn("seconds_per_file", F.round("seconds_per_file", 6))
 
 
 # rewrite of the exclusive articles' chunks with a smaller chunk size: in chunk
@@ -155,9 +156,25 @@ def delete_article(spark, sf):
     return store.read().groupBy("category").agg(F.count("*").alias("chunks"))
 
 
-@query("table_size")
+@query("table_size", f"WITH {Q.CHUNKS} SELECT count(*) AS chunks, true AS has_files, true AS has_bytes FROM chunks")
 def table_size(spark, sf):
-    return ChunkTable(spark, X.corpus_root(spark, sf)).size()
+    size = ChunkTable(spark, X.corpus_root(spark, sf)).size()
+    return size.select("chunks", (F.col("files") > 0).alias("has_files"), (F.col("bytes") > F.col("files")).alias("has_bytes"))
+
+
+@query("add_articles_last_wins", """
+SELECT md5('https://example.com/' || doc_id % 40) AS article_id, max_by('title ' || doc_id, doc_id) AS title, 1::BIGINT AS rows
+FROM documents WHERE length(regexp_replace("text", '^\\s+|\\s+$', '', 'g')) >= 100 GROUP BY 1""")
+def add_articles_last_wins(spark, sf):
+    """Articles written twice under one URL: the later one stays, in one row for each chunk."""
+    docs = X.table(spark, sf, "documents").filter(F.length(F.regexp_replace("text", r"^\s+|\s+$", "")) >= 100)
+    rows = docs.select(
+        F.md5(F.concat(F.lit("https://example.com/"), F.col("doc_id") % 40)).alias("article_id"), F.lit(0).alias("chunk_index"),
+        F.concat(F.lit("title "), F.col("doc_id")).alias("title"), "doc_id",
+    ).withColumn("chunk_id", F.concat("article_id", F.lit("_0")))
+    store = ChunkTable(spark, scratch_path(spark, "last-wins"), 8)
+    store.upsert(rows, order="doc_id")
+    return store.read().groupBy("article_id").agg(F.max("title").alias("title"), F.count("*").alias("rows"))
 
 
 @query("schema_evolution", f"WITH {Q.CHUNKS} SELECT count(*) AS chunks, count(*) AS empty_new_columns, 2 AS fields_added FROM chunks")

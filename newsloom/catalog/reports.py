@@ -16,14 +16,14 @@ HOURS = 240
 TOPICS = [TEXT, OTHER_TEXT, "geungunglich stheit"]
 
 
-def _recent(hours: int, limit: int) -> str:
+def _recent(hours: int) -> str:
     hits = f"hits AS (SELECT * FROM chunks WHERE published_at >= TIMESTAMP '{X.ASOF}' - INTERVAL {hours} HOUR)"
-    return f"{Q.CHUNKS}, {hits}{Q.collapsed('hits', limit)}"
+    return f"{Q.CHUNKS}, {hits}{Q.collapsed('hits')}"
 
 
-_TREND = _recent(HOURS, C.TREND_LIMIT) + """,
+_TREND = _recent(HOURS) + """,
 placed AS (SELECT *, row_number() OVER (ORDER BY published_at DESC, article_id) AS pos FROM newest),
-shares AS (SELECT category, count(*) AS articles, min(pos)::INT AS first_pos FROM placed WHERE coalesce(category, '') <> '' GROUP BY category),
+shares AS (SELECT category, count(*) AS articles, max(published_at) AS newest FROM placed WHERE coalesce(category, '') <> '' GROUP BY category),
 topics AS (SELECT row_number() OVER (ORDER BY pos)::INT AS no, title FROM placed WHERE title <> '' ORDER BY pos LIMIT 5)"""
 
 
@@ -40,7 +40,7 @@ def trend_topics(spark, sf):
 @query("trend_report", f"""
 WITH {_TREND} SELECT '=== 新闻趋势分析报告 ===' || chr(10) || '时间范围: 最近 {HOURS} 小时' || chr(10) || '文章总数: ' || (SELECT count(*) FROM placed) || ' 篇'
   || chr(10) || chr(10) || '--- 分类分布 ---' || chr(10)
-  || (SELECT string_agg('  - ' || category || ': ' || articles || ' 篇', chr(10) ORDER BY articles DESC, first_pos) FROM shares)
+  || (SELECT string_agg('  - ' || category || ': ' || articles || ' 篇', chr(10) ORDER BY articles DESC, newest DESC, category) FROM shares)
   || chr(10) || chr(10) || '--- 热门话题 Top 5 ---' || chr(10) || '  (基于标题的前 5 条新闻)' || chr(10)
   || (SELECT string_agg('  ' || no || '. ' || title, chr(10) ORDER BY no) FROM topics) || chr(10) AS report""")
 def trend_report(spark, sf):
@@ -50,7 +50,7 @@ def trend_report(spark, sf):
 def _topic(i: int, text: str, fetch: int) -> str:
     name = f"q{i}"
     return Q.hybrid(text, fetch, C.TOOL_WEIGHTS, name=name) + f""",
-{name}_top AS (SELECT '{text}' AS topic, * FROM {name} ORDER BY score DESC, chunk_id LIMIT {fetch})"""
+{name}_top AS (SELECT '{text}' AS topic, * FROM {name})"""
 
 
 def _ranked(texts: list[str], fetch: int, keep: int) -> str:
@@ -135,7 +135,7 @@ def database_latest(spark, sf):
 
 
 _SHARES = f"""
-WITH {Q.CHUNKS}, terms AS (SELECT category, count(*) AS n FROM chunks WHERE category IS NOT NULL GROUP BY category ORDER BY n DESC, category LIMIT 20),
+WITH {Q.CHUNKS}, terms AS (SELECT category, count(*) AS n FROM chunks WHERE category IS NOT NULL GROUP BY category),
 shares AS (SELECT string_agg('  ' || category || ': ' || n || ' 条记录', chr(10) ORDER BY n DESC, category) AS list FROM terms)"""
 
 
@@ -155,9 +155,9 @@ def database_overview(spark, sf):
 
 
 _DAY = Q.CHUNKS + f""",
-hits AS (SELECT * FROM chunks WHERE published_at >= DATE '{DAY}' AND published_at < DATE '{DAY}' + 1){Q.collapsed('hits', 500)},
+hits AS (SELECT * FROM chunks WHERE published_at >= DATE '{DAY}' AND published_at < DATE '{DAY}' + 1){Q.collapsed('hits')},
 placed AS (SELECT *, row_number() OVER (ORDER BY published_at DESC, article_id) AS pos FROM newest),
-groups AS (SELECT category, count(*) AS articles, min(pos)::INT AS first_pos, string_agg('- 「' || title || '」', chr(10) ORDER BY pos) AS titles,
+groups AS (SELECT category, count(*) AS articles, string_agg('- 「' || title || '」', chr(10) ORDER BY pos) AS titles,
   string_agg('- 「' || title || '」' || CASE WHEN article_summary <> '' THEN chr(10) || '  摘要: ' || article_summary ELSE chr(10) || '  内容: ' || substring(content, 1, 300) END, chr(10) || chr(10) ORDER BY pos) AS listing
   FROM placed GROUP BY category)"""
 

@@ -13,7 +13,7 @@ from newsloom.operators.lexical import PostingTable, keyword_search, postings
 from newsloom.operators.ranking import best_per_article, first_n
 from newsloom.operators.vector import vector_search
 from newsloom.plans.engine import Engine, Intent
-from newsloom.session import scratch_path, spread
+from newsloom.session import scratch_path
 from newsloom.sources import fixtures as X
 
 TEXT = "thin the therin onesen"
@@ -48,7 +48,7 @@ def recent_news_filtered(spark, sf):
 
 
 @query("articles_by_date", f"""
-WITH {Q.EVENTS}, hits AS (SELECT * FROM rows WHERE published_at >= DATE '{DAY}' AND published_at < DATE '{DAY}' + 1){Q.collapsed('hits', 500)}
+WITH {Q.EVENTS}, hits AS (SELECT * FROM rows WHERE published_at >= DATE '{DAY}' AND published_at < DATE '{DAY}' + 1){Q.collapsed('hits')}
 SELECT {_EVENT_SELECT} FROM newest""")
 def articles_by_date(spark, sf):
     return recency.articles_by_date(X.event_rows(spark, sf), DAY).select(*_EVENT_COLUMNS)
@@ -72,7 +72,7 @@ def collapse_articles(spark, sf):
 
 @query("chunks_of_article", f"""
 WITH {Q.CHUNKS}, longest AS (SELECT article_id FROM chunks GROUP BY article_id ORDER BY count(*) DESC, article_id LIMIT 1)
-SELECT chunk_id, chunk_index, content FROM chunks WHERE article_id = (SELECT article_id FROM longest) ORDER BY chunk_index LIMIT 100""")
+SELECT chunk_id, chunk_index, content FROM chunks WHERE article_id = (SELECT article_id FROM longest) ORDER BY chunk_index""")
 def chunks_of_article(spark, sf):
     chunks = X.corpus(spark, sf)
     longest = chunks.groupBy("article_id").count().orderBy(F.col("count").desc(), "article_id").first()["article_id"]
@@ -83,14 +83,14 @@ def chunks_of_article(spark, sf):
 
 @query("category_terms", """
 SELECT event_type || '-' || user_id AS category, count(*) AS doc_count FROM events WHERE event_type <> 'error'
-GROUP BY 1 ORDER BY doc_count DESC, category LIMIT 20""")
+GROUP BY 1""")
 def category_terms(spark, sf):
     category = F.when(F.col("category") != "error", F.concat_ws("-", "category", "article_id"))
     return recency.category_terms(X.event_rows(spark, sf).withColumn("category", category))
 
 
 @query("database_stats", f"""
-WITH {Q.CHUNKS}, terms AS (SELECT category, count(*) AS n FROM chunks WHERE category IS NOT NULL GROUP BY category ORDER BY n DESC, category LIMIT 20)
+WITH {Q.CHUNKS}, terms AS (SELECT category, count(*) AS n FROM chunks WHERE category IS NOT NULL GROUP BY category)
 SELECT count(*) AS total_chunks, count(DISTINCT article_id) AS total_articles, max(published_at) AS latest_date, min(published_at) AS oldest_date,
   (SELECT string_agg(category || '=' || n, ',' ORDER BY n DESC, category) FROM terms) AS categories FROM chunks""")
 def database_stats(spark, sf):
@@ -99,9 +99,13 @@ def database_stats(spark, sf):
     return stats.withColumn("categories", shown)
 
 
-@query("approximate_articles")
+@query("approximate_articles", "SELECT count(*) AS total_chunks, true AS close FROM events")
 def approximate_articles(spark, sf):
-    return recency.database_stats(X.event_rows(spark, sf)).select("total_chunks", "total_articles")
+    """The sketch's article count against the exact one; its deviation is 5 %, so 15 % is three of them."""
+    rows = X.event_rows(spark, sf)
+    exact = rows.agg(F.count_distinct("article_id")).scalar()
+    stats = recency.database_stats(rows)
+    return stats.select("total_chunks", (F.abs(F.col("total_articles") - exact) <= 0.15 * exact).alias("close"))
 
 
 # --- vectors -----------------------------------------------------------------------------------
@@ -120,10 +124,10 @@ def search_by_vector(spark, sf):
 
 
 @query("vector_search_filtered", f"""
-WITH {_VECTOR_ROWS}, {_NEAR}, top AS (SELECT * FROM near ORDER BY score DESC, chunk_id LIMIT 40)
-SELECT chunk_id, category, round(score, 6) AS score FROM top WHERE category = '7' AND is_exclusive ORDER BY top.score DESC, chunk_id LIMIT 20""")
+WITH {_VECTOR_ROWS}, {_NEAR}, top AS (SELECT * FROM near WHERE category = '7' AND is_exclusive)
+SELECT chunk_id, category, round(score, 6) AS score FROM top ORDER BY top.score DESC, chunk_id LIMIT 20""")
 def vector_search_filtered(spark, sf):
-    hits = vector_search(X.vector_rows(spark, sf), VECTOR, 20, category="7", exclusive_only=True)
+    hits = vector_search(X.vector_rows(spark, sf), VECTOR, 20, category="7", exclusive_only=True, columns=["category"])
     return _scored(hits, "chunk_id", "category")
 
 
@@ -158,7 +162,7 @@ _DOC_ROWS = "chunks AS (SELECT doc_id::VARCHAR AS chunk_id, \"text\" AS content
 
 
 def _doc_rows(spark, sf):
-    return spread(X.table(spark, sf, "documents"), "doc_id").select(
+    return X.table(spark, sf, "documents").select(
         F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").cast("string").alias("article_id"),
         F.col("text").alias("content"),
     )
@@ -222,10 +226,9 @@ def _top(k: int, source: str = "hybrid", columns: str = "chunk_id, article_id")
 _BASE = Q.CHUNKS + Q.vectors()
 
 
-def _deduped(source: str, fetch: int, k: int) -> str:
+def _deduped(source: str, k: int) -> str:
     return f""",
-top AS (SELECT * FROM {source} ORDER BY score DESC, chunk_id LIMIT {fetch}),
-best AS (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY score DESC, chunk_id) AS rn FROM top),
+best AS (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY score DESC, chunk_id) AS rn FROM {source}),
 kept AS (SELECT b.chunk_id, b.article_id, b.score, c.title, c.is_exclusive FROM best b JOIN chunks c USING (chunk_id) WHERE rn = 1 ORDER BY b.score DESC, b.chunk_id LIMIT {k})
 SELECT chunk_id, article_id, title, is_exclusive, round(score, 6) AS score FROM kept"""
 
@@ -275,12 +278,12 @@ def hybrid_search_strict(spark, sf):
 
 @query("semantic_mode", f"""
 WITH {_BASE}, near AS (SELECT v.chunk_id, c.article_id, {Q.similarity('content_vector', VECTOR)} AS score FROM vectors v JOIN chunks c USING (chunk_id))
-{_deduped('near', 20, 10)}""")
+{_deduped('near', 10)}""")
 def semantic_mode(spark, sf):
     return _scored(_engine(spark, sf).semantic(TEXT, 10), *_MODE_COLUMNS)
 
 
-@query("hybrid_mode", f"WITH {_BASE}{Q.hybrid(TEXT, 20, C.TOOL_WEIGHTS)}{_deduped('hybrid', 20, 10)}")
+@query("hybrid_mode", f"WITH {_BASE}{Q.hybrid(TEXT, 20, C.TOOL_WEIGHTS)}{_deduped('hybrid', 10)}")
 def hybrid_mode(spark, sf):
     return _scored(_engine(spark, sf).hybrid(TEXT, 10), *_MODE_COLUMNS)
 
@@ -304,7 +307,7 @@ def recent_fallback(spark, sf):
     return engine.recent(24, 5, "src2", exclusive_only=True).select(*_MODE_COLUMNS)
 
 
-@query("mode_dispatch", f"WITH {_BASE}{Q.hybrid(OTHER_TEXT, 12, C.TOOL_WEIGHTS)}{_deduped('hybrid', 12, 6)}")
+@query("mode_dispatch", f"WITH {_BASE}{Q.hybrid(OTHER_TEXT, 12, C.TOOL_WEIGHTS)}{_deduped('hybrid', 6)}")
 def mode_dispatch(spark, sf):
     # a mode nobody knows is hybrid, and the look-back is ignored there
     rows = _engine(spark, sf).execute(Intent(OTHER_TEXT, mode="surprise", hours_ago=1), 6)

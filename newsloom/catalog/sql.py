@@ -170,7 +170,7 @@ CHUNKS = ARTICLES + f""",
 folded AS (SELECT *, {packed(sentences('content'))} AS f FROM articles),
 chunk_lists AS (
   SELECT * EXCLUDE (f), list_concat(f.done, CASE WHEN len(f.cur) > 0 THEN [array_to_string(f.cur, ' ')] ELSE []::VARCHAR[] END) AS parts,
-         {lead(f"CASE WHEN length(content) > {C.ARTICLE_SUMMARY_INPUT_CHARS} THEN substring(content, 1, {C.ARTICLE_SUMMARY_INPUT_CHARS}) || '...' ELSE content END", 5)} AS article_summary
+         {lead("content", 5)} AS article_summary
   FROM folded
 ),
 chunks AS (
@@ -255,12 +255,13 @@ rows AS (
 )"""
 
 
-def collapsed(source: str, limit: int, name: str = "newest") -> str:
+def collapsed(source: str, limit: int | None = None, name: str = "newest") -> str:
+    cut = "" if limit is None else f" ORDER BY published_at DESC NULLS LAST, article_id LIMIT {limit}"
     return f""",
 {name}_ranked AS (
   SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY published_at DESC NULLS LAST, chunk_index, chunk_id) AS rn
   FROM {source}
 ),
 {name} AS (
-  SELECT * EXCLUDE (rn) FROM {name}_ranked WHERE rn = 1 ORDER BY published_at DESC NULLS LAST, article_id LIMIT {limit}
+  SELECT * EXCLUDE (rn) FROM {name}_ranked WHERE rn = 1{cut}
 )"""

@@ -19,6 +19,12 @@ def _stream(spark, sf, name):
     return I.table_stream(spark, sf, X.table(spark, sf, name).schema, pattern=f"{name}.parquet")
 
 
+def _event_files(spark, sf, root):
+    """``events`` dealt over four files without regard to time, one file per micro-batch."""
+    X.table(spark, sf, "events").repartition(4, "event_id").write.parquet(f"{root}/events")
+    return I.table_stream(spark, f"{root}/events", spark.read.parquet(f"{root}/events").schema, files_per_batch=1)
+
+
 @query("stream_index", f"""
 WITH {Q.CHUNKS}, c AS (SELECT path, count(*) AS n FROM articles JOIN chunks USING (article_id) GROUP BY path)
 SELECT (SELECT count(*) FROM c) AS indexed_files, (SELECT count(*) FROM files) - (SELECT count(*) FROM c) AS failed_files,
@@ -44,32 +50,23 @@ def stream_url_ledger(spark, sf):
     return spark.read.parquet(f"{root}/ledger").select("url")
 
 
-# windows and sessions that the watermark has closed, as the stream emits them
-_CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
-
-
-@query("stream_hourly_counts", f"""
-WITH h AS (SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS events FROM events GROUP BY 1, 2, 3)
-SELECT * FROM h WHERE window_end <= date_trunc('millisecond', {_CLOSED})""")
+@query("stream_hourly_counts", """
+SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS events
+FROM events GROUP BY 1, 2, 3""")
 def stream_hourly_counts(spark, sf):
     root = scratch_path(spark, "stream-hours")
-    rows = I.count_stream(_stream(spark, sf, "events"), ["event_type"], "1 hour")
-    I.run_to_folder(rows, f"{root}/out", f"{root}/progress")
-    naive = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
-    return spark.read.parquet(f"{root}/out").select(naive("window_start"), naive("window_end"), "event_type", "events")
+    I.count_stream(_event_files(spark, sf, root), ["event_type"], "1 hour", f"{root}/out", f"{root}/progress").awaitTermination()
+    return I.merged_counts(spark.read.parquet(f"{root}/out"), ["event_type"])
 
 
-@query("stream_sessions", f"""
+@query("stream_sessions", """
 WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS starts FROM events),
 s AS (SELECT user_id, ts, sum(starts) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
-SELECT user_id, count(*) AS events, min(ts) AS started, max(ts) AS last_event FROM s GROUP BY user_id, n
-HAVING max(ts) + INTERVAL 30 MINUTE <= date_trunc('millisecond', {_CLOSED})""")
+SELECT user_id, count(*) AS events, min(ts) AS started, max(ts) AS last_event FROM s GROUP BY user_id, n""")
 def stream_sessions(spark, sf):
     root = scratch_path(spark, "stream-sessions")
-    rows = I.session_stream(_stream(spark, sf, "events"), "user_id")
-    I.run_to_folder(rows, f"{root}/out", f"{root}/progress")
-    naive = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
-    return spark.read.parquet(f"{root}/out").select("user_id", "events", naive("started"), naive("last_event"))
+    I.session_stream(_event_files(spark, sf, root), "user_id", f"{root}/out", f"{root}/progress").awaitTermination()
+    return I.merged_sessions(spark.read.parquet(f"{root}/out"), "user_id")
 
 
 @query("stream_history", """
@@ -87,12 +84,12 @@ def stream_history(spark, sf):
 
 @query("stream_merge", """
 SELECT ts, 'step' AS type, event_type AS content, NULL::VARCHAR AS detail FROM events WHERE event_type = 'click'
-UNION ALL SELECT ts, 'delta', NULL, props FROM events WHERE event_type = 'view'""")
+UNION ALL SELECT ts, 'delta', NULL, props FROM events WHERE event_type <> 'click'""")
 def stream_merge(spark, sf):
     root = scratch_path(spark, "stream-merge")
     steps = _stream(spark, sf, "events").filter("event_type = 'click'").select(
         "ts", F.lit("step").alias("type"), F.col("event_type").alias("content"))
-    deltas = _stream(spark, sf, "events").filter("event_type = 'view'").select(
+    deltas = _stream(spark, sf, "events").filter("event_type <> 'click'").select(
         "ts", F.lit("delta").alias("type"), F.col("props").alias("detail"))
     I.run_to_folder(I.merged_stream(steps, deltas), f"{root}/out", f"{root}/progress")
     return spark.read.parquet(f"{root}/out")

@@ -8,12 +8,11 @@ from newsloom import constants as C
 from newsloom.catalog import query, sql as Q
 from newsloom.functions import dates, providers, render, replies, text as T
 from newsloom.operators import enrich, filters, ledger
-from newsloom.session import spread
 from newsloom.sources import articles as A, fixtures as X
 
 
 def _docs(spark, sf):
-    return spread(X.table(spark, sf, "documents"), "doc_id")
+    return X.table(spark, sf, "documents")
 
 
 @query("article_validate", f"""
@@ -109,7 +108,7 @@ def document_sizes(spark, sf):
 
 @query("summaries", f"""
 SELECT doc_id, {Q.lead('"text"', 2)} AS chunk_summary,
-  {Q.lead("CASE WHEN length(\"text\") > 15000 THEN substring(\"text\", 1, 15000) || '...' ELSE \"text\" END", 5)} AS article_summary FROM documents""")
+  {Q.lead('"text"', 5)} AS article_summary FROM documents""")
 def summaries(spark, sf):
     lead = providers.LeadSentences()
     return _docs(spark, sf).select(
@@ -176,7 +175,7 @@ def _written(spark, sf):
         .when(p == "4-NOT SPECIFIED", fmt("d MMM yyyy"))
         .otherwise(F.concat(fmt("H"), F.lit(" hours ago")))
     )
-    return spread(X.table(spark, sf, "orders"), "o_orderkey").select("o_orderkey", rendered.alias("text"))
+    return X.table(spark, sf, "orders").select("o_orderkey", rendered.alias("text"))
 
 
 # "May." is no accepted spelling, so those dates stay unread, as the rules say

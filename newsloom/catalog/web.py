@@ -8,7 +8,6 @@ from newsloom import constants as C
 from newsloom.catalog import query, sql as Q
 from newsloom.functions import html as H, text as T, urls
 from newsloom.operators import crawl, filters, ledger
-from newsloom.session import spread
 from newsloom.sources import fixtures as X
 
 ORIGIN = "https://example.com"
@@ -16,7 +15,7 @@ CRAWL_DAY = "2024-01-31"
 
 
 def _pages(spark, sf):
-    return spread(X.table(spark, sf, "pages"), "page_id")
+    return X.table(spark, sf, "pages")
 
 
 @query("url_normalize", f"SELECT page_id, {Q.normalize_url('url')} AS clean_url FROM pages")
@@ -224,17 +223,18 @@ def scraped_articles(spark, sf):
 
 @query("listing_merge", f"""
 WITH {_SCRAPED}, listed AS (
-  SELECT {Q.normalize_url('p.url')} AS url, 'Page ' || page_id AS title, l.quality = 1 AS flag
-  FROM pages p JOIN labels l ON l.doc_id = p.page_id)
+  SELECT {Q.normalize_url('p.url')} AS url, min('Page ' || page_id || ' ' || o) AS title, bool_or(l.quality = 1 AND o = 1) AS flag
+  FROM pages p JOIN labels l ON l.doc_id = p.page_id, (VALUES (1), (2)) t(o) GROUP BY 1)
 SELECT page_id, s.url, coalesce(nullif(s.title, ''), l.title) AS title, is_exclusive OR coalesce(l.flag, false) AS is_exclusive
 FROM scraped s LEFT JOIN listed l USING (url) WHERE length(content) >= 100""")
 def listing_merge(spark, sf):
     pages = X.table(spark, sf, "pages")
     labels = X.table(spark, sf, "labels").withColumnRenamed("doc_id", "page_id")
-    links = pages.select("page_id", "url").join(labels, "page_id").select(
+    # every URL is listed twice, once without its flag
+    links = pages.select("page_id", "url", F.explode(F.array(F.lit(1), F.lit(2))).alias("o")).join(labels, "page_id").select(
         urls.normalize_url(F.col("url")).alias("clean_url"),
-        F.concat(F.lit("Page "), F.col("page_id")).alias("title"),
-        (F.col("quality") == 1).alias("is_exclusive"),
+        F.concat(F.lit("Page "), F.col("page_id"), F.lit(" "), F.col("o")).alias("title"),
+        ((F.col("quality") == 1) & (F.col("o") == 1)).alias("is_exclusive"),
     )
     merged = crawl.merge_listing(crawl.extract_articles(_pages(spark, sf)), links)
     return merged.select("page_id", "url", "title", "is_exclusive")
@@ -243,10 +243,7 @@ def listing_merge(spark, sf):
 @query("article_files", f"""
 WITH n AS (
   SELECT page_id, {Q.category('url')} AS folder, {Q.slug('url')} AS slug FROM pages),
-r AS (SELECT *, row_number() OVER (PARTITION BY folder, slug ORDER BY page_id) AS turn,
-             count(*) OVER (PARTITION BY folder, slug) AS total FROM n),
-k AS (SELECT page_id, folder, slug, turn FROM r WHERE turn < 100
-      UNION ALL SELECT page_id, folder, slug, 100 FROM r WHERE total >= 100 AND turn = total)
+k AS (SELECT *, row_number() OVER (PARTITION BY folder, slug ORDER BY page_id) AS turn FROM n)
 SELECT page_id, folder || '/{CRAWL_DAY}/' || slug || CASE WHEN turn = 1 THEN '' ELSE '_' || (turn - 1) END || '.json' AS path FROM k""")
 def article_files(spark, sf):
     pages = X.table(spark, sf, "pages").select(

@@ -25,7 +25,6 @@ CATEGORY_LINK_CAP = 50
 MIN_LINK_TEXT_CHARS = 10
 BACKFILL_DAYS = 7
 MAX_SLUG_CHARS = 80
-MAX_FILE_SUFFIX = 99
 
 # --- fixed values: crawl seed categories and their site paths ----------------
 SEED_PATHS = {
@@ -166,13 +165,8 @@ FIELD_BOOSTS = {
 API_WEIGHTS = (0.7, 0.3)
 TOOL_WEIGHTS = (0.6, 0.4)
 RECENT_LIMIT = 50
-BY_DATE_LIMIT = 500
 LATEST_LIMIT = 5
-CHUNKS_PER_ARTICLE_LIMIT = 100
-TERMS_LIMIT = 20
-TREND_LIMIT = 200
-TREND_TITLE_LIMIT = 100
-EVALUATION_TITLE_LIMIT = 10
+DAILY_LISTED = 500
 DEFAULT_RECENT_HOURS = 72
 SESSION_TTL_MINUTES = 30
 SESSION_MESSAGE_LIMIT = 50

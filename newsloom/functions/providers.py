@@ -120,19 +120,18 @@ class LeadSentences:
         return F.when(X.is_blank(content), F.lit("")).otherwise(X.lead(content, self.chunk_sentences))
 
     def article(self, title: Column, content: Column) -> Column:
-        shown = X.preview(content, C.ARTICLE_SUMMARY_INPUT_CHARS)
-        return F.when(X.is_blank(content), F.lit("")).otherwise(X.lead(shown, self.article_sentences))
+        return F.when(X.is_blank(content), F.lit("")).otherwise(X.lead(content, self.article_sentences))
 
 
 class GeneratedSummaries:
     """Summaries from a ``prompt -> text`` function, called inside tasks.
 
-    A call that fails yields the empty string, as one bad article must not stop
-    a batch.
+    A call that fails yields null, as one bad article must not stop a batch and
+    must not look summarised.  ``max_input_chars`` is what the model can read.
     """
 
-    def __init__(self, generate: Callable[[str], str]) -> None:
-        self.generate = generate
+    def __init__(self, generate: Callable[[str], str], max_input_chars: int = C.ARTICLE_SUMMARY_INPUT_CHARS) -> None:
+        self.generate, self.max_input_chars = generate, max_input_chars
 
     def _run(self, prompts: Column) -> Column:
         generate = self.generate
@@ -145,7 +144,7 @@ class GeneratedSummaries:
                 try:
                     return generate(prompt)
                 except Exception:
-                    return ""
+                    return None
 
             return pa.array([one(p) for p in batch.to_pylist()], pa.string())
 
@@ -156,6 +155,6 @@ class GeneratedSummaries:
         return self._run(F.when(X.is_blank(content), F.lit("")).otherwise(prompt))
 
     def article(self, title: Column, content: Column) -> Column:
-        shown = X.preview(content, C.ARTICLE_SUMMARY_INPUT_CHARS)
+        shown = X.preview(content, self.max_input_chars)
         prompt = F.concat(F.lit("Summarize in three to five sentences.\nTitle: "), title, F.lit("\n\n"), shown)
         return self._run(F.when(X.is_blank(content), F.lit("")).otherwise(prompt))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from newsloom import constants as C
 from newsloom.functions import html as H, text as X, urls
 from newsloom.operators.ranking import first_n
 
+ALL_ROWS = 2**31 - 1
+
 
 def page_links(pages: DataFrame, inside: str | None = "h3", origin: str = "") -> DataFrame:
     """``(page_id, pos, href, url, text)`` of every link on every page."""
@@ -35,12 +37,17 @@ def article_links(links: DataFrame, domain: str | list[str]) -> DataFrame:
     )
 
 
-def link_quota(links: DataFrame, category: str = "category", home_cap: int = C.HOME_LINK_CAP, cap: int = C.CATEGORY_LINK_CAP) -> DataFrame:
-    """Links to fetch per category: exclusives first, then page order, up to the cap."""
+def link_quota(links: DataFrame, category: str = "category", home_cap: int | None = None, cap: int | None = None) -> DataFrame:
+    """Links to fetch per category: exclusives first, then page order, up to the caps.
+
+    The usual caps are ``HOME_LINK_CAP`` and ``CATEGORY_LINK_CAP``; without any
+    every link is numbered.
+    """
     order = [F.col("priority").asc(), F.col("pos").asc()]
-    ranked = first_n(links, [category], order, max(home_cap, cap), "turn")
-    limit = F.when(F.col(category) == "home", home_cap).otherwise(cap)
-    return ranked.filter(F.col("turn") <= limit)
+    bounded = home_cap is not None and cap is not None
+    ranked = first_n(links, [category], order, max(home_cap, cap) if bounded else ALL_ROWS, "turn")
+    limit = F.when(F.col(category) == "home", F.lit(home_cap)).otherwise(F.lit(cap))
+    return ranked.filter(F.col("turn") <= F.coalesce(limit, F.lit(ALL_ROWS)))
 
 
 def extract_articles(pages: DataFrame) -> DataFrame:
@@ -62,8 +69,9 @@ def extract_articles(pages: DataFrame) -> DataFrame:
 
 def merge_listing(scraped: DataFrame, links: DataFrame) -> DataFrame:
     """Scraped articles with what the listing said: title fallback, exclusive flag."""
-    listed = links.select(
-        F.col("clean_url").alias("url"), F.col("title").alias("_title"), F.col("is_exclusive").alias("_flag")
+    # a URL may be listed on several pages: the first title, exclusive if any says so
+    listed = links.groupBy(F.col("clean_url").alias("url")).agg(
+        F.min("title").alias("_title"), F.bool_or("is_exclusive").alias("_flag")
     )
     rows = scraped.join(listed, "url", "left")
     return rows.withColumn("title", F.coalesce(F.nullif(F.col("title"), F.lit("")), F.col("_title"))).withColumn(
@@ -72,33 +80,18 @@ def merge_listing(scraped: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def article_files(articles: DataFrame, day: str) -> DataFrame:
-    """Target path of each article file that survives name collisions.
+    """Target path of each article file.
 
-    Within (category, day, slug) the first file keeps the plain name, the next
-    99 get ``_1`` .. ``_99``, and any later one overwrites ``_99``: of the rows
-    past the last suffix only the newest counts, so a group never holds more
-    than a hundred rows here however often its slug occurs.
+    Within (category, day, slug) the first file keeps the plain name and the
+    later ones get ``_1``, ``_2`` and so on, in order of ``position``.
     """
-    named = articles.select(
-        "*",
-        F.coalesce(F.col("category"), F.lit(C.DEFAULT_CATEGORY)).alias("folder"),
-        F.lit(day).alias("day"),
-        urls.slug(F.col("url")).alias("slug"),
-    )
-    group = ["folder", "day", "slug"]
-    last_name = C.MAX_FILE_SUFFIX + 1
-    kept = first_n(named, group, [F.col("position").asc()], last_name, "turn")
-    newest = first_n(named, group, [F.col("position").desc()], 1).select(
-        *group, F.struct(*articles.columns).alias("_newest")
-    )
-    # the hundredth name always ends up with the newest row of its group
-    settled = kept.filter(F.col("turn") < last_name).select(*articles.columns, *group, "turn").unionByName(
-        kept.filter(F.col("turn") == last_name).select(*group, "turn")
-        .join(newest, group).select("_newest.*", *group, "turn")
-    )
-    suffix = F.when(F.col("turn") == 1, F.lit("")).otherwise(F.concat(F.lit("_"), (F.col("turn") - 1).cast("string")))
-    path = F.concat(F.col("folder"), F.lit("/"), F.col("day"), F.lit("/"), F.col("slug"), suffix, F.lit(".json"))
-    return settled.withColumn("path", path).drop("turn", *group)
+    folder = F.coalesce(F.col("category"), F.lit(C.DEFAULT_CATEGORY))
+    named = articles.withColumn("_folder", folder).withColumn("_slug", urls.slug(F.col("url")))
+    turn = F.row_number().over(Window.partitionBy("_folder", "_slug").orderBy("position"))
+    named = named.withColumn("_turn", turn)
+    suffix = F.when(F.col("_turn") == 1, F.lit("")).otherwise(F.concat(F.lit("_"), (F.col("_turn") - 1).cast("string")))
+    path = F.concat(F.col("_folder"), F.lit(f"/{day}/"), F.col("_slug"), suffix, F.lit(".json"))
+    return named.withColumn("path", path).drop("_folder", "_slug", "_turn")
 
 
 def crawl_totals(rows: DataFrame, *keys: str) -> DataFrame:

@@ -53,9 +53,13 @@ def hybrid_hits(
     category: str | None = None,
     exclusive_only: bool = False,
     pad_filtered: bool = True,
+    articles: int | None = None,
 ) -> DataFrame:
     """``(name, keys, article_id, score)`` of the top ``k`` chunks of each query.
 
+    With ``articles`` the best chunk of each article is kept first, and that many
+    articles come back; ``k`` then only says how near a vector has to be.
+
     Score = vector weight x similarity (only for the nearest ``k``, or ``2k``
     when filtered) + text weight x BM25.  A filter turns both clauses optional,
     so filtered searches are padded with score-0 rows unless told otherwise.
@@ -86,9 +90,13 @@ def hybrid_hits(
     rows = rows.select(*ids, name.alias("name"), (vector_part + F.col("text") * text_weight).alias("score"))
 
     order = [F.col("score").desc(), F.col("chunk_id").asc()]
-    if len(queries) == 1:
-        return rows.orderBy(*order).limit(k)
-    return first_n(rows, ["name"], order, k)
+    return _top(rows, "name", order, k, articles, len(queries))
+
+
+def _top(rows: DataFrame, key: str, order: list, k: int, articles: int | None, queries: int) -> DataFrame:
+    if articles is not None:
+        rows, k = first_n(rows, [key, "article_id"], order, 1), articles
+    return rows.orderBy(*order).limit(k) if queries == 1 else first_n(rows, [key], order, k)
 
 
 def indexed_hits(
@@ -97,6 +105,7 @@ def indexed_hits(
     queries: Sequence[Query],
     k: int = 5,
     weights: tuple[float, float] = C.API_WEIGHTS,
+    articles: int | None = None,
 ) -> DataFrame:
     """:func:`hybrid_hits` without a filter, from a posting table.
 
@@ -116,7 +125,7 @@ def indexed_hits(
     )
     rows = both.groupBy(*keys).agg(F.sum("part").alias("score"))
     top = [F.col("score").desc(), F.col("chunk_id").asc()]
-    rows = rows.orderBy(*top).limit(k) if len(queries) == 1 else first_n(rows, ["query_id"], top, k)
+    rows = _top(rows, "query_id", top, k, articles, len(queries))
     name = F.get(F.array(*[F.lit(q.name) for q in queries]), F.col("query_id"))
     return rows.select("chunk_id", "article_id", name.alias("name"), "score")
 
@@ -134,5 +143,5 @@ def hybrid_search(
 ) -> DataFrame:
     """Top ``k`` chunk rows of one query, best first."""
     hits = hybrid_hits(chunks, [Query(text, vector)], k, weights, category, exclusive_only, pad_filtered)
-    rows = with_rows(hits.drop("name"), chunks, columns, k)
+    rows = with_rows(hits.drop("name"), chunks, columns)
     return rows.orderBy(F.col("score").desc(), F.col("chunk_id").asc()).limit(k)

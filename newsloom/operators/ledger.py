@@ -41,13 +41,15 @@ def ledger_stats(indexed: DataFrame, failed: DataFrame) -> DataFrame:
 
 
 def batch_rollup(results: DataFrame, *groups: str) -> DataFrame:
-    """Indexed, skipped and failed files, chunks and seconds per file."""
+    """Indexed, skipped and failed files, chunks and, where ``seconds`` are known, seconds per file."""
+    timed = [F.avg("seconds").alias("seconds_per_file")] if "seconds" in results.columns else []
     return results.groupBy(*groups).agg(
         F.count("*").alias("total_files"),
         F.count_if(F.col("outcome") == "indexed").alias("indexed"),
         F.count_if(F.col("outcome") == "skipped").alias("skipped"),
         F.count_if(F.col("outcome") == "failed").alias("failed"),
         F.coalesce(F.sum(F.when(F.col("outcome") == "indexed", F.col("chunks"))), F.lit(0)).alias("total_chunks"),
+        *timed,
     )
 
 
@@ -61,7 +63,7 @@ def new_links(links: DataFrame, crawled: DataFrame, skipped: DataFrame | None =
     known = crawled.select("url")
     if skipped is not None:
         known = known.union(skipped.select("url"))
-    known = known.distinct().withColumnRenamed("url", "clean_url")
+    known = known.withColumnRenamed("url", "clean_url")
     return links.withColumn("clean_url", normalize_url(F.col("url"))).join(known, "clean_url", "left_anti")
 
 

@@ -28,13 +28,15 @@ def collapse(chunks: DataFrame) -> DataFrame:
     return first_n(chunks, ["article_id"], newest_first(), 1)
 
 
-def newest_articles(chunks: DataFrame, limit: int) -> DataFrame:
-    """Collapse, newest first, limit.
+def newest_articles(chunks: DataFrame, limit: int | None) -> DataFrame:
+    """Collapse, newest first, limit; without a limit every article, unordered.
 
     A narrow pass over two columns finds the publication time of the
     ``limit``-th newest article; only rows from that moment on are read in full.
     The cutoff is a scalar subquery, so it reaches the scan as a pushed filter.
     """
+    if limit is None:
+        return collapse(chunks)
     per_article = chunks.groupBy("article_id").agg(F.max("published_at").alias("newest"))
     cutoff = (
         per_article.orderBy(F.col("newest").desc_nulls_last()).limit(limit)

@@ -22,8 +22,8 @@ def recent_news(
     return newest_articles(filters.apply(rows, filters.wanted(category, exclusive_only)), limit)
 
 
-def articles_by_date(chunks: DataFrame, day: str, limit: int = C.BY_DATE_LIMIT) -> DataFrame:
-    """Articles of one calendar day, newest first, one row each."""
+def articles_by_date(chunks: DataFrame, day: str, limit: int | None = None) -> DataFrame:
+    """Articles of one calendar day, one row each: all of them, or the newest ``limit``."""
     return newest_articles(chunks.filter(filters.on_day(day)), limit)
 
 
@@ -33,24 +33,23 @@ def latest_articles(chunks: DataFrame, limit: int = C.LATEST_LIMIT, category: st
     return newest_articles(filters.apply(rows, filters.wanted(category)), limit)
 
 
-def chunks_of_article(chunks: DataFrame, article_id: str, limit: int = C.CHUNKS_PER_ARTICLE_LIMIT) -> DataFrame:
-    return chunks.filter(F.col("article_id") == article_id).orderBy("chunk_index", "chunk_id").limit(limit)
+def chunks_of_article(chunks: DataFrame, article_id: str, limit: int | None = None) -> DataFrame:
+    rows = chunks.filter(F.col("article_id") == article_id).orderBy("chunk_index", "chunk_id")
+    return rows if limit is None else rows.limit(limit)
 
 
-def category_terms(chunks: DataFrame, limit: int = C.TERMS_LIMIT) -> DataFrame:
-    """Largest categories by *chunk* count, ties by name; null is no category."""
-    return (
-        chunks.filter(F.col("category").isNotNull())
-        .groupBy("category").agg(F.count("*").alias("doc_count"))
-        .orderBy(F.col("doc_count").desc(), F.col("category").asc()).limit(limit)
-    )
+def category_terms(chunks: DataFrame, limit: int | None = None) -> DataFrame:
+    """Categories by *chunk* count, largest first, ties by name; null is no category."""
+    counts = chunks.filter(F.col("category").isNotNull()).groupBy("category").agg(F.count("*").alias("doc_count"))
+    ranked = counts.orderBy(F.col("doc_count").desc(), F.col("category").asc())
+    return ranked if limit is None else ranked.limit(limit)
 
 
 def database_stats(chunks: DataFrame, exact: bool = False) -> DataFrame:
-    """One row: chunk and article counts, date range, largest categories.
+    """One row: chunk and article counts, date range, categories with their counts.
 
     The article count is a sketch unless ``exact``; the category list is a
-    scalar subquery over at most ``TERMS_LIMIT`` rows.
+    scalar subquery over one row for each category.
     """
     articles = F.count_distinct("article_id") if exact else F.approx_count_distinct("article_id")
     totals = chunks.agg(

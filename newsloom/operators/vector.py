@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from newsloom.operators import filters
+from newsloom.operators.ranking import first_n
 
 
 def similarities(vector: str, queries: Sequence[Sequence[float]]) -> Column:
@@ -51,33 +52,22 @@ def row_keys(chunks: DataFrame) -> list[str]:
     return [c for c in ("bucket", "chunk_id") if c in chunks.columns]
 
 
-def nearest(chunks: DataFrame, query: Sequence[float], k: int, keep: Sequence[str] = ()) -> DataFrame:
-    """Keys and scores of the ``k`` nearest chunks; reads no text."""
+def scored(chunks: DataFrame, query: Sequence[float], keep: Sequence[str] = ()) -> DataFrame:
+    """Keys and scores of all chunks; reads no text."""
     keys = row_keys(chunks)
-    return (
-        chunks.select(*dict.fromkeys([*keys, *keep]), F.explode(similarities("content_vector", [query])).alias("score"))
-        .orderBy(F.col("score").desc(), F.col("chunk_id").asc())
-        .limit(k)
-    )
+    return chunks.select(
+        *dict.fromkeys([*keys, *keep]), F.explode(similarities("content_vector", [query])).alias("score"))
 
 
-BROADCAST_HITS = 10_000
-
-
-def with_rows(hits: DataFrame, chunks: DataFrame, columns: Sequence[str], bound: int) -> DataFrame:
-    """Add display columns to at most ``bound`` hits.
-
-    Few hits are broadcast, which lets a bucketed chunk table prune its scan;
-    beyond :data:`BROADCAST_HITS` Spark chooses the join from measured sizes.
-    """
+def with_rows(hits: DataFrame, chunks: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Add display columns to hits; adaptive execution picks the join from their measured size."""
     keys = row_keys(chunks)
     missing = [c for c in columns if c not in hits.columns]
     if not missing:
         return hits
     rows = chunks.select(*keys, *[c for c in missing if c not in keys])
     # every score passes; Spark prunes partitions only for a side with a filter
-    hits = hits.filter(F.col("score") >= -1.0)
-    return rows.join(F.broadcast(hits) if bound <= BROADCAST_HITS else hits, keys)
+    return rows.join(hits.filter(F.col("score") >= -1.0), keys)
 
 
 def vector_search(
@@ -88,19 +78,18 @@ def vector_search(
     category: str | None = None,
     exclusive_only: bool = False,
     columns: Sequence[str] = (),
+    per_article: bool = False,
 ) -> DataFrame:
-    """Top ``k`` chunks by similarity.
+    """Top ``k`` chunks by similarity of those that pass the filters.
 
-    With a filter, the ``2k`` nearest are taken first and filtered afterwards,
-    so fewer than ``k`` rows may be left.  That order is part of the contract.
+    ``per_article`` keeps the best chunk of each article before the cut, so ``k``
+    articles come back wherever ``k`` match.
     """
-    condition = filters.wanted(category, exclusive_only)
-    if condition is None:
-        hits = nearest(chunks, query, k, ["article_id"])
-    else:
-        used = [c for c, on in (("category", category), ("is_exclusive", exclusive_only)) if on]
-        hits = nearest(chunks, query, 2 * k, ["article_id", *used]).filter(condition)
-        hits = hits.orderBy(F.col("score").desc(), F.col("chunk_id").asc()).limit(k)
+    order = [F.col("score").desc(), F.col("chunk_id").asc()]
+    rows = filters.apply(chunks, filters.wanted(category, exclusive_only))
+    hits = scored(rows, query, ["article_id"])
     if min_score > 0:
         hits = hits.filter(F.col("score") >= min_score)
-    return with_rows(hits, chunks, columns, k).orderBy(F.col("score").desc(), F.col("chunk_id").asc()).limit(k)
+    if per_article:
+        hits = first_n(hits, ["article_id"], order, 1)
+    return with_rows(hits.orderBy(*order).limit(k), chunks, columns).orderBy(*order).limit(k)

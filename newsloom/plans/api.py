@@ -15,6 +15,7 @@ from newsloom.operators import enrich, filters, recency, sessions
 from newsloom.operators.hybrid import hybrid_search
 from newsloom.operators.vector import vector_search
 from newsloom.plans.engine import Engine, ROW_COLUMNS
+from newsloom.session import path_exists
 from newsloom.sources.articles import request_articles
 from newsloom.sources.chunk_table import ChunkTable
 
@@ -41,10 +42,10 @@ class Api:
         return self.table.ensure_schema()
 
     def add_articles(self, payloads: list[dict], crawled_at: str) -> dict:
-        """Index articles handed over by a caller."""
+        """Index articles handed over by a caller; of payloads with one URL the last one stays."""
         rows = request_articles(self.spark, payloads, self.default_source)
-        chunks = enrich.process_articles(rows, F.lit(crawled_at), self.engine.embedder)
-        return self.table.upsert(chunks)
+        chunks = enrich.process_articles(rows, F.lit(crawled_at), self.engine.embedder, keep=["payload"])
+        return self.table.upsert(chunks, order="payload")
 
     def search(self, text: str, k: int = 5, use_hybrid: bool = True) -> DataFrame:
         """Chunk rows, not deduplicated by article; ``k`` is taken as given."""
@@ -79,12 +80,10 @@ class ChatLog:
         self.spark, self.root = spark, root.rstrip("/")
 
     def _read(self, name: str, schema) -> DataFrame:
-        from pyspark.errors import AnalysisException
-
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
-        except AnalysisException:
+        path = f"{self.root}/{name}"
+        if not path_exists(self.spark, path):
             return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(path)
 
     def messages(self) -> DataFrame:
         return self._read("messages", S.MESSAGE)

@@ -92,25 +92,29 @@ class Engine:
 
     # --- search modes -------------------------------------------------------------
     def semantic(self, text: str, k: int, category: str | None = None, exclusive_only: bool = False) -> DataFrame:
-        """Best chunk per article among the ``2k`` nearest chunks."""
+        """The ``k`` articles with the nearest chunks, each with its best chunk."""
         if not text.strip():
             return self._none()
-        hits = vector_search(self.chunks, self.embed(text), 2 * k, 0.0, category, exclusive_only)
-        return with_rows(best_per_article(hits, k), self.chunks, ROW_COLUMNS, k)
+        hits = vector_search(self.chunks, self.embed(text), k, 0.0, category, exclusive_only, per_article=True)
+        return with_rows(hits, self.chunks, ROW_COLUMNS)
 
     def hybrid(self, text: str, k: int, category: str | None = None, exclusive_only: bool = False) -> DataFrame:
-        """Best chunk per article among the ``2k`` best hybrid chunks."""
+        """The ``k`` best articles by hybrid score, each with its best chunk.
+
+        The vector clause covers the ``2k`` nearest chunks.
+        """
         if not text.strip():
             return self._none()
         asked = [Query(text, self.embed(text))]
-        hits = self._hits(asked, 2 * k, category, exclusive_only)
-        return with_rows(best_per_article(hits.drop("name"), k), self.chunks, ROW_COLUMNS, k)
+        hits = self._hits(asked, 2 * k, category, exclusive_only, articles=k)
+        return with_rows(hits.drop("name"), self.chunks, ROW_COLUMNS)
 
-    def _hits(self, asked: list[Query], k: int, category: str | None = None, exclusive_only: bool = False) -> DataFrame:
+    def _hits(self, asked: list[Query], k: int, category: str | None = None, exclusive_only: bool = False,
+              articles: int | None = None) -> DataFrame:
         """Hybrid hits, from the posting table when there is one and no filter."""
         if self.index is not None and not category and not exclusive_only:
-            return indexed_hits(self.chunks, self.index, asked, k, C.TOOL_WEIGHTS)
-        return hybrid_hits(self.chunks, asked, k, C.TOOL_WEIGHTS, category, exclusive_only)
+            return indexed_hits(self.chunks, self.index, asked, k, C.TOOL_WEIGHTS, articles)
+        return hybrid_hits(self.chunks, asked, k, C.TOOL_WEIGHTS, category, exclusive_only, articles=articles)
 
     def recent(self, hours: int, k: int, category: str | None = None, exclusive_only: bool = False) -> DataFrame:
         """Newest articles of the window; an empty window falls back to the
@@ -131,11 +135,11 @@ class Engine:
 
     # --- evaluate and retry ------------------------------------------------------------
     def evaluate(self, query: str, results: DataFrame) -> int:
-        """Quality 1-5: how many query terms the first titles mention.
+        """Quality 1-5: how many query terms the titles mention.
 
         Stands in for the model's own judgement; no results score 1.
         """
-        titles = results.limit(C.EVALUATION_TITLE_LIMIT).select("title").collect()
+        titles = results.select("title").collect()  # the k rows of a search
         if not titles:
             return 1
         asked = set(query_terms(query))
@@ -164,7 +168,7 @@ class Engine:
     def batch(self, queries: Sequence[tuple[str, str]], k: int, per_query: int) -> DataFrame:
         """Hybrid search of several named texts in one pass, best chunk per article."""
         asked = [Query(text, self.embed(text), name) for name, text in queries]
-        hits = self._hits(asked, k)
+        hits = self._hits(asked, k, articles=per_query)
         if len(asked) == 1:
             return best_per_article(hits, per_query, rank="rank")
         return best_per_article(hits, per_query, ["name"], rank="rank")

@@ -1,7 +1,7 @@
 """Reports: query results, trends, comparison, research, corpus info, daily briefing.
 
-Every report is built from a result that a limit has already made small (at
-most 500 rows), so collecting its lines into one row is bounded.  Without a
+Counts and shares are taken over everything a report covers; the lines it shows
+come from results that a limit has made small, so collecting them is bounded.  Without a
 text generator the reports use their plain, deterministic layout.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from newsloom import constants as C
 from newsloom.functions import dates, render, replies, text as X
 from newsloom.operators import recency
-from newsloom.operators.ranking import best_per_article, numbered
+from newsloom.operators.ranking import best_per_article, first_n, numbered
 from newsloom.operators.vector import with_rows
 from newsloom.plans.engine import Engine, Intent, ROW_COLUMNS, analyze
 
@@ -80,24 +80,24 @@ def news_query_report(engine: Engine, query: str, max_results: int = 5, intent:
 # --- trends ----------------------------------------------------------------------------
 
 def trend_articles(engine: Engine, category: str | None = None, hours: int = 72) -> DataFrame:
+    """Every article of the window, one row each."""
     hours = C.clamp("trend_hours", hours)
-    rows = recency.recent_news(engine.chunks, engine.asof, hours, C.TREND_LIMIT, category)
-    return numbered(rows, _newest(), "pos")
+    return recency.recent_news(engine.chunks, engine.asof, hours, None, category)
 
 
 def category_distribution(articles: DataFrame) -> DataFrame:
-    """Articles per category, most first, ties in order of appearance."""
+    """Articles per category, most first, ties to the newest article."""
     return (
         articles.filter(F.coalesce(F.col("category"), F.lit("")) != "")
-        .groupBy("category").agg(F.count("*").alias("articles"), F.min("pos").alias("first_pos"))
-        .orderBy(F.col("articles").desc(), F.col("first_pos").asc())
+        .groupBy("category").agg(F.count("*").alias("articles"), F.max("published_at").alias("newest"))
+        .orderBy(F.col("articles").desc(), F.col("newest").desc(), F.col("category").asc())
     )
 
 
 def title_topics(articles: DataFrame, top_n: int) -> DataFrame:
-    """The first titles, which stand for topics when no model names any."""
-    titled = articles.filter(F.coalesce(F.col("title"), F.lit("")) != "")
-    return numbered(titled.orderBy("pos").limit(top_n), [F.col("pos").asc()]).select("no", "title")
+    """The newest titles, which stand for topics when no model names any."""
+    titled = articles.filter(F.coalesce(F.col("title"), F.lit("")) != "").select("published_at", "article_id", "title")
+    return numbered(titled.orderBy(*_newest()).limit(top_n), _newest()).select("no", "title")
 
 
 def trend_report(engine: Engine, category: str | None = None, hours: int = 72, top_n: int = 5) -> DataFrame:
@@ -105,7 +105,7 @@ def trend_report(engine: Engine, category: str | None = None, hours: int = 72, t
     articles = trend_articles(engine, category, hours)
     total = articles.agg(F.count("*")).scalar()
     shares = category_distribution(articles).agg(
-        _lines([(-F.col("articles")).alias("a"), "first_pos"],
+        _lines([(-F.col("articles")).alias("a"), (-F.unix_micros(F.col("newest").cast("timestamp"))).alias("n"), "category"],
                F.concat(F.lit("  - "), F.col("category"), F.lit(": "), F.col("articles").cast("string"), F.lit(" 篇")))
     ).scalar()
     topics = title_topics(articles, top_n)
@@ -133,7 +133,7 @@ def compare_topics(engine: Engine, topics: Sequence[str], max_per_topic: int = 3
     names = list(dict.fromkeys(t.strip() for t in topics if t.strip()))
     limit = C.clamp("compare_per_topic", max_per_topic)
     hits = engine.batch([(t, t) for t in names], 2 * limit, limit)
-    rows = with_rows(hits, engine.chunks, ROW_COLUMNS, limit * len(names))
+    rows = with_rows(hits, engine.chunks, ROW_COLUMNS)
     return rows.select(
         F.col("name").alias("topic"), "rank", "article_id", "score",
         _filled(F.col("title"), "N/A").alias("title"),
@@ -204,7 +204,7 @@ def research_articles(
     per_angle = max(2, limit // len(angles) + 1)
     hits = engine.batch(angles, 2 * per_angle, per_angle)
     merged = best_per_article(hits.drop("rank"), limit, rank="no")
-    return with_rows(merged, engine.chunks, ROW_COLUMNS, limit)
+    return with_rows(merged, engine.chunks, ROW_COLUMNS)
 
 
 def research_report(
@@ -281,23 +281,30 @@ def _latest_report(engine: Engine, category: str | None, limit: int) -> DataFram
 
 # --- daily briefing ------------------------------------------------------------------------------
 
-def daily_groups(engine: Engine, day: str) -> DataFrame:
-    """A day's articles (at most 500) per category, newest first inside each."""
-    rows = recency.articles_by_date(engine.chunks, day)
+def daily_articles(engine: Engine, day: str) -> DataFrame:
+    """Every article of a day, one row each."""
     category = F.coalesce(F.nullif(F.col("category"), F.lit("")), F.lit(C.DEFAULT_CATEGORY))
-    rows = numbered(rows.withColumn("category", category), _newest(), "pos")
+    return recency.articles_by_date(engine.chunks, day).withColumn("category", category)
+
+
+def daily_groups(engine: Engine, day: str, listed: int = C.DAILY_LISTED) -> DataFrame:
+    """A day's articles per category: how many, and the texts of the newest ``listed``.
+
+    Counts cover the whole day; ``listed`` bounds what a report shows of it.
+    """
+    rows = daily_articles(engine, day)
     summary = render.summary(F.col("article_summary"), F.col("chunk_summary"))
     note = F.when(summary != "", F.concat(F.lit("\n  摘要: "), summary)).when(
         F.coalesce(F.col("content"), F.lit("")) != "",
         F.concat(F.lit("\n  内容: "), F.substring("content", 1, C.DAILY_PREVIEW_CHARS)),
     ).otherwise(F.lit(""))
     title = F.concat(F.lit("- 「"), F.col("title"), F.lit("」"))
-    return rows.groupBy("category").agg(
-        F.count("*").alias("articles"),
-        F.min("pos").alias("first_pos"),
+    counts = rows.groupBy("category").agg(F.count("*").alias("articles"))
+    shown = first_n(rows, ["category"], _newest(), listed, "pos").groupBy("category").agg(
         _lines(["pos"], title).alias("titles"),
         _lines(["pos"], F.concat(title, note), "\n\n").alias("listing"),
     )
+    return counts.join(shown, "category")
 
 
 def daily_summaries(engine: Engine, day: str) -> DataFrame:

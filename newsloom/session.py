@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Settings that only change how a plan runs, never what it returns.
 RUNTIME_CONF = {
@@ -66,14 +66,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/newsloom/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-repartition a *scan* that has fewer splits than there are cores.
-
-    A table of many files already has enough splits, so nothing is shuffled at
-    scale; a single small file would otherwise run its whole stage on one core.
-    Only call this on plans without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whatever store Spark reads it from."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place))

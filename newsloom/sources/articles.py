@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from newsloom import schemas as S
 from newsloom.functions import dates, text as X, urls
@@ -74,7 +74,7 @@ def clean(files: DataFrame, default_source: str, keep: list[str] = []) -> DataFr
 
 
 def request_articles(spark: SparkSession, payloads: list[dict], default_source: str) -> DataFrame:
-    """Articles handed over as request payloads instead of files."""
-    rows = [tuple(p.get(f) for f in S.ARTICLE_FILE.fieldNames()) for p in payloads]
-    files = spark.createDataFrame(rows, S.ARTICLE_FILE)
-    return clean(files, default_source)
+    """Articles handed over as request payloads instead of files, with their position."""
+    rows = [(i, *[p.get(f) for f in S.ARTICLE_FILE.fieldNames()]) for i, p in enumerate(payloads)]
+    schema = StructType([StructField("payload", LongType()), *S.ARTICLE_FILE.fields])
+    return clean(spark.createDataFrame(rows, schema), default_source, keep=["payload"])

@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -53,13 +54,15 @@ class ChunkTable:
     def _publish(self, snapshot: dict) -> None:
         version = snapshot.get("version", 0) + 1
         fs, final = self._fs(f"snapshots/{version:012d}.json")
-        _, fresh = self._fs(f"staged/{uuid.uuid4().hex}.tmp")
-        out = fs.create(fresh, True)
+        fs.mkdirs(final.getParent())
+        try:
+            out = fs.create(final, False)  # of two writers one finds the file there
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" not in str(error.java_exception.getClass().getName()):
+                raise
+            raise RuntimeError(f"another writer published version {version} of {self.root}") from error
         out.write(bytearray(json.dumps({**snapshot, "version": version}).encode()))
         out.close()
-        fs.mkdirs(final.getParent())
-        if fs.exists(final) or not fs.rename(fresh, final):
-            raise RuntimeError(f"another writer published version {version} of {self.root}")
 
     # --- lifecycle ----------------------------------------------------------------
     def exists(self) -> bool:
@@ -175,6 +178,8 @@ class ChunkTable:
         fresh = self.spark.read.parquet(staged)
         if order is not None:
             fresh = first_n(fresh, ["bucket", "chunk_id"], [F.col("_order").desc()], 1).drop("_order")
+        elif not fresh.groupBy("chunk_id").count().filter("count > 1").isEmpty():
+            raise ValueError("rows repeat a chunk_id; say by which column the last one is found")
         touched = self._touched(fresh)
         if not touched:
             return {"written": 0, "buckets": 0}
@@ -188,6 +193,8 @@ class ChunkTable:
     def delete_article(self, article_id: str) -> int:
         """Remove an article's chunks; returns how many there were."""
         snapshot = self._snapshot()
+        if snapshot is None:
+            return 0
         bucket = F.pmod(F.xxhash64(F.lit(article_id)), F.lit(snapshot["buckets"])).cast("int")
         touched = [self.spark.range(1).select(bucket.alias("b")).first()["b"]]
         old = self._read(snapshot, touched)

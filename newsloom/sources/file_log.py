@@ -10,9 +10,9 @@ from __future__ import annotations
 import time
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.errors import AnalysisException
 
 from newsloom.operators.ledger import ledger_stats
+from newsloom.session import path_exists
 
 LOG = "path string, outcome string, article_id string, chunks long, error string, at timestamp_ntz, seq long"
 
@@ -23,10 +23,9 @@ class FileLog:
 
     def read(self) -> DataFrame:
         """All log rows; a log that was never written is empty."""
-        try:
-            return self.spark.read.schema(LOG).parquet(self.path)
-        except AnalysisException:
+        if not path_exists(self.spark, self.path):
             return self.spark.createDataFrame([], LOG)
+        return self.spark.read.schema(LOG).parquet(self.path)
 
     def append(self, results: DataFrame, seq: int | None = None) -> None:
         """Append ``(path, outcome, article_id, chunks, error, at)`` rows."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsloom.functions import text as X
 from newsloom.operators import enrich
-from newsloom.session import scratch_path, spread
+from newsloom.session import scratch_path
 from newsloom.sources.chunk_table import ChunkTable
 
 FIRST_MOMENT = "2024-01-01 00:00:00"
@@ -29,7 +29,7 @@ def article_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.nullif(F.substring(X.lead(F.col("text"), 1), 1, TITLE_CHARS), F.lit(""))
     published = F.timestamp_add("MINUTE", F.pmod(F.col("doc_id") * 7919, F.lit(MINUTES)), F.lit(FIRST_MOMENT).cast("timestamp_ntz"))
     return (
-        spread(docs, "doc_id").join(labels, "doc_id", "left")
+        docs.join(labels, "doc_id", "left")
         .select(
             F.concat(F.lit("articles/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".json")).alias("path"),
             "doc_id",

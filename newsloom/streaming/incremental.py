@@ -7,11 +7,10 @@ stream continues where it was.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructField, StructType
@@ -19,7 +18,9 @@ from pyspark.sql.types import StructField, StructType
 from newsloom import constants as C
 from newsloom import schemas as S
 from newsloom.functions import urls
+from newsloom.operators.sessions import activity_sessions
 from newsloom.plans.ingest import Indexer
+from newsloom.session import path_exists
 
 
 def table_stream(spark: SparkSession, folder: str, schema: StructType, files_per_batch: int = 5, pattern: str | None = None) -> DataFrame:
@@ -54,7 +55,7 @@ def index_stream(articles: DataFrame, indexer: Indexer, checkpoint: str, asof: s
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
         if not batch.isEmpty():
-            indexer.index_files(batch, asof, seq=batch_id)
+            indexer.index_files(batch, asof)  # the log orders batch and stream runs by one clock
 
     return (
         articles.writeStream.foreachBatch(handle)
@@ -67,12 +68,10 @@ def url_ledger_stream(links: DataFrame, ledger: str, checkpoint: str) -> Streami
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         fresh = batch.select(urls.normalize_url(F.col("url")).alias("url")).distinct()
-        try:
+        if path_exists(spark, ledger):
             # a repeated batch must not count its own first attempt as known
             known = spark.read.schema("url string, batch long").parquet(ledger).filter(F.col("batch") != batch_id)
             fresh = fresh.join(known, "url", "left_anti")
-        except AnalysisException:
-            pass
         fresh.write.mode("overwrite").parquet(f"{ledger}/batch={batch_id}")
 
     return (
@@ -81,27 +80,59 @@ def url_ledger_stream(links: DataFrame, ledger: str, checkpoint: str) -> Streami
     )
 
 
-def with_event_time(events: DataFrame, column: str = "ts") -> DataFrame:
-    """Watermarks need a zoned timestamp; naive times are read as session time (UTC)."""
-    return events.withColumn(column, F.col(column).cast("timestamp"))
+def folded_stream(events: DataFrame, fold: Callable[[DataFrame], DataFrame], target: str, checkpoint: str) -> StreamingQuery:
+    """Fold each micro-batch and store the result as one ``batch=`` folder.
 
+    Nothing waits for a watermark, so late rows count and open windows are there
+    at once; a repeated batch replaces its folder.  Readers combine the folders
+    with :func:`merged_sessions` or :func:`merged_counts`.
+    """
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        fold(batch).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
-def session_stream(events: DataFrame, key: str, minutes: int = C.SESSION_TTL_MINUTES, delay: str = "1 hour") -> DataFrame:
-    """Activity runs per key, emitted once the watermark has passed their end."""
-    window = F.session_window("ts", f"{minutes} minutes")
-    rows = with_event_time(events).withWatermark("ts", delay).groupBy(key, window.alias("w")).agg(
-        F.count("*").alias("events"), F.min("ts").alias("started"), F.max("ts").alias("last_event")
+    return (
+        events.writeStream.foreachBatch(handle)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
-    return rows.drop("w")
 
 
-def count_stream(events: DataFrame, keys: list[str], width: str, slide: str | None = None, delay: str = "1 hour") -> DataFrame:
-    """Tumbling or sliding window counts per key."""
-    window = F.window("ts", width, slide) if slide else F.window("ts", width)
-    rows = with_event_time(events).withWatermark("ts", delay).groupBy(window.alias("w"), *keys).agg(
-        F.count("*").alias("events")
-    )
-    return rows.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, "events")
+def session_stream(
+    events: DataFrame, key: str, target: str, checkpoint: str, minutes: int = C.SESSION_TTL_MINUTES
+) -> StreamingQuery:
+    """Activity runs per key and micro-batch."""
+    return folded_stream(events, lambda batch: activity_sessions(batch, key, minutes), target, checkpoint)
+
+
+def merged_sessions(pieces: DataFrame, key: str, minutes: int = C.SESSION_TTL_MINUTES) -> DataFrame:
+    """Activity runs from the pieces of all micro-batches, in whatever order they came.
+
+    Pieces whose gap is at most ``minutes`` belong together.
+    """
+    before = Window.partitionBy(key).orderBy("started", "last_event").rowsBetween(Window.unboundedPreceding, -1)
+    reached = F.max("last_event").over(before)
+    apart = reached.isNull() | (F.col("started") > reached + F.make_dt_interval(mins=F.lit(minutes)))
+    upto = Window.partitionBy(key).orderBy("started", "last_event").rowsBetween(Window.unboundedPreceding, 0)
+    runs = pieces.withColumn("_new", apart.cast("int")).withColumn("_run", F.sum("_new").over(upto))
+    return runs.groupBy(key, "_run").agg(
+        F.sum("events").alias("events"), F.min("started").alias("started"), F.max("last_event").alias("last_event")
+    ).drop("_run")
+
+
+def count_stream(
+    events: DataFrame, keys: list[str], width: str, target: str, checkpoint: str, slide: str | None = None
+) -> StreamingQuery:
+    """Tumbling or sliding window counts per key and micro-batch."""
+    def fold(batch: DataFrame) -> DataFrame:
+        window = F.window("ts", width, slide) if slide else F.window("ts", width)
+        rows = batch.groupBy(window.alias("w"), *keys).agg(F.count("*").alias("events"))
+        return rows.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, "events")
+
+    return folded_stream(events, fold, target, checkpoint)
+
+
+def merged_counts(pieces: DataFrame, keys: list[str]) -> DataFrame:
+    """Window counts over all micro-batches."""
+    return pieces.groupBy("window_start", "window_end", *keys).agg(F.sum("events").alias("events"))
 
 
 HISTORY_OUT = "session_id string, kept long, oldest_seq long, newest_seq long"

@@ -9,8 +9,7 @@ from newsloom.operators import recency, sessions
 from newsloom.operators.hybrid import hybrid_search
 from newsloom.operators.lexical import keyword_search
 from newsloom.operators.ranking import collapse
-from newsloom.operators.vector import nearest, vector_search
-from newsloom.session import spread
+from newsloom.operators.vector import vector_search
 from newsloom.sources import fixtures as X
 
 
@@ -33,7 +32,7 @@ def test_recent_pushes_the_window_to_the_scan(spark, sf):
 
 
 def test_nearest_reads_no_text(spark, sf):
-    text = plan(nearest(X.corpus(spark, sf), [1.0] * 64, 5))
+    text = plan(vector_search(X.corpus(spark, sf), [1.0] * 64, 5))
     assert "content:string" not in text and "TakeOrderedAndProject" in text and "Exchange" not in text
 
 
@@ -62,12 +61,6 @@ def test_busy_keys_merge_sessions_before_the_shuffle(spark, sf):
     assert text.count("MergingSessions") >= 2
 
 
-def test_spread_leaves_wide_tables_alone(spark):
-    wide = spark.range(0, 1000, 1, 64)
-    assert spread(wide, "id") is wide
-    assert spread(spark.range(0, 10, 1, 1), "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-
-
 def test_hot_article_is_collapsed_right(spark):
     rows = spark.range(30000).select(
         F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("article_id"),

@@ -162,9 +162,8 @@ def test_supplied_summary_wins(spark):
 def test_file_names_collide(spark):
     rows = spark.createDataFrame([(i, "https://x.com/a/same", "c") for i in range(130)], "position long, url string, category string")
     out = {r["path"]: r["position"] for r in crawl.article_files(rows, "2026-01-01").collect()}
-    assert len(out) == 100
-    assert out["c/2026-01-01/same.json"] == 0 and out["c/2026-01-01/same_98.json"] == 98
-    assert out["c/2026-01-01/same_99.json"] == 129  # the last name is overwritten
+    assert len(out) == 130
+    assert out["c/2026-01-01/same.json"] == 0 and out["c/2026-01-01/same_129.json"] == 129
 
 
 def test_missing_days(spark):
@@ -305,3 +304,70 @@ def test_ledger_sets(spark):
     links = spark.createDataFrame([("https://h/a/b?x",), ("https://h/a/c",)], "url string")
     crawled = spark.createDataFrame([("https://h/a/b",)], "url string")
     assert [r["url"] for r in ledger.new_links(links, crawled).collect()] == ["https://h/a/c"]
+
+
+def test_listing_repeats_a_url(spark):
+    scraped = spark.createDataFrame([("u", "", False), ("v", "own", False)], "url string, title string, is_exclusive boolean")
+    links = spark.createDataFrame([("u", "b", True), ("u", "a", False)], "clean_url string, title string, is_exclusive boolean")
+    out = {r["url"]: tuple(r) for r in crawl.merge_listing(scraped, links).collect()}
+    assert len(out) == 2 and out["u"] == ("u", "a", True) and out["v"] == ("v", "own", False)
+
+
+def test_delete_from_a_missing_table(spark, tmp_path):
+    assert ChunkTable(spark, f"{tmp_path}/none").delete_article("a") == 0
+
+
+def test_repeated_keys_need_an_order(spark, tmp_path):
+    rows = chunk_rows(spark, "a", ["1"]).unionByName(chunk_rows(spark, "a", ["2"]))
+    with pytest.raises(ValueError):
+        ChunkTable(spark, f"{tmp_path}/t", 4).upsert(rows)
+
+
+def test_two_payloads_of_one_url(spark, tmp_path):
+    from newsloom.plans.api import Api
+    from newsloom.plans.engine import Engine
+
+    table = ChunkTable(spark, f"{tmp_path}/t", 4)
+    table.create()
+    payload = lambda text: {"title": "t", "url": "https://x.com/a", "content": text * 30}
+    done = Api(Engine(table.read(), NOW), table).add_articles([payload("first "), payload("second ")], NOW)
+    rows = table.read().collect()
+    assert done["written"] == len(rows) == 1 and rows[0]["content"].startswith("second")
+
+
+def test_stream_success_clears_a_batch_failure(spark, folder, tmp_path):
+    table, indexer = parts(spark, tmp_path)
+    name = "tech/2026-01-23/again.json"
+    (folder / name).write_text("{")
+    indexer.index_directory(str(folder), NOW) if hasattr(indexer, "index_directory") else indexer.index_files(
+        A.read_article_files(spark, str(folder)), NOW)
+    before = {r["path"] for r in indexer.log.failed().collect()}
+    assert any(p.endswith("again.json") for p in before)
+    (folder / name).write_text(json.dumps(article(9)))
+    I.index_stream(I.article_stream(spark, str(folder), 5), indexer, f"{tmp_path}/progress", NOW).awaitTermination()
+    assert not any(r["path"].endswith("again.json") for r in indexer.log.failed().collect())
+
+
+def test_unreadable_log_is_not_an_empty_log(spark, tmp_path):
+    from newsloom.sources.file_log import FileLog
+
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "part-0.parquet").write_text("no parquet")
+    assert FileLog(spark, f"{tmp_path}/none").read().count() == 0
+    with pytest.raises(Exception):
+        FileLog(spark, f"{tmp_path}/log").indexed().collect()
+
+
+def test_sessions_of_shuffled_micro_batches(spark, tmp_path):
+    from newsloom.operators.sessions import activity_sessions
+
+    minutes = [200, 0, 100, 20, 45, 230, 110, 300, 10]
+    events = spark.createDataFrame([("u", m) for m in minutes], "user string, m int").select(
+        "user", F.timestamp_add("MINUTE", F.col("m"), F.lit("2026-01-01").cast("timestamp_ntz")).alias("ts"))
+    for k, row in enumerate(events.collect()):
+        spark.createDataFrame([row], events.schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = I.table_stream(spark, f"{tmp_path}/in", events.schema, files_per_batch=1)
+    I.session_stream(stream, "user", f"{tmp_path}/out", f"{tmp_path}/progress").awaitTermination()
+    got = I.merged_sessions(spark.read.parquet(f"{tmp_path}/out").drop("batch"), "user")
+    want = activity_sessions(events, "user")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
