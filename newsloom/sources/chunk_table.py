@@ -1,12 +1,17 @@
-"""The stored chunk table: Parquet, bucketed by article, replaced bucket by bucket.
-
-Rows live in folders ``rows/commit=<id>/bucket=<b>``.  A numbered snapshot file
-names, for each bucket, the commit that holds its current rows; the highest
-number is the current table.  A change writes new folders for the buckets it
-touches and then publishes the next snapshot, so a reader sees either the old
-or the new table, a job that dies half-way leaves only folders nobody points
-to, and of two writers that race for a number one fails.  Cost follows the
-touched buckets, not the table.
+"""The stored chunk table: Parquet, bucketed by article, with small deltas on top.
+
+Base rows live in folders ``rows/commit=<id>/bucket=<b>``; a change is a folder
+``deltas/commit=<id>`` with the rows it puts and the articles it kills, each with
+the version that wrote it.  A numbered snapshot file names the base commit of
+each bucket and the deltas; the highest number is the current table.  A change
+therefore costs what it writes, not the buckets it falls into, a reader sees
+either the old or the new table, a job that dies half-way leaves only folders
+nobody points to, and of two writers that race for a number one fails.
+
+Reading puts the last version of each chunk over the base: the base is anti-joined
+with the keys of the deltas, which are small and usually broadcast.  Deltas are
+folded into one when there are many, and :meth:`ChunkTable.compact` folds them
+into the base.
 """
 
 from __future__ import annotations
@@ -16,11 +21,13 @@ import uuid
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from newsloom import schemas as S
 from newsloom.operators.ranking import first_n
 
+MAX_DELTAS = 16             # deltas before they are folded into one
+
 
 class ChunkTable:
     def __init__(self, spark: SparkSession, root: str, buckets: int = 64, schema: StructType = S.CHUNK):
@@ -44,7 +51,10 @@ class ChunkTable:
         version = self._version()
         if not version:
             return None
-        fs, path = self._fs(f"snapshots/{version:012d}.json")
+        return self._load(f"{version:012d}.json")
+
+    def _load(self, name: str) -> dict:
+        fs, path = self._fs(f"snapshots/{name}")
         stream = fs.open(path)
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
@@ -73,7 +83,7 @@ class ChunkTable:
         if self.exists() and not recreate:
             return "exists"
         self._publish({
-            "version": self._version(), "buckets": self.buckets, "live": {},
+            "version": self._version(), "buckets": self.buckets, "live": {}, "deltas": [],
             "schema": json.loads(self.schema.json()),
         })
         return "created"
@@ -106,19 +116,40 @@ class ChunkTable:
         return {"status": "updated", "fields_added": missing}
 
     # --- rows -----------------------------------------------------------------------
-    def _read(self, snapshot: dict, only: list[int] | None = None) -> DataFrame:
+    def _base(self, snapshot: dict) -> DataFrame:
         schema = StructType.fromJson(snapshot["schema"])
         with_bucket = StructType([*schema.fields, StructField("bucket", IntegerType())])
-        paths = [
-            f"{self.root}/rows/commit={commit}/bucket={b}"
-            for b, commit in sorted(snapshot["live"].items(), key=lambda item: int(item[0]))
-            if only is None or int(b) in only
-        ]
+        paths = [f"{self.root}/rows/commit={commit}/bucket={b}"
+                 for b, commit in sorted(snapshot["live"].items(), key=lambda item: int(item[0]))]
         if not paths:
             return self.spark.createDataFrame([], with_bucket)
         rows = self.spark.read.schema(with_bucket).option("basePath", f"{self.root}/rows").parquet(*paths)
         return rows.select(*with_bucket.fieldNames())
 
+    def _changes(self, snapshot: dict) -> DataFrame:
+        """Rows of all deltas with ``bucket``, ``_op`` (``put`` or ``kill``) and version ``_v``."""
+        schema = StructType.fromJson(snapshot["schema"])
+        kinds = StructType([*schema.fields, StructField("bucket", IntegerType()), StructField("_op", StringType()),
+                            StructField("_v", LongType())])
+        rows = self.spark.read.schema(kinds).parquet(*[f"{self.root}/deltas/commit={c}" for c in snapshot["deltas"]])
+        return rows.select(*kinds.fieldNames())
+
+    def _resolved(self, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The last version of each changed chunk, and the killed articles with their version."""
+        kills = changes.filter("_op = 'kill'").groupBy("bucket", "article_id").agg(F.max("_v").alias("_killed"))
+        puts = changes.filter("_op = 'put'").join(kills, ["bucket", "article_id"], "left")
+        puts = puts.filter(F.col("_v") >= F.coalesce("_killed", F.lit(0))).drop("_killed")
+        return first_n(puts, ["bucket", "chunk_id"], [F.col("_v").desc()], 1), kills
+
+    def _read(self, snapshot: dict) -> DataFrame:
+        base = self._base(snapshot)
+        if not snapshot.get("deltas"):
+            return base
+        puts, kills = self._resolved(self._changes(snapshot))
+        base = base.join(kills.select("bucket", "article_id"), ["bucket", "article_id"], "left_anti")
+        base = base.join(puts.select("bucket", "chunk_id"), ["bucket", "chunk_id"], "left_anti")
+        return base.select(*puts.drop("_op", "_v").columns).unionByName(puts.drop("_op", "_v"))
+
     def read(self) -> DataFrame:
         """Current rows plus their ``bucket``, which filters and joins can prune on."""
         snapshot = self._snapshot()
@@ -135,7 +166,7 @@ class ChunkTable:
         snapshot = self._snapshot()
         return snapshot["buckets"] if snapshot else self.buckets
 
-    def _replace(self, snapshot: dict, rows: DataFrame, touched: list[int]) -> None:
+    def _rebase(self, snapshot: dict, rows: DataFrame) -> None:
         commit = uuid.uuid4().hex
         target = f"{self.root}/rows/commit={commit}"
         # "rebalance" sizes the write tasks at run time: small buckets share
@@ -146,13 +177,28 @@ class ChunkTable:
             status.getPath().getName().split("=")[1]
             for status in fs.listStatus(path) if "=" in status.getPath().getName()
         }
-        live = {b: c for b, c in snapshot["live"].items() if int(b) not in touched}
-        live.update(dict.fromkeys(written, commit))
-        self._publish({**snapshot, "live": live})
+        self._publish({**snapshot, "live": dict.fromkeys(written, commit), "deltas": []})
+
+    def _append(self, snapshot: dict, changes: DataFrame, deltas: list[str], check: bool) -> DataFrame:
+        """Write a delta and publish it after ``deltas``; returns its rows."""
+        commit = uuid.uuid4().hex
+        path = f"{self.root}/deltas/commit={commit}"
+        changes.write.parquet(path)
+        rows = self.spark.read.schema(changes.schema).parquet(path)
+        if check and not rows.filter("_op = 'put'").groupBy("chunk_id").count().filter("count > 1").isEmpty():
+            raise ValueError("rows repeat a chunk_id; say by which column the last one is found")
+        if not rows.isEmpty():
+            self._publish({**snapshot, "deltas": [*deltas, commit]})
+        return rows
 
-    def _touched(self, rows: DataFrame) -> list[int]:
-        """Buckets of a change: at most ``buckets`` numbers."""
-        return [r[0] for r in rows.select("bucket").distinct().collect()]
+    def _fold(self) -> None:
+        """Many deltas become one; costs the deltas, not the table."""
+        snapshot = self._snapshot()
+        if len(snapshot.get("deltas", [])) < MAX_DELTAS:
+            return
+        puts, kills = self._resolved(self._changes(snapshot))
+        kills = kills.select("bucket", "article_id", F.lit("kill").alias("_op"), F.col("_killed").alias("_v"))
+        self._append(snapshot, puts.unionByName(kills, allowMissingColumns=True).select(*puts.columns), [], False)
 
     def upsert(self, rows: DataFrame, mode: str = "chunk", order: str | None = None) -> dict:
         """Add rows, the last write of a ``chunk_id`` winning.
@@ -172,51 +218,84 @@ class ChunkTable:
         fresh = self._bucketed(rows.select(*kept, *[
             F.col(c) if c in rows.columns else F.lit(None).cast(self.schema[c].dataType).alias(c) for c in stored
         ]))
-        # the change is read three times below: fix it in a file first
-        staged = f"{self.root}/staged/{uuid.uuid4().hex}"
-        fresh.write.parquet(staged)
-        fresh = self.spark.read.parquet(staged)
         if order is not None:
-            fresh = first_n(fresh, ["bucket", "chunk_id"], [F.col("_order").desc()], 1).drop("_order")
-        elif not fresh.groupBy("chunk_id").count().filter("count > 1").isEmpty():
-            raise ValueError("rows repeat a chunk_id; say by which column the last one is found")
-        touched = self._touched(fresh)
-        if not touched:
-            return {"written": 0, "buckets": 0}
-        key = "chunk_id" if mode == "chunk" else "article_id"
-        old = self._read(snapshot, touched)
-        keys = fresh.select("bucket", key).distinct()
-        merged = old.join(keys, ["bucket", key], "left_anti").unionByName(fresh)
-        self._replace(snapshot, merged, touched)
-        return {"written": self.spark.read.parquet(staged).select("chunk_id").distinct().count(), "buckets": len(touched)}
+            fresh = first_n(fresh, ["bucket", "chunk_id"], [F.col("_order").desc()], 1)
+        version = F.lit(snapshot["version"] + 1).cast("long").alias("_v")
+        ops = F.array(F.lit("put"), F.lit("kill")) if mode == "article" else F.array(F.lit("put"))
+        # an article that is replaced is killed by each of its rows; reading takes the version once
+        changes = fresh.select(*stored, "bucket", F.explode(ops).alias("_op"), version)
+        written = self._append(snapshot, changes, snapshot.get("deltas", []), order is None)
+        counts = written.filter("_op = 'put'").agg(F.count("*"), F.count_distinct("bucket")).first()
+        self._fold()
+        return {"written": counts[0], "buckets": counts[1]}
 
     def delete_article(self, article_id: str) -> int:
         """Remove an article's chunks; returns how many there were."""
         snapshot = self._snapshot()
         if snapshot is None:
             return 0
+        gone = self._read(snapshot).filter(F.col("article_id") == article_id)
         bucket = F.pmod(F.xxhash64(F.lit(article_id)), F.lit(snapshot["buckets"])).cast("int")
-        touched = [self.spark.range(1).select(bucket.alias("b")).first()["b"]]
-        old = self._read(snapshot, touched)
-        gone = old.filter(F.col("article_id") == article_id).count()
+        gone = gone.filter(F.col("bucket") == bucket).count()
         if gone:
-            self._replace(snapshot, old.filter(F.col("article_id") != article_id), touched)
+            names = StructType.fromJson(snapshot["schema"])
+            kill = self.spark.range(1).select(
+                *[(F.lit(article_id) if f.name == "article_id" else F.lit(None).cast(f.dataType)).alias(f.name) for f in names],
+                bucket.alias("bucket"), F.lit("kill").alias("_op"), F.lit(snapshot["version"] + 1).cast("long").alias("_v"))
+            self._append(snapshot, kill, snapshot.get("deltas", []), False)
+            self._fold()
         return gone
 
+    def compact(self) -> None:
+        """Fold all deltas into the base, which rewrites the table."""
+        snapshot = self._snapshot()
+        if snapshot is None or not snapshot.get("deltas"):
+            return
+        self._rebase(snapshot, self._read(snapshot))
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Delete what only snapshots older than the last ``keep`` name; returns the folders removed.
+
+        Readers and writers of older snapshots must have ended.
+        """
+        fs, folder = self._fs("snapshots")
+        if not fs.exists(folder):
+            return 0
+        names = sorted(s.getPath().getName() for s in fs.listStatus(folder) if s.getPath().getName().endswith(".json"))
+        used: set[str] = set()
+        for name in names[-keep:]:
+            snapshot = self._load(name)
+            used |= set(snapshot["live"].values()) | set(snapshot.get("deltas", []))
+        for name in names[:-keep]:
+            fs.delete(self._fs(f"snapshots/{name}")[1], False)
+        removed = 0
+        for kind in ("rows", "deltas"):
+            _, path = self._fs(kind)
+            for status in fs.listStatus(path) if fs.exists(path) else []:
+                if status.getPath().getName().removeprefix("commit=") not in used:
+                    removed += bool(fs.delete(status.getPath(), True))
+        return removed
+
     def replace_all(self, rows: DataFrame) -> None:
         """Write a complete new table in one commit."""
         if not self.exists():
             self.create()
         snapshot = self._snapshot()
         names = StructType.fromJson(snapshot["schema"]).fieldNames()
-        self._replace({**snapshot, "live": {}}, self._bucketed(rows.select(*names)), list(range(snapshot["buckets"])))
+        self._rebase(snapshot, self._bucketed(rows.select(*names)))
 
     def size(self) -> DataFrame:
-        """One row: chunk rows, files and bytes."""
-        files = self.read().select("_metadata.file_path", "_metadata.file_size")
-        per_file = files.groupBy("file_path").agg(F.count("*").alias("n"), F.max("file_size").alias("size"))
-        return per_file.agg(
-            F.coalesce(F.sum("n"), F.lit(0)).alias("chunks"),
-            F.count("*").alias("files"),
-            F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"),
-        )
+        """One row: chunk rows, files and bytes of the current table."""
+        snapshot = self._snapshot()
+        if snapshot is None:
+            raise FileNotFoundError(f"no chunk table at {self.root}")
+        folders = [f"rows/commit={c}/bucket={b}" for b, c in snapshot["live"].items()]
+        folders += [f"deltas/commit={c}" for c in snapshot.get("deltas", [])]
+        files = size = 0
+        for name in folders:  # at most one for each bucket and delta
+            fs, path = self._fs(name)
+            for status in fs.listStatus(path):
+                if status.getPath().getName().endswith(".parquet"):
+                    files, size = files + 1, size + status.getLen()
+        return self._read(snapshot).agg(
+            F.count("*").alias("chunks"), F.lit(files).cast("long").alias("files"), F.lit(size).cast("long").alias("bytes"))

@@ -371,3 +371,38 @@ def test_sessions_of_shuffled_micro_batches(spark, tmp_path):
     got = I.merged_sessions(spark.read.parquet(f"{tmp_path}/out").drop("batch"), "user")
     want = activity_sessions(events, "user")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
+
+
+def test_an_upsert_writes_its_own_rows_only(spark, tmp_path):
+    table = ChunkTable(spark, f"{tmp_path}/t", 4)
+    table.upsert(chunk_rows(spark, "a", ["1", "2"]).unionByName(chunk_rows(spark, "b", ["x"])))
+    table.compact()
+    table.vacuum()
+    before = set(os.listdir(f"{tmp_path}/t/rows"))
+    table.upsert(chunk_rows(spark, "a", ["new"]))
+    assert set(os.listdir(f"{tmp_path}/t/rows")) == before
+    [delta] = table._snapshot()["deltas"]
+    delta = f"commit={delta}"
+    assert spark.read.parquet(f"{tmp_path}/t/deltas/{delta}").count() == 1
+    assert sorted(r["content"] for r in table.read().collect()) == ["2", "new", "x"]
+
+
+def test_deltas_fold_compact_and_vacuum(spark, tmp_path, monkeypatch):
+    from newsloom.sources import chunk_table
+
+    monkeypatch.setattr(chunk_table, "MAX_DELTAS", 3)
+    table = ChunkTable(spark, f"{tmp_path}/t", 4)
+    table.upsert(chunk_rows(spark, "a", ["1", "2"]).unionByName(chunk_rows(spark, "b", ["x", "y"])))
+    table.compact()
+    table.upsert(chunk_rows(spark, "a", ["a1"]))
+    table.upsert(chunk_rows(spark, "b", ["b1"]), mode="article")
+    assert table.delete_article("a") == 2
+    assert len(table._snapshot()["deltas"]) == 1
+    table.upsert(chunk_rows(spark, "a", ["again"]))
+    state = lambda: sorted((r["article_id"], r["content"]) for r in table.read().collect())
+    assert state() == [("a", "again"), ("b", "b1")]
+    table.compact()
+    assert state() == [("a", "again"), ("b", "b1")] and table._snapshot()["deltas"] == []
+    assert table.vacuum() > 0 and state() == [("a", "again"), ("b", "b1")]
+    assert os.listdir(f"{tmp_path}/t/deltas") == [] and len(os.listdir(f"{tmp_path}/t/rows")) == 1
+    assert table.size().first()["chunks"] == 2
