@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -47,6 +48,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def give_back() -> None:
+    """Return freed memory to the machine: a worker goes on to tasks of other kinds, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 Batches = Iterator[pa.RecordBatch]
 
 
@@ -60,6 +69,7 @@ def map_arrow(df: DataFrame, work: Callable[[Batches], Iterable[dict]], schema:
             arrays = [c if isinstance(c, pa.Array) else pa.array(c, field.type)
                       for c, field in zip((columns[f.name] for f in arrow), arrow)]
             yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, arrow)], schema=arrow)
+        give_back()
 
     return df.mapInArrow(run, kind)
 
