@@ -11,7 +11,6 @@ from __future__ import annotations
 import hashlib
 import re
 import time
-from collections import Counter
 from collections.abc import Callable, Sequence
 from typing import Protocol
 
@@ -21,8 +20,8 @@ from pyspark.sql import Column, functions as F
 
 from newsloom import constants as C
 from newsloom.functions import text as X
+from newsloom.functions.terms import BatchTerms
 
-STOP_SET = frozenset(C.STOP_WORDS)
 WORD_RE = re.compile(r"[^\W_]+")
 
 
@@ -48,15 +47,12 @@ class WordHistogram:
         self.dim = dim
 
     def embed(self, texts: Sequence[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim))
-        known: dict[str, int] = {}
-        for row, content in enumerate(texts):
-            for word, count in Counter(WORD_RE.findall(content.lower())).items():
-                bucket = known.get(word)
-                if bucket is None:
-                    bucket = known[word] = -1 if word in STOP_SET else word_bucket(word, self.dim)
-                if bucket >= 0:
-                    out[row, bucket] += count
+        found = BatchTerms(texts)
+        bucket = np.zeros(len(found.terms), np.int64)
+        for term in np.unique(found.term).tolist():
+            bucket[term] = word_bucket(found.terms[term], self.dim)
+        place = found.row * self.dim + bucket[found.term]
+        out = np.bincount(place, found.count, len(texts) * self.dim).reshape(len(texts), self.dim)
         norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
         return np.divide(out, norms, out=np.zeros_like(out), where=norms > 0)
 

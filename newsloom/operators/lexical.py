@@ -6,11 +6,13 @@ from collections import Counter
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from newsloom import constants as C
-from newsloom.functions.providers import STOP_SET, WORD_RE
+from newsloom.functions.providers import WORD_RE
+from newsloom.functions.terms import STOP_SET, BatchTerms
 from newsloom.functions.text import computed_once, tokens
 from newsloom.operators.ranking import first_n
 
@@ -116,23 +118,20 @@ def term_counts(col: Column) -> Column:
 
     @F.arrow_udf("array<struct<term:string,tf:int>>")
     def count(texts: pa.Array) -> pa.Array:
-        offsets, terms, counts = [0], [], []
-        for content in texts.to_pylist():
-            for word, n in Counter(WORD_RE.findall((content or "").lower())).items():
-                if word not in STOP_SET:
-                    terms.append(word)
-                    counts.append(n)
-            offsets.append(len(terms))
-        rows = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(counts, pa.int32())], ["term", "tf"])
+        found = BatchTerms(texts.to_pylist())
+        terms = pa.array(found.terms, pa.string()).take(pa.array(found.term))
+        rows = pa.StructArray.from_arrays([terms, pa.array(found.count, pa.int32())], ["term", "tf"])
+        offsets = np.searchsorted(found.row, np.arange(len(texts) + 1))
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)
 
     return count(col)
 
 
 def postings(chunks: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """``(field, article_id, chunk_id, len, term, tf)`` of every distinct token.
+    """``(field, article_id, chunk_id, len, first, term, tf)`` of every distinct token.
 
-    Counting happens inside the row, so nothing is shuffled here.
+    Counting happens inside the row, so nothing is shuffled here.  ``first``
+    marks one posting of each text, so texts can be counted without a distinct.
     """
     per_field = [
         chunks.select(F.lit(f).alias("field"), "article_id", "chunk_id", term_counts(F.col(f)).alias("terms"))
@@ -144,7 +143,9 @@ def postings(chunks: DataFrame, fields: Sequence[str]) -> DataFrame:
     keys = ["field", "article_id", "chunk_id"]
     length = F.aggregate("terms", F.lit(0), lambda a, t: a + t["tf"])
     rows = computed_once(rows, [*keys, "terms"], len=length)
-    return rows.select(*keys, "len", F.inline("terms"))
+    return rows.select(*keys, "len", F.posexplode("terms").alias("at", "t")).select(
+        *keys, "len", (F.col("at") == 0).alias("first"), "t.term", "t.tf"
+    )
 
 
 @dataclass(frozen=True)
@@ -175,7 +176,7 @@ class PostingTable:
         terms = stored.groupBy("bucket", "field", "term").agg(F.count("*").cast("double").alias("df"))
         terms.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/terms")
         stats = stored.groupBy("field").agg(
-            F.count_distinct("chunk_id").cast("double").alias("docs"), F.sum("tf").cast("double").alias("words")
+            F.count_if(F.col("first")).cast("double").alias("docs"), F.sum("tf").cast("double").alias("words")
         ).select("field", "docs", (F.col("words") / F.col("docs")).alias("mean_len"))
         stats.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/fields")
         return self
