@@ -237,7 +237,7 @@ _MODE_COLUMNS = ["chunk_id", "article_id", "title", "is_exclusive"]
 
 
 def _engine(spark, sf) -> Engine:
-    return Engine(X.corpus(spark, sf), X.ASOF)
+    return Engine(X.corpus(spark, sf), X.ASOF, index=corpus_index(spark, sf))
 
 
 @query("hybrid_search", f"WITH {_BASE}{Q.hybrid(TEXT, 10, C.API_WEIGHTS)} {_top(10)}")
@@ -262,6 +262,14 @@ def hybrid_indexed(spark, sf):
     return _scored(hits, "chunk_id", "article_id")
 
 
+@query("hybrid_indexed_filtered", f"""
+WITH {_BASE}{Q.hybrid(TEXT, 20, C.API_WEIGHTS, where="AND c.category = 'src7' AND c.is_exclusive", pad=True)} {_top(10)}""")
+def hybrid_indexed_filtered(spark, sf):
+    hits = indexed_hits(X.corpus(spark, sf), corpus_index(spark, sf), [Query(TEXT, VECTOR)], 10, category="src7",
+                        exclusive_only=True)
+    return _scored(hits, "chunk_id", "article_id")
+
+
 @query("hybrid_search_filtered", f"""
 WITH {_BASE}{Q.hybrid(TEXT, 20, C.API_WEIGHTS, where="AND c.category = 'src7' AND c.is_exclusive", pad=True)} {_top(10)}""")
 def hybrid_search_filtered(spark, sf):

@@ -106,28 +106,47 @@ def indexed_hits(
     k: int = 5,
     weights: tuple[float, float] = C.API_WEIGHTS,
     articles: int | None = None,
+    category: str | None = None,
+    exclusive_only: bool = False,
+    pad_filtered: bool = True,
 ) -> DataFrame:
-    """:func:`hybrid_hits` without a filter, from a posting table.
+    """:func:`hybrid_hits` from a posting table.
 
-    Reads the vectors and the postings of the asked terms, no chunk text.  The
-    two score lists are added up by key, which is a full outer join on it.
+    Reads the vectors, the filter columns and the postings of the asked terms, no
+    chunk text.  The two score lists are added up by key, which is a full outer
+    join on it.
     """
+    condition = filters.wanted(category, exclusive_only)
+    fetch = k if condition is None else 2 * k
     vector_weight, text_weight = weights
     spark = chunks.sparkSession
+    keys = ["query_id", "article_id", "chunk_id"]
     vectors = chunks.filter(F.col("content_vector").isNotNull())
     near = vectors.select("article_id", "chunk_id", F.posexplode(_similarities(queries)).alias("query_id", "near"))
     order = [F.col("near").desc(), F.col("chunk_id").asc()]
-    near = near.orderBy(*order).limit(k) if len(queries) == 1 else first_n(near, ["query_id"], order, k)
+    near = near.orderBy(*order).limit(fetch) if len(queries) == 1 else first_n(near, ["query_id"], order, fetch)
     asked = spark.createDataFrame([(i, q.text) for i, q in enumerate(queries)], "query_id int, text string")
-    keys = ["query_id", "article_id", "chunk_id"]
     both = near.select(*keys, (F.col("near") * vector_weight).alias("part")).unionByName(
         index.scores(asked).select(*keys, (F.col("score") * text_weight).alias("part"))
     )
+    if condition is not None:
+        allowed = chunks.filter(condition).select("article_id", "chunk_id")
+        both = both.join(allowed, ["article_id", "chunk_id"], "left_semi")
+        if pad_filtered:
+            # only the first of them can be needed to fill a result up
+            spare = allowed if articles is None else first_n(allowed, ["article_id"], [F.col("chunk_id").asc()], 1)
+            spare = spare.orderBy("chunk_id").limit(k if articles is None else articles)
+            every = F.explode(F.array(*[F.lit(i) for i in range(len(queries))])).alias("query_id")
+            both = both.unionByName(spare.select("article_id", "chunk_id", every, F.lit(0.0).alias("part")))
     rows = both.groupBy(*keys).agg(F.sum("part").alias("score"))
     top = [F.col("score").desc(), F.col("chunk_id").asc()]
     rows = _top(rows, "query_id", top, k, articles, len(queries))
     name = F.get(F.array(*[F.lit(q.name) for q in queries]), F.col("query_id"))
-    return rows.select("chunk_id", "article_id", name.alias("name"), "score")
+    rows = rows.select("chunk_id", "article_id", name.alias("name"), "score")
+    if "bucket" in chunks.columns:
+        # the bucket lets the rows' text be read from their buckets only
+        rows = chunks.select("bucket", "article_id", "chunk_id").join(rows, ["article_id", "chunk_id"])
+    return rows
 
 
 def hybrid_search(

@@ -12,8 +12,8 @@ from newsloom import constants as C
 from newsloom import schemas as S
 from newsloom.functions import render, text as X
 from newsloom.operators import enrich, filters, recency, sessions
-from newsloom.operators.hybrid import hybrid_search
-from newsloom.operators.vector import vector_search
+from newsloom.operators.hybrid import Query, hybrid_search, indexed_hits
+from newsloom.operators.vector import vector_search, with_rows
 from newsloom.plans.engine import Engine, ROW_COLUMNS
 from newsloom.session import path_exists
 from newsloom.sources.articles import request_articles
@@ -51,6 +51,10 @@ class Api:
         """Chunk rows, not deduplicated by article; ``k`` is taken as given."""
         columns = [*ROW_COLUMNS, "article_id"]
         vector = self.engine.embed(text)
+        if use_hybrid and self.engine.index is not None:
+            hits = indexed_hits(self.engine.chunks, self.engine.index, [Query(text, vector)], k, C.API_WEIGHTS)
+            rows = with_rows(hits.drop("name"), self.engine.chunks, columns)
+            return rows.orderBy(F.col("score").desc(), F.col("chunk_id").asc()).limit(k)
         if use_hybrid:
             return hybrid_search(self.engine.chunks, text, vector, k, C.API_WEIGHTS, columns=columns)
         return vector_search(self.engine.chunks, vector, k, columns=columns)

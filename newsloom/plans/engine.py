@@ -111,9 +111,9 @@ class Engine:
 
     def _hits(self, asked: list[Query], k: int, category: str | None = None, exclusive_only: bool = False,
               articles: int | None = None) -> DataFrame:
-        """Hybrid hits, from the posting table when there is one and no filter."""
-        if self.index is not None and not category and not exclusive_only:
-            return indexed_hits(self.chunks, self.index, asked, k, C.TOOL_WEIGHTS, articles)
+        """Hybrid hits, from the posting table when there is one."""
+        if self.index is not None:
+            return indexed_hits(self.chunks, self.index, asked, k, C.TOOL_WEIGHTS, articles, category, exclusive_only)
         return hybrid_hits(self.chunks, asked, k, C.TOOL_WEIGHTS, category, exclusive_only, articles=articles)
 
     def recent(self, hours: int, k: int, category: str | None = None, exclusive_only: bool = False) -> DataFrame:
