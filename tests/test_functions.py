@@ -222,7 +222,7 @@ def test_generated_summaries_survive_failures(spark):
         return "S"
 
     model = providers.GeneratedSummaries(generate)
-    assert values(spark, ["good", "bad", " "], model.chunk) == ["S", "", ""]
+    assert values(spark, ["good", "bad", " "], model.chunk) == ["S", None, ""]
 
 
 def test_replies(spark):
