@@ -31,7 +31,7 @@ from newsloom.llm.base import map_arrow, small_batches, table, written
 TOKENIZER = "word_bpe_49k.json"
 MAX_TOKENS = 2048
 END_OF_TEXT = 0
-WORD_CACHE = 250_000        # words whose ids a worker remembers beside those of one batch
+WORD_CACHE = 600_000        # words whose ids a worker remembers beside those of one batch
 #: What the vocabulary's pattern cuts words into: runs of letters, single digits, runs of signs (no apostrophes).
 PART = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 
@@ -62,15 +62,16 @@ class WordTokens:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
-        self.known: dict[str, int] = {}
+        # known words with their ids one after another; Arrow holds them in a tenth of a dictionary's memory
+        self.known = pa.array([], pa.string())
         self.ids, self.start = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def encoded(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
     def learn(self, words: list[str]) -> None:
-        """Append the ids of ``words``."""
-        cut, odd = [], []
+        """Append ``words``, none of them known, with their ids."""
+        cut, odd, order = [], [], []
         for w in words:
             if w.isascii() and w.isalpha():
                 cut.append((w, 1))
@@ -82,32 +83,32 @@ class WordTokens:
                     odd.append(w)
         ids, sizes = [self.ids], [np.diff(self.start)]
         for at in range(0, len(cut), 100):
-            part = cut[at:at + 100]
-            made = self.encoded(" ".join([w for w, _ in part]))
+            part = [w for w, _ in cut[at:at + 100]]
+            made = self.encoded(" ".join(part))
             last = np.flatnonzero(self.ends[made]) + 1
-            count = np.cumsum([n for _, n in part])
+            count = np.cumsum([n for _, n in cut[at:at + 100]])
             if len(last) == count[-1]:
                 ids.append(made)
                 sizes.append(np.diff(last[count - 1], prepend=0))
-                self.known.update(zip([w for w, _ in part], range(len(self.known), len(self.known) + len(part))))
+                order += part
             else:
-                odd += [w for w, _ in part]
+                odd += part
         for w in odd:
-            made = self.encoded(w)
-            ids.append(made)
-            sizes.append([len(made)])
-            self.known[w] = len(self.known)
+            ids.append(self.encoded(w))
+            sizes.append([len(ids[-1])])
+        self.known = pa.concat_arrays([self.known, pa.array(order + odd, pa.string())])
         self.ids = np.concatenate(ids)
         self.start = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype(np.int64)
 
-    def forget(self, words: list[str]) -> None:
-        """Keep only those of ``words`` that are known."""
-        kept = [w for w in words if w in self.known]
-        at = np.array([self.known[w] for w in kept], np.int64)
-        sizes = self.start[at + 1] - self.start[at]
-        self.ids = self.ids[_ranges(self.start[at], sizes)]
+    def keep(self, place: np.ndarray) -> None:
+        """Forget all words but those at ``place``."""
+        sizes = self.start[place + 1] - self.start[place]
+        self.ids = self.ids[_ranges(self.start[place], sizes)]
         self.start = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
-        self.known = dict(zip(kept, range(len(kept))))
+        self.known = self.known.take(pa.array(place))
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        return pc.index_in(words, value_set=self.known).fill_null(-1).to_numpy().astype(np.int64)
 
     def packed(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text; null as empty."""
@@ -118,14 +119,14 @@ class WordTokens:
                    if any(s in (text := texts[k].as_py()).lower() for s in self.special)}
         split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
         found = split.flatten().dictionary_encode()
-        words = found.dictionary.to_pylist()
+        words = found.dictionary
+        place = self.places(words)
         if len(self.known) > WORD_CACHE:
-            self.forget(words)
-        place = np.array([self.known.get(w, -1) for w in words], np.int64)
-        new = np.flatnonzero(place < 0).tolist()
-        if new:
-            self.learn([words[k] for k in new])
-            place[new] = [self.known[words[k]] for k in new]
+            self.keep(place[place >= 0])
+            place = self.places(words)
+        if (place < 0).any():
+            self.learn(words.filter(pa.array(place < 0)).to_pylist())
+            place = self.places(words)
         place = place[found.indices.to_numpy()]
         sizes = self.start[place + 1] - self.start[place]
         ids = self.ids[_ranges(self.start[place], sizes)]
