@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from newsloom import constants as C
 from newsloom.catalog import query, sql as Q

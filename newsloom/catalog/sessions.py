@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from newsloom.catalog import query
 from newsloom.functions import render
 from newsloom.operators import filters, sessions
-from newsloom.operators.ranking import first_n
 from newsloom.sources import fixtures as X
 
 ASOF = "2024-01-30 12:00:00"

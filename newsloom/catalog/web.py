@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from newsloom import constants as C
 from newsloom.catalog import query, sql as Q
 from newsloom.functions import html as H, text as T, urls
-from newsloom.operators import crawl, filters, ledger
+from newsloom.operators import crawl, ledger
 from newsloom.sources import fixtures as X
 
 ORIGIN = "https://example.com"

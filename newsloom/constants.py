@@ -126,22 +126,20 @@ WEEKDAYS = ["星期一", "星期二", "星期三", "星期四", "星期五", "
 ZONE_WORDS = ["et", "est", "edt", "pt", "pst", "pdt", "utc", "gmt"]
 
 # --- fixed values: month spellings; "may." is not one of them ----------------
-MONTH_NAMES = [
-    "january", "february", "march", "april", "may", "june",
-    "july", "august", "september", "october", "november", "december",
-]
-
-
-def month_numbers() -> dict[str, int]:
-    """Accepted month spellings: full name, three letters, three letters + dot."""
-    table: dict[str, int] = {}
-    for number, name in enumerate(MONTH_NAMES, 1):
-        spellings = [name] if len(name) == 3 else [name, name[:3], name[:3] + "."]
-        if name == "september":
-            spellings += ["sept", "sept."]
-        table.update(dict.fromkeys(spellings, number))
-    return table
-
+MONTH_NUMBERS = {
+    "january": 1, "jan": 1, "jan.": 1,
+    "february": 2, "feb": 2, "feb.": 2,
+    "march": 3, "mar": 3, "mar.": 3,
+    "april": 4, "apr": 4, "apr.": 4,
+    "may": 5,
+    "june": 6, "jun": 6, "jun.": 6,
+    "july": 7, "jul": 7, "jul.": 7,
+    "august": 8, "aug": 8, "aug.": 8,
+    "september": 9, "sep": 9, "sep.": 9, "sept": 9, "sept.": 9,
+    "october": 10, "oct": 10, "oct.": 10,
+    "november": 11, "nov": 11, "nov.": 11,
+    "december": 12, "dec": 12, "dec.": 12,
+}
 
 # --- fixed values: English stop words of the "standard" search analyzer ------
 STOP_WORDS = [

@@ -17,7 +17,7 @@ ISO_DATE_TIME = r"^(\d{4})-(\d{2})-(\d{2})T(\d{2})(?::(\d{2})(?::(\d{2}(?:[.,]\d
 
 
 def _months() -> Column:
-    pairs = chain.from_iterable((F.lit(k), F.lit(v)) for k, v in C.month_numbers().items())
+    pairs = chain.from_iterable((F.lit(k), F.lit(v)) for k, v in C.MONTH_NUMBERS.items())
     return F.create_map(*pairs)
 
 

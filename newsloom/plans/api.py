@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from newsloom import constants as C
 from newsloom import schemas as S
 from newsloom.functions import render, text as X
-from newsloom.operators import enrich, filters, recency, sessions
+from newsloom.operators import enrich, recency, sessions
 from newsloom.operators.hybrid import Query, hybrid_search, indexed_hits
 from newsloom.operators.vector import vector_search, with_rows
 from newsloom.plans.engine import Engine, ROW_COLUMNS

@@ -269,5 +269,5 @@ def test_result_block(spark):
 
 def test_clamps_and_months():
     assert C.clamp("query_results", 99) == 20 and C.clamp("research_results", 0) == 3
-    months = C.month_numbers()
+    months = C.MONTH_NUMBERS
     assert months["sept."] == 9 and months["may"] == 5 and "may." not in months
