@@ -6,7 +6,6 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 
 from newsloom.llm import packing, simhash
 
