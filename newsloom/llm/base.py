@@ -17,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from newsloom.session import scratch_path
 
 #: Rows of text in one Arrow batch; long texts are bounded by Spark's byte limit for a batch.
-TEXT_BATCH_ROWS = "1000"
+TEXT_BATCH_ROWS = 1000
 TEXT_BATCH_BYTES = "8m"
 
 
@@ -25,10 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
+def small_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS, size: str = TEXT_BATCH_BYTES) -> None:
     """Bound the Arrow batches that carry whole texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", TEXT_BATCH_BYTES)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

@@ -69,8 +69,8 @@ class WordTokens:
     def encoded(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-    def learn(self, words: list[str]) -> None:
-        """Append ``words``, none of them known, with their ids."""
+    def learn(self, words: list[str]) -> pa.Array:
+        """Append ``words``, none of them known, with their ids; returns them in the order they got."""
         cut, odd, order = [], [], []
         for w in words:
             if w.isascii() and w.isalpha():
@@ -96,9 +96,11 @@ class WordTokens:
         for w in odd:
             ids.append(self.encoded(w))
             sizes.append([len(ids[-1])])
-        self.known = pa.concat_arrays([self.known, pa.array(order + odd, pa.string())])
+        added = pa.array(order + odd, pa.string())
+        self.known = pa.concat_arrays([self.known, added])
         self.ids = np.concatenate(ids)
         self.start = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype(np.int64)
+        return added
 
     def keep(self, place: np.ndarray) -> None:
         """Forget all words but those at ``place``."""
@@ -107,9 +109,6 @@ class WordTokens:
         self.start = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
         self.known = self.known.take(pa.array(place))
 
-    def places(self, words: pa.Array) -> np.ndarray:
-        return pc.index_in(words, value_set=self.known).fill_null(-1).to_numpy().astype(np.int64)
-
     def packed(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text; null as empty."""
         # the vocabulary lower-cases as well, but looks for its special tokens before that
@@ -120,13 +119,14 @@ class WordTokens:
         split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
         found = split.flatten().dictionary_encode()
         words = found.dictionary
-        place = self.places(words)
+        place = _places(words, self.known)
         if len(self.known) > WORD_CACHE:
             self.keep(place[place >= 0])
-            place = self.places(words)
-        if (place < 0).any():
-            self.learn(words.filter(pa.array(place < 0)).to_pylist())
-            place = self.places(words)
+            place[place >= 0] = np.arange(len(self.known))
+        new = place < 0
+        if new.any():
+            unknown, reached = words.filter(pa.array(new)), len(self.known)
+            place[new] = reached + _places(unknown, self.learn(unknown.to_pylist()))
         place = place[found.indices.to_numpy()]
         sizes = self.start[place + 1] - self.start[place]
         ids = self.ids[_ranges(self.start[place], sizes)]
@@ -136,6 +136,11 @@ class WordTokens:
         return [self.encoded(special[k]) if k in special else ids[a:b] for k, (a, b) in enumerate(zip(bounds, bounds[1:]))]
 
 
+def _places(words: pa.Array, among: pa.Array) -> np.ndarray:
+    """Where each word is among others, -1 if nowhere."""
+    return pc.index_in(words, value_set=among).fill_null(-1).to_numpy().astype(np.int64)
+
+
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The numbers of all ranges ``start, start + 1, ...`` of the given sizes, one after another."""
     total = np.cumsum(size)
@@ -411,7 +416,8 @@ def packed_documents(docs: DataFrame, path: str | None = None, max_tokens: int =
     """
     import public_tokenizers
 
-    small_batches(docs.sparkSession)
+    # looking the known words up costs the same for a small batch as for a larger one
+    small_batches(docs.sparkSession, rows=2500, size="12m")
     pieces = token_pieces(docs, path or public_tokenizers.path(TOKENIZER), max_tokens)
     return pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), max_tokens)
 
