@@ -34,6 +34,7 @@ TILE_ROWS = 8192
 CHUNK_CELLS = 1 << 20       # cells of a comparison held at once
 BLOCK_ROWS = 512            # texts of a candidate group compared in one task
 BLOCK_BYTES = 8 << 20
+RARITY_SLOTS = 1 << 18      # of the counts that order shingles; any order gives the same result
 SIZE_STEPS = 4              # size cells within one factor of 1 / similarity
 MAX_SIZE_CELLS = 2048
 
@@ -341,10 +342,13 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, rad
 
     Texts are near duplicates where the sets of their word shingles have a
     Jaccard similarity of ``similarity`` or more, and groups are closed under
-    links.  128-bit fingerprints within ``radius`` propose groups (at 0.8 the
-    expected distance is 19 bits with a deviation of 4); the shingle sets of the
-    members decide, block by block, with pairs that are already connected passed
-    over.  ``doc_id`` must be unique; rows with a null id or no words stay alone.
+    links.  128-bit fingerprints of the sets within ``radius`` propose groups (at
+    0.8 the expected distance is 19 bits with a deviation of 4); the shingle sets
+    of the members decide, block by block, with pairs that are already connected
+    passed over.  Fingerprints prove nothing about the pairs they do not propose:
+    those between different groups are found by their rarest shingles
+    (:func:`_prefix_links`), so no link is lost.  ``doc_id`` must be unique; rows
+    with a null id or no words stay alone.
     """
     small_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
@@ -353,10 +357,10 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, rad
         for batch in batches:
             out = {"doc_id": [], "a": [], "b": [], "size": []}
             for i, text in zip(batch.column("doc_id").to_pylist(), utf8(batch, "text")):
-                grams = shingles(text, width)
+                grams = list(set(shingles(text, width)))
                 if grams:
                     a, b = fingerprint128(grams)
-                    for name, value in zip(out, (i, a, b, len(set(grams)))):
+                    for name, value in zip(out, (i, a, b, len(grams))):
                         out[name].append(value)
             yield out | {"a": _signed(out["a"]), "b": _signed(out["b"])}
 
@@ -366,15 +370,17 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, rad
     members = written(proposed.select(F.col("node").alias("doc_id"), F.col("root").alias("group"))
                       .unionByName(proposed.select(F.col("root").alias("doc_id"), F.col("root").alias("group")))
                       .distinct(), "proposed")
-    verified = components(written(_verified(source, members, width, radius, similarity), "verified"))
-    return verified.select(F.col("node").alias("doc_id"), F.col("root").alias("keep_id"))
+    stars = components(written(_verified(source, members, width, radius, similarity), "verified"))
+    more = _prefix_links(source, stars, width, similarity)
+    found = components(stars.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
+    return found.select(F.col("node").alias("doc_id"), F.col("root").alias("keep_id"))
 
 
 def _verified(source: DataFrame, members: DataFrame, width: int, radius: int, similarity: float) -> DataFrame:
     """Links ``u, v`` that connect the members of each group as exact similarity does."""
     def sets(batches):
         for batch in batches:
-            made = [shingles(t, width) for t in utf8(batch, "text")]
+            made = [list(set(shingles(t, width))) for t in utf8(batch, "text")]
             marks = [fingerprint128(m) for m in made]
             yield {"doc_id": batch.column("doc_id"), "group": batch.column("group"),
                    "a": _signed([m[0] for m in marks]), "b": _signed([m[1] for m in marks]),
@@ -418,6 +424,110 @@ def _verified(source: DataFrame, members: DataFrame, width: int, radius: int, si
     return map_arrow(dealt, run, "u long, v long")
 
 
+def _rarity(source: DataFrame, width: int) -> np.ndarray:
+    """Counts of the shingles of all documents by hash slot."""
+    def run(batches):
+        total = np.zeros(RARITY_SLOTS, np.int64)
+        for batch in batches:
+            for text in utf8(batch, "text"):
+                np.add.at(total, gram_set(shingles(text, width)) % np.uint64(RARITY_SLOTS), 1)
+        slot = np.flatnonzero(total)
+        yield {"slot": slot, "n": total[slot]}
+
+    slots = map_arrow(source.select("text"), run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(RARITY_SLOTS, np.int64)
+    counts[slots["slot"].to_numpy(int)] = slots["n"].to_numpy(np.int64)
+    return counts
+
+
+def _prefixes(source: DataFrame, width: int, similarity: float) -> DataFrame:
+    """``key, doc_id, size, pos``: of every set of n shingles the n - ceil(similarity * n) + 1 rarest.
+
+    Two sets of that similarity have one of these in common, whatever the order,
+    so long as all sets are put in the same one.  Rare shingles first keeps the
+    number of sets that meet under a key low.
+    """
+    counts = source.sparkSession.sparkContext.broadcast(_rarity(source, width))  # RARITY_SLOTS numbers
+
+    def run(batches):
+        for batch in batches:
+            out = {"key": [], "doc_id": [], "size": [], "pos": []}
+            for i, text in zip(batch.column("doc_id").to_pylist(), utf8(batch, "text")):
+                grams = gram_set(shingles(text, width))
+                n = len(grams)
+                if n:
+                    most = n - int(np.ceil(similarity * n - 1e-9)) + 1
+                    order = np.lexsort((grams, counts.value[grams % np.uint64(RARITY_SLOTS)]))[:most]
+                    for name, value in zip(out, (grams[order].view(np.int64), np.full(len(order), i),
+                                                 np.full(len(order), n), np.arange(len(order)))):
+                        out[name].append(value)
+            if out["key"]:
+                yield {name: np.concatenate(parts) for name, parts in out.items()}
+
+    return map_arrow(source, run, "key long, doc_id long, size int, pos int")
+
+
+def _prefix_links(source: DataFrame, stars: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links ``u, v`` between documents that ``stars (node, root)`` leaves apart, by exact similarity.
+
+    A key whose documents are all in one group is dropped, so a dense group of
+    copies forms no pairs; a key of very many others is dealt out in blocks.
+    """
+    rows = written(_prefixes(source, width, similarity), "prefixes")
+    often = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    rooted = written(rows.join(often, "key").join(stars, F.col("doc_id") == F.col("node"), "left").select(
+        "key", "doc_id", "size", "pos", F.coalesce("root", "doc_id").alias("root")), "prefixes-met")
+    apart = (rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most"))
+             .filter("least < most").select("key", F.ceil(F.col("n") / BLOCK_ROWS).alias("blocks")))
+    placed = (rooted.join(apart, "key").withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+              .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+              .select("key", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile",
+                      "doc_id", "size", "pos", "root"))
+
+    def meet(batches):
+        us, vs = [], []
+        for group in _runs(batches, ["key", "lo", "hi"]):
+            same = group["lo"][0] == group["hi"][0]
+            ids, tile, root = group["doc_id"], group["tile"], group["root"]
+            size, left = group["size"].astype(np.int64), group["size"].astype(np.int64) - group["pos"]
+            for i in range(len(ids)):
+                # at the first shingle two sets share, what is left of the shorter rest bounds their overlap
+                bound = (1 + similarity) * np.minimum(left[i], left)
+                close = (ids > ids[i]) & (root != root[i]) & (same | (tile != tile[i]))
+                others = ids[close & (bound >= similarity * (size[i] + size) - 1e-9)]
+                if len(others):
+                    us.append(np.full(len(others), ids[i]))
+                    vs.append(others)
+            if sum(map(len, us)) > 50_000:
+                yield {"u": np.concatenate(us), "v": np.concatenate(vs)}
+                us, vs = [], []
+        if us:
+            yield {"u": np.concatenate(us), "v": np.concatenate(vs)}
+
+    dealt = placed.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    pairs = written(map_arrow(dealt, meet, "u long, v long").distinct(), "prefix-pairs")
+
+    def sets(batches):
+        for batch in batches:
+            yield {"doc_id": batch.column("doc_id"),
+                   "grams": [gram_set(shingles(t, width)).tobytes() for t in utf8(batch, "text")]}
+
+    ends = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
+    held = written(map_arrow(source.join(ends, "doc_id"), sets, "doc_id long, grams binary"), "prefix-sets")
+    both = (pairs.join(held.select(F.col("doc_id").alias("u"), F.col("grams").alias("a")), "u")
+            .join(held.select(F.col("doc_id").alias("v"), F.col("grams").alias("b")), "v"))
+
+    def decide(batches):
+        for batch in batches:
+            a, b = ([np.frombuffer(g, np.uint64) for g in batch.column(n).to_pylist()] for n in ("a", "b"))
+            shared = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b)], float)
+            sizes = np.array([len(x) + len(y) for x, y in zip(a, b)], float)
+            near = shared >= similarity * (sizes - shared) - 1e-9
+            yield {n: batch.column(n).to_numpy()[near] for n in ("u", "v")}
+
+    return written(map_arrow(both, decide, "u long, v long"), "prefix-links")
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` with one document, the smallest id, of each group of near duplicates."""
     gone = written(similar_groups(docs).select(F.col("doc_id").alias("gone_id")), "near-gone")

@@ -102,6 +102,27 @@ def test_similar_groups_in_blocks(spark, monkeypatch):
     assert got == {(k, 0) for k in range(5, 200, 5)}
 
 
+def test_similar_groups_beyond_the_fingerprints(spark, monkeypatch):
+    """Repeated passages and short texts, which fingerprints within the radius do not propose."""
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 3)
+    rng = np.random.default_rng(5)
+    rows = []
+    for k, (n, times) in enumerate([(1000, 50), (300, 10), (300, 50)]):
+        words, passage = ([f"w{x}" for x in rng.integers(0, 10 ** 9, m)] for m in (n, 55))
+        rows += [(10 * k, " ".join(words + passage)), (10 * k + 1, " ".join(words + passage * times))]
+    for k in range(100, 140):
+        words = [f"s{x}" for x in rng.integers(0, 10 ** 9, 9)]
+        rows += [(10 * k, " ".join(words[:8])), (10 * k + 1, " ".join(words))]
+    rows += [(5000 + k, f"a b c d e f g h {k}") for k in range(9)] + [(5100, "a b c d e f g h")]
+    sets = {i: set(simhash.shingles(t.encode(), 5)) for i, t in rows}
+    links = [(a, b) for a, b in itertools.combinations(sorted(sets), 2)
+             if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(links) == 3 + 40 + 9
+    want = {(10 * k + 1, 10 * k) for k in (0, 1, 2, *range(100, 140))} | {(5000 + k, 5000) for k in (*range(1, 9), 100)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.keep_id) for r in simhash.similar_groups(docs).collect()} == want
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     got = {(r.node, r.root) for r in simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()}
