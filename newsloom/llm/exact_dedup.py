@@ -189,18 +189,17 @@ def _joined_pages(heads: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` without the copies: all columns of the rows that stay."""
     groups = exact_groups(docs)
-    gone = written(groups.filter(~F.col("kept")).select("doc_id", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias(
-        "again")), "dedup-gone")
-    # the id of a dropped row may also name the row that stays: one of those rows is kept
-    again = gone.filter("again").select("doc_id").distinct()
-    gone = gone.select(F.col("doc_id").alias("gone_id"))
-    rest = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("gone_id")), "left_anti")
-    twice = docs.join(again.select(F.col("doc_id").alias("gone_id")), docs["doc_id"].eqNullSafe(F.col("gone_id")),
-                      "left_semi")
+    gone = written(groups.filter(~F.col("kept")).select(
+        "doc_id", "text_sha256", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("again")), "dedup-gone")
     names = docs.columns
-    twice = (twice.withColumn("_squeezed", squeezed(F.col("text"))).dropDuplicates(["doc_id", "_squeezed"])
-             .select(*names))
-    return rest.unionByName(twice)
+    # ids may be null or repeated: a row is named by its id and its text
+    rows = docs.withColumn("_sha256", F.sha2(squeezed(F.col("text")).cast("binary"), 256))
+    named = [F.col("doc_id").eqNullSafe(F.col("gone_id")), F.col("_sha256") == F.col("gone_sha256")]
+    of = lambda df: df.select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha256")).distinct()
+    rest = rows.join(of(gone), named, "left_anti")
+    # a dropped row may have id and text of the row that stays: one of those rows is kept
+    twice = rows.join(of(gone.filter("again")), named, "left_semi").dropDuplicates(["doc_id", "_sha256"])
+    return rest.unionByName(twice).select(*names)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -529,9 +529,27 @@ def _prefix_links(source: DataFrame, stars: DataFrame, width: int, similarity: f
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document, the smallest id, of each group of near duplicates."""
-    gone = written(similar_groups(docs).select(F.col("doc_id").alias("gone_id")), "near-gone")
-    return docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
+    """``docs`` with one document, the smallest id, of each group of near duplicates.
+
+    Rows that repeat an id are told apart by numbers beyond all ids.
+    """
+    often = written(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
+                    .select("doc_id"), "near-repeated-ids")
+    if often.isEmpty():
+        gone = written(similar_groups(docs).select(F.col("doc_id").alias("gone_id")), "near-gone")
+        return docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
+    top = docs.agg(F.max(F.col("doc_id").cast("long"))).first()[0]
+    again = written(docs.join(often, "doc_id", "left_semi").withColumn(
+        "_row", F.monotonically_increasing_id() + F.lit(top + 1)), "near-repeated")
+    rows = docs.join(often, "doc_id", "left_anti").withColumn("_row", F.col("doc_id").cast("long")).unionByName(again)
+    found = written(similar_groups(rows.select(F.col("_row").alias("doc_id"), "text")), "near-groups")
+    members = found.unionByName(found.select(F.col("keep_id").alias("doc_id"), "keep_id").distinct()).select(
+        F.col("doc_id").alias("_row"), F.col("keep_id").alias("group"))
+    members = members.join(again.select("_row", F.col("doc_id").cast("long").alias("id")), "_row", "left").select(
+        "_row", "group", F.coalesce("id", "_row").alias("id"))
+    stays = members.groupBy("group").agg(F.min(F.struct("id", "_row")).alias("first"))
+    gone = written(members.join(stays, "group").filter(F.col("_row") != F.col("first._row")).select("_row"), "near-gone")
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

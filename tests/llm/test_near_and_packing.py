@@ -123,6 +123,14 @@ def test_similar_groups_beyond_the_fingerprints(spark, monkeypatch):
     assert {(r.doc_id, r.keep_id) for r in simhash.similar_groups(docs).collect()} == want
 
 
+def test_keep_first_near_copies_of_null_and_repeated_ids(spark):
+    long, other = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(3, long), (5, long + " end"), (5, "single"), (None, long), (7, other), (7, other + " end"), (6, other), (9, "x")]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted(
+        [(3, long), (5, "single"), (None, long), (6, other), (9, "x")], key=repr)
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     got = {(r.node, r.root) for r in simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()}

@@ -60,6 +60,14 @@ def test_keep_first_keeps_one_row_of_each_text(nasty):
     assert exact_dedup.keep_first(nasty.limit(0)).count() == 0
 
 
+def test_keep_first_of_null_and_repeated_ids(spark):
+    rows = [(3, "copied"), (None, "copied"), (None, "alone"), (None, "too"), (None, "too"), (5, "copied"), (5, "single"),
+            (5, "single"), (5, None), (6, "single")]
+    kept = exact_dedup.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted(
+        [(3, "copied"), (None, "alone"), (None, "too"), (5, "single"), (5, None)], key=repr)
+
+
 def test_directory_doubles_until_buckets_fit():
     depth, cells = exact_dedup.doubled({0: 5, 1: 5, 12: 3}, capacity=6, max_depth=4)
     assert len(cells) == 1 << depth and depth == 4
