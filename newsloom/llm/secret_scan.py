@@ -5,7 +5,7 @@ statements ``name = literal``, ``name: literal``, ``"name": literal`` and
 ``name = other``; names that are bound to other names are followed to their
 literals, and a literal is a secret if a name that reaches it is sensitive
 enough for how random the literal looks.  Such a literal is a span of kind
-``named`` unless a base span covers it.
+``named`` unless one base span covers the whole of it.
 """
 
 from __future__ import annotations
@@ -124,7 +124,7 @@ def secrets(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[in
     more = []
     if "=" in text or ":" in text:
         more = [(start, end, "named") for start, end, _ in named_literals(text)
-                if not any(a < end and start < b for a, b, _ in base)]
+                if not any(a <= start and end <= b for a, b, _ in base)]
     return base, sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2])))
 
 

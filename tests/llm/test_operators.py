@@ -315,3 +315,14 @@ def test_line_dedup_by_site(spark):
     want = con.sql(line_dedup.OP5_SQL.replace("FROM pages", "FROM pages")).fetchall()
     assert sorted(want) == sorted((r.page_id, r.host, r.n_lines, r.n_dropped, r.text) for r in got.values())
     assert line_dedup.without_boilerplate(frame.limit(0)).count() == 0
+
+
+def test_named_literals_that_reach_beyond_a_base_span():
+    text = 'db_password = "S3cr3t-pa$$w0rd"'
+    base, spans = secret_scan.secrets(text)
+    assert [text[a:b] for a, b, kind in spans if kind == "named"] == ["S3cr3t-pa$$w0rd"]
+    assert set(base) < set(spans)
+    covered = 'password = "S3cr3t-paw0rd"'
+    assert {kind for _, _, kind in secret_scan.secrets(covered)[1]} == {"assign"}
+    text = 'auth_key = "x!' + "0123456789abcdef" * 2 + '!y"'
+    assert [kind for _, _, kind in secret_scan.secrets(text)[1]] == ["named", "hex"]
