@@ -164,7 +164,6 @@ API_WEIGHTS = (0.7, 0.3)
 TOOL_WEIGHTS = (0.6, 0.4)
 RECENT_LIMIT = 50
 LATEST_LIMIT = 5
-DAILY_LISTED = 500
 DEFAULT_RECENT_HOURS = 72
 SESSION_TTL_MINUTES = 30
 SESSION_MESSAGE_LIMIT = 50

@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from newsloom import constants as C
 from newsloom.functions import dates, render, replies, text as X
 from newsloom.operators import recency
-from newsloom.operators.ranking import best_per_article, first_n, numbered
+from newsloom.operators.ranking import best_per_article, numbered
 from newsloom.operators.vector import with_rows
 from newsloom.plans.engine import Engine, Intent, ROW_COLUMNS, analyze
 
@@ -287,10 +287,10 @@ def daily_articles(engine: Engine, day: str) -> DataFrame:
     return recency.articles_by_date(engine.chunks, day).withColumn("category", category)
 
 
-def daily_groups(engine: Engine, day: str, listed: int = C.DAILY_LISTED) -> DataFrame:
-    """A day's articles per category: how many, and the texts of the newest ``listed``.
+def daily_groups(engine: Engine, day: str, listed: int | None = None) -> DataFrame:
+    """A day's articles per category: how many, and their texts, newest first.
 
-    Counts cover the whole day; ``listed`` bounds what a report shows of it.
+    Counts cover the whole day; a caller may bound the texts to the newest ``listed``.
     """
     rows = daily_articles(engine, day)
     summary = render.summary(F.col("article_summary"), F.col("chunk_summary"))
@@ -300,7 +300,8 @@ def daily_groups(engine: Engine, day: str, listed: int = C.DAILY_LISTED) -> Data
     ).otherwise(F.lit(""))
     title = F.concat(F.lit("- 「"), F.col("title"), F.lit("」"))
     counts = rows.groupBy("category").agg(F.count("*").alias("articles"))
-    shown = first_n(rows, ["category"], _newest(), listed, "pos").groupBy("category").agg(
+    placed = rows.withColumn("pos", F.row_number().over(Window.partitionBy("category").orderBy(*_newest())))
+    shown = (placed if listed is None else placed.filter(F.col("pos") <= listed)).groupBy("category").agg(
         _lines(["pos"], title).alias("titles"),
         _lines(["pos"], F.concat(title, note), "\n\n").alias("listing"),
     )

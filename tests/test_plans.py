@@ -10,6 +10,8 @@ from newsloom.operators.hybrid import hybrid_search
 from newsloom.operators.lexical import keyword_search
 from newsloom.operators.ranking import collapse
 from newsloom.operators.vector import vector_search
+from newsloom.plans import reports
+from newsloom.plans.engine import Engine
 from newsloom.sources import fixtures as X
 
 
@@ -70,3 +72,13 @@ def test_hot_article_is_collapsed_right(spark):
     top = recency.latest_articles(rows.withColumn("category", F.lit("c")), 3).collect()
     assert [r["chunk_id"] for r in top] == ["c29999", "c29998", "c29997"]
     assert collapse(rows).count() == 20001
+
+
+def test_daily_groups_list_every_article(spark, sf):
+    number = F.col("id").cast("string")
+    many = (X.corpus(spark, sf).limit(1).drop("id").crossJoin(spark.range(502)).withColumns({
+        "article_id": number, "chunk_id": number, "title": F.concat(F.lit("title "), number), "category": F.lit("tech"),
+        "published_at": F.lit("2024-01-05 10:00:00").cast("timestamp")}))
+    row = reports.daily_groups(Engine(many.select(X.corpus(spark, sf).columns), X.ASOF), "2024-01-05").first()
+    assert row["articles"] == 502
+    assert row["titles"].count("「") == row["listing"].count("「title ") == 502
