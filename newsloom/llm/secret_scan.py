@@ -44,7 +44,6 @@ SENSITIVE = {
 }
 LEAST_SCORE = 1.0
 LEAST_LITERAL = 6
-MAX_HOPS = 10
 
 
 def name_score(name: str) -> float:
@@ -76,14 +75,19 @@ def named_literals(text: str) -> list[tuple[int, int, float]]:
         literals.setdefault(name, []).append((*m.span(group), m[group]))
     score = {name: name_score(name) for name in literals}
     known = set(literals)
-    # a sensitive name makes the constants it is bound to sensitive, however many hops away
-    for _ in range(MAX_HOPS):
-        changed = False
-        for name, other in aliases:
-            if other in known and score[name] > score[other]:
-                score[other], changed = score[name], True
-        if not changed:
-            break
+    # a sensitive name makes the constants it is bound to sensitive, however many hops away;
+    # the most sensitive name is taken first, so a score rises once
+    bound_to: dict[str, list[str]] = {}
+    for name, other in aliases:
+        if other in known:
+            bound_to.setdefault(name, []).append(other)
+    waiting = sorted(score, key=score.__getitem__)
+    while waiting:
+        name = waiting.pop()
+        for other in bound_to.get(name, ()):
+            if score[name] > score[other]:
+                score[other] = score[name]
+                waiting.append(other)
     found = {}
     bound = {(name, other) for name, other in aliases if other in known}
     for name, places in literals.items():

@@ -326,3 +326,9 @@ def test_named_literals_that_reach_beyond_a_base_span():
     assert {kind for _, _, kind in secret_scan.secrets(covered)[1]} == {"assign"}
     text = 'auth_key = "x!' + "0123456789abcdef" * 2 + '!y"'
     assert [kind for _, _, kind in secret_scan.secrets(text)[1]] == ["named", "hex"]
+
+
+def test_constants_are_followed_over_many_hops():
+    lines = ['c0 = "zX9$kQ2!vB7n"'] + [f"c{i} = c{i - 1}" for i in range(1, 40)] + ["db_password = c39"]
+    text = "\n".join(lines)
+    assert [text[a:b] for a, b, _ in secret_scan.named_literals(text)] == ["zX9$kQ2!vB7n"]
