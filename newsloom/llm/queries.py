@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from newsloom.llm import (
-    exact_dedup, html_extract, langid, line_dedup, mixing, packing, secret_scan, simhash, toxicity, url_filter, vafile,
+    conversation_repair, exact_dedup, html_extract, langid, line_dedup, mixing, packing, secret_scan, simhash, toxicity, url_filter, vafile,
 )
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
     "op9_language_id": langid.op9_language_id,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
     "op11_html_extraction": html_extract.op11_html_extraction,
+    "op12_conversation_repair": conversation_repair.op12_conversation_repair,
 }
 
 SQL = {
