@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from newsloom.llm import (
-    conversation_repair, exact_dedup, html_extract, langid, line_dedup, mixing, packing, secret_scan, simhash, toxicity, url_filter, vafile,
+    conversation_repair, conversation_trie, exact_dedup, html_extract, langid, line_dedup, mixing, packing, secret_scan, simhash,
+    toxicity, url_filter, vafile,
 )
 
 QUERIES = {
@@ -19,10 +20,12 @@ QUERIES = {
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
     "op11_html_extraction": html_extract.op11_html_extraction,
     "op12_conversation_repair": conversation_repair.op12_conversation_repair,
+    "op13_conversation_trie": conversation_trie.op13_conversation_trie,
 }
 
 SQL = {
     "op4_exact_dedup": exact_dedup.OP4_SQL.strip(),
     "op5_line_dedup": line_dedup.OP5_SQL.strip(),
     "op7_vafile_topk": vafile.OP7_SQL.strip(),
+    "op13_conversation_trie": conversation_trie.OP13_SQL.strip(),
 }
