@@ -109,7 +109,7 @@ class Node:
 
 
 #: Rows of a shard.  ``node``: all is known but, where ``above`` is not null, the parent's least member.
-#: ``part``: what the shard knows of skeleton node ``number``.  ``end``: ``conv_id`` ends at ``number``.
+#: ``part``: what the shard knows of skeleton node ``number``.  ``end``: the ids that end at ``number`` in shard ``above``.
 SHARD = ("kind string, number int, above int, conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, "
          "n_leaves long, saved_tokens long, ends_sha256 string, size long")
 COLUMNS = [c.strip().split()[0] for c in SHARD.split(",")]
@@ -118,8 +118,8 @@ COLUMNS = [c.strip().split()[0] for c in SHARD.split(",")]
 class Walk:
     """Depth-first walk over the sorted paths of one shard."""
 
-    def __init__(self, skeleton: Skeleton):
-        self.skeleton, self.out = skeleton, []
+    def __init__(self, shard: int, skeleton: Skeleton):
+        self.shard, self.skeleton, self.out = shard, skeleton, []
         self.path, self.open = b"", [Node(0, 0)]
 
     def add(self, path: bytes, conv: int, sizes: list[int]) -> None:
@@ -172,7 +172,8 @@ class Walk:
     def _part(self, node: Node) -> None:
         self.out.append(["part", node.number, None, node.least, None, None, node.members, node.children, node.leaves, node.saved,
                          None, node.size])
-        self.out.extend(["end", node.number, None, conv] + [None] * 8 for conv in node.ends)
+        if node.ends:
+            self.out.append(["end", node.number, self.shard, *[None] * 7, ",".join(map(str, node.ends)), None])
 
     def finish(self) -> None:
         self.close(0)
@@ -202,7 +203,7 @@ def shard_rows(paths: DataFrame, cuts: list[Splitter], skeleton: Skeleton, shard
                 if shard != at:
                     if walker:
                         walker.finish()
-                    done, at, walker = walker, shard, Walk(known.value[1])
+                    done, at, walker = walker, shard, Walk(shard, known.value[1])
                     if done and done.out:
                         yield done.taken()
                 walker.add(path, conv, sizes)
@@ -244,19 +245,19 @@ def skeleton_rows(rows: DataFrame, skeleton: Skeleton) -> DataFrame:
     def digests(batches: Batches) -> Iterator[dict]:
         at, sha = None, None
         for batch in batches:
-            for number, conv in zip(batch.column("number").to_pylist(), batch.column("conv_id").to_pylist()):
+            for number, ids in zip(batch.column("number").to_pylist(), batch.column("ids").to_pylist()):
                 if number != at:
                     if sha:
                         yield {"number": [at], "ends_sha256": [sha.hexdigest()]}
-                    at, sha = number, hashlib.sha256(str(conv).encode())
+                    at, sha = number, hashlib.sha256(ids.encode())
                 else:
-                    sha.update(f",{conv}".encode())
+                    sha.update(b"," + ids.encode())
         if sha:
             yield {"number": [at], "ends_sha256": [sha.hexdigest()]}
 
-    # a node where a third of all conversations end is one chained digest: ids only, streamed in order
-    ends = (rows.filter(F.col("kind") == "end").select("number", "conv_id").repartition("number")
-            .sortWithinPartitions("number", "conv_id"))
+    # equal paths are dealt over shards by id, so the ids of a node rise from shard to shard
+    ends = (rows.filter(F.col("kind") == "end").select("number", "above", F.col("ends_sha256").alias("ids"))
+            .repartition("number").sortWithinPartitions("number", "above"))
     known = map_arrow(ends, digests, "number int, ends_sha256 string")
     return nodes.join(known, "number", "left").withColumn("ends_sha256", F.coalesce("ends_sha256", F.lit(NO_ENDS)))
 
