@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from newsloom import constants as C
 from newsloom.catalog import query, sql as Q
-from newsloom.functions.providers import embed_text
+from newsloom.functions.providers import embed_text, embedding
 from newsloom.operators import recency
-from newsloom.operators.hybrid import Query, hybrid_search, indexed_hits
+from newsloom.operators.cells import VectorCells
+from newsloom.operators.hybrid import Query, hybrid_batch, hybrid_search, indexed_hits
 from newsloom.operators.lexical import PostingTable, keyword_search, postings
 from newsloom.operators.ranking import best_per_article
 from newsloom.operators.vector import vector_search
@@ -198,23 +199,102 @@ def posting_table(spark, sf) -> PostingTable:
     key = (spark.sparkContext.applicationId, sf)
     if key not in _POSTINGS:
         table = PostingTable(scratch_path(spark, "postings"), 16)
-        _POSTINGS[key] = table.build(_doc_rows(spark, sf), ["content"])
+        _POSTINGS[key] = table.build(_doc_rows(spark, sf), ["content"]).at("base")
     return _POSTINGS[key]
 
 
-@query("keyword_batch", f"""
-WITH t AS (SELECT doc_id::VARCHAR AS chunk_id, {Q.tokens('"text"')} AS tok FROM documents),
-p AS (SELECT chunk_id, term, count(*)::DOUBLE AS tf, any_value(dl) AS dl FROM (SELECT chunk_id, unnest(tok) AS term, len(tok)::DOUBLE AS dl FROM t) GROUP BY ALL),
-m AS (SELECT count(*)::DOUBLE AS n, avg(len(tok)) AS mean FROM t WHERE len(tok) > 0),
-d AS (SELECT term, count(*)::DOUBLE AS df FROM p GROUP BY term),
-a AS (SELECT query_id, term, count(*)::DOUBLE AS weight FROM (SELECT item_id AS query_id, unnest({Q.tokens('"text"')}) AS term FROM benchmark) GROUP BY ALL),
-s AS (SELECT query_id, chunk_id, sum(weight * ln(1.0::DOUBLE + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / mean))) AS score
-  FROM a JOIN p USING (term) JOIN d USING (term), m GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM s)
-SELECT query_id, rank::INT AS rank, chunk_id, round(score, 6) AS score FROM r WHERE rank <= 5""")
+_ASKED = 'asked AS (SELECT item_id AS query_id, item_id AS chunk_id, "text" AS content FROM benchmark)'
+
+
+def _best_of_each(scores: str, k: int = 5) -> str:
+    return f""",
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM {scores})
+SELECT query_id, rank::INT AS rank, chunk_id, round(score, 6) AS score FROM ranked WHERE rank <= {k}"""
+
+
+def _batch_sql(rows: str) -> str:
+    """Best five of ``rows (chunk_id, content)`` for every text of ``benchmark``."""
+    return f"WITH {_ASKED}, rows AS ({rows}){Q.text_batch({'content': 1.0}, 'rows')}{_best_of_each('batch_text')}"
+
+
+def _asked(spark, sf):
+    return X.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def _batch(index, spark, sf):
+    return _scored(index.search(_asked(spark, sf), 5, {"content": 1.0}), "query_id", "rank", "chunk_id")
+
+
+@query("keyword_batch", _batch_sql('SELECT doc_id::VARCHAR AS chunk_id, "text" AS content FROM documents'))
 def keyword_batch(spark, sf):
-    asked = X.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return _scored(posting_table(spark, sf).search(asked, 5, {"content": 1.0}), "query_id", "rank", "chunk_id")
+    return _batch(posting_table(spark, sf), spark, sf)
+
+
+_REVISED = "thin therin "
+
+
+@query("index_after_upsert", _batch_sql(f"""
+  SELECT doc_id::VARCHAR AS chunk_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) THEN '{_REVISED}' ELSE '' END
+    || "text" AS content FROM documents
+  UNION ALL SELECT 'item' || item_id, "text" FROM benchmark"""))
+def index_after_upsert(spark, sf):
+    """Poor documents are written anew and the benchmark's texts come in: one batch over the index of all documents."""
+    poor = X.table(spark, sf, "labels").filter("quality = 0").select(F.col("doc_id").cast("string").alias("chunk_id"))
+    old = _doc_rows(spark, sf).join(poor, "chunk_id", "left_semi")
+    item = F.concat(F.lit("item"), F.col("item_id").cast("string"))
+    fresh = X.table(spark, sf, "benchmark").select(item.alias("chunk_id"), item.alias("article_id"), F.col("text").alias("content"))
+    revised = old.withColumn("content", F.concat(F.lit(_REVISED), F.col("content")))
+    index = posting_table(spark, sf).change("revised", revised.unionByName(fresh), old)
+    return _batch(index.at("base", "revised"), spark, sf)
+
+
+@query("index_after_delete", _batch_sql("""
+  SELECT doc_id::VARCHAR AS chunk_id, "text" AS content FROM documents
+  WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)"""))
+def index_after_delete(spark, sf):
+    """Toxic documents are deleted."""
+    toxic = X.table(spark, sf, "labels").filter("toxic = 1").select(F.col("doc_id").cast("string").alias("chunk_id"))
+    index = posting_table(spark, sf).change("deleted", removed=_doc_rows(spark, sf).join(toxic, "chunk_id", "left_semi"))
+    return _batch(index.at("base", "deleted"), spark, sf)
+
+
+# --- a table of queries ------------------------------------------------------------------------------
+
+_CELLS: dict[tuple[str, str], VectorCells] = {}
+
+
+def corpus_cells(spark, sf) -> VectorCells:
+    """Cell index of the chunk table's vectors."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _CELLS:
+        _CELLS[key] = VectorCells(scratch_path(spark, "cells")).build(X.corpus(spark, sf), 32)
+    return _CELLS[key]
+
+
+def _probes(spark, sf):
+    return X.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text", embedding(F.col("text")).alias("vector"))
+
+
+_NEAR_BATCH = f"""
+WITH {Q.CHUNKS}{Q.vectors()}, {_ASKED}{Q.vectors('asked', name='probes')},
+near AS (
+  SELECT p.chunk_id AS query_id, v.chunk_id, (1.0::DOUBLE + CASE WHEN isnan(c) THEN 0 ELSE c END) / 2.0::DOUBLE AS score
+  FROM probes p, vectors v, LATERAL (SELECT list_cosine_similarity(v.content_vector::DOUBLE[], p.content_vector::DOUBLE[]) AS c))"""
+
+
+@query("vector_batch", f"{_NEAR_BATCH}{_best_of_each('near')}")
+def vector_batch(spark, sf):
+    return _scored(corpus_cells(spark, sf).search(_probes(spark, sf), 5), "query_id", "rank", "chunk_id")
+
+
+@query("hybrid_batch", f"""{_NEAR_BATCH}{Q.text_batch(C.FIELD_BOOSTS, 'chunks')},
+nearest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS near_rank FROM near) WHERE near_rank <= 5),
+hybrid AS (
+  SELECT query_id, chunk_id, coalesce(n.score, 0) * {C.API_WEIGHTS[0]}::DOUBLE + coalesce(t.score, 0) * {C.API_WEIGHTS[1]}::DOUBLE AS score
+  FROM nearest n FULL JOIN batch_text t USING (query_id, chunk_id)){_best_of_each('hybrid')}""")
+def search_hybrid_batch(spark, sf):
+    hits = hybrid_batch(_probes(spark, sf), corpus_cells(spark, sf), corpus_index(spark, sf), 5)
+    return _scored(hits, "query_id", "rank", "chunk_id")
 
 
 # --- hybrid and modes -----------------------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from newsloom import constants as C
 from newsloom.functions.providers import embed_text
 from newsloom.operators.lexical import query_terms
@@ -181,9 +183,9 @@ chunks AS (
 )"""
 
 
-def vectors(rows: str = "chunks", col: str = "content", dim: int = 64) -> str:
-    """CTE ``vectors(chunk_id, content_vector)`` of the word-bucket histogram."""
-    return f""",
+def vectors(rows: str = "chunks", col: str = "content", dim: int = 64, name: str = "vectors") -> str:
+    """CTE ``name(chunk_id, content_vector)`` of the word-bucket histogram."""
+    plain = f""",
 word_rows AS (SELECT chunk_id, unnest({tokens(col)}) AS w FROM {rows}),
 bucket_rows AS (
   SELECT chunk_id, (('0x' || substr(md5(w), 1, 4))::INT) % {dim} AS b, count(*) AS n FROM word_rows GROUP BY ALL
@@ -196,6 +198,30 @@ vectors AS (
   LEFT JOIN norms m ON m.chunk_id = c.chunk_id
   GROUP BY c.chunk_id
 )"""
+    if name == "vectors":
+        return plain
+    for part in ("word_rows", "bucket_rows", "norms", "vectors"):
+        plain = re.sub(rf"\b{part}\b", f"{name}_{part}" if part != "vectors" else name, plain)
+    return plain
+
+
+def text_batch(boosts: dict[str, float], rows: str, asked: str = "asked", name: str = "batch_text") -> str:
+    """CTE ``name(query_id, chunk_id, score)``: best boosted field of ``rows`` for each ``asked (query_id, content)``."""
+    fields = " UNION ALL ".join(
+        f"SELECT chunk_id, '{f}' AS field, {b}::DOUBLE AS boost, {tokens(f)} AS tok FROM {rows}" for f, b in boosts.items())
+    return f""",
+{name}_t AS ({fields}),
+{name}_p AS (
+  SELECT chunk_id, field, boost, term, count(*)::DOUBLE AS tf, any_value(dl) AS dl
+  FROM (SELECT chunk_id, field, boost, unnest(tok) AS term, len(tok)::DOUBLE AS dl FROM {name}_t) GROUP BY ALL),
+{name}_m AS (SELECT field, count(*)::DOUBLE AS n, avg(len(tok)) AS mean FROM {name}_t WHERE len(tok) > 0 GROUP BY field),
+{name}_d AS (SELECT field, term, count(*)::DOUBLE AS df FROM {name}_p GROUP BY field, term),
+{name}_a AS (SELECT query_id, term, count(*)::DOUBLE AS weight FROM (SELECT query_id, unnest({tokens('content')}) AS term FROM {asked}) GROUP BY ALL),
+{name}_s AS (
+  SELECT query_id, chunk_id, field, sum(boost * weight * ln(1.0::DOUBLE + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))
+         * tf / (tf + {C.BM25_K1}::DOUBLE * (1.0::DOUBLE - {C.BM25_B}::DOUBLE + {C.BM25_B}::DOUBLE * dl / mean))) AS score
+  FROM {name}_a JOIN {name}_p USING (term) JOIN {name}_d USING (field, term) JOIN {name}_m USING (field) GROUP BY ALL),
+{name} AS (SELECT query_id, chunk_id, max(score) AS score FROM {name}_s GROUP BY ALL)"""
 
 
 def similarity(col: str, query: list[float]) -> str:

@@ -28,7 +28,7 @@ from newsloom.operators.lexical import PostingTable
 from newsloom.plans.api import Api
 from newsloom.plans.engine import Engine
 from newsloom.plans.ingest import Indexer, rewrite_urls, write_articles
-from newsloom.session import build_session, path_exists
+from newsloom.session import build_session
 from newsloom.sources import articles as A
 from newsloom.sources.chunk_table import ChunkTable
 from newsloom.sources.file_log import FileLog
@@ -97,19 +97,13 @@ def _indexer(spark: SparkSession, root: str, settings: Settings) -> Indexer:
     return Indexer(
         spark, table, FileLog(spark, f"{root}/log"), settings.default_source, WordHistogram(settings.vector_dim),
         chunk_tokens=settings.chunk_tokens, overlap_tokens=settings.overlap_tokens,
+        index=PostingTable(f"{root}/postings", settings.table_buckets),
     )
 
 
-def _build_index(spark: SparkSession, root: str, settings: Settings) -> None:
-    """Write the posting table of the current chunks anew."""
-    table = ChunkTable(spark, f"{root}/chunks", settings.table_buckets)
-    if table.exists():
-        PostingTable(f"{root}/postings", settings.table_buckets).build(table.read())
-
-
 def _stored_index(spark: SparkSession, root: str, settings: Settings) -> PostingTable | None:
-    stored = path_exists(spark, f"{root}/postings/fields")
-    return PostingTable(f"{root}/postings", settings.table_buckets) if stored else None
+    index = PostingTable(f"{root}/postings", settings.table_buckets)
+    return index if index.exists(spark) else None
 
 
 def _index(spark: SparkSession, args, settings: Settings) -> int:
@@ -134,7 +128,6 @@ def _index(spark: SparkSession, args, settings: Settings) -> int:
             results = indexer.index_files(A.read_article_files(spark, folder), args.asof)
         else:
             results = indexer.index_directory(folder, args.asof, args.retry_failed)
-    _build_index(spark, args.root, settings)
     counts = {r["outcome"]: r["n"] for r in results.groupBy("outcome").agg(F.count("*").alias("n")).collect()}
     print(f"indexed {counts.get('indexed', 0)}, failed {counts.get('failed', 0)}")
     return 1 if counts.get("failed") else 0
@@ -152,7 +145,6 @@ def run(spark: SparkSession, argv: list[str]) -> int:
         indexer = _indexer(spark, args.root, settings)
         rows = article_stream(spark, args.articles, args.batch_files)
         index_stream(rows, indexer, f"{args.root}/progress", args.asof).awaitTermination()
-        _build_index(spark, args.root, settings)
         indexer.stats().show()
     elif args.command == "extract":
         rows = crawl.extract_articles(spark.read.parquet(args.pages))

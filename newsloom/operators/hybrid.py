@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
 from newsloom import constants as C
 from newsloom.operators import filters
+from newsloom.operators.cells import VectorCells
 from newsloom.operators.lexical import PostingTable, TextScorer
 from newsloom.operators.ranking import first_n
 from newsloom.operators.vector import row_keys, similarities, with_rows
+from newsloom.session import stored
 
 
 @dataclass(frozen=True)
@@ -149,6 +151,29 @@ def indexed_hits(
     return rows
 
 
+def hybrid_batch(
+    queries: DataFrame, cells: VectorCells, index: PostingTable, k: int = 5, weights: tuple[float, float] = C.API_WEIGHTS,
+    boosts: Mapping[str, float] = C.FIELD_BOOSTS,
+) -> DataFrame:
+    """``query_id, rank, article_id, chunk_id, score`` of the ``k`` best chunks of ``queries (query_id, text, vector)``.
+
+    :func:`hybrid_hits` for a table of queries.  The vector part counts for the ``k``
+    nearest only, so every other hit is among the ``2 k`` best by text: both lists
+    come from their indexes, the nearest get their text scores by key, and no chunk
+    meets more queries than these lists say.
+    """
+    vector_weight, text_weight = weights
+    keys = ["query_id", "article_id", "chunk_id"]
+    near = stored(cells.search(queries, k).select(*keys, "score"), "hybrid-near")
+    asked = queries.select("query_id", "text")
+    text = index.search(asked, 2 * k, boosts).select(*keys, "score").unionByName(
+        index.scores_of(asked, near.select(*keys), boosts)).groupBy(*keys).agg(F.max("score").alias("score"))
+    both = near.withColumn("score", F.col("score") * vector_weight).unionByName(
+        text.withColumn("score", F.col("score") * text_weight))
+    rows = both.groupBy(*keys).agg(F.sum("score").alias("score"))
+    return first_n(rows, ["query_id"], [F.round("score", 9).desc(), F.col("chunk_id").asc()], k, "rank")
+
+
 def hybrid_search(
     chunks: DataFrame,
     text: str,

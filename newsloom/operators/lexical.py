@@ -4,17 +4,30 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from newsloom import constants as C
 from newsloom.functions.providers import WORD_RE
 from newsloom.functions.terms import STOP_SET, BatchTerms
 from newsloom.functions.text import computed_once, tokens
 from newsloom.operators.ranking import first_n
+from newsloom.session import path_exists, remove_path, stored
+
+#: Share of a query's postings, rarest terms first, that sets the first floor of a pruned search.
+SEED_SHARE = 0.05
+#: Texts scored in full for the floor, in multiples of the hits asked for.
+TRIED = 4
+#: Share of the floor that the greatest parts of the common terms may reach together.  More of it names fewer
+#: candidates, less of it keeps fewer of those named.
+COMMON_SHARE = 0.25
+#: Floors are compared a little lower, as sums in another order round differently.
+SLACK = 1.0 - 1e-9
+
+_POSTING = "field string, article_id string, chunk_id string, len int, first boolean, term string, tf int, sign int"
 
 
 def query_terms(text: str) -> dict[str, int]:
@@ -150,50 +163,90 @@ def postings(chunks: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 @dataclass(frozen=True)
 class PostingTable:
-    """Postings stored by term bucket, plus one row of statistics per field.
+    """Postings by term bucket with their statistics, kept up to date as sums of batches.
+
+    A batch adds the postings of new texts with ``sign`` 1 and those of texts that
+    are gone with ``sign`` -1; row counts, word counts and row counts of terms are
+    signed sums too.  Reading adds up, so a change costs what it changes.  A batch
+    counts once its ``fields`` rows are there, which are written last; writing one
+    again replaces it.  ``only`` names the batches to look at.
 
-    A query reads only the buckets its terms fall into, and inside them, since
-    the rows are sorted by term, only the row groups that can hold them.  The
-    rebalanced write splits a bucket with a very common term over many files.
+    A query reads only the buckets its terms fall into, and inside them, since the
+    rows are sorted by term, only the row groups that can hold them.  The rebalanced
+    write splits a bucket with a very common term over many files.
     """
 
     path: str
     buckets: int = 64
+    only: tuple[str, ...] | None = None
 
     @staticmethod
     def bucket_of(term: Column, buckets: int) -> Column:
         return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
+    # --- writing ------------------------------------------------------------------
     def build(self, chunks: DataFrame, fields: Sequence[str] = tuple(C.FIELD_BOOSTS)) -> "PostingTable":
-        rows = postings(chunks, fields).withColumn("bucket", self.bucket_of(F.col("term"), self.buckets))
+        """Postings of ``chunks`` in place of all there were."""
+        for name in ("fields", "terms", "postings"):
+            remove_path(chunks.sparkSession, f"{self.path}/{name}")
+        return self.change("base", added=chunks, fields=fields)
+
+    def change(self, batch: str, added: DataFrame | None = None, removed: DataFrame | None = None,
+               fields: Sequence[str] | None = None) -> "PostingTable":
+        """Add a batch: chunk rows that are new, and those, as they were, that are gone or replaced."""
+        parts = [(rows, sign) for rows, sign in ((added, 1), (removed, -1)) if rows is not None]
+        spark = parts[0][0].sparkSession
+        fields = fields or [r["field"] for r in self._fields(spark).select("field").distinct().collect()]
+        rows = None
+        for chunks, sign in parts:
+            absent = {f: F.lit(None).cast("string") for f in fields if f not in chunks.columns}
+            signed = postings(chunks.withColumns(absent), fields).withColumn("sign", F.lit(sign))
+            rows = signed if rows is None else rows.unionByName(signed)
+        at = f"batch={batch}"
         (
-            rows.hint("rebalance", F.col("bucket"))
+            rows.withColumn("bucket", self.bucket_of(F.col("term"), self.buckets)).hint("rebalance", F.col("bucket"))
             .sortWithinPartitions("bucket", "term")
-            .write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
+            .write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/{at}")
         )
         # everything else comes from the stored postings; no text is read again
-        stored = self.postings(chunks.sparkSession)
-        terms = stored.groupBy("bucket", "field", "term").agg(F.count("*").cast("double").alias("df"))
-        terms.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/terms")
-        stats = stored.groupBy("field").agg(
-            F.count_if(F.col("first")).cast("double").alias("docs"), F.sum("tf").cast("double").alias("words")
-        ).select("field", "docs", (F.col("words") / F.col("docs")).alias("mean_len"))
-        stats.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/fields")
+        kept = spark.read.schema(f"{_POSTING}, bucket int").parquet(f"{self.path}/postings/{at}")
+        terms = kept.groupBy("bucket", "field", "term").agg(
+            F.sum("sign").alias("df"), F.max("tf").alias("max_tf"), F.min(F.col("len") / F.col("tf")).alias("min_ratio"))
+        terms.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/terms/{at}")
+        stats = kept.groupBy("field").agg(
+            F.sum(F.when(F.col("first"), F.col("sign")).otherwise(0)).alias("docs"), F.sum(F.col("tf") * F.col("sign")).alias("words"))
+        named = spark.createDataFrame([(f,) for f in fields], "field string")
+        named.join(stats, "field", "left").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/fields/{at}")
         return self
 
-    def postings(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/postings")
+    def exists(self, spark: SparkSession) -> bool:
+        return path_exists(spark, f"{self.path}/fields")
 
-    def search(self, queries: DataFrame, k: int, boosts: Mapping[str, float] = C.FIELD_BOOSTS) -> DataFrame:
-        """Top ``k`` chunks of each row of ``queries(query_id, text)``."""
-        order = [F.col("score").desc(), F.col("chunk_id").asc()]
-        return first_n(self.scores(queries, boosts), ["query_id"], order, k, "rank")
+    # --- reading ------------------------------------------------------------------
+    def at(self, *batches: str) -> "PostingTable":
+        """The table as of these batches."""
+        return replace(self, only=batches)
 
-    def scores(self, queries: DataFrame, boosts: Mapping[str, float] = C.FIELD_BOOSTS) -> DataFrame:
-        """``(query_id, article_id, chunk_id, score)`` of every matching chunk.
+    def _seen(self, rows: DataFrame, batches: list[str]) -> DataFrame:
+        return rows.filter(F.col("batch").isin(batches))
 
-        Terms meet postings in an equi-join; adaptive execution broadcasts the
-        term side when it is small and splits a hot term's partition when not.
+    def _fields(self, spark: SparkSession) -> DataFrame:
+        rows = spark.read.schema("field string, docs long, words long, batch string").parquet(f"{self.path}/fields")
+        return self._seen(rows, list(self.only)) if self.only else rows
+
+    def _batches(self, spark: SparkSession) -> list[str]:
+        return [r["batch"] for r in self._fields(spark).select("batch").distinct().collect()]
+
+    def postings(self, spark: SparkSession) -> DataFrame:
+        """Signed postings; those of one text in one batch add up to what it is now."""
+        rows = spark.read.schema(f"{_POSTING}, batch string, bucket int").parquet(f"{self.path}/postings")
+        return self._seen(rows, self._batches(spark))
+
+    def _weights(self, queries: DataFrame, boosts: Mapping[str, float]) -> DataFrame:
+        """``(query_id, bucket, term, field, mean_len, weight, df, most)``: one row a query, term and field.
+
+        ``most`` bounds what the term can add to a text, from the greatest count and
+        the least length for each occurrence: both hold whatever the mean length is.
         """
         spark = queries.sparkSession
         asked = (
@@ -201,20 +254,122 @@ class PostingTable:
             .groupBy("query_id", "term").agg(F.count("*").cast("double").alias("weight"))
             .withColumn("bucket", self.bucket_of(F.col("term"), self.buckets))
         )
-        fields = spark.read.parquet(f"{self.path}/fields")  # one row per field
-        terms = spark.read.parquet(f"{self.path}/terms").filter(F.col("field").isin(list(boosts)))
+        fields = self._fields(spark).groupBy("field").agg(F.sum("docs").cast("double").alias("docs"), F.sum("words").alias("words")).select(
+            "field", "docs", (F.col("words") / F.col("docs")).alias("mean_len"))  # one row per field
+        known = spark.read.schema("field string, term string, df long, max_tf int, min_ratio double, batch string, bucket int")
+        terms = self._seen(known.parquet(f"{self.path}/terms"), self._batches(spark)).filter(F.col("field").isin(list(boosts)))
+        wanted = (
+            asked.join(terms, ["bucket", "term"]).groupBy("query_id", "bucket", "term", "field", "weight")
+            .agg(F.sum("df").cast("double").alias("df"), F.max("max_tf").cast("double").alias("max_tf"),
+                 F.min("min_ratio").alias("min_ratio")).filter(F.col("df") > 0)
+        )
         boost = F.element_at(
             F.create_map(*[F.lit(v) for f, b in boosts.items() for v in (f, float(b))]), F.col("field")
         )
-        weights = (
-            asked.join(terms, ["bucket", "term"]).join(F.broadcast(fields), "field")
-            .select("query_id", "bucket", "term", "field", "mean_len",
-                    (F.col("weight") * boost * inverse_frequency(F.col("docs"), F.col("df"))).alias("weight"))
-        )
-        part = F.col("weight") * saturation(F.col("tf").cast("double"), F.col("len").cast("double"), F.col("mean_len"))
-        per_field = [F.sum(F.when(F.col("field") == f, part)) for f in boosts]
-        score = F.greatest(*per_field) if len(per_field) > 1 else per_field[0]
+        weight = F.col("weight") * boost * inverse_frequency(F.col("docs"), F.col("df"))
+        most = F.col("weight") / (1.0 + C.BM25_K1 * (
+            (1.0 - C.BM25_B) / F.col("max_tf") + C.BM25_B * F.col("min_ratio") / F.col("mean_len")))
         return (
-            self.postings(spark).join(weights, ["bucket", "term", "field"])
-            .groupBy("query_id", "article_id", "chunk_id").agg(score.alias("score"))
+            wanted.join(F.broadcast(fields), "field")
+            .select("query_id", "bucket", "term", "field", "mean_len", "df", "max_tf", "min_ratio", weight.alias("weight"))
+            .withColumn("most", most).drop("max_tf", "min_ratio")
         )
+
+    def _added(self, rows: DataFrame, boosts: Mapping[str, float]) -> DataFrame:
+        """Sum of postings joined with weights: ``query_id, article_id, chunk_id``, ``part_<i>`` by field, ``live``."""
+        part = F.col("sign") * F.col("weight") * saturation(F.col("tf").cast("double"), F.col("len").cast("double"), F.col("mean_len"))
+        return rows.groupBy("query_id", "article_id", "chunk_id").agg(
+            *[F.sum(F.when(F.col("field") == f, part).otherwise(0.0)).alias(f"part_{i}") for i, f in enumerate(boosts)],
+            F.sum("sign").alias("live"))
+
+    @staticmethod
+    def _best(columns: Sequence[Column]) -> Column:
+        return F.greatest(*columns) if len(columns) > 1 else columns[0]
+
+    def scores(self, queries: DataFrame, boosts: Mapping[str, float] = C.FIELD_BOOSTS) -> DataFrame:
+        """``(query_id, article_id, chunk_id, score)`` of every matching chunk.
+
+        Terms meet postings in an equi-join; adaptive execution broadcasts the
+        term side when it is small and splits a hot term's partition when not.
+        """
+        joined = self.postings(queries.sparkSession).join(self._weights(queries, boosts).drop("df", "most"), ["bucket", "term", "field"])
+        # postings of a text that is gone add up to nothing, but for rounding
+        return self._added(joined, boosts).filter(F.col("live") > 0).select(
+            "query_id", "article_id", "chunk_id", self._best([F.col(f"part_{i}") for i in range(len(boosts))]).alias("score"))
+
+    def scores_of(self, queries: DataFrame, pairs: DataFrame, boosts: Mapping[str, float] = C.FIELD_BOOSTS) -> DataFrame:
+        """:meth:`scores` for given ``pairs (query_id, article_id, chunk_id)`` only; pairs without a shared term are left out."""
+        return self._full(pairs, self._weights(queries, boosts), boosts)
+
+    def _full(self, pairs: DataFrame, weights: DataFrame, boosts: Mapping[str, float]) -> DataFrame:
+        wanted = pairs.join(weights.drop("df", "most"), "query_id")
+        joined = self.postings(pairs.sparkSession).join(wanted, ["bucket", "term", "field", "article_id", "chunk_id"])
+        return self._added(joined, boosts).filter(F.col("live") > 0).select(
+            "query_id", "article_id", "chunk_id", self._best([F.col(f"part_{i}") for i in range(len(boosts))]).alias("score"))
+
+    def search(self, queries: DataFrame, k: int, boosts: Mapping[str, float] = C.FIELD_BOOSTS) -> DataFrame:
+        """Top ``k`` chunks of each row of ``queries(query_id, text)`` with their ``rank``."""
+        order = [F.round("score", 9).desc(), F.col("chunk_id").asc()]
+        return first_n(self.candidates(queries, k, boosts).rows, ["query_id"], order, k, "rank")
+
+    def candidates(self, queries: DataFrame, k: int, boosts: Mapping[str, float] = C.FIELD_BOOSTS) -> "Candidates":
+        """Scores of all chunks that may be among the first ``k`` of a query.
+
+        The rarest terms of a query, ``SEED_SHARE`` of its postings, are added up
+        first, and the best ``TRIED`` x ``k`` texts by them are scored in full: their
+        k-th score is a floor for the k-th of all.  Terms whose greatest parts
+        together stay below the floor cannot bring a text in by themselves, so only
+        the others' postings name candidates.  A candidate is dropped if its sum and
+        the greatest parts of the terms left stay below the floor; what remains
+        meets the common terms' postings.
+        """
+        spark = queries.sparkSession
+        numbered = {f: i for i, f in enumerate(boosts)}
+        parts = [F.col(f"part_{i}") for i in range(len(boosts))]
+        weights = stored(self._weights(queries, boosts), "query-weights")  # used four times, one row a query and term
+        rows_of = self.postings(spark)
+
+        rarest = Window.partitionBy("query_id").orderBy("df", "term", "field")
+        before = F.coalesce(F.sum("df").over(rarest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        total = F.sum("df").over(Window.partitionBy("query_id"))
+        seeds = weights.withColumn("seed", before < F.greatest(total * SEED_SHARE, F.lit(float(k)))).filter("seed")
+        seeded = self._added(rows_of.join(seeds.drop("df", "most", "seed"), ["bucket", "term", "field"]), boosts)
+        tried = first_n(seeded.filter("live > 0").select("query_id", "article_id", "chunk_id", self._best(parts).alias("score")),
+                        ["query_id"], [F.col("score").desc()], TRIED * k)
+        floor = stored(self._floor(self._full(tried.drop("score"), weights, boosts), k), "query-floors")
+
+        least = Window.partitionBy("query_id", "field").orderBy("most", "term")
+        reach = F.sum("most").over(least.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        split = (weights.join(floor, "query_id", "left")
+                 .withColumn("common", F.coalesce(reach < F.col("floor") * COMMON_SHARE, F.lit(False))).drop("df", "floor"))
+        named = self._added(rows_of.join(split.filter(~F.col("common")).drop("most", "common"), ["bucket", "term", "field"]), boosts)
+        named = named.filter("live > 0")
+        left = split.filter("common").groupBy("query_id").agg(
+            *[F.sum(F.when(F.col("field") == f, F.col("most")).otherwise(0.0)).alias(f"left_{i}") for f, i in numbered.items()])
+        hopes = [F.col(f"part_{i}") + F.coalesce(F.col(f"left_{i}"), F.lit(0.0)) for i in range(len(boosts))]
+        kept = (
+            named.join(floor, "query_id", "left").join(left, "query_id", "left")
+            .filter(self._best(hopes) >= F.coalesce(F.col("floor") * SLACK, F.lit(0.0)))
+            .select("query_id", "article_id", "chunk_id", *[f"part_{i}" for i in range(len(boosts))])
+        )
+        common = split.filter("common").drop("most", "common")
+        more = rows_of.join(kept.select("query_id", "article_id", "chunk_id").join(common, "query_id"),
+                           ["bucket", "term", "field", "article_id", "chunk_id"])
+        both = kept.unionByName(self._added(more, boosts).drop("live"))
+        rows = both.groupBy("query_id", "article_id", "chunk_id").agg(*[F.sum(p).alias(f"part_{i}") for i, p in enumerate(parts)])
+        return Candidates(named, kept, rows.select("query_id", "article_id", "chunk_id", self._best(parts).alias("score")))
+
+    @staticmethod
+    def _floor(scores: DataFrame, k: int) -> DataFrame:
+        """``query_id, floor``: the k-th score of each query that has as many."""
+        top = first_n(scores, ["query_id"], [F.col("score").desc()], k)
+        return top.groupBy("query_id").agg(F.min("score").alias("floor"), F.count("*").alias("n")).filter(F.col("n") >= k).drop("n")
+
+
+@dataclass(frozen=True)
+class Candidates:
+    """Chunks named by the telling terms, those that were kept, and the kept ones' full scores."""
+
+    named: DataFrame
+    kept: DataFrame
+    rows: DataFrame

@@ -15,6 +15,7 @@ from newsloom.operators import enrich, recency, sessions
 from newsloom.operators.hybrid import Query, hybrid_search, indexed_hits
 from newsloom.operators.vector import vector_search, with_rows
 from newsloom.plans.engine import Engine, ROW_COLUMNS
+from newsloom.plans.ingest import put_chunks
 from newsloom.session import path_exists
 from newsloom.sources.articles import request_articles
 from newsloom.sources.chunk_table import ChunkTable
@@ -45,7 +46,7 @@ class Api:
         """Index articles handed over by a caller; of payloads with one URL the last one stays."""
         rows = request_articles(self.spark, payloads, self.default_source)
         chunks = enrich.process_articles(rows, F.lit(crawled_at), self.engine.embedder, keep=["payload"])
-        return self.table.upsert(chunks, order="payload")
+        return put_chunks(self.table, chunks, order="payload", index=self.engine.index)
 
     def search(self, text: str, k: int = 5, use_hybrid: bool = True) -> DataFrame:
         """Chunk rows, not deduplicated by article; ``k`` is taken as given."""

@@ -8,11 +8,51 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsloom.functions import providers
 from newsloom.operators import enrich, ledger
+from newsloom.operators.lexical import PostingTable
+from newsloom.operators.ranking import first_n
 from newsloom.sources import articles as A
 from newsloom.sources.chunk_table import ChunkTable
 from newsloom.sources.file_log import FileLog
 
 
+def put_chunks(table: ChunkTable, chunks: DataFrame, mode: str = "chunk", order: str | None = None,
+               index: PostingTable | None = None) -> dict:
+    """:meth:`ChunkTable.upsert`, the posting table changed along with it.
+
+    The rows that are replaced are read from the buckets that ``chunks`` falls into.
+    Postings are written first, under the version the table is about to get: a call
+    that dies in between and is made again writes the same batch in its place.
+    """
+    spark = table.spark
+    if index is not None and index.exists(spark) and table.exists():
+        added = chunks if order is None else first_n(chunks, ["chunk_id"], [F.col(order).desc()], 1)
+        names = ["bucket", "article_id"] + (["chunk_id"] if mode == "chunk" else [])
+        index.change(_next_version(table), added, _rows_of(table, added, names))
+        return table.upsert(chunks, mode, order)
+    done = table.upsert(chunks, mode, order)
+    if index is not None:
+        index.build(table.read())
+    return done
+
+
+def remove_article(table: ChunkTable, article_id: str, index: PostingTable | None = None) -> int:
+    """:meth:`ChunkTable.delete_article`, its postings taken back too."""
+    if index is not None and index.exists(table.spark) and table.exists():
+        asked = table.spark.createDataFrame([(article_id,)], "article_id string")
+        index.change(_next_version(table), removed=_rows_of(table, asked, ["bucket", "article_id"]))
+    return table.delete_article(article_id)
+
+
+def _next_version(table: ChunkTable) -> str:
+    return f"v{table.version() + 1}"
+
+
+def _rows_of(table: ChunkTable, rows: DataFrame, names: list[str]) -> DataFrame:
+    """Stored chunks with the keys of ``rows``; the filter makes Spark prune the buckets."""
+    keys = table.bucketed(rows).select(names).filter(F.col("bucket") >= 0).distinct()
+    return table.read().join(keys, names, "left_semi")
+
+
 class Indexer:
     """Files -> clean articles -> chunks -> table, with a log of outcomes.
 
@@ -31,8 +71,9 @@ class Indexer:
         summarizer: providers.Summarizer | None = providers.LeadSentences(),
         chunk_tokens: int | None = None,
         overlap_tokens: int | None = None,
+        index: PostingTable | None = None,
     ) -> None:
-        self.spark, self.table, self.log = spark, table, log
+        self.spark, self.table, self.log, self.index = spark, table, log, index
         self.chunk_tokens, self.overlap_tokens = chunk_tokens, overlap_tokens
         self.default_source, self.embedder, self.summarizer = default_source, embedder, summarizer
 
@@ -60,7 +101,7 @@ class Indexer:
         chunks.write.parquet(staged)
         chunks = self.spark.read.parquet(staged)
         # files in path order: of two files with one URL the later one wins
-        self.table.upsert(chunks, order="path")
+        put_chunks(self.table, chunks, order="path", index=self.index)
         done = chunks.groupBy("path").agg(F.min("article_id").alias("article_id"), F.count("*").alias("chunks"))
         results = checked.select("path", "problem").join(done, "path", "left").select(
             "path",

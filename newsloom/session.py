@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that only change how a plan runs, never what it returns.
 RUNTIME_CONF = {
@@ -70,3 +70,16 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a file or folder is there, in whatever store Spark reads it from."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return bool(place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place))
+
+
+def remove_path(spark: SparkSession, path: str) -> bool:
+    """Remove a file or folder; False when there was none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True))
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` by way of a table in the shared folder: computed once, with no lineage to lose."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -39,7 +39,7 @@ class ChunkTable:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-    def _version(self) -> int:
+    def version(self) -> int:
         """Number of the current snapshot, 0 when there is none."""
         fs, folder = self._fs("snapshots")
         if not fs.exists(folder):
@@ -48,7 +48,7 @@ class ChunkTable:
         return max((int(n[:-5]) for n in names if n.endswith(".json")), default=0)
 
     def _snapshot(self) -> dict | None:
-        version = self._version()
+        version = self.version()
         if not version:
             return None
         return self._load(f"{version:012d}.json")
@@ -83,7 +83,7 @@ class ChunkTable:
         if self.exists() and not recreate:
             return "exists"
         self._publish({
-            "version": self._version(), "buckets": self.buckets, "live": {}, "deltas": [],
+            "version": self.version(), "buckets": self.buckets, "live": {}, "deltas": [],
             "schema": json.loads(self.schema.json()),
         })
         return "created"
@@ -157,7 +157,7 @@ class ChunkTable:
             raise FileNotFoundError(f"no chunk table at {self.root}")
         return self._read(snapshot)
 
-    def _bucketed(self, rows: DataFrame) -> DataFrame:
+    def bucketed(self, rows: DataFrame) -> DataFrame:
         names = [c for c in rows.columns if c != "bucket"]
         bucket = F.pmod(F.xxhash64("article_id"), F.lit(self._count())).cast("int")
         return rows.select(*names, bucket.alias("bucket"))
@@ -215,7 +215,7 @@ class ChunkTable:
         snapshot = self._snapshot()
         stored = StructType.fromJson(snapshot["schema"]).fieldNames()
         kept = [] if order is None else [F.col(order).alias("_order")]
-        fresh = self._bucketed(rows.select(*kept, *[
+        fresh = self.bucketed(rows.select(*kept, *[
             F.col(c) if c in rows.columns else F.lit(None).cast(self.schema[c].dataType).alias(c) for c in stored
         ]))
         if order is not None:
@@ -282,7 +282,7 @@ class ChunkTable:
             self.create()
         snapshot = self._snapshot()
         names = StructType.fromJson(snapshot["schema"]).fieldNames()
-        self._rebase(snapshot, self._bucketed(rows.select(*names)))
+        self._rebase(snapshot, self.bucketed(rows.select(*names)))
 
     def size(self) -> DataFrame:
         """One row: chunk rows, files and bytes of the current table."""
