@@ -35,6 +35,9 @@ CHUNK_CELLS = 1 << 20       # cells of a comparison held at once
 BLOCK_ROWS = 512            # texts of a candidate group compared in one task
 BLOCK_BYTES = 8 << 20
 RARITY_SLOTS = 1 << 18      # of the counts that order shingles; any order gives the same result
+SKETCH_BITS = 6             # sketches bound how much two sets share before they are compared
+SKETCH_SLOTS = 1 << SKETCH_BITS
+PAIRS_AT_ONCE = 1 << 15     # sketches compared at once
 SIZE_STEPS = 4              # size cells within one factor of 1 / similarity
 MAX_SIZE_CELLS = 2048
 
@@ -77,6 +80,18 @@ def fingerprint128(grams: list[bytes]) -> tuple[int, int]:
     return int.from_bytes(made[:8], "big"), int.from_bytes(made[8:], "big")
 
 
+def sketch(grams: np.ndarray) -> bytes:
+    """How many of a set's hashes fall into each of ``SKETCH_SLOTS``, 255 and more as 255."""
+    slots = np.bincount((grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=SKETCH_SLOTS)
+    return np.minimum(slots, 255).astype(np.uint8).tobytes()
+
+
+def most_shared(own: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Bound on what sets have in common by their sketches; 255 in both says nothing."""
+    least = np.minimum(own, others)
+    return np.where((least == 255).any(axis=-1), np.inf, least.sum(axis=-1, dtype=np.int64))
+
+
 def gram_set(grams: list[bytes]) -> np.ndarray:
     """The different shingles of a text as sorted 64-bit hashes."""
     return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, grams), np.uint64, len(grams)))
@@ -479,30 +494,52 @@ def _prefix_links(source: DataFrame, stars: DataFrame, width: int, similarity: f
         "key", "doc_id", "size", "pos", F.coalesce("root", "doc_id").alias("root")), "prefixes-met")
     apart = (rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most"))
              .filter("least < most").select("key", F.ceil(F.col("n") / BLOCK_ROWS).alias("blocks")))
-    placed = (rooted.join(apart, "key").withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    meeting = rooted.join(apart, "key")
+
+    def sketches(batches):
+        for batch in batches:
+            yield {"doc_id": batch.column("doc_id"), "sketch": [sketch(gram_set(shingles(t, width))) for t in utf8(batch, "text")]}
+
+    # after the group has decided, only documents that meet others need one
+    some = meeting.select("doc_id").distinct()
+    bounds = written(map_arrow(source.join(some, "doc_id"), sketches, "doc_id long, sketch binary"), "sketches")
+    placed = (meeting.join(bounds, "doc_id").withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
               .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
               .select("key", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile",
-                      "doc_id", "size", "pos", "root"))
+                      "doc_id", "size", "pos", "root", "sketch"))
+
+    def close(groups):
+        """Pairs of several groups that may be similar, the lower id first."""
+        rows = {n: np.concatenate([g[n] for g in groups]) for n in ("doc_id", "tile", "root", "size", "pos", "lo", "hi")}
+        held = np.frombuffer(b"".join(b"".join(g["sketch"]) for g in groups), np.uint8).reshape(-1, SKETCH_SLOTS)
+        last = np.repeat(np.cumsum([len(g["key"]) for g in groups]), [len(g["key"]) for g in groups])
+        later = last - np.arange(len(last)) - 1
+        i = np.repeat(np.arange(len(last)), later)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later) - later, later)
+        size = rows["size"].astype(np.int64)
+        left, wanted = size - rows["pos"], similarity * (size[i] + size[j]) - 1e-9
+        # at the first shingle two sets share, what is left of the shorter rest bounds their overlap
+        near = ((rows["root"][i] != rows["root"][j]) & ((rows["lo"] == rows["hi"])[i] | (rows["tile"][i] != rows["tile"][j]))
+                & ((1 + similarity) * np.minimum(left[i], left[j]) >= wanted))
+        i, j, wanted = i[near], j[near], wanted[near]
+        # a sketch bounds the overlap of the whole sets: a passage that many share is no pair
+        near = np.concatenate([(1 + similarity) * most_shared(held[i[k:k + PAIRS_AT_ONCE]], held[j[k:k + PAIRS_AT_ONCE]])
+                               for k in range(0, len(i), PAIRS_AT_ONCE)] or [wanted]) >= wanted
+        u, v = rows["doc_id"][i[near]], rows["doc_id"][j[near]]
+        return np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0).T
 
     def meet(batches):
-        us, vs = [], []
+        groups, pairs = [], 0
         for group in _runs(batches, ["key", "lo", "hi"]):
-            same = group["lo"][0] == group["hi"][0]
-            ids, tile, root = group["doc_id"], group["tile"], group["root"]
-            size, left = group["size"].astype(np.int64), group["size"].astype(np.int64) - group["pos"]
-            for i in range(len(ids)):
-                # at the first shingle two sets share, what is left of the shorter rest bounds their overlap
-                bound = (1 + similarity) * np.minimum(left[i], left)
-                close = (ids > ids[i]) & (root != root[i]) & (same | (tile != tile[i]))
-                others = ids[close & (bound >= similarity * (size[i] + size) - 1e-9)]
-                if len(others):
-                    us.append(np.full(len(others), ids[i]))
-                    vs.append(others)
-            if sum(map(len, us)) > 50_000:
-                yield {"u": np.concatenate(us), "v": np.concatenate(vs)}
-                us, vs = [], []
-        if us:
-            yield {"u": np.concatenate(us), "v": np.concatenate(vs)}
+            groups.append(group)
+            pairs += len(group["key"]) ** 2
+            if pairs > 1 << 21:
+                u, v = close(groups)
+                groups, pairs = [], 0
+                yield {"u": u, "v": v}
+        if groups:
+            u, v = close(groups)
+            yield {"u": u, "v": v}
 
     dealt = placed.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     pairs = written(map_arrow(dealt, meet, "u long, v long").distinct(), "prefix-pairs")
