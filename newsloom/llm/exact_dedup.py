@@ -19,10 +19,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.base import map_arrow, small_batches, table, utf8, written
+from newsloom.llm.base import map_arrow, small_batches, table, unused, utf8, written
 
 MAX_DEPTH = 14          # the directory has at most 2 ** MAX_DEPTH cells
 PAGE_ROWS = 512
+MOST_SENT = 200_000     # dropped rows, 80 bytes each, that may go to every task
 PAGE_BYTES = 16 << 20
 BUCKETS_PER_TASK = 4
 
@@ -187,18 +188,28 @@ def _joined_pages(heads: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` without the copies: all columns of the rows that stay."""
+    """``docs`` without the copies: all columns of the rows that stay.
+
+    Null and empty texts are copies of each other.  Ids may be null or repeated: a
+    row is named by its id and its text.  Columns of any name pass through; an
+    empty table stays empty.
+    """
     groups = exact_groups(docs)
     gone = written(groups.filter(~F.col("kept")).select(
         "doc_id", "text_sha256", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("again")), "dedup-gone")
     names = docs.columns
-    # ids may be null or repeated: a row is named by its id and its text
-    rows = docs.withColumn("_sha256", F.sha2(squeezed(F.col("text")).cast("binary"), 256))
-    named = [F.col("doc_id").eqNullSafe(F.col("gone_id")), F.col("_sha256") == F.col("gone_sha256")]
-    of = lambda df: df.select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha256")).distinct()
-    rest = rows.join(of(gone), named, "left_anti")
-    # a dropped row may have id and text of the row that stays: one of those rows is kept
-    twice = rows.join(of(gone.filter("again")), named, "left_semi").dropDuplicates(["doc_id", "_sha256"])
+    digest, gone_id, gone_digest = (unused(docs, n) for n in ("_sha256", "gone_id", "gone_sha256"))
+    rows = docs.withColumn(digest, F.sha2(squeezed(F.col("text")).cast("binary"), 256))
+    named = [F.col("doc_id").eqNullSafe(F.col(gone_id)), F.col(digest) == F.col(gone_digest)]
+    of = lambda df: df.select(F.col("doc_id").alias(gone_id), F.col("text_sha256").alias(gone_digest)).distinct()
+    # texts stay where they are while the list of dropped rows is small
+    few = gone.count() <= MOST_SENT
+    rest = rows.join(F.broadcast(of(gone)) if few else of(gone), named, "left_anti")
+    again = gone.filter("again")
+    if again.isEmpty():
+        return rest.select(*names)
+    # a dropped row has id and text of the row that stays: one of those rows is kept
+    twice = rows.join(F.broadcast(of(again)) if few else of(again), named, "left_semi").dropDuplicates(["doc_id", digest])
     return rest.unionByName(twice).select(*names)
 
 

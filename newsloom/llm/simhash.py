@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.base import map_arrow, small_batches, table, utf8, written
+from newsloom.llm.base import map_arrow, small_batches, table, unused, utf8, written
 
 TILE_ROWS = 8192
 CHUNK_CELLS = 1 << 20       # cells of a comparison held at once
@@ -370,23 +370,23 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, rad
 
     def marks(batches):
         for batch in batches:
-            out = {"doc_id": [], "a": [], "b": [], "size": []}
+            out = {"doc_id": [], "a": [], "b": [], "size": [], "sketch": []}
             for i, text in zip(batch.column("doc_id").to_pylist(), utf8(batch, "text")):
                 grams = list(set(shingles(text, width)))
                 if grams:
                     a, b = fingerprint128(grams)
-                    for name, value in zip(out, (i, a, b, len(grams))):
+                    for name, value in zip(out, (i, a, b, len(grams), sketch(gram_set(grams)))):
                         out[name].append(value)
             yield out | {"a": _signed(out["a"]), "b": _signed(out["b"])}
 
-    marked = written(map_arrow(source, marks, "doc_id long, a long, b long, size long"), "marks")
+    marked = written(map_arrow(source, marks, "doc_id long, a long, b long, size long, sketch binary"), "marks")
     pairs = tile_pairs(marked, SizeCells(similarity), tile_rows, ["doc_id", "a", "b", "size"])
     proposed = components(tile_links(pairs, ["a", "b"], "doc_id", radius, similarity))
     members = written(proposed.select(F.col("node").alias("doc_id"), F.col("root").alias("group"))
                       .unionByName(proposed.select(F.col("root").alias("doc_id"), F.col("root").alias("group")))
                       .distinct(), "proposed")
     stars = components(written(_verified(source, members, width, radius, similarity), "verified"))
-    more = _prefix_links(source, stars, width, similarity)
+    more = _prefix_links(source, marked.select("doc_id", "sketch"), stars, width, similarity)
     found = components(stars.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
     return found.select(F.col("node").alias("doc_id"), F.col("root").alias("keep_id"))
 
@@ -482,7 +482,7 @@ def _prefixes(source: DataFrame, width: int, similarity: float) -> DataFrame:
     return map_arrow(source, run, "key long, doc_id long, size int, pos int")
 
 
-def _prefix_links(source: DataFrame, stars: DataFrame, width: int, similarity: float) -> DataFrame:
+def _prefix_links(source: DataFrame, sketches: DataFrame, stars: DataFrame, width: int, similarity: float) -> DataFrame:
     """Links ``u, v`` between documents that ``stars (node, root)`` leaves apart, by exact similarity.
 
     A key whose documents are all in one group is dropped, so a dense group of
@@ -494,16 +494,7 @@ def _prefix_links(source: DataFrame, stars: DataFrame, width: int, similarity: f
         "key", "doc_id", "size", "pos", F.coalesce("root", "doc_id").alias("root")), "prefixes-met")
     apart = (rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most"))
              .filter("least < most").select("key", F.ceil(F.col("n") / BLOCK_ROWS).alias("blocks")))
-    meeting = rooted.join(apart, "key")
-
-    def sketches(batches):
-        for batch in batches:
-            yield {"doc_id": batch.column("doc_id"), "sketch": [sketch(gram_set(shingles(t, width))) for t in utf8(batch, "text")]}
-
-    # after the group has decided, only documents that meet others need one
-    some = meeting.select("doc_id").distinct()
-    bounds = written(map_arrow(source.join(some, "doc_id"), sketches, "doc_id long, sketch binary"), "sketches")
-    placed = (meeting.join(bounds, "doc_id").withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    placed = (rooted.join(apart, "key").join(sketches, "doc_id").withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
               .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
               .select("key", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile",
                       "doc_id", "size", "pos", "root", "sketch"))
@@ -568,25 +559,28 @@ def _prefix_links(source: DataFrame, stars: DataFrame, width: int, similarity: f
 def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` with one document, the smallest id, of each group of near duplicates.
 
-    Rows that repeat an id are told apart by numbers beyond all ids.
+    Rows that repeat an id are told apart by numbers beyond all ids; rows with a null
+    id and texts without words stay.  Columns of any name pass through; an empty
+    table stays empty.
     """
+    gone_id, row = unused(docs, "gone_id"), unused(docs, "_row")
     often = written(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
                     .select("doc_id"), "near-repeated-ids")
     if often.isEmpty():
-        gone = written(similar_groups(docs).select(F.col("doc_id").alias("gone_id")), "near-gone")
-        return docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
+        gone = written(similar_groups(docs).select(F.col("doc_id").alias(gone_id)), "near-gone")
+        return docs.join(gone, docs["doc_id"] == F.col(gone_id), "left_anti")
     top = docs.agg(F.max(F.col("doc_id").cast("long"))).first()[0]
     again = written(docs.join(often, "doc_id", "left_semi").withColumn(
-        "_row", F.monotonically_increasing_id() + F.lit(top + 1)), "near-repeated")
-    rows = docs.join(often, "doc_id", "left_anti").withColumn("_row", F.col("doc_id").cast("long")).unionByName(again)
-    found = written(similar_groups(rows.select(F.col("_row").alias("doc_id"), "text")), "near-groups")
+        row, F.monotonically_increasing_id() + F.lit(top + 1)), "near-repeated")
+    rows = docs.join(often, "doc_id", "left_anti").withColumn(row, F.col("doc_id").cast("long")).unionByName(again)
+    found = written(similar_groups(rows.select(F.col(row).alias("doc_id"), "text")), "near-groups")
     members = found.unionByName(found.select(F.col("keep_id").alias("doc_id"), "keep_id").distinct()).select(
-        F.col("doc_id").alias("_row"), F.col("keep_id").alias("group"))
-    members = members.join(again.select("_row", F.col("doc_id").cast("long").alias("id")), "_row", "left").select(
-        "_row", "group", F.coalesce("id", "_row").alias("id"))
-    stays = members.groupBy("group").agg(F.min(F.struct("id", "_row")).alias("first"))
-    gone = written(members.join(stays, "group").filter(F.col("_row") != F.col("first._row")).select("_row"), "near-gone")
-    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+        F.col("doc_id").alias(row), F.col("keep_id").alias("group"))
+    members = members.join(again.select(row, F.col("doc_id").cast("long").alias("id")), row, "left").select(
+        row, "group", F.coalesce("id", row).alias("id"))
+    stays = members.groupBy("group").agg(F.min(F.struct("id", row)).alias("first"))
+    gone = written(members.join(stays, "group").filter(F.col(row) != F.col(f"first.{row}")).select(row), "near-gone")
+    return rows.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,3 +54,11 @@ def test_stages_of_odd_rows(spark, sf):
     for name, stage in pipeline.STAGES:
         odd = written(stage(spark, odd, sf), name)
         assert odd.count() > 0
+
+
+def test_stages_pass_columns_of_any_name_through(spark):
+    rows = [(1, "a b c d e f g h", 1, 2, "x", 0), (2, "a b c d e f g h", 1, 2, "y", 0), (2, "other text of its own", 1, 2, "z", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone_id int, _row int, _sha256 string, gone_sha256 int")
+    for stage in (exact_dedup.keep_first, simhash.keep_first):
+        kept = stage(docs)
+        assert kept.columns == docs.columns and sorted(r._sha256 for r in kept.collect()) == ["x", "z"]
