@@ -31,7 +31,7 @@ from newsloom.llm.base import map_arrow, small_batches, table, written
 TOKENIZER = "word_bpe_49k.json"
 MAX_TOKENS = 2048
 END_OF_TEXT = 0
-WORD_CACHE = 600_000        # words whose ids a worker remembers beside those of one batch
+WORD_CACHE = 200_000        # words whose ids a worker remembers beside those of one batch
 #: What the vocabulary's pattern cuts words into: runs of letters, single digits, runs of signs (no apostrophes).
 PART = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 

@@ -524,7 +524,7 @@ def _prefix_links(source: DataFrame, sketches: DataFrame, stars: DataFrame, widt
         for group in _runs(batches, ["key", "lo", "hi"]):
             groups.append(group)
             pairs += len(group["key"]) ** 2
-            if pairs > 1 << 21:
+            if pairs > 1 << 18:
                 u, v = close(groups)
                 groups, pairs = [], 0
                 yield {"u": u, "v": v}
