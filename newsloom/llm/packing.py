@@ -417,7 +417,7 @@ def packed_documents(docs: DataFrame, path: str | None = None, max_tokens: int =
     import public_tokenizers
 
     # looking the known words up costs the same for a small batch as for a larger one
-    small_batches(docs.sparkSession, rows=2500, size="12m")
+    small_batches(docs.sparkSession, rows=1500, size="6m")
     pieces = token_pieces(docs, path or public_tokenizers.path(TOKENIZER), max_tokens)
     return pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), max_tokens)
 
