@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newsloom.catalog import query, sql as Q
+from newsloom.functions import urls
 from newsloom.operators import enrich, ledger
 from newsloom.session import scratch_path
 from newsloom.sources import fixtures as X
@@ -33,6 +34,13 @@ def _ledger(spark, sf):
     return files, indexed, failed
 
 
+@query("path_normalize", """SELECT doc_id, 'news/' || source || '/' || doc_id || '.json' AS path FROM documents""")
+def path_normalize(spark, sf):
+    """Paths as another system writes them."""
+    path = F.concat_ws("\\", F.lit("news"), F.col("source"), F.concat(F.col("doc_id").cast("string"), F.lit(".json")))
+    return X.table(spark, sf, "documents").select("doc_id", urls.unix_path(path).alias("path"))
+
+
 @query("pending_files", f"""
 WITH {_LEDGER} SELECT path FROM files WHERE path NOT IN (SELECT path FROM indexed) AND path NOT IN (SELECT path FROM failed)""")
 def pending_files(spark, sf):
