@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from newsloom import constants as C
 from newsloom.catalog import query, sql as Q
 from newsloom.functions import html as H, text as T, urls
+from newsloom.functions.page_tree import page_fields
 from newsloom.operators import crawl, ledger
 from newsloom.sources import fixtures as X
 
@@ -277,7 +278,7 @@ def tag_totals(spark, sf):
 WITH v AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)\\sclass=["'']([^"'']*)["'']', 1)) AS value FROM pages)
 SELECT page_id, value, count(*)::INT AS n FROM v GROUP BY page_id, value""")
 def class_counts(spark, sf):
-    return _pages(spark, sf).select("page_id", F.inline(H.attribute_counts(F.col("html"), "class")))
+    return crawl.attribute_profile(_pages(spark, sf), "class")
 
 
 @query("element_samples", f"""
@@ -335,3 +336,72 @@ def scrape_outcome(spark, sf):
     return _pages(spark, sf).select(
         F.when(F.length(body) >= C.MIN_CONTENT_CHARS, "saved").otherwise("skipped").alias("outcome")
     ).groupBy("outcome").agg(F.count("*").alias("pages"))
+
+
+# --- marked-up pages made of the documents: what went in has to come out -----------------
+
+_MARKED_LAYOUTS = [
+    ("<div data-testid=\"paragraph\"><div><b>", "</b></div> and <div>so on.</div></div>"),
+    ("<p data-type=\"paragraph\"><span><span>", "</span> and <span>so on.</span></span></p>"),
+    ("<div><p><em>", "</em> and <i>so&#32;on.</i></p><div>aside</div></div>"),
+]
+_CRUMB = "<nav class=\"top breadcrumb\"><div><div>Home</div> &gt; <div>{}</div></div></nav>"
+_MARKS = [
+    "", "<span aria-label=\"An Exclusive story\">x</span>",
+    "<div data-testid=\"content-tag\"><div>Today</div><div>EXCLUSIVE</div></div>",
+    _CRUMB.format("Exclusive"), _CRUMB.format("World") + _CRUMB.format("Exclusive"),
+]
+
+
+def _escaped(text):
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&#62;")):
+        text = F.replace(text, F.lit(char), F.lit(entity))
+    return text
+
+
+def _marked_pages(spark, sf):
+    """One page per document: a sentence a paragraph, layout and mark by its id."""
+    docs = X.table(spark, sf, "documents").filter("doc_id IS NOT NULL")
+    docs = T.computed_once(docs, ["doc_id", "lang", "source"], parts=T.sentences(F.coalesce(F.col("text"), F.lit(""))))
+    open_tag, close_tag = (
+        F.element_at(F.array(*[F.lit(layout[k]) for layout in _MARKED_LAYOUTS]), F.pmod("doc_id", F.lit(3)).cast("int") + 1)
+        for k in (0, 1))
+    body = F.array_join(F.transform("parts", lambda x: F.concat(open_tag, _escaped(x), close_tag)), "\n")
+    mark = F.element_at(F.array(*[F.lit(m) for m in _MARKS]), F.pmod("doc_id", F.lit(5)).cast("int") + 1)
+    number = F.col("doc_id").cast("string")
+    head = F.concat(
+        F.lit("<html><body>"), mark, F.lit("<h1>Site</h1><div data-testid=\"headline\"><div>Story <div>no. </div></div>"), number,
+        F.lit("</div><div data-testid=\"dek-block\"><div>About</div> "), F.coalesce("source", F.lit("")),
+        F.lit("</div><span data-testid=\"byline\"><span>By </span><span>"), F.coalesce("lang", F.lit("")),
+        F.lit(" Desk</span></span><time>late</time><div data-testid=\"timestamp-text\"><div>day</div> "), number, F.lit("</div>"))
+    return docs.select("doc_id", F.concat(head, F.lit("<article>"), body, F.lit("</article></body></html>")).alias("html"))
+
+
+def _marked_fields(spark, sf):
+    return _marked_pages(spark, sf).select("doc_id", page_fields(F.col("html")).alias("page"))
+
+
+@query("html_layouts", f"""
+WITH d AS (SELECT doc_id, {Q.sentences("coalesce(text, '')")} AS parts FROM documents WHERE doc_id IS NOT NULL),
+t AS (SELECT doc_id, list_transform(parts, lambda x: {Q.strip("(x || ' and so on.')")}) AS texts FROM d),
+k AS (SELECT doc_id, list_filter(texts, lambda t: length(t) > 20 AND NOT contains(t, 'Advertisement')) AS good,
+  list_filter(texts, lambda t: length(t) > 30 AND NOT contains(t, 'Advertisement') AND NOT contains(t, 'copyright')
+    AND NOT contains(t, 'Subscriber Agreement') AND NOT starts_with(t, 'Write to ')) AS plain FROM t),
+c AS (SELECT doc_id, CASE WHEN doc_id % 3 < 2 AND len(good) > 2 THEN (doc_id % 3 + 1)::INT ELSE 3 END AS layout, good, plain FROM k),
+p AS (SELECT doc_id, layout, CASE WHEN layout < 3 THEN good WHEN doc_id % 3 = 0 THEN []::VARCHAR[] ELSE plain END AS kept FROM c)
+SELECT doc_id, layout, len(kept)::INT AS paragraphs, array_to_string(kept, chr(10) || chr(10)) AS content FROM p""")
+def html_layouts(spark, sf):
+    return _marked_fields(spark, sf).select("doc_id", "page.layout", "page.paragraphs", "page.content")
+
+
+@query("html_meta", f"""
+SELECT doc_id, 'Story no. ' || doc_id AS headline, {Q.strip("('About ' || coalesce(source, ''))")} AS subtitle,
+  {Q.strip("(coalesce(lang, '') || ' Desk')")} AS author, 'day ' || doc_id AS published_at FROM documents WHERE doc_id IS NOT NULL""")
+def html_meta(spark, sf):
+    return _marked_fields(spark, sf).select("doc_id", "page.headline", "page.subtitle", "page.author", "page.published_at")
+
+
+@query("exclusive_marks", """
+SELECT doc_id, doc_id % 5 IN (1, 2, 3) AS is_exclusive FROM documents WHERE doc_id IS NOT NULL""")
+def exclusive_marks(spark, sf):
+    return _marked_fields(spark, sf).select("doc_id", "page.is_exclusive")

@@ -171,10 +171,14 @@ def tag_counts(html: Column, tags: list[str]) -> Column:
     return F.filter(counted, lambda c: c["n"] > 0)
 
 
+def attribute_values(html: Column, attribute: str) -> Column:
+    """The values of an attribute, in page order."""
+    return F.regexp_extract_all(html, F.lit(rf"""(?i)\s{attribute}=["']([^"']*)["']"""), 1)
+
+
 def attribute_counts(html: Column, attribute: str) -> Column:
     """``array<struct<value, n>>`` of an attribute's values, alphabetical."""
-    values = F.regexp_extract_all(html, F.lit(rf"""(?i)\s{attribute}=["']([^"']*)["']"""), 1)
-    return let(values, lambda found: F.transform(
+    return let(attribute_values(html, attribute), lambda found: F.transform(
         F.array_sort(F.array_distinct(found)),
         lambda v: F.struct(v.alias("value"), F.size(F.filter(found, lambda x: x == v)).alias("n")),
     ))

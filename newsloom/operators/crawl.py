@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from newsloom import constants as C
 from newsloom.functions import html as H, text as X, urls
+from newsloom.functions.page_tree import page_fields
 from newsloom.operators.ranking import first_n
 
 ALL_ROWS = 2**31 - 1
@@ -52,17 +53,14 @@ def link_quota(links: DataFrame, category: str = "category", home_cap: int | Non
 
 def extract_articles(pages: DataFrame) -> DataFrame:
     """Article fields of each page; content shorter than the minimum is dropped."""
-    page = X.computed_once(pages, ["page_id", "url"], html=H.without_noise(F.col("html")))
-    rows = X.computed_once(page, ["page_id", "url", "html"], content=H.body_text(F.col("html")))
-    rows = rows.filter(F.length("content") >= C.MIN_CONTENT_CHARS).select(
+    rows = pages.select("page_id", "url", page_fields(F.col("html")).alias("_page"))
+    rows = rows.filter(F.length("_page.content") >= C.MIN_CONTENT_CHARS).select(
         "page_id",
         urls.normalize_url(F.col("url")).alias("url"),
-        H.headline(F.col("html")).alias("title"),
-        F.nullif(H.subtitle(F.col("html")), F.lit("")).alias("subtitle"),
-        F.nullif(H.byline(F.col("html")), F.lit("")).alias("author"),
-        F.nullif(H.timestamp_text(F.col("html")), F.lit("")).alias("published_at"),
-        "content",
-        H.is_exclusive(F.col("html")).alias("is_exclusive"),
+        F.col("_page.headline").alias("title"),
+        *[F.nullif(F.col(f"_page.{name}"), F.lit("")).alias(name) for name in ("subtitle", "author", "published_at")],
+        "_page.content",
+        "_page.is_exclusive",
     )
     return rows.withColumn("category", urls.infer_category(F.col("url")))
 
@@ -130,7 +128,14 @@ def missing_days(days: DataFrame, today: str, max_days: int = C.BACKFILL_DAYS) -
 
 def tag_profile(pages: DataFrame, tags: list[str] = H.PROFILE_TAGS) -> DataFrame:
     """Tag counts per page, only tags that occur."""
-    return pages.select("page_id", F.inline(H.tag_counts(F.col("html"), tags)))
+    names = pages.select("page_id", F.explode(H.tag_names(F.col("html"))).alias("tag")).filter(F.col("tag").isin(tags))
+    return names.groupBy("page_id", "tag").agg(F.count("*").cast("int").alias("n"))
+
+
+def attribute_profile(pages: DataFrame, attribute: str) -> DataFrame:
+    """How often each value of an attribute occurs on each page."""
+    values = pages.select("page_id", F.explode(H.attribute_values(F.col("html"), attribute)).alias("value"))
+    return values.groupBy("page_id", "value").agg(F.count("*").cast("int").alias("n"))
 
 
 def page_profile(pages: DataFrame) -> DataFrame:
