@@ -166,6 +166,22 @@ def daily_groups(spark, sf):
     return R.daily_groups(_engine(spark, sf), DAY)
 
 
+@query("daily_lines", f"""
+WITH {_DAY} SELECT category, row_number() OVER (PARTITION BY category ORDER BY pos) AS pos, article_id, '- 「' || title || '」' AS plain,
+  '- 「' || title || '」' || CASE WHEN article_summary <> '' THEN chr(10) || '  摘要: ' || article_summary ELSE chr(10) || '  内容: ' || substring(content, 1, 300) END AS line
+FROM placed""")
+def daily_lines(spark, sf):
+    return R.daily_lines(_engine(spark, sf), DAY)
+
+
+@query("daily_digest", f"""
+WITH {_DAY} SELECT category, count(*) AS n, '- 「' || first(title ORDER BY pos) || '」 … - 「' || last(title ORDER BY pos) || '」' AS line
+FROM placed GROUP BY category""")
+def daily_digest(spark, sf):
+    # blocks of three, so that the fold has several levels on small tables too
+    return R.daily_digest(_engine(spark, sf), DAY, 3)
+
+
 @query("daily_report", f"""
 WITH {_DAY} SELECT '# 每日新闻总结 — 2024年1月5日（星期五）' || chr(10) || chr(10) || string_agg(
   '## ' || category || chr(10) || '（摘要生成失败）' || chr(10) || '相关报道：' || chr(10) || titles || chr(10), chr(10) ORDER BY category) AS report FROM groups""")

@@ -16,6 +16,7 @@ from newsloom.functions import dates, render, replies, text as X
 from newsloom.operators import recency
 from newsloom.operators.ranking import best_per_article, numbered
 from newsloom.operators.vector import with_rows
+from newsloom.plans import briefing
 from newsloom.plans.engine import Engine, Intent, ROW_COLUMNS, analyze
 
 def _newest() -> list[Column]:
@@ -287,45 +288,87 @@ def daily_articles(engine: Engine, day: str) -> DataFrame:
     return recency.articles_by_date(engine.chunks, day).withColumn("category", category)
 
 
-def daily_groups(engine: Engine, day: str, listed: int | None = None) -> DataFrame:
-    """A day's articles per category: how many, and their texts, newest first.
+def _daily_title() -> Column:
+    return F.concat(F.lit("- 「"), F.col("title"), F.lit("」"))
 
-    Counts cover the whole day; a caller may bound the texts to the newest ``listed``.
-    """
-    rows = daily_articles(engine, day)
+
+def _daily_note() -> Column:
     summary = render.summary(F.col("article_summary"), F.col("chunk_summary"))
-    note = F.when(summary != "", F.concat(F.lit("\n  摘要: "), summary)).when(
+    return F.when(summary != "", F.concat(F.lit("\n  摘要: "), summary)).when(
         F.coalesce(F.col("content"), F.lit("")) != "",
         F.concat(F.lit("\n  内容: "), F.substring("content", 1, C.DAILY_PREVIEW_CHARS)),
     ).otherwise(F.lit(""))
-    title = F.concat(F.lit("- 「"), F.col("title"), F.lit("」"))
+
+
+def daily_lines(engine: Engine, day: str) -> DataFrame:
+    """``category, pos, article_id, plain, line``: the day's articles as rows, numbered by category, newest first.
+
+    ``plain`` is the title line, ``line`` has the summary too.  However many
+    articles a category has, they are numbered without meeting in one task.
+    """
+    title = _daily_title()
+    rows = daily_articles(engine, day).select(
+        "category", "published_at", "article_id", title.alias("plain"), F.concat(title, _daily_note()).alias("line"))
+    return briefing.placed(rows, "category", _newest()).select("category", "pos", "article_id", "plain", "line")
+
+
+def daily_digest(engine: Engine, day: str, block: int = briefing.BLOCK) -> DataFrame:
+    """``category, n, line``: the newest and the oldest headline of each category, folded in blocks."""
+    def ends(_: Column, text: Column, plain: Column) -> Column:
+        parts = F.split(text, "\n| … ")
+        return F.concat(F.element_at(parts, 1), F.lit(" … "), F.element_at(parts, -1))
+
+    lines = daily_lines(engine, day).withColumn("line", F.col("plain"))
+    return briefing.folded(lines, "category", ends, block, "\n")
+
+
+def daily_groups(engine: Engine, day: str, listed: int | None = None) -> DataFrame:
+    """A day's articles per category as text: how many, and their lines, newest first.
+
+    For callers that show text; :func:`daily_lines` has the same as rows.  Counts
+    cover the whole day; a caller may bound the texts to the newest ``listed``.
+    """
+    rows = daily_articles(engine, day)
+    title = _daily_title()
     counts = rows.groupBy("category").agg(F.count("*").alias("articles"))
     placed = rows.withColumn("pos", F.row_number().over(Window.partitionBy("category").orderBy(*_newest())))
     shown = (placed if listed is None else placed.filter(F.col("pos") <= listed)).groupBy("category").agg(
         _lines(["pos"], title).alias("titles"),
-        _lines(["pos"], F.concat(title, note), "\n\n").alias("listing"),
+        _lines(["pos"], F.concat(title, _daily_note()), "\n\n").alias("listing"),
     )
     return counts.join(shown, "category")
 
 
-def daily_summaries(engine: Engine, day: str) -> DataFrame:
-    """One summary per category: generated in parallel tasks, or the title list."""
-    groups = daily_groups(engine, day)
-    plain = F.concat(F.lit("（摘要生成失败）\n相关报道：\n"), F.col("titles"))
+def daily_summaries(engine: Engine, day: str, block: int = briefing.BLOCK) -> DataFrame:
+    """One summary per category: generated in parallel tasks, or the title list.
+
+    A category of more than ``block`` articles is summarised in blocks, and the
+    blocks' summaries are summarised in turn.  A block whose call fails stands
+    with its title list.
+    """
     name = render.category_name(F.col("category"))
+    failed = F.lit("（摘要生成失败）\n相关报道：\n")
     if engine.generate is None:
-        summary = plain
-    else:
-        from newsloom.functions.providers import GeneratedSummaries
+        return daily_groups(engine, day).select(
+            "category", name.alias("name"), "articles", F.concat(failed, F.col("titles")).alias("summary"))
+    from newsloom.functions.providers import GeneratedSummaries
+
+    calls = GeneratedSummaries(engine.generate)
 
-        prompt = F.concat(F.lit("Summarize the day's news for "), name, F.lit(":\n"), F.col("listing"))
-        generated = GeneratedSummaries(engine.generate)._run(prompt)
-        summary = F.coalesce(F.nullif(X.strip(generated), F.lit("")), plain)
-    return groups.select("category", name.alias("name"), "articles", summary.alias("summary"))
+    def combine(category: Column, text: Column, plain: Column) -> Column:
+        prompt = F.concat(F.lit("Summarize the day's news for "), render.category_name(category), F.lit(":\n"), text)
+        return F.coalesce(F.nullif(X.strip(calls._run(prompt)), F.lit("")), F.concat(failed, plain))
 
+    found = briefing.folded(daily_lines(engine, day), "category", combine, block)
+    return found.select("category", name.alias("name"), F.col("n").alias("articles"), F.col("line").alias("summary"))
 
-def daily_report(engine: Engine, target_date: str | None = None) -> DataFrame:
-    """Briefing of one day; sections are ordered by category."""
+
+def daily_report(engine: Engine, target_date: str | None = None, synthesize: bool = False) -> DataFrame:
+    """Briefing of one day; sections are ordered by category.
+
+    ``synthesize`` makes one text of the sections by a second pass of the
+    generator; where that fails, the sections themselves are the report.
+    """
     spark = engine.chunks.sparkSession
     today = F.lit(engine.asof[:10]).cast("date")
     resolved = spark.range(1).select(
@@ -338,6 +381,11 @@ def daily_report(engine: Engine, target_date: str | None = None) -> DataFrame:
         F.count("*").alias("n"),
         _lines(["category"], F.concat(F.lit("## "), F.col("name"), F.lit("\n"), F.col("summary"), F.lit("\n"))).alias("body"),
     )
-    return parts.select(F.when(F.col("n") == 0, F.lit(f"未找到 {shown} 的新闻文章。")).otherwise(
-        F.concat(F.lit(f"# 每日新闻总结 — {shown}\n\n"), F.col("body"))
-    ).alias("report"))
+    report = F.concat(F.lit(f"# 每日新闻总结 — {shown}\n\n"), F.col("body"))
+    if synthesize and engine.generate is not None:
+        from newsloom.functions.providers import GeneratedSummaries
+
+        prompt = F.concat(F.lit(f"Write one report of the news of {resolved['day'].isoformat()} from these sections:\n"), F.col("body"))
+        made = GeneratedSummaries(engine.generate)._run(F.when(F.col("n") > 0, prompt).otherwise(F.lit("")))
+        report = F.coalesce(F.nullif(X.strip(made), F.lit("")), report)
+    return parts.select(F.when(F.col("n") == 0, F.lit(f"未找到 {shown} 的新闻文章。")).otherwise(report).alias("report"))
