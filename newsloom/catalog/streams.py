@@ -12,6 +12,7 @@ from newsloom.sources import fixtures as X
 from newsloom.sources.chunk_table import ChunkTable
 from newsloom.sources.file_log import FileLog
 from newsloom.streaming import incremental as I
+from newsloom.streaming.expiry import run_expiry
 
 
 def _stream(spark, sf, name):
@@ -92,3 +93,29 @@ def stream_merge(spark, sf):
         "ts", F.lit("delta").alias("type"), F.col("props").alias("detail"))
     I.run_to_folder(I.merged_stream(steps, deltas), f"{root}/out", f"{root}/progress")
     return spark.read.parquet(f"{root}/out")
+
+
+@query("stream_expiry", """
+WITH g AS (SELECT user_id, event_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS starts
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n FROM g),
+k AS (SELECT *, row_number() OVER (PARTITION BY user_id, n ORDER BY ts DESC, event_id DESC) AS back FROM s)
+SELECT user_id::VARCHAR AS session_id, count(*) AS messages, min(ts) AS started, max(ts) AS last_active,
+  array_to_string(list(event_id ORDER BY ts, event_id) FILTER (back <= 3), ',') AS kept
+FROM k GROUP BY user_id, n
+HAVING (epoch_us(max(ts)) + 1800000000) // 1000 + 1 < (SELECT epoch_ms(max(ts)) FROM events) - 600000""")
+def stream_expiry(spark, sf):
+    """``events`` as messages that arrive in four parts; the stream stops and goes on after each."""
+    root = scratch_path(spark, "stream-expiry")
+    events = X.table(spark, sf, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), "ts")
+    bounds = events.agg(F.min("ts").alias("a"), F.max("ts").alias("z"))
+    quarter = F.least(F.floor(4 * (F.unix_micros("ts") - F.unix_micros("a")) / (F.unix_micros("z") - F.unix_micros("a") + 1)), F.lit(3))
+    placed = events.withColumns({"ts": F.col("ts").cast("timestamp"), "a": bounds.select("a").scalar().cast("timestamp"),
+                                 "z": bounds.select("z").scalar().cast("timestamp")}).withColumn("quarter", quarter)
+    for k in range(4):
+        placed.filter(F.col("quarter") == k).select("session_id", "seq", "ts").write.mode("append").parquet(f"{root}/in")
+        files = I.table_stream(spark, f"{root}/in", spark.read.parquet(f"{root}/in").schema, files_per_batch=1_000_000)
+        run_expiry(files, f"{root}/out", f"{root}/progress", limit=3)
+    ended = spark.read.parquet(f"{root}/out")
+    return ended.withColumns({"kept": F.array_join(F.col("kept").cast("array<string>"), ","),
+                              "started": F.col("started").cast("timestamp_ntz"), "last_active": F.col("last_active").cast("timestamp_ntz")})
