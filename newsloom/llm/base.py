@@ -51,6 +51,17 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def numbered_columns(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with its columns other than ``doc_id`` and ``text`` named ``c0, c1, ...``, and what names them back.
+
+    Working columns of an operator can then clash with none of the caller's.
+    """
+    quoted = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+    inner = [c if c.lower() in ("doc_id", "text") else f"c{k}" for k, c in enumerate(docs.columns)]
+    return (docs.select(*[col.alias(name) for col, name in zip(quoted, inner)]),
+            [F.col(name).alias(c) for name, c in zip(inner, docs.columns)])
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fifth of the documents no model may learn from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -21,6 +21,7 @@ from newsloom.llm.base import held_out, map_arrow, small_batches, table, utf8, w
 #: Labelled documents of each language the network learns from, by smallest hash of the id.
 TRAIN_DOCS = 500
 TRAIN_WINDOWS = 4           # of a document, evenly spread
+LEAST_BYTES = 32
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8                 # of each width
@@ -141,19 +142,33 @@ class Reader:
                 [min(float(c[b]), 1.0) if ok else 0.0 for c, b, ok in zip(chance, best, lettered)])
 
 
+def _smallest_hashes(rows: DataFrame, n: int) -> DataFrame:
+    """The ``n`` rows of each ``lang`` with the smallest hash of ``doc_id``.
+
+    Counts by the first sixteen bits of the hash say how far to read, so that a
+    language's rows do not meet: tasks send counts, then little more than ``n`` rows.
+    """
+    marked = rows.withColumn("hash", F.xxhash64("doc_id")).withColumn("part", F.shiftright("hash", 48))
+    counts = marked.groupBy("lang", "part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    last = (counts.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < n)
+            .groupBy("lang").agg(F.max("part").alias("last")))  # a row for each language
+    near = marked.join(F.broadcast(last), "lang").filter(F.col("part") <= F.col("last"))
+    at = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "doc_id"))
+    return near.withColumn("at", at).filter(F.col("at") <= n).select("doc_id", "lang")
+
+
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Reader:
     """Network from the texts and languages of documents outside the held-out fold.
 
     Rows with a null id, text or language are not used.  Of each language at most
     ``train_docs`` rows are, those of the smallest hash of the id; the training
-    runs on the driver over ``TRAIN_WINDOWS`` windows of each.
+    runs on the driver over ``TRAIN_WINDOWS`` windows of each, windows of less than
+    ``LEAST_BYTES`` bytes only where a text has no others.
     """
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     usable = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
               .filter("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").filter(~held_out(F.col("doc_id"))))
-    chosen = (usable.select("doc_id", "lang").withColumn("at", F.row_number().over(first))
-              .filter(F.col("at") <= train_docs).drop("at"))
-    chosen = written(chosen.distinct(), "lang-labels")
+    chosen = written(_smallest_hashes(usable.select("doc_id", "lang"), train_docs).distinct(), "lang-labels")
 
     def cut(batches):
         for batch in batches:
@@ -161,7 +176,9 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Reader:
             windows, owner, size = windows_of([t.lower() for t in utf8(batch, "text")])
             keep: list[int] = []
             for k in range(len(langs)):
-                own = np.flatnonzero((owner == k) & (size >= 32))
+                own = np.flatnonzero(owner == k)
+                if len(own) and size[own].max() >= LEAST_BYTES:
+                    own = own[size[own] >= LEAST_BYTES]  # a short end says little where the text has more
                 keep += own[np.unique(np.linspace(0, len(own) - 1, TRAIN_WINDOWS).astype(int))].tolist() if len(own) else []
             yield {"doc_id": batch.column("doc_id").take(_indices(owner[keep])), "lang": [langs[k] for k in owner[keep]],
                    "window": [windows[k].tobytes() for k in keep]}

@@ -19,16 +19,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.base import BatchWords, hashed, held_out, map_arrow, small_batches, table, written
+from newsloom.llm.base import BatchWords, hashed, held_out, map_arrow, numbered_columns, small_batches, table, written
 
 #: Labelled documents of each domain the classifier learns from, by smallest hash of the id.
 TRAIN_DOCS = 2_000
 FEATURES = 1 << 16
 EPOCHS = 6
 MAX_STEPS = 30
+BATCH_BYTES = "3m"          # a batch's words and features take some thirty times its texts
 TOLERANCE = 1e-6            # of the targets' sum
 
 #: Share of the tokens each domain is to have, where nothing else is asked.
@@ -135,6 +136,16 @@ def rates_after(posterior: np.ndarray, gradients: np.ndarray) -> np.ndarray:
     return rate
 
 
+def rate_after(posterior: str, gradients: np.ndarray) -> Column:
+    """:func:`rates_after` as an expression, so that texts beside the posteriors stay where they are."""
+    steps = F.array(*[F.array(*[F.lit(float(g)) for g in gradient]) for gradient in gradients])
+    if not len(gradients):
+        return F.lit(1.0)
+    moved = lambda rate, step: F.greatest(rate - sum(
+        F.col(posterior)[k] * step[k] for k in range(gradients.shape[1])), F.lit(0.0))
+    return F.aggregate(steps, F.lit(1.0), moved)
+
+
 def _matrix(column, n: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
 
@@ -197,34 +208,32 @@ def mixture(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float] =
     posteriors, so texts are classified once.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, size=BATCH_BYTES)
     domains = list(weights)
     names = docs.columns if keep is None else keep
     model = spark.sparkContext.broadcast(fit(docs, labelled, domains))  # FEATURES weights for each domain
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name in names)
 
+    text = "text" if "text" in names else "_text"  # whole texts go to Python once
+
     def marks(batches):
         for batch in batches:
-            found = Features(batch.column("_text"))
+            found = Features(batch.column(text))
             yield {c: batch.column(c) for c in names} | {
                 "_tokens": found.tokens, "_posterior": model.value.posteriors(found).tolist()}
 
-    source = docs.select(*names, F.col("text").alias("_text"))
     order = [f.name for f in docs.schema if f.name in names]
-    marked = written(map_arrow(source.select(*order, "_text"), marks,
-                               kinds + "_tokens long, _posterior array<double>"), "posteriors")
+    source = docs.select(*order) if text == "text" else docs.select(*order, F.col("text").alias(text))
+    marked = written(map_arrow(source, marks, kinds + "_tokens long, _posterior array<double>"), "posteriors")
+    model.destroy()
     gradients = fitted_gradients(
         marked.select(F.col("_tokens").alias("tokens"), F.col("_posterior").alias("posterior")), list(weights.values()))
 
-    def rated(batches):
-        for batch in batches:
-            chance = _matrix(batch.column("_posterior"), len(domains))
-            yield {c: batch.column(c) for c in batch.schema.names} | {
-                "_domain": [domains[k] for k in chance.argmax(axis=1)], "_rate": rates_after(chance, gradients)}
-
-    out = map_arrow(marked, rated, kinds + "_tokens long, _posterior array<double>, _domain string, _rate double")
+    rate = rate_after("_posterior", gradients)
+    likeliest = F.array_position("_posterior", F.array_max("_posterior")).cast("int")
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    return out.withColumn("_copies", F.floor(F.col("_rate") + spread).cast("int"))
+    return marked.select("*", F.element_at(F.array(*map(F.lit, domains)), likeliest).alias("_domain"), rate.alias("_rate"),
+                         F.floor(rate + spread).cast("int").alias("_copies"))
 
 
 def domains_of(labels: DataFrame) -> DataFrame:
@@ -234,10 +243,14 @@ def domains_of(labels: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float]) -> DataFrame:
-    """``docs`` with every row as often as its copies say."""
-    names = docs.columns
-    rows = mixture(docs, domains_of(labels), weights).filter("_copies > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*names)
+    """``docs`` with every row as often as its copies say.
+
+    Null, empty, very long and repeated rows are as in :func:`mixture`; columns of
+    any name pass through; an empty table stays empty.
+    """
+    inner, back = numbered_columns(docs)
+    rows = mixture(inner, domains_of(labels), weights).filter("_copies > 0")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*back)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

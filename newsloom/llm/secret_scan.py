@@ -32,9 +32,15 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 # --- assignments
 NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*"
+# values: long and short strings with escapes, a name, or a bare word that is no call, subscript, tag or reference
+VALUE = (
+    r'''"""(?P<long>(?s:.*?))"""|\'{3}(?P<long1>(?s:.*?))\'{3}'''
+    r'''|"(?P<double>(?:[^"\\\n]|\\[^\n])*)"|\'(?P<single>(?:[^'\\\n]|\\[^\n])*)\''''
+    rf'''|(?P<other>{NAME})(?![A-Za-z0-9_.\-/+=(\[])'''
+    rf'''|(?!{NAME}[(\[]|[!&*<|>]|\$[{{(A-Za-z_])(?P<bare>[^\s"',;)\]}}]+)''')
 STATEMENT = re.compile(
-    rf"""(?<![A-Za-z0-9_.\-])["']?(?P<name>{NAME})["']?[\x20\t]*(?::=|=>|=(?!=)|:)[\x20\t]*"""
-    rf"""(?:"(?P<double>[^"\n]*)"|'(?P<single>[^'\n]*)'|(?P<other>{NAME})(?![A-Za-z0-9_.\-/+=(\[])|(?P<bare>[^\s"',;)\]}}]+))""")
+    rf"""(?<![A-Za-z0-9_.\-])["']?(?P<name>{NAME})["']?[\x20\t]*(?::=|=>|=(?!=)|:)[\x20\t]*(?:{VALUE})""")
+GROUPS = ("long", "long1", "double", "single", "other", "bare")
 
 #: How sensitive parts of a name are; a name scores its most sensitive part.
 SENSITIVE = {
@@ -55,7 +61,11 @@ def name_score(name: str) -> float:
 
 def literal_score(text: str) -> float:
     """From 0 to 1: how much a literal looks drawn at random (bits for each character, mixed classes)."""
-    if len(text) < LEAST_LITERAL or any(c.isspace() for c in text):
+    if any(c.isspace() for c in text):
+        # prose, unless a word of it has letters of both cases and digits
+        mixed = [w for w in text.split() if all(any(f(c) for c in w) for f in (str.islower, str.isupper, str.isdigit))]
+        return max(map(literal_score, mixed), default=0.0)
+    if len(text) < LEAST_LITERAL:
         return 0.0
     counts = Counter(text)
     bits = -sum(n / len(text) * math.log2(n / len(text)) for n in counts.values())
@@ -67,11 +77,13 @@ def named_literals(text: str) -> list[tuple[int, int, float]]:
     """``start, end, score`` of the literals that sensitive names reach."""
     literals: dict[str, list[tuple[int, int, str]]] = {}
     aliases: list[tuple[str, str]] = []
+    names: set[tuple[int, int]] = set()
     for m in STATEMENT.finditer(text):
         name = m["name"]
-        group = next(g for g in ("double", "single", "other", "bare") if m[g] is not None)
+        group = next(g for g in GROUPS if m[g] is not None)
         if group == "other":
             aliases.append((name, m["other"]))
+            names.add(m.span("other"))
         literals.setdefault(name, []).append((*m.span(group), m[group]))
     score = {name: name_score(name) for name in literals}
     known = set(literals)
@@ -94,8 +106,8 @@ def named_literals(text: str) -> list[tuple[int, int, float]]:
         if score[name] <= 0:
             continue
         for start, end, value in places:
-            if (name, value) in bound:
-                continue  # a constant, not a literal
+            if (name, value) in bound or (start, end) in names and not any(c.isdigit() for c in value):
+                continue  # a constant or a name bound elsewhere, not a literal
             total = score[name] + literal_score(value)
             if literal_score(value) > 0 and total >= LEAST_SCORE:
                 found[start, end] = max(total, found.get((start, end), 0.0))

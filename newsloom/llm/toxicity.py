@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.base import BatchWords, hashed, held_out, map_arrow, small_batches, table, written
+from newsloom.llm.base import BatchWords, hashed, held_out, map_arrow, numbered_columns, small_batches, table, written
 
 #: Labelled documents of each class the models and the calibration use, by smallest hash of the id.
 TRAIN_DOCS = 4_000
@@ -106,19 +106,20 @@ def ratios(docs: DataFrame, models: dict[int, float], keep: list[str]) -> DataFr
     """The ``keep`` columns of ``docs`` with ``_ratio``, the difference of log-likelihoods per word."""
     shared = docs.sparkSession.sparkContext.broadcast(models)  # VOCABULARY entries at most
     fields = {f.name: f.dataType.simpleString() for f in docs.schema}
+    text = "text" if "text" in keep else "_text"  # whole texts go to Python once
 
     def run(batches):
         number = np.array(sorted(shared.value), np.int64)
         ratio = np.array([shared.value[n] for n in number.tolist()] + [0.0])
         for batch in batches:
-            words = Numbers(batch.column("_text"))
+            words = Numbers(batch.column(text))
             at = np.searchsorted(number, words.numbers)
             known = np.append(number, -1)[at] == words.numbers
             each = np.where(known, ratio[at], 0.0)
             total = np.bincount(words.row, each[words.code], words.rows)
             yield {n: batch.column(n) for n in keep} | {"_ratio": total / np.maximum(words.sizes(), 1)}
 
-    source = docs.select(*keep, F.col("text").alias("_text"))
+    source = docs.select(*keep) if text == "text" else docs.select(*keep, F.col("text").alias(text))
     return map_arrow(source, run, ", ".join(f"`{n}` {fields[n]}" for n in keep) + ", _ratio double")
 
 
@@ -183,10 +184,15 @@ def scored(docs: DataFrame, fitted: Fitted) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose text is predicted toxic; a column ``_ratio`` may not occur."""
+    """``docs`` without the rows whose text is predicted toxic.
+
+    Null and empty texts stay, and so do all rows that repeat a clean one; columns
+    of any name pass through; an empty table stays empty.
+    """
     small_batches(docs.sparkSession)
-    fitted = fit(docs, labels)
-    return ratios(docs, fitted.models, docs.columns).filter(fitted.score() < 0.5).drop("_ratio")
+    inner, back = numbered_columns(docs)
+    fitted = fit(inner, labels)
+    return ratios(inner, fitted.models, inner.columns).filter(fitted.score() < 0.5).select(*back)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
