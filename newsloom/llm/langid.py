@@ -145,10 +145,10 @@ class Reader:
 def _smallest_hashes(rows: DataFrame, n: int) -> DataFrame:
     """The ``n`` rows of each ``lang`` with the smallest hash of ``doc_id``.
 
-    Counts by the first sixteen bits of the hash say how far to read, so that a
+    Counts by the first twelve bits of the hash say how far to read, so that a
     language's rows do not meet: tasks send counts, then little more than ``n`` rows.
     """
-    marked = rows.withColumn("hash", F.xxhash64("doc_id")).withColumn("part", F.shiftright("hash", 48))
+    marked = rows.withColumn("hash", F.xxhash64("doc_id")).withColumn("part", F.shiftright("hash", 52))
     counts = marked.groupBy("lang", "part").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     last = (counts.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < n)
