@@ -2,18 +2,22 @@
 
 As in Kneser-Ney smoothing, a word counts in a class with the number of different
 words it follows, not with its tokens, so the wording of one text that was copied
-a hundred times counts once.  Both classes discount their counts and give what
-that leaves to shared backoff counts, which are gathered from the whole corpus.
-A word whose counts in the two classes differ no more than chance explains (a
-likelihood-ratio test) is smoothed away altogether: both classes take its chance
-from the shared counts, so rare expressions speak for neither.  A text's score is
-a logistic function of the difference of its log-likelihoods per word, fitted on
-labelled texts the models were not counted from.
-
-Word pairs on top were tried and left out: on check_s they raised the clean
-documents called toxic from none to 15 %, since pairs carry topic and language.
-
-What a task needs has a fixed size: ``VOCABULARY`` words at most.
+a hundred times counts once.  A word's chance in a class is interpolated over three
+levels: the discounted counts of the class, those of both classes together, and
+the word's share in the whole corpus.  The weight of the class against the shared
+counts is the posterior chance that the classes differ in this word at all, from
+how far its log ratio lies beyond what its counts and the usual spread of topics
+explain, where one word of the vocabulary is expected to.  So a rare expression
+takes nearly all of its chance from the shared counts and moves towards its class
+with every further context; every word is scored and none is cut off.
+
+A text's score is a logistic function of the difference of its log-likelihoods per
+word, fitted on labelled texts the models were not counted from.  A word no
+labelled text has falls back to the same shared chance in both classes, so the
+models hold the words of the labelled texts and nothing is lost by that.
+
+Counts are tables keyed by word.  Tasks get the models whole while they hold at
+most ``HELD_WORDS`` words; beyond that, words and models meet in a join.
 """
 
 from __future__ import annotations
@@ -28,38 +32,45 @@ from newsloom.llm.base import BatchWords, hashed, held_out, map_arrow, numbered_
 
 #: Labelled documents of each class the models and the calibration use, by smallest hash of the id.
 TRAIN_DOCS = 4_000
-VOCABULARY = 1 << 16
-SHARED_SLOTS = 1 << 18
-LEAST_CONTEXTS = 3          # words with fewer are rare
-LEAST_EVIDENCE = 20.0       # of the likelihood-ratio statistic
-MARGIN = 1.0                # of a log ratio that is still taken for topic or language
+HELD_WORDS = 1 << 21        # of the models, 16 bytes each, a task holds
+FOLDED_WORDS = 1 << 19      # counts a task folds before it hands them on
 DISCOUNT = 0.75
+SPREAD = 0.5                # variance of log ratios from topic and language
 CALIBRATION_FOLD = 1        # of crc32(doc_id) mod 5; fold 0 is held out
 
 
 # --- words ------------------------------------------------------------------
 
 class Numbers(BatchWords):
-    """Words of a batch with a 32-bit number for each, from its lower-cased form without the signs around it."""
+    """Words of a batch with a 64-bit number for each, from its lower-cased form without the signs around it."""
 
     def __init__(self, texts: pa.Array):
         super().__init__(texts)
         lower = pc.utf8_lower(self.different)
         bare = pc.replace_substring_regex(lower, r"^[^\pL\pN]+|[^\pL\pN]+$", "")
-        self.numbers = (hashed(pc.if_else(pc.equal(bare, ""), lower, bare)) >> np.uint64(32)).astype(np.int64)
+        self.numbers = hashed(pc.if_else(pc.equal(bare, ""), lower, bare)).view(np.int64)
 
 
 def shared_counts(docs: DataFrame) -> DataFrame:
-    """``slot, n``: the words of all documents by hash slot."""
+    """``word, n``: how often each word stands in all documents."""
+    def folded(parts):
+        word, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        return word, np.bincount(at, np.concatenate([p[1] for p in parts]), len(word)).astype(np.int64)
+
     def run(batches):
-        total = np.zeros(SHARED_SLOTS, np.int64)
+        held = []
         for batch in batches:
             words = Numbers(batch.column("text"))
-            total += np.bincount(words.numbers[words.code] % SHARED_SLOTS, minlength=SHARED_SLOTS)
-        slot = np.flatnonzero(total)
-        yield {"slot": slot, "n": total[slot]}
+            held.append((words.numbers, np.bincount(words.code, minlength=len(words.numbers))))
+            if sum(len(h[0]) for h in held) >= FOLDED_WORDS:
+                held = [folded(held)]
+                if len(held[0][0]) >= FOLDED_WORDS // 2:
+                    yield dict(zip(("word", "n"), held.pop()))
+        if held:
+            yield dict(zip(("word", "n"), folded(held)))
 
-    return map_arrow(docs.select("text"), run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    return (map_arrow(docs.select("text"), run, "word long, n long").filter("n > 0")
+            .groupBy("word").agg(F.sum("n").alias("n")))
 
 
 def contexts(labelled: DataFrame) -> DataFrame:
@@ -77,45 +88,54 @@ def contexts(labelled: DataFrame) -> DataFrame:
 
 # --- models -----------------------------------------------------------------
 
-def counted(labelled: DataFrame, docs: DataFrame) -> dict[int, float]:
-    """By word number the log ratio of the classes' chances, for the words that have evidence."""
+def chances(words: DataFrame, shared: DataFrame) -> DataFrame:
+    """``word, ratio``: log ratio of the classes' interpolated chances.
+
+    ``words``: ``word, t, o``, contexts in toxic and ordinary texts; ``shared``:
+    ``word, n``.  Empty unless both classes have words.
+    """
+    mt, mo, kt, ko, kinds = (float(x or 0) for x in words.agg(
+        F.sum("t"), F.sum("o"), F.count_if(F.col("t") > 0), F.count_if(F.col("o") > 0), F.count("*")).first())
+    if not mt or not mo:
+        return words.select("word", F.lit(0.0).alias("ratio")).limit(0)
+    tokens, corpus_kinds = (float(x or 0) for x in shared.agg(F.sum("n"), F.count("*")).first())
+    t, o = F.col("t"), F.col("o")
+    low = (F.coalesce(F.col("n"), F.lit(0)) + 0.5) / (tokens + 0.5 * corpus_kinds + 0.5)
+
+    def smoothed(count: Column, different: float, mass: float) -> Column:
+        return (F.greatest(count - DISCOUNT, F.lit(0.0)) + DISCOUNT * different * low) / mass
+
+    apart = F.log((t + 0.5) / mt) - F.log((o + 0.5) / mo)
+    beyond = apart * apart / (1 / (t + 0.5) + 1 / (o + 0.5) + SPREAD)
+    weight = 1 / (1 + kinds * F.exp(-beyond / 2))
+    both = smoothed(t + o, kinds, mt + mo)
+    mixed = [F.log(weight * smoothed(c, k, m) + (1 - weight) * both) for c, k, m in ((t, kt, mt), (o, ko, mo))]
+    return words.join(shared, "word", "left").select("word", (mixed[0] - mixed[1]).alias("ratio"))
+
+
+def counted(labelled: DataFrame, docs: DataFrame) -> DataFrame:
+    """``word, ratio`` of every word of the labelled texts, written."""
     words = written(contexts(labelled).groupBy("word").agg(
         F.sum(F.col("toxic").cast("long")).alias("t"), F.sum(1 - F.col("toxic").cast("long")).alias("o")), "toxic-words")
-    total = words.agg(F.sum("t"), F.sum("o"), F.count_if(F.col("t") > 0), F.count_if(F.col("o") > 0)).first()
-    mass, kinds = np.array([total[0] or 0, total[1] or 0], float), np.array(total[2:], float)
-    if not mass.all():
-        return {}
-    share = mass[0] / mass.sum()
-    n = F.col("t") + F.col("o")
-    part = lambda c, p: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (n * float(p)))).otherwise(0.0)
-    found = (words.filter(n >= LEAST_CONTEXTS).withColumn("evidence", 2 * (part("t", share) + part("o", 1 - share)))
-             .filter(F.col("evidence") >= LEAST_EVIDENCE)
-             .orderBy(F.desc("evidence"), "word").limit(VOCABULARY)).toPandas()
-    slots = shared_counts(docs).toPandas()  # SHARED_SLOTS rows at most
-    shared = np.zeros(SHARED_SLOTS)
-    shared[slots["slot"].to_numpy(int)] = slots["n"].to_numpy(float)
-    number, counts = found["word"].to_numpy(np.int64), found[["t", "o"]].to_numpy(float)
-    low = (shared[number % SHARED_SLOTS] + 0.5) / (shared.sum() + 0.5 * SHARED_SLOTS)
-    chance = (np.maximum(counts - DISCOUNT, 0) + DISCOUNT * kinds * low[:, None]) / mass
-    ratio = np.log(chance[:, 0]) - np.log(chance[:, 1])
-    ratio = np.sign(ratio) * np.maximum(np.abs(ratio) - MARGIN, 0)
-    return dict(zip(number.tolist(), ratio.tolist()))
-
-
-def ratios(docs: DataFrame, models: dict[int, float], keep: list[str]) -> DataFrame:
+    return written(chances(words, written(shared_counts(docs), "toxic-shared")), "toxic-models")
+
+
+def ratios(docs: DataFrame, models: DataFrame, keep: list[str], held_words: int = HELD_WORDS) -> DataFrame:
     """The ``keep`` columns of ``docs`` with ``_ratio``, the difference of log-likelihoods per word."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)  # VOCABULARY entries at most
+    if models.count() > held_words:
+        return _joined_ratios(docs, models, keep)
+    found = models.toPandas().sort_values("word")  # held_words rows at most
+    shared = docs.sparkSession.sparkContext.broadcast((found["word"].to_numpy(np.int64), found["ratio"].to_numpy(float)))
     fields = {f.name: f.dataType.simpleString() for f in docs.schema}
     text = "text" if "text" in keep else "_text"  # whole texts go to Python once
 
     def run(batches):
-        number = np.array(sorted(shared.value), np.int64)
-        ratio = np.array([shared.value[n] for n in number.tolist()] + [0.0])
+        number, ratio = shared.value
         for batch in batches:
             words = Numbers(batch.column(text))
             at = np.searchsorted(number, words.numbers)
-            known = np.append(number, -1)[at] == words.numbers
-            each = np.where(known, ratio[at], 0.0)
+            at[at == len(number)] = 0
+            each = np.where(number[at] == words.numbers, ratio[at], 0.0) if len(number) else np.zeros(len(at))
             total = np.bincount(words.row, each[words.code], words.rows)
             yield {n: batch.column(n) for n in keep} | {"_ratio": total / np.maximum(words.sizes(), 1)}
 
@@ -123,6 +143,22 @@ def ratios(docs: DataFrame, models: dict[int, float], keep: list[str]) -> DataFr
     return map_arrow(source, run, ", ".join(f"`{n}` {fields[n]}" for n in keep) + ", _ratio double")
 
 
+def _joined_ratios(docs: DataFrame, models: DataFrame, keep: list[str]) -> DataFrame:
+    """:func:`ratios` with models of any size: a document's different words meet them in a join."""
+    rows = written(docs.select(*dict.fromkeys([*keep, "text"])).withColumn("_at", F.monotonically_increasing_id()), "toxic-rows")
+
+    def run(batches):
+        for batch in batches:
+            words = Numbers(batch.column("text"))
+            pairs, n = np.unique(words.row * len(words.numbers) + words.code, return_counts=True)
+            row, code = np.divmod(pairs, max(len(words.numbers), 1))
+            yield {"_at": batch.column("_at").to_numpy()[row], "word": words.numbers[code], "part": n / words.sizes()[row]}
+
+    spread = map_arrow(rows.select("_at", "text"), run, "_at long, word long, part double")
+    summed = spread.join(models, "word").groupBy("_at").agg(F.sum(F.col("part") * F.col("ratio")).alias("_ratio"))
+    return rows.join(summed, "_at", "left").select(*keep, F.coalesce("_ratio", F.lit(0.0)).alias("_ratio"))
+
+
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and offset of a logistic curve through one half where the classes are best told apart.
 
@@ -142,7 +178,7 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 class Fitted:
-    def __init__(self, models: dict[int, float], slope: float, offset: float):
+    def __init__(self, models: DataFrame, slope: float, offset: float):
         self.models, self.slope, self.offset = models, slope, offset
 
     def score(self) -> Column:

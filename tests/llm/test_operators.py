@@ -4,9 +4,11 @@ import hashlib
 import math
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,6 +103,48 @@ def test_toxicity_learns_words_and_leaves_others(spark):
     assert kept.count() == sum(1 - t for _, t in labels) + 2
 
 
+def brute_ratios(labelled, texts):
+    """Log ratio of every word of the labelled texts, counted and interpolated one word at a time."""
+    bare = lambda w: re.sub(r"^[^\w]+|[^\w]+$", "", w.lower()) or w.lower()
+    tokens = [[bare(w) for w in (t or "").split()] for t in texts]
+    corpus = Counter(w for t in tokens for w in t)
+    pairs = {(c, before, w) for text, c in labelled for t in [[bare(w) for w in (text or "").split()]]
+             for before, w in zip([None, *t], t)}
+    count = [Counter(w for c, _, w in pairs if c == label) for label in (1, 0)]
+    pooled, d = count[0] + count[1], toxicity.DISCOUNT
+    mass = [c.total() for c in count]
+
+    def chance(counts, word):
+        low = (corpus[word] + 0.5) / (corpus.total() + 0.5 * len(corpus) + 0.5)
+        return (max(counts[word] - d, 0) + d * len(counts) * low) / counts.total()
+
+    out = {}
+    for word in pooled:
+        t, o = count[0][word] + 0.5, count[1][word] + 0.5
+        apart = math.log(t / mass[0]) - math.log(o / mass[1])
+        weight = 1 / (1 + len(pooled) * math.exp(-apart * apart / (1 / t + 1 / o + toxicity.SPREAD) / 2))
+        mixed = [weight * chance(c, word) + (1 - weight) * chance(pooled, word) for c in count]
+        out[word] = math.log(mixed[0]) - math.log(mixed[1])
+    return {i: sum(out.get(w, 0.0) for w in t) / max(len(t), 1) for i, t in enumerate(tokens)}
+
+
+def test_toxicity_ratios_are_the_interpolated_chances(spark):
+    draw = np.random.default_rng(5)
+    texts = [" ".join([*draw.choice(["a", "b", "C!", "d", "é", "(f)", "--"], 12), f"rare{i}", *(["bad", "(Bad"] * (i % 2))])
+             for i in range(80)] + [None, "", " \t", "unseen words only", "bad " * 5000]
+    labelled = [(t, i % 2) for i, t in enumerate(texts[:60])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    models = toxicity.counted(spark.createDataFrame(labelled, "text string, toxic int"), docs)
+    want = brute_ratios(labelled, texts)
+    for held_words in (toxicity.HELD_WORDS, 0):  # models in the task, models by join
+        got = {r.doc_id: r._ratio for r in toxicity.ratios(docs, models, ["doc_id"], held_words).collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-9, abs_tol=1e-12) for i in want)
+    ratio = {r.word: r.ratio for r in models.collect()}
+    number = lambda w: int(toxicity.Numbers(pa.array([w])).numbers[0])
+    assert 0 < ratio[number("rare1")] < 0.1 * ratio[number("bad")]  # one context: near the shared chance, but not cut off
+    assert number("rare70") not in ratio and want[83] == 0
+
+
 def test_toxicity_without_labels_or_documents(spark, nasty):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     fitted = toxicity.fit(nasty, none)
