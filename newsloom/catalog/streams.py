@@ -45,8 +45,12 @@ def stream_index(spark, sf):
 
 @query("stream_url_ledger", f"SELECT DISTINCT {Q.normalize_url('url')} AS url FROM pages")
 def stream_url_ledger(spark, sf):
+    """``pages`` twice over, dealt over four files that come in one by one."""
     root = scratch_path(spark, "stream-urls")
-    I.url_ledger_stream(_stream(spark, sf, "pages"), f"{root}/ledger", f"{root}/progress").awaitTermination()
+    pages = X.table(spark, sf, "pages").select("url")
+    pages.unionAll(pages).repartition(4).write.parquet(f"{root}/in")
+    links = I.table_stream(spark, f"{root}/in", pages.schema, files_per_batch=1)
+    I.url_ledger_stream(links, f"{root}/ledger", f"{root}/progress").awaitTermination()
     return spark.read.parquet(f"{root}/ledger").select("url")
 
 

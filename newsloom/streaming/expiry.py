@@ -16,10 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from newsloom import constants as C
-from newsloom.streaming.incremental import run_to_folder
-
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+from newsloom.streaming.incremental import PROVIDER, ROCKS, run_to_folder
 
 ENDED = "session_id string, messages long, started timestamp, last_active timestamp, kept array<long>"
 RUN = "started long, last long, n long, tail_ts array<long>, tail_seq array<long>"

@@ -207,6 +207,23 @@ def test_url_ledger_across_runs(spark, tmp_path):
     assert seen == ["https://h/a/b", "https://h/a/c", "https://h/a/d"]
 
 
+def test_url_ledger_batches_do_not_read_the_ledger(spark, tmp_path):
+    """Rows a batch reads are its own whatever the ledger holds; URLs are kept once, in the state."""
+    for k in range(4):
+        rows = spark.range(100 * k, 100 * k + 200).select(F.concat(F.lit("https://h/"), "id", F.lit("?q")).alias("url"))
+        rows = rows.unionAll(spark.range(5000).select(F.lit("https://hot/").alias("url"))).unionAll(rows.limit(1).select(F.lit(None).cast("string")))
+        rows.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = I.table_stream(spark, f"{tmp_path}/in", StructType.fromDDL("url string"), files_per_batch=1)
+    query = I.url_ledger_stream(stream, f"{tmp_path}/ledger", f"{tmp_path}/p")
+    query.awaitTermination()
+    batches = [p for p in query.recentProgress if p["numInputRows"]]
+    assert [p["numInputRows"] for p in batches] == [5201] * 4
+    state = [p["stateOperators"][0] for p in batches]
+    assert [s["numRowsTotal"] for s in state] == [201, 301, 401, 501]
+    assert all("rocksdbGetCount" in s["customMetrics"] for s in state)
+    assert spark.read.parquet(f"{tmp_path}/ledger").count() == 501
+
+
 def test_session_gap_is_inclusive(spark):
     rows = spark.createDataFrame(
         [(1, "2026-01-01 10:00:00"), (1, "2026-01-01 10:30:00"), (1, "2026-01-01 11:00:01")], "k int, ts string"
