@@ -141,7 +141,7 @@ def test_toxicity_ratios_are_the_interpolated_chances(spark):
         assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-9, abs_tol=1e-12) for i in want)
     ratio = {r.word: r.ratio for r in models.collect()}
     number = lambda w: int(toxicity.Numbers(pa.array([w])).numbers[0])
-    assert 0 < ratio[number("rare1")] < 0.1 * ratio[number("bad")]  # one context: near the shared chance, but not cut off
+    assert 0 < ratio[number("rare1")] < 0.5 * ratio[number("bad")]  # one context: nearer the shared chance, but not cut off
     assert number("rare70") not in ratio and want[83] == 0
 
 
