@@ -1,12 +1,13 @@
 """Exact nearest vectors by inner product through a vector-approximation file.
 
-The file holds, for tiles of at most ``TILE_ROWS`` vectors, the exact integer
-vectors and their approximation: the cell of every component in a grid of
-``CELLS`` cells for each dimension of the tile.  A query's inner product with a
-cell has an upper and a lower bound.  The first pass scans the approximations and
-takes, for every query, the k-th best lower bound over the whole file.  The
-second pass scans them again: only vectors whose upper bound reaches that value
-are read exactly, best bound first, until the k-th exact score passes every
+Two tables are written, by tiles of at most ``TILE_ROWS`` vectors: the approximation
+file has, for every component, the cell of a grid of ``CELLS`` cells a dimension in
+four bits, and the grid's origin and widths; the other one has the exact integer
+vectors.  A query's inner product with a cell has an upper and a lower bound.  The
+first pass scans the approximation file and takes, for every query, the k-th best
+lower bound over the whole file.  The second pass scans it again and names the
+vectors whose upper bound reaches that value.  Only those are read exactly, in the
+tiles that hold them, best bound first, until the k-th exact score passes every
 bound that is left.
 
 Queries come in blocks that meet every tile.  Scores leave a tile only if they
@@ -25,6 +26,8 @@ SCALE = 256
 TILE_ROWS = 4096
 QUERY_ROWS = 512
 CELLS = 16
+TILES_MET = 16              # tiles, about, that a copy of the query blocks meets
+NAMED = 1 << 18             # candidates in one row of the second pass, about
 EXACT_STEP = 16             # vectors read exactly at a time
 TOP = 5
 EVERY = 50                  # rows with ids divisible by this are queries
@@ -73,13 +76,22 @@ def blocked(rows: DataFrame, size: int, label: str) -> DataFrame:
     return written(packed.withColumn("block", F.monotonically_increasing_id()), label)
 
 
+def packed_cells(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """Origin, widths and cells, two to a byte, of a tile's vectors."""
+    low, high = data.min(axis=0), data.max(axis=0)
+    width = np.maximum(np.ceil((high - low + 1) / CELLS), 1)
+    cell = ((data - low) // width).astype(np.uint8)
+    cell = np.pad(cell, ((0, 0), (0, cell.shape[1] % 2)))
+    return low, width, (cell[:, ::2] | cell[:, 1::2] << 4).tobytes()
+
+
 class Approximation:
-    """Cells of a tile's vectors and the bounds of inner products with them."""
+    """Cells of a tile's vectors, unpacked, and the bounds of inner products with them."""
 
-    def __init__(self, data: np.ndarray):
-        self.low, high = data.min(axis=0), data.max(axis=0)
-        self.width = np.maximum(np.ceil((high - self.low + 1) / CELLS), 1)
-        self.cells = ((data - self.low) // self.width).astype(np.uint8)
+    def __init__(self, low: bytes, width: bytes, cells: bytes, rows: int):
+        self.low, self.width = np.frombuffer(low, np.float64), np.frombuffer(width, np.float64)
+        pairs = np.frombuffer(cells, np.uint8).reshape(rows, -1)
+        self.cells = np.stack([pairs & 15, pairs >> 4], axis=2).reshape(rows, -1)[:, :len(self.low)]
 
     def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Lower and upper bounds, (queries, vectors); all values are whole and exact in doubles."""
@@ -99,16 +111,66 @@ def _vectors(ids: bytes, data: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]
     return found, np.frombuffer(data, np.float64).reshape(len(found), dim)
 
 
+def approximation_file(tiles: DataFrame) -> DataFrame:
+    """``block, dim, ids, low, width, cells`` of the tiles, written; cells are null where doubles are not exact."""
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, data = _vectors(row["ids"], row["data"], row["dim"])
+                grid = packed_cells(data) if _whole(data) else None
+                low, width, cells = (grid[0].tobytes(), grid[1].tobytes(), grid[2]) if grid else (None, None, None)
+                yield {"block": [row["block"]], "dim": [row["dim"]], "ids": [row["ids"]], "low": [low], "width": [width],
+                       "cells": [cells]}
+
+    return written(map_arrow(tiles.select("block", "dim", "ids", "data"), run,
+                             "block long, dim int, ids binary, low binary, width binary, cells binary"), "va-cells")
+
+
 def _met(tiles: DataFrame, queries: DataFrame) -> DataFrame:
     """Every query block beside every tile of its dimension.
 
-    The blocks are repeated for each tile number and meet the tiles in an
-    equi-join on it.
+    The tiles are dealt over parts and the query blocks repeated for each, so a key
+    of the equi-join has some ``TILES_MET`` tiles, however many there are.
     """
-    numbers = written(tiles.groupBy("dim").agg(F.collect_list("block").alias("blocks")), "va-tile-numbers")
-    spread = (queries.join(numbers, "dim").withColumn("q_tile", F.explode("blocks"))
-              .select("q_tile", *[F.col(c).alias(f"q_{c}") for c in queries.columns]))
-    return tiles.join(spread, F.col("block") == F.col("q_tile"))
+    parts = max(-(-tiles.count() // TILES_MET), 1)
+    spread = (queries.withColumn("q_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+              .select("q_part", *[F.col(c).alias(f"q_{c}") for c in queries.columns]))
+    dealt = tiles.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int"))
+    return dealt.join(spread, (F.col("part") == F.col("q_part")) & (F.col("dim") == F.col("q_dim")))
+
+
+def _bounds(row: dict, q: np.ndarray, side: int) -> np.ndarray | None:
+    """Lower (0) or upper (1) bounds of a tile's approximation; None where doubles are not exact."""
+    if row["cells"] is None or not _whole(q):
+        return None
+    return Approximation(row["low"], row["width"], row["cells"], len(row["ids"]) // 8).bounds(q)[side]
+
+
+def named(batches):
+    """Second pass: for a tile and a query block, which vectors can be among the best of which query."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            ids = np.frombuffer(row["ids"], np.int64)
+            q_ids, q = _vectors(row["q_ids"], row["q_data"], row["dim"])
+            upper = _bounds(row, q, 1)
+            if upper is None:
+                upper = np.full((len(q_ids), len(ids)), np.inf)
+            upper[q_ids[:, None] == ids[None, :]] = -np.inf
+            open_ = (upper >= np.frombuffer(row["q_least"], np.float64)[:, None]) & (upper > -np.inf)
+            sizes = open_.sum(axis=1)
+            share = np.cumsum(sizes) // NAMED
+            for k in np.unique(share[sizes > 0]).tolist():
+                mine = np.flatnonzero((share == k) & (sizes > 0))
+                at = np.nonzero(open_[mine])[1].astype(np.int32)
+                yield {"c_block": [row["block"]], "c_ids": [q_ids[mine].tobytes()], "c_data": [q[mine].tobytes()],
+                       "sizes": [sizes[mine].astype(np.int32).tobytes()], "at": [at.tobytes()],
+                       "upper": [upper[mine][open_[mine]].tobytes()]}
+
+
+def _products(query: np.ndarray, data: np.ndarray) -> list[int]:
+    """Inner products in whole numbers of any size."""
+    mine = [int(a) for a in query]
+    return [sum(a * int(b) for a, b in zip(mine, row)) for row in data]
 
 
 def nearest(vectors: DataFrame, every: int = EVERY, top: int = TOP, tile_rows: int = TILE_ROWS,
@@ -127,23 +189,24 @@ def nearest(vectors: DataFrame, every: int = EVERY, top: int = TOP, tile_rows: i
     queries = blocked(asked.select("vec_id", "s.dim", "s.v").repartition(F.floor(F.col("vec_id") / (every * query_rows))),
                       query_rows, "va-queries")
 
-    met = _met(tiles, queries)
+    cells = approximation_file(tiles)
 
     def lower(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                ids, data = _vectors(row["ids"], row["data"], row["dim"])
+                ids = np.frombuffer(row["ids"], np.int64)
                 q_ids, q = _vectors(row["q_ids"], row["q_data"], row["dim"])
-                if not (_whole(data) and _whole(q)):
+                bound = _bounds(row, q, 0)
+                if bound is None:
                     bound = np.full((len(q_ids), 1), -np.inf)
                 else:
-                    bound = Approximation(data).bounds(q)[0]
                     bound[q_ids[:, None] == ids[None, :]] = -np.inf
                 best = -np.partition(-bound, min(top, bound.shape[1]) - 1, axis=1)[:, :top]
                 keep = np.isfinite(best)
                 yield {"query_id": np.repeat(q_ids, keep.sum(axis=1)), "bound": best[keep]}
 
-    bounds = map_arrow(met.select("dim", "ids", "data", "q_ids", "q_data"), lower, "query_id long, bound double")
+    grid = ["dim", "ids", "low", "width", "cells"]
+    bounds = map_arrow(_met(cells, queries).select(*grid, "q_ids", "q_data"), lower, "query_id long, bound double")
     best_first = Window.partitionBy("query_id").orderBy(F.desc("bound"))
     certain = (bounds.withColumn("at", F.row_number().over(best_first)).filter(F.col("at") <= top)
                .groupBy("query_id").agg(F.when(F.count("*") == top, F.min("bound")).alias("least")))
@@ -174,27 +237,27 @@ def nearest(vectors: DataFrame, every: int = EVERY, top: int = TOP, tile_rows: i
         for batch in batches:
             for row in batch.to_pylist():
                 ids, data = _vectors(row["ids"], row["data"], row["dim"])
-                q_ids, q = _vectors(row["q_ids"], row["q_data"], row["dim"])
-                least = np.frombuffer(row["q_least"], np.float64)
-                out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
+                q_ids, q = _vectors(row["c_ids"], row["c_data"], row["dim"])
                 whole = _whole(data) and _whole(q)
-                upper = Approximation(data).bounds(q)[1] if whole else None
-                for k, query_id in enumerate(q_ids.tolist()):
+                ends = np.cumsum(np.frombuffer(row["sizes"], np.int32))
+                at, upper = np.frombuffer(row["at"], np.int32), np.frombuffer(row["upper"], np.float64)
+                out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
+                for query_id, query, own, bound in zip(q_ids.tolist(), q, np.split(at, ends[:-1]), np.split(upper, ends[:-1])):
                     if whole:
-                        open_ = np.flatnonzero((upper[k] >= least[k]) & (ids != query_id))
-                        found = _best(open_[np.argsort(-upper[k][open_], kind="stable")], upper[k], ids, data, q[k], top)
+                        first = np.argsort(-bound, kind="stable")
+                        found = _best(own[first], bound[first], ids, data, query, top)
                     else:
-                        mine, scores = q[k].astype(object), []
-                        for i in np.flatnonzero(ids != query_id).tolist():
-                            scores.append((-sum(int(a) * int(b) for a, b in zip(mine, data[i])), int(ids[i])))
-                        found = [(i, -s) for s, i in sorted(scores)[:top]]
+                        worst_last = sorted((-score, int(i)) for score, i in zip(_products(query, data[own]), ids[own]))
+                        found = [(i, -score) for score, i in worst_last[:top]]
                     for vec_id, score in found:
                         for name, value in zip(out, (query_id, vec_id, score)):
                             out[name].append(value)
                 yield out
 
-    met = _met(tiles, limited)
-    scores = map_arrow(met.select("dim", "ids", "data", "q_ids", "q_data", "q_least"), exact,
+    candidates = map_arrow(_met(cells, limited).select("block", *grid, "q_ids", "q_data", "q_least"), named,
+                           "c_block long, c_ids binary, c_data binary, sizes binary, at binary, upper binary")
+    asked_for = tiles.join(candidates, F.col("block") == F.col("c_block"))
+    scores = map_arrow(asked_for.select("dim", "ids", "data", "c_ids", "c_data", "sizes", "at", "upper"), exact,
                        "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
@@ -203,11 +266,11 @@ def nearest(vectors: DataFrame, every: int = EVERY, top: int = TOP, tile_rows: i
 
 def _best(order: np.ndarray, upper: np.ndarray, ids: np.ndarray, data: np.ndarray, query: np.ndarray,
           top: int) -> list[tuple[int, int]]:
-    """The best exact scores, reading vectors in the order of their bounds until no bound can change them."""
+    """The best exact scores of the vectors at ``order``, read by falling bounds until no bound can change them."""
     best: list[tuple[int, int]] = []
     for at in range(0, len(order), EXACT_STEP):
         part = order[at:at + EXACT_STEP]
-        if len(best) == top and upper[part[0]] < -best[-1][0]:
+        if len(best) == top and upper[at] < -best[-1][0]:
             break
         best = sorted(best + [(-int(s), int(i)) for s, i in zip(data[part] @ query, ids[part])])[:top]
     return [(vec_id, -score) for score, vec_id in best]

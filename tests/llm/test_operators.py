@@ -260,6 +260,29 @@ def test_nearest_of_nasty_vectors(spark):
     assert vafile.nearest(frame.limit(0)).count() == 0
 
 
+def test_stored_cells_bound_every_product(spark):
+    draw = np.random.default_rng(11)
+    data, queries = draw.integers(-700, 700, (37, 5)).astype(float), draw.integers(-700, 700, (9, 5)).astype(float)
+    low, width, cells = vafile.packed_cells(data)
+    assert len(cells) == 37 * 3  # half a byte a component
+    under, over = vafile.Approximation(low.tobytes(), width.tobytes(), cells, 37).bounds(queries)
+    product = queries @ data.T
+    assert (under <= product).all() and (product <= over).all() and (over - under).max() < 5 * 700 * 88
+
+
+def test_nearest_reads_vectors_of_candidates_only(spark, monkeypatch):
+    """Both scans of the approximation file have no exact column; few of the vectors are named for the exact read."""
+    draw = np.random.default_rng(12)
+    rows = [(i, (draw.normal(0, 1, 12) + 4 * np.eye(12)[i % 12]).tolist()) for i in range(1200)]
+    frame = spark.createDataFrame(rows + [(100, rows[100][1]), (7, rows[7][1])], "vec_id long, embedding array<double>")
+    seen = []
+    met = vafile._met
+    monkeypatch.setattr(vafile, "_met", lambda tiles, queries: seen.append(tiles.columns) or met(tiles, queries))
+    got = sorted(tuple(r) for r in vafile.nearest(frame, tile_rows=100, query_rows=8).collect())
+    assert set(got) == brute_nearest(rows + [(7, rows[7][1])] + [(100, rows[100][1])], 50, 5)
+    assert seen == [["block", "dim", "ids", "low", "width", "cells"]] * 2
+
+
 URLS = [
     (1, "http://A.org/x?y#z"), (2, "https://sub.Example.org/es/1"), (3, "https://example.org/en/12"), (4, "http://example.org"),
     (5, "http://x.com/fr/"), (6, "http://x.com/de/?a"), (7, "http://notorg/"), (8, None), (9, ""), (10, "no scheme/org/"),
