@@ -9,7 +9,10 @@ from newsloom.catalog import query, sql as Q
 from newsloom.functions import html as H, text as T, urls
 from newsloom.functions.page_tree import page_fields
 from newsloom.operators import crawl, ledger
+from newsloom.session import scratch_path
 from newsloom.sources import fixtures as X
+from newsloom.sources.article_writer import local_root, stored_paths, write_article_files
+from newsloom.sources.articles import read_article_files
 
 ORIGIN = "https://example.com"
 CRAWL_DAY = "2024-01-31"
@@ -253,6 +256,26 @@ def article_files(spark, sf):
     return crawl.article_files(pages, CRAWL_DAY).select("page_id", "path")
 
 
+@query("article_files_written", f"""
+WITH n AS (
+  SELECT page_id, url, {Q.category('url')} AS folder, {Q.slug('url')} AS slug, page_id > (SELECT median(page_id) FROM pages) AS later FROM pages),
+k AS (SELECT *, row_number() OVER (PARTITION BY folder, slug ORDER BY later, page_id) AS turn FROM n)
+SELECT folder || '/{CRAWL_DAY}/' || slug || CASE WHEN turn = 1 THEN '' ELSE '_' || (turn - 1) END || '.json' AS path,
+  url, 'page ' || page_id AS title FROM k""")
+def article_files_written(spark, sf):
+    """Files of all pages written in two runs, the earlier half of the pages first, and read again."""
+    root = f"{scratch_path(spark, 'article-files')}/articles"
+    pages = X.table(spark, sf, "pages").select(
+        "page_id", "url", urls.infer_category(F.col("url")).alias("category"), F.col("page_id").alias("position"),
+        F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("title"))
+    middle = pages.agg(F.median("page_id")).scalar()
+    for half in (F.col("page_id") <= middle, F.col("page_id") > middle):
+        named = crawl.article_files(pages.filter(half), CRAWL_DAY, stored_paths(spark, root))
+        write_article_files(named.select("path", "url", "title", "category"), root)
+    files = read_article_files(spark, root)
+    return files.select(F.substring_index("path", f"{local_root(root)}/", -1).alias("path"), "url", "title")
+
+
 @query("crawl_totals", """
 SELECT source, lang, count(*) AS articles FROM documents GROUP BY ROLLUP (source, lang)""")
 def crawl_totals(spark, sf):

@@ -77,19 +77,33 @@ def merge_listing(scraped: DataFrame, links: DataFrame) -> DataFrame:
     ).drop("_title", "_flag")
 
 
-def article_files(articles: DataFrame, day: str) -> DataFrame:
+def article_files(articles: DataFrame, day: str, stored: DataFrame | None = None) -> DataFrame:
     """Target path of each article file.
 
     Within (category, day, slug) the first file keeps the plain name and the
-    later ones get ``_1``, ``_2`` and so on, in order of ``position``.
+    later ones get ``_1``, ``_2`` and so on, in order of ``position``.  With the
+    paths ``stored`` already, numbers go on after the largest one there.
     """
     folder = F.coalesce(F.col("category"), F.lit(C.DEFAULT_CATEGORY))
-    named = articles.withColumn("_folder", folder).withColumn("_slug", urls.slug(F.col("url")))
-    turn = F.row_number().over(Window.partitionBy("_folder", "_slug").orderBy("position"))
+    named = articles.withColumn("_stem", F.concat(folder, F.lit(f"/{day}/"), urls.slug(F.col("url"))))
+    turn = F.row_number().over(Window.partitionBy("_stem").orderBy("position"))
     named = named.withColumn("_turn", turn)
+    if stored is not None:
+        named = named.join(_taken(stored), "_stem", "left").withColumn("_turn", F.col("_turn") + F.coalesce("_used", F.lit(0))).drop("_used")
     suffix = F.when(F.col("_turn") == 1, F.lit("")).otherwise(F.concat(F.lit("_"), (F.col("_turn") - 1).cast("string")))
-    path = F.concat(F.col("_folder"), F.lit(f"/{day}/"), F.col("_slug"), suffix, F.lit(".json"))
-    return named.withColumn("path", path).drop("_folder", "_slug", "_turn")
+    return named.withColumn("path", F.concat("_stem", suffix, F.lit(".json"))).drop("_stem", "_turn")
+
+
+def _taken(stored: DataFrame) -> DataFrame:
+    """``_stem, _used``: for each name without number, how many of its numbers are used up.
+
+    ``a_2.json`` uses up two numbers of ``a`` and, being a name of its own, one of ``a_2``.
+    """
+    stem = F.regexp_replace("path", r"\.json$", "")
+    number = F.regexp_extract(stem, r"_(\d{1,9})$", 1).try_cast("long")
+    names = F.array(F.struct(stem.alias("_stem"), F.lit(1).cast("long").alias("_used")),
+                    F.struct(F.regexp_replace(stem, r"_\d{1,9}$", "").alias("_stem"), (number + 1).alias("_used")))
+    return stored.select(F.inline(names)).filter("_used IS NOT NULL").groupBy("_stem").agg(F.max("_used").alias("_used"))
 
 
 def crawl_totals(rows: DataFrame, *keys: str) -> DataFrame:

@@ -13,7 +13,7 @@ from newsloom.operators import crawl, enrich, ledger, sessions
 from newsloom.plans.api import Api, ChatLog, chat, stream_frames
 from newsloom.plans.engine import Engine
 from newsloom.plans.ingest import Indexer, rewrite_urls, write_articles
-from newsloom.sources import articles as A
+from newsloom.sources import article_writer as W, articles as A
 from newsloom.sources.chunk_table import ChunkTable
 from newsloom.sources.file_log import FileLog
 from newsloom.streaming import incremental as I
@@ -224,6 +224,28 @@ def test_url_ledger_batches_do_not_read_the_ledger(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/ledger").count() == 501
 
 
+def test_article_files_by_path_over_runs(spark, tmp_path):
+    root = str(tmp_path / "articles")
+    def run(*rows):
+        frame = spark.createDataFrame(list(rows), "position long, category string, url string, title string")
+        named = crawl.article_files(frame, "2024-01-31", W.stored_paths(spark, root)).select("path", "url", "title", "category")
+        W.write_article_files(named, root)
+    run((1, "tech", "https://h/a", "one"), (2, "tech", "https://h/x/a", "two"), (3, None, "https://h/a", None))
+    run((1, "tech", "https://h/y/a", "three"), (2, "tech", "https://h/b", "été"))
+    run((1, "tech", "https://h/a_1", "named like a number"), (2, "tech", "https://h/z/a", "four"))
+    found = {str(p.relative_to(root)): json.loads(p.read_text()) for p in (tmp_path / "articles").rglob("*.json")}
+    folder = "tech/2024-01-31"
+    assert {k: v.get("title") for k, v in found.items()} == {
+        f"{folder}/a.json": "one", f"{folder}/a_1.json": "two", f"{folder}/a_2.json": "three", f"{folder}/a_3.json": "four",
+        f"{folder}/b.json": "été", f"{folder}/a_1_1.json": "named like a number", "uncategorized/2024-01-31/a.json": None}
+    assert "title" not in found["uncategorized/2024-01-31/a.json"] and not list((tmp_path / "articles").rglob("*.part"))
+    assert (tmp_path / "articles" / "_SUCCESS").exists()
+    with pytest.raises(Exception, match="outside of the folder"):
+        W.write_article_files(spark.createDataFrame([("../out.json", "t")], "path string, title string"), root)
+    with pytest.raises(ValueError, match="mounted"):
+        W.local_root("s3a://bucket/x")
+
+
 def test_session_gap_is_inclusive(spark):
     rows = spark.createDataFrame(
         [(1, "2026-01-01 10:00:00"), (1, "2026-01-01 10:30:00"), (1, "2026-01-01 11:00:01")], "k int, ts string"
