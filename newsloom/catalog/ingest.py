@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from newsloom.catalog import query, sql as Q
 from newsloom.functions import urls
 from newsloom.operators import enrich, ledger
+from newsloom.plans.ingest import Indexer
 from newsloom.session import scratch_path
-from newsloom.sources import fixtures as X
+from newsloom.sources import articles as A, fixtures as X
+from newsloom.sources.article_writer import local_root, write_article_files
 from newsloom.sources.chunk_table import ChunkTable
 from newsloom.sources.file_log import FileLog
 
@@ -200,3 +202,59 @@ def schema_evolution(spark, sf):
         F.count("*").alias("chunks"),
         F.count_if(F.col("subtitle").isNull() & F.col("crawled_at").isNull()).alias("empty_new_columns"),
     ).withColumn("fields_added", F.lit(len(change["fields_added"])))
+
+
+def _record_files(spark, sf):
+    """Folder with a JSON file for each document, below a folder for each source."""
+    root = f"{scratch_path(spark, 'records')}/articles"
+    docs = X.table(spark, sf, "documents")
+    write_article_files(docs.select(
+        F.concat(F.col("source"), F.lit("/"), F.col("doc_id"), F.lit(".json")).alias("path"),
+        F.concat(F.lit("title "), F.col("doc_id")).alias("title"), F.col("text").alias("content"), F.col("source").alias("category"),
+        F.concat(F.lit("https://example.com/"), F.col("source"), F.lit("/"), F.col("doc_id"), F.lit("/?x")).alias("url"),
+    ), root)
+    return root
+
+
+def _below(root):
+    return F.substring_index("path", f"{local_root(root)}/", -1).alias("path")
+
+
+@query("article_scan", """
+SELECT source || '/' || doc_id || '.json' AS path, 'title ' || doc_id AS title, source AS category, md5("text") AS digest,
+  NULL::VARCHAR AS read_error FROM documents""")
+def article_scan(spark, sf):
+    """A folder of article files and its folders, read back."""
+    root = _record_files(spark, sf)
+    files = A.read_article_files(spark, root)
+    return files.select(_below(root), "title", "category", F.md5("content").alias("digest"), "read_error")
+
+
+@query("dry_run_files", """
+SELECT source || '/' || doc_id || '.json' AS path FROM documents
+WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY 1 LIMIT 20""")
+def dry_run_files(spark, sf):
+    """The first twenty files to index, where the labelled documents are indexed already."""
+    root = _record_files(spark, sf)
+    labelled = X.table(spark, sf, "labels").select("doc_id").distinct()
+    done = X.table(spark, sf, "documents").join(labelled, "doc_id", "left_semi").select(
+        F.concat(F.lit(f"{local_root(root)}/"), F.col("source"), F.lit("/"), F.col("doc_id"), F.lit(".json")).alias("path"),
+        F.lit("indexed").alias("outcome"), F.lit(None).cast("string").alias("article_id"), F.lit(1).cast("long").alias("chunks"),
+        F.lit(None).cast("string").alias("error"), F.lit(X.ASOF).cast("timestamp_ntz").alias("at"))
+    log = FileLog(spark, scratch_path(spark, "log"))
+    log.append(done, 1)
+    indexer = Indexer(spark, ChunkTable(spark, scratch_path(spark, "chunks"), 8), log)
+    return indexer.dry_run(root).select(_below(root))
+
+
+@query("request_payloads", f"""
+SELECT doc_id AS payload, md5('https://example.com/' || source || '/' || doc_id) AS article_id, source AS category,
+  md5({Q.strip('"text"')}) AS digest FROM documents WHERE length({Q.strip('"text"')}) >= 100""")
+def request_payloads(spark, sf):
+    """``documents`` as the bodies of requests."""
+    docs = X.table(spark, sf, "documents")
+    body = F.to_json(F.struct(
+        F.concat(F.lit("title "), F.col("doc_id")).alias("title"), F.col("text").alias("content"), F.col("source").alias("category"),
+        F.concat(F.lit("https://example.com/"), F.col("source"), F.lit("/"), F.col("doc_id"), F.lit("/?x")).alias("url")))
+    rows = A.request_rows(docs.select(F.col("doc_id").alias("payload"), body.alias("body")), "news")
+    return rows.select("payload", "article_id", "category", F.md5("content").alias("digest"))

@@ -12,6 +12,7 @@ from newsloom.operators.cells import VectorCells
 from newsloom.operators.hybrid import Query, hybrid_batch, hybrid_search, indexed_hits
 from newsloom.operators.lexical import PostingTable, keyword_search, postings
 from newsloom.operators.ranking import best_per_article
+from newsloom.operators.statistics import BatchStats
 from newsloom.operators.vector import vector_search
 from newsloom.plans.engine import Engine, Intent
 from newsloom.session import scratch_path
@@ -100,6 +101,23 @@ def database_stats(spark, sf):
     return stats.withColumn("categories", shown)
 
 
+@query("stats_from_sketches", f"""
+WITH {Q.CHUNKS}, terms AS (SELECT category, count(*) AS n FROM chunks WHERE category IS NOT NULL GROUP BY category)
+SELECT count(*) AS total_chunks, true AS close, max(published_at) AS latest_date, min(published_at) AS oldest_date,
+  (SELECT string_agg(category || '=' || n, ',' ORDER BY n DESC, category) FROM terms) AS categories FROM chunks""")
+def stats_from_sketches(spark, sf):
+    """Statistics of three batches: two parts of the corpus, then the exclusive articles written again."""
+    chunks, kept = X.corpus(spark, sf), BatchStats(scratch_path(spark, "stats"))
+    first, again = F.col("published_at") < F.lit("2024-01-16").cast("timestamp_ntz"), chunks.filter("is_exclusive")
+    kept.add("v1", chunks.filter(first))
+    kept.add("v2", chunks.filter(~F.coalesce(first, F.lit(False))))
+    kept.add("v3", again, again)
+    exact = chunks.agg(F.count_distinct("article_id")).scalar()
+    close = F.abs(F.col("total_articles") - exact) <= 0.03 * exact  # the deviation is 0.8 %
+    shown = F.array_join(F.transform("categories", lambda c: F.concat_ws("=", c["category"], c["doc_count"])), ",")
+    return kept.stats(spark).select("total_chunks", close.alias("close"), "latest_date", "oldest_date", shown.alias("categories"))
+
+
 @query("approximate_articles", "SELECT count(*) AS total_chunks, true AS close FROM events")
 def approximate_articles(spark, sf):
     """The sketch's article count against the exact one; its deviation is 5 %, so 15 % is three of them."""

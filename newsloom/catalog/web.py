@@ -175,6 +175,20 @@ links AS (
 )"""
 
 
+@query("listing_links", """
+SELECT doc_id AS page_id, 'https://example.com/' || source || '/' || doc_id AS url, 'story ' || doc_id AS text FROM documents
+UNION ALL SELECT doc_id, 'https://example.com/last/' || doc_id, 'last of ' || lang FROM documents""")
+def listing_links(spark, sf):
+    """Links in headings only, on list pages made of the documents."""
+    doc_id = F.col("doc_id").cast("string")
+    html = F.concat(
+        F.lit("<nav><a href='/menu'>menu</a></nav><h3 class=x><a href=\"/"), F.col("source"), F.lit("/"), doc_id, F.lit("\"><b>story "), doc_id,
+        F.lit("</b></a></h3><p><a href='/in-text'>in the text</a></p><h3><a href='/last/"), doc_id, F.lit("'>last of "), F.col("lang"),
+        F.lit("</a></h3><h2><a href='/other'>other</a></h2>"))
+    pages = X.table(spark, sf, "documents").select(F.col("doc_id").alias("page_id"), html.alias("html"))
+    return crawl.page_links(pages, origin=ORIGIN).select("page_id", "url", "text")
+
+
 @query("link_quota", f"""
 WITH {_QUOTA}, ranked AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY priority, pos) AS turn FROM links)
 SELECT pos, category, priority, turn::INT AS turn FROM ranked WHERE turn <= CASE WHEN category = 'home' THEN 40 ELSE 30 END""")

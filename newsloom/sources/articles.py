@@ -78,3 +78,10 @@ def request_articles(spark: SparkSession, payloads: list[dict], default_source:
     rows = [(i, *[p.get(f) for f in S.ARTICLE_FILE.fieldNames()]) for i, p in enumerate(payloads)]
     schema = StructType([StructField("payload", LongType()), *S.ARTICLE_FILE.fields])
     return clean(spark.createDataFrame(rows, schema), default_source, keep=["payload"])
+
+
+def request_rows(bodies: DataFrame, default_source: str) -> DataFrame:
+    """Articles of request bodies, a table ``payload, body`` with JSON text; unusable ones are left out."""
+    record = F.from_json("body", S.ARTICLE_FILE)
+    rows = bodies.select("payload", record.alias("_r")).select("payload", *[F.col(f"_r.{f}") for f in S.ARTICLE_FILE.fieldNames()])
+    return clean(rows, default_source, keep=["payload"])
