@@ -322,3 +322,17 @@ def summary_choice(spark, sf):
     article = F.when(F.col("lang") == "en", "").otherwise(F.col("source"))
     chunk = F.when(F.col("n_chars") < 500, "").otherwise(F.col("lang"))
     return X.table(spark, sf, "documents").select("doc_id", render.summary(article, chunk).alias("summary"))
+
+
+@query("generated_summaries", f"""
+WITH d AS (SELECT doc_id, "text", length("text") + 36 AS size FROM documents)
+SELECT doc_id, CASE WHEN {Q.strip('"text"')} = '' THEN '' WHEN size % 7 = 0 THEN NULL ELSE substring("text", 1, 30) END AS summary FROM d""")
+def generated_summaries(spark, sf):
+    """A summarizer that calls a function for each text; some calls fail and must not stop the rest."""
+    def generate(prompt):
+        if len(prompt) % 7 == 0:
+            raise RuntimeError("no answer")
+        return prompt.split("\n\n", 1)[1][:30]
+
+    summaries = providers.GeneratedSummaries(generate)
+    return X.table(spark, sf, "documents").select("doc_id", summaries.chunk(F.col("text")).alias("summary"))

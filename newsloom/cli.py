@@ -23,7 +23,7 @@ from newsloom import constants as C
 from newsloom.config import Settings
 from newsloom.functions import urls
 from newsloom.functions.providers import WordHistogram
-from newsloom.operators import crawl
+from newsloom.operators import crawl, ledger
 from newsloom.operators.lexical import PostingTable
 from newsloom.plans.api import Api
 from newsloom.plans.engine import Engine
@@ -65,6 +65,10 @@ def _parser() -> argparse.ArgumentParser:
     links.add_argument("--out", required=True)
     links.add_argument("--origin", default="")
     links.add_argument("--any-link", action="store_true", help="not only links in <h3>")
+    links.add_argument("--known", action="append", default=[], help="table of URLs crawled or skipped before; may be repeated")
+    links.add_argument("--home-cap", type=int, default=C.HOME_LINK_CAP)
+    links.add_argument("--cap", type=int, default=C.CATEGORY_LINK_CAP)
+    links.add_argument("--no-quota", action="store_true", help="all links, however many a category has")
 
     backfill = commands.add_parser("backfill")
     backfill.add_argument("--articles", required=True)
@@ -128,9 +132,9 @@ def _index(spark: SparkSession, args, settings: Settings) -> int:
             results = indexer.index_files(A.read_article_files(spark, folder), args.asof)
         else:
             results = indexer.index_directory(folder, args.asof, args.retry_failed)
-    counts = {r["outcome"]: r["n"] for r in results.groupBy("outcome").agg(F.count("*").alias("n")).collect()}
-    print(f"indexed {counts.get('indexed', 0)}, failed {counts.get('failed', 0)}")
-    return 1 if counts.get("failed") else 0
+    done = ledger.batch_rollup(results).first()
+    print(f"indexed {done['indexed']}, failed {done['failed']}, {done['seconds_per_file'] or 0:.2f} s a file")
+    return 1 if done["failed"] else 0
 
 
 def _value(text: str):
@@ -150,8 +154,14 @@ def run(spark: SparkSession, argv: list[str]) -> int:
         rows = crawl.extract_articles(spark.read.parquet(args.pages))
         write_articles(rows.drop("page_id").withColumn("day", F.lit(args.day)), args.out)
     elif args.command == "links":
-        found = crawl.page_links(spark.read.parquet(args.pages), None if args.any_link else "h3", args.origin)
-        crawl.article_links(found, settings.site_domain).write.mode("errorifexists").parquet(args.out)
+        pages = spark.read.parquet(args.pages)
+        found = crawl.page_links(pages, None if args.any_link else "h3", args.origin)
+        found = crawl.article_links(found, settings.site_domain)
+        for known in args.known:
+            found = ledger.new_links(found, spark.read.parquet(known).select(urls.normalize_url(F.col("url")).alias("url")))
+        caps = {} if args.no_quota else {"home_cap": args.home_cap, "cap": args.cap}
+        listed = pages.select("page_id", crawl.listing_category(F.col("url"), args.origin).alias("category"))
+        crawl.link_quota(found.join(listed, "page_id"), **caps).write.mode("errorifexists").parquet(args.out)
     elif args.command == "backfill":
         files = A.read_article_files(spark, args.articles)
         day = F.regexp_extract("path", r"/(?:day=)?(\d{4}-\d{2}-\d{2})/[^/]+$", 1)

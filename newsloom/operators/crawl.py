@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from newsloom import constants as C
 from newsloom.functions import html as H, text as X, urls
@@ -38,6 +38,13 @@ def article_links(links: DataFrame, domain: str | list[str]) -> DataFrame:
     )
 
 
+def listing_category(url: Column, origin: str) -> Column:
+    """The seed category whose list page has this URL; of other pages what the URL says."""
+    clean = urls.normalize_url(url)
+    seeds = F.create_map(*[F.lit(v) for name, path in C.SEED_PATHS.items() for v in ((origin + path).rstrip("/"), name)])
+    return F.coalesce(F.try_element_at(seeds, clean), urls.infer_category(url))
+
+
 def link_quota(links: DataFrame, category: str = "category", home_cap: int | None = None, cap: int | None = None) -> DataFrame:
     """Links to fetch per category: exclusives first, then page order, up to the caps.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -86,11 +87,13 @@ class Indexer:
         return self.pending(directory).select("path").orderBy("path").limit(limit)
 
     def index_files(self, files: DataFrame, asof: str, seq: int | None = None) -> DataFrame:
-        """Index the given records; returns ``(path, outcome, article_id, chunks, error)``.
+        """Index the given records; returns ``(path, outcome, article_id, chunks, error, at, seconds)``.
 
         Unusable records and records without a chunk are logged as failed and
-        do not stop the batch.
+        do not stop the batch.  Files of a batch are worked on side by side, so
+        ``seconds`` is each one's share of the batch's time.
         """
+        started = time.monotonic()
         staged = f"{self.table.root}/staged/{uuid.uuid4().hex}"
         checked = A.check_records(files)
         good = A.to_articles(checked, self.default_source, keep=["path"])
@@ -115,7 +118,7 @@ class Indexer:
         results.write.parquet(outcome)
         results = self.spark.read.parquet(outcome)
         self.log.append(results, seq)
-        return results
+        return results.withColumn("seconds", F.lit((time.monotonic() - started) / max(results.count(), 1)))
 
     def index_directory(self, directory: str, asof: str, include_failed: bool = False) -> DataFrame:
         return self.index_files(self.pending(directory, include_failed), asof)

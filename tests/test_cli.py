@@ -45,3 +45,18 @@ def test_links(spark, tmp_path):
     assert run(spark, ["links", "--pages", f"{tmp_path}/pages", "--out", f"{tmp_path}/links", "--origin", "https://example.com"]) == 0
     row = spark.read.parquet(f"{tmp_path}/links").collect()
     assert [(r["title"], r["priority"], r["clean_url"]) for r in row] == [("A long enough title", 0, "https://example.com/tech/one")]
+
+
+def test_links_leave_out_known_ones_and_keep_to_the_quota(spark, tmp_path):
+    link = '<h3><a href="/tech/{0}">{1}A title that is long enough {0}</a></h3>'
+    html = "".join(link.format(f"n{k}", "EXCLUSIVE " if k == 7 else "") for k in range(9))
+    pages = [(1, "https://example.com/", html), (2, "https://example.com/tech/?p=2", html)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages")
+    spark.createDataFrame([("https://example.com/tech/n0?seen",), ("https://example.com/tech/n3",)], "url string").write.parquet(f"{tmp_path}/known")
+    asked = ["links", "--pages", f"{tmp_path}/pages", "--origin", "https://example.com", "--known", f"{tmp_path}/known"]
+    assert run(spark, [*asked, "--out", f"{tmp_path}/some", "--home-cap", "3", "--cap", "2"]) == 0
+    some = spark.read.parquet(f"{tmp_path}/some").orderBy("category", "turn").collect()
+    assert [(r["category"], r["clean_url"][-2:]) for r in some] == [
+        ("home", "n7"), ("home", "n1"), ("home", "n2"), ("tech", "n7"), ("tech", "n1")]
+    assert run(spark, [*asked, "--out", f"{tmp_path}/all", "--no-quota"]) == 0
+    assert spark.read.parquet(f"{tmp_path}/all").groupBy("category").count().orderBy("category").collect() == [("home", 7), ("tech", 7)]
