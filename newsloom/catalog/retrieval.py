@@ -109,9 +109,9 @@ def stats_from_sketches(spark, sf):
     """Statistics of three batches: two parts of the corpus, then the exclusive articles written again."""
     chunks, kept = X.corpus(spark, sf), BatchStats(scratch_path(spark, "stats"))
     first, again = F.col("published_at") < F.lit("2024-01-16").cast("timestamp_ntz"), chunks.filter("is_exclusive")
-    kept.add("v1", chunks.filter(first))
-    kept.add("v2", chunks.filter(~F.coalesce(first, F.lit(False))))
-    kept.add("v3", again, again)
+    kept.change("v1", chunks.filter(first))
+    kept.change("v2", chunks.filter(~F.coalesce(first, F.lit(False))))
+    kept.change("v3", again, again)
     exact = chunks.agg(F.count_distinct("article_id")).scalar()
     close = F.abs(F.col("total_articles") - exact) <= 0.03 * exact  # the deviation is 0.8 %
     shown = F.array_join(F.transform("categories", lambda c: F.concat_ws("=", c["category"], c["doc_count"])), ",")

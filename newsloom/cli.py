@@ -25,6 +25,7 @@ from newsloom.functions import urls
 from newsloom.functions.providers import WordHistogram
 from newsloom.operators import crawl, ledger
 from newsloom.operators.lexical import PostingTable
+from newsloom.operators.statistics import BatchStats
 from newsloom.plans.api import Api
 from newsloom.plans.engine import Engine
 from newsloom.plans.ingest import Indexer, rewrite_urls, write_articles
@@ -101,7 +102,7 @@ def _indexer(spark: SparkSession, root: str, settings: Settings) -> Indexer:
     return Indexer(
         spark, table, FileLog(spark, f"{root}/log"), settings.default_source, WordHistogram(settings.vector_dim),
         chunk_tokens=settings.chunk_tokens, overlap_tokens=settings.overlap_tokens,
-        index=PostingTable(f"{root}/postings", settings.table_buckets),
+        index=PostingTable(f"{root}/postings", settings.table_buckets), stats=BatchStats(f"{root}/stats"),
     )
 
 
@@ -114,6 +115,7 @@ def _index(spark: SparkSession, args, settings: Settings) -> int:
     indexer = _indexer(spark, args.root, settings)
     if args.stats:
         indexer.stats().show(truncate=False)
+        indexer.kept_stats.stats(spark).show(truncate=False)
         return 0
     if args.clear_failed:
         print(f"cleared {indexer.clear_failed()} failed entries")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newsloom.session import path_exists
+from newsloom.session import path_exists, remove_path, stored
 
 SKETCH_BITS = 14   # 2^14 registers, at most some 16 KB a row; standard deviation 0.8 %
 COLUMNS = "category string, chunks long, articles binary, oldest timestamp_ntz, latest timestamp_ntz, batch string"
@@ -32,11 +32,22 @@ class BatchStats:
     def __init__(self, root: str):
         self.root = root
 
-    def add(self, batch: str, added: DataFrame, removed: DataFrame | None = None) -> None:
+    def exists(self, spark: SparkSession) -> bool:
+        return path_exists(spark, self.root)
+
+    def build(self, chunks: DataFrame) -> None:
+        """One batch made of all rows, in place of those before."""
+        rows = stored(batch_stats(chunks), "stats")
+        remove_path(chunks.sparkSession, self.root)
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/batch=all")
+
+    def change(self, batch: str, added: DataFrame | None = None, removed: DataFrame | None = None) -> None:
+        """Add what a batch adds and takes away."""
+        added = removed.limit(0) if added is None else added
         batch_stats(added, removed).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/batch={batch}")
 
     def read(self, spark: SparkSession) -> DataFrame:
-        if not path_exists(spark, self.root):
+        if not self.exists(spark):
             return spark.createDataFrame([], COLUMNS)
         return spark.read.schema(COLUMNS).parquet(self.root)
 

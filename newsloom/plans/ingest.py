@@ -11,36 +11,41 @@ from newsloom.functions import providers
 from newsloom.operators import enrich, ledger
 from newsloom.operators.lexical import PostingTable
 from newsloom.operators.ranking import first_n
+from newsloom.operators.statistics import BatchStats
 from newsloom.sources import articles as A
 from newsloom.sources.chunk_table import ChunkTable
 from newsloom.sources.file_log import FileLog
 
 
 def put_chunks(table: ChunkTable, chunks: DataFrame, mode: str = "chunk", order: str | None = None,
-               index: PostingTable | None = None) -> dict:
-    """:meth:`ChunkTable.upsert`, the posting table changed along with it.
+               index: PostingTable | None = None, stats: BatchStats | None = None) -> dict:
+    """:meth:`ChunkTable.upsert`, the posting table and the statistics changed along with it.
 
     The rows that are replaced are read from the buckets that ``chunks`` falls into.
-    Postings are written first, under the version the table is about to get: a call
-    that dies in between and is made again writes the same batch in its place.
+    Postings and statistics are written first, under the version the table is about to
+    get: a call that dies in between and is made again writes the same batch in its place.
     """
-    spark = table.spark
-    if index is not None and index.exists(spark) and table.exists():
+    beside = [b for b in (index, stats) if b is not None]
+    kept = [b for b in beside if table.exists() and b.exists(table.spark)]
+    if kept:
         added = chunks if order is None else first_n(chunks, ["chunk_id"], [F.col(order).desc()], 1)
         names = ["bucket", "article_id"] + (["chunk_id"] if mode == "chunk" else [])
-        index.change(_next_version(table), added, _rows_of(table, added, names))
-        return table.upsert(chunks, mode, order)
+        removed = _rows_of(table, added, names)
+        for one in kept:
+            one.change(_next_version(table), added, removed)
     done = table.upsert(chunks, mode, order)
-    if index is not None:
-        index.build(table.read())
+    for one in beside:
+        if one not in kept:
+            one.build(table.read())
     return done
 
 
-def remove_article(table: ChunkTable, article_id: str, index: PostingTable | None = None) -> int:
-    """:meth:`ChunkTable.delete_article`, its postings taken back too."""
-    if index is not None and index.exists(table.spark) and table.exists():
-        asked = table.spark.createDataFrame([(article_id,)], "article_id string")
-        index.change(_next_version(table), removed=_rows_of(table, asked, ["bucket", "article_id"]))
+def remove_article(table: ChunkTable, article_id: str, index: PostingTable | None = None, stats: BatchStats | None = None) -> int:
+    """:meth:`ChunkTable.delete_article`, its postings and counts taken back too."""
+    for one in (index, stats):
+        if one is not None and one.exists(table.spark) and table.exists():
+            asked = table.spark.createDataFrame([(article_id,)], "article_id string")
+            one.change(_next_version(table), removed=_rows_of(table, asked, ["bucket", "article_id"]))
     return table.delete_article(article_id)
 
 
@@ -73,8 +78,9 @@ class Indexer:
         chunk_tokens: int | None = None,
         overlap_tokens: int | None = None,
         index: PostingTable | None = None,
+        stats: BatchStats | None = None,
     ) -> None:
-        self.spark, self.table, self.log, self.index = spark, table, log, index
+        self.spark, self.table, self.log, self.index, self.kept_stats = spark, table, log, index, stats
         self.chunk_tokens, self.overlap_tokens = chunk_tokens, overlap_tokens
         self.default_source, self.embedder, self.summarizer = default_source, embedder, summarizer
 
@@ -104,7 +110,7 @@ class Indexer:
         chunks.write.parquet(staged)
         chunks = self.spark.read.parquet(staged)
         # files in path order: of two files with one URL the later one wins
-        put_chunks(self.table, chunks, order="path", index=self.index)
+        put_chunks(self.table, chunks, order="path", index=self.index, stats=self.kept_stats)
         done = chunks.groupBy("path").agg(F.min("article_id").alias("article_id"), F.count("*").alias("chunks"))
         results = checked.select("path", "problem").join(done, "path", "left").select(
             "path",
