@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from newsloom.catalog import query, sql as Q
 from newsloom.operators.ranking import first_n
 from newsloom.plans.ingest import Indexer
-from newsloom.session import scratch_path
+from newsloom.session import is_folder, scratch_path
 from newsloom.sources import fixtures as X
 from newsloom.sources.chunk_table import ChunkTable
 from newsloom.sources.file_log import FileLog
@@ -16,7 +16,11 @@ from newsloom.streaming.expiry import run_expiry
 
 
 def _stream(spark, sf, name):
-    return I.table_stream(spark, sf, X.table(spark, sf, name).schema, pattern=f"{name}.parquet")
+    """A given table as a stream; a table is one file or a folder of files."""
+    path, schema = f"{sf}/{name}.parquet", X.table(spark, sf, name).schema
+    if is_folder(spark, path):
+        return I.table_stream(spark, path, schema)
+    return I.table_stream(spark, sf, schema, pattern=f"{name}.parquet")
 
 
 def _event_files(spark, sf, root):

@@ -445,3 +445,12 @@ def test_deltas_fold_compact_and_vacuum(spark, tmp_path, monkeypatch):
     assert table.vacuum() > 0 and state() == [("a", "again"), ("b", "b1")]
     assert os.listdir(f"{tmp_path}/t/deltas") == [] and len(os.listdir(f"{tmp_path}/t/rows")) == 1
     assert table.size().first()["chunks"] == 2
+
+
+def test_a_table_in_a_folder_streams_like_one_in_a_file(spark, tmp_path):
+    from newsloom.catalog import streams
+
+    rows = spark.createDataFrame([(c, t, "user", "x") for c in range(6) for t in range(c + 1)], "conv_id long, turn long, role string, text string")
+    rows.repartition(7).write.parquet(f"{tmp_path}/conversations.parquet")  # more files than a micro-batch takes
+    got = {tuple(r) for r in streams.stream_history(spark, str(tmp_path)).select("session_id", "kept", "oldest_seq", "newest_seq").collect()}
+    assert got == {(str(c), min(c + 1, 4), max(c - 3, 0), c) for c in range(6)}
