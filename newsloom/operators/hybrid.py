@@ -116,7 +116,8 @@ def indexed_hits(
 
     Reads the vectors, the filter columns and the postings of the asked terms, no
     chunk text.  The two score lists are added up by key, which is a full outer
-    join on it.
+    join on it.  The hits are stored, so joins with them know how few they are and
+    do not shuffle the chunks.
     """
     condition = filters.wanted(category, exclusive_only)
     fetch = k if condition is None else 2 * k
@@ -144,10 +145,10 @@ def indexed_hits(
     top = [F.col("score").desc(), F.col("chunk_id").asc()]
     rows = _top(rows, "query_id", top, k, articles, len(queries))
     name = F.get(F.array(*[F.lit(q.name) for q in queries]), F.col("query_id"))
-    rows = rows.select("chunk_id", "article_id", name.alias("name"), "score")
+    rows = stored(rows.select("chunk_id", "article_id", name.alias("name"), "score"), "hybrid-hits")
     if "bucket" in chunks.columns:
         # the bucket lets the rows' text be read from their buckets only
-        rows = chunks.select("bucket", "article_id", "chunk_id").join(rows, ["article_id", "chunk_id"])
+        rows = stored(chunks.select("bucket", "article_id", "chunk_id").join(rows, ["article_id", "chunk_id"]), "hybrid-rows")
     return rows
 
 
