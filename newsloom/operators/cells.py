@@ -173,7 +173,8 @@ class VectorCells:
         spark = routes.sparkSession
         asked = max(1, routes.select("query_id").distinct().count())
         block = F.pmod(F.xxhash64("query_id"), F.lit(-(-asked // QUERY_BLOCK)))
-        blocks = routes.groupBy("cell", block.alias("block")).agg(F.collect_list(F.struct("query_id", "vector")).alias("asked"))
+        # stored, so that Spark knows its size before the join and need not shuffle the tiles
+        blocks = stored(routes.groupBy("cell", block.alias("block")).agg(F.collect_list(F.struct("query_id", "vector")).alias("asked")), "cell-asked")
         kind = routes.schema["query_id"].dataType.simpleString()
         tiles = spark.read.schema(
             "tile int, rows array<struct<article_id:string,chunk_id:string,vector:array<float>>>, cell int").parquet(f"{self.path}/tiles")
