@@ -77,11 +77,18 @@ class Engine:
         asof: str,
         embedder: providers.Embedder | None = None,
         generate: Callable[[str], str] | None = None,
-        index: PostingTable | None = None,
+        index: PostingTable | Callable[[], PostingTable] | None = None,
     ) -> None:
         self.chunks, self.asof, self.generate = chunks, asof, generate
         self.embedder = embedder or providers.WordHistogram()
-        self.index = index
+        self._index = index
+
+    @property
+    def index(self) -> PostingTable | None:
+        """The posting table; one that was given by a function is made when a search first asks for it."""
+        if callable(self._index):
+            self._index = self._index()
+        return self._index
 
     def embed(self, text: str) -> list[float]:
         return providers.embed_text(text, self.embedder)

@@ -82,3 +82,12 @@ def test_daily_groups_list_every_article(spark, sf):
     row = reports.daily_groups(Engine(many.select(X.corpus(spark, sf).columns), X.ASOF), "2024-01-05").first()
     assert row["articles"] == 502
     assert row["titles"].count("「") == row["listing"].count("「title ") == 502
+
+
+def test_an_index_is_made_for_the_searches_that_read_it(spark, sf):
+    made = []
+    engine = Engine(X.corpus(spark, sf), X.ASOF, index=lambda: made.append(1))
+    engine.semantic("thin the", 2), reports.trend_articles(engine), reports.daily_lines(engine, "2024-01-05")
+    assert not made
+    engine.index
+    assert made
