@@ -271,3 +271,12 @@ def test_clamps_and_months():
     assert C.clamp("query_results", 99) == 20 and C.clamp("research_results", 0) == 3
     months = C.MONTH_NUMBERS
     assert months["sept."] == 9 and months["may"] == 5 and "may." not in months
+
+
+def test_queries_over_texts_bound_their_batches(spark, sf):
+    import __spark_entry__ as entry_point
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, "10000")
+    entry_point.queries()["token_estimate"](spark, sf)
+    assert int(spark.conf.get(name)) <= 1000
