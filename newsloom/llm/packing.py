@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import os
 import re
+import zlib
 from bisect import bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.base import map_arrow, small_batches, table, written
+from newsloom.llm.base import Batches, map_arrow, small_batches, table, written
 
 TOKENIZER = "word_bpe_49k.json"
 MAX_TOKENS = 2048
@@ -128,54 +130,67 @@ class WordTokens:
             unknown, reached = words.filter(pa.array(new)), len(self.known)
             place[new] = reached + _places(unknown, self.learn(unknown.to_pylist()))
         place = place[found.indices.to_numpy()]
-        sizes = self.start[place + 1] - self.start[place]
-        ids = self.ids[_ranges(self.start[place], sizes)]
-        reach = np.concatenate(([0], np.cumsum(sizes)))
         offsets = split.offsets.to_numpy()
-        bounds = reach[offsets - offsets[0]].tolist()
+        offsets = offsets - offsets[0]
+        del split, found
+        start, sizes = self.start[place], np.diff(self.start)[place]
+        ids = self.ids[_ranges(start, sizes)]
+        bounds = np.concatenate(([0], np.cumsum(sizes)))[offsets].tolist()
         return [self.encoded(special[k]) if k in special else ids[a:b] for k, (a, b) in enumerate(zip(bounds, bounds[1:]))]
 
 
 def _places(words: pa.Array, among: pa.Array) -> np.ndarray:
     """Where each word is among others, -1 if nowhere."""
-    return pc.index_in(words, value_set=among).fill_null(-1).to_numpy().astype(np.int64)
+    return pc.index_in(words, value_set=among).fill_null(-1).to_numpy().copy()
 
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The numbers of all ranges ``start, start + 1, ...`` of the given sizes, one after another."""
     total = np.cumsum(size)
-    return np.repeat(start - np.concatenate(([0], total[:-1])), size) + np.arange(total[-1] if len(total) else 0)
+    every = int(total[-1]) if len(total) else 0
+    # half as wide where they fit: these lists are the largest a batch makes
+    kind = np.int32 if every + int(start.max(initial=0)) < 1 << 31 else np.int64
+    found = np.repeat((start - total + size).astype(kind), size)
+    found += np.arange(every, dtype=kind)
+    return found
 
 
 _TOKENS: dict[str, WordTokens] = {}
 
 
+def _cut(batches: Batches, path: str, max_tokens: int) -> Iterator[dict[str, list]]:
+    """Columns of :func:`token_pieces` for each batch of ``doc_id, text``."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    # threads per word cost more than they gain, and Spark has a task on every core
+    tokens = _TOKENS.get(path) or _TOKENS.setdefault(path, WordTokens(path))
+    end = np.array([END_OF_TEXT], np.uint32)
+    for batch in batches:
+        out: dict[str, list] = {"doc_id": [], "piece": [], "start": [], "length": [], "ids": []}
+        if not batch.num_rows:
+            continue
+        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), tokens.packed(batch.column("text"))):
+            ids = np.concatenate((ids, end))
+            for piece, at in enumerate(range(0, len(ids), max_tokens)):
+                part = ids[at:at + max_tokens]
+                for name, value in zip(out, (doc_id, piece, at, len(part), part.astype("<u4").tobytes())):
+                    out[name].append(value)
+        yield out
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
 def token_pieces(docs: DataFrame, path: str, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """``doc_id, piece, start, length, ids``: the texts as token ids and an end mark, long ones cut.
 
     ``ids`` packs unsigned 32-bit little-endian ids.  Null and empty texts are
     the end mark alone.
     """
-    end = np.array([END_OF_TEXT], np.uint32)
-
     def run(batches):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        # threads per word cost more than they gain, and Spark has a task on every core
-        tokens = _TOKENS.get(path) or _TOKENS.setdefault(path, WordTokens(path))
-        for batch in batches:
-            out: dict[str, list] = {"doc_id": [], "piece": [], "start": [], "length": [], "ids": []}
-            if not batch.num_rows:
-                continue
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), tokens.packed(batch.column("text"))):
-                ids = np.concatenate((ids, end))
-                for piece, at in enumerate(range(0, len(ids), max_tokens)):
-                    part = ids[at:at + max_tokens]
-                    for name, value in zip(out, (doc_id, piece, at, len(part), part.astype("<u4").tobytes())):
-                        out[name].append(value)
-            yield out
+        return _cut(batches, path, max_tokens)
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return map_arrow(source, run, "doc_id long, piece int, start long, length long, ids binary")
+    return map_arrow(_texts(docs), run, "doc_id long, piece int, start long, length long, ids binary")
 
 
 # --- the plan ---------------------------------------------------------------
@@ -355,6 +370,24 @@ def places(made: list[tuple[list[int], int]]) -> dict[int, dict[str, np.ndarray]
 
 # --- the operator -----------------------------------------------------------
 
+class Ranks:
+    """Ranks of a task's pieces among those of their length, in the order they come."""
+
+    def __init__(self, max_tokens: int):
+        self.reached = np.zeros(max_tokens + 1, np.int64)
+
+    def of(self, lengths: np.ndarray) -> np.ndarray:
+        if lengths.size and (lengths.min() < 1 or lengths.max() >= len(self.reached)):
+            raise ValueError(f"a piece is empty or longer than {len(self.reached) - 1} tokens")
+        order = np.argsort(lengths, kind="stable")
+        found, starts, counts = np.unique(lengths[order], return_index=True, return_counts=True)
+        within = np.arange(len(lengths)) - np.repeat(starts, counts)
+        rank = np.empty(len(lengths), np.int64)
+        rank[order] = within + np.repeat(self.reached[found], counts)
+        self.reached[found] += counts
+        return rank
+
+
 def pack(pieces: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """``pieces`` (any columns, ``length`` from 1 to ``max_tokens``) with ``sequence_id`` and ``offset``.
 
@@ -363,27 +396,22 @@ def pack(pieces: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     empty table gives an empty result.  Columns named ``_task`` or ``_rank`` may
     not occur.
     """
-    spark = pieces.sparkSession
     names = pieces.columns
 
     def ranked(batches):
-        task, reached = TaskContext.get().partitionId(), np.zeros(max_tokens + 1, np.int64)
+        task, ranks = TaskContext.get().partitionId(), Ranks(max_tokens)
         for batch in batches:
-            lengths = batch.column("length").to_numpy()
-            if lengths.size and (lengths.min() < 1 or lengths.max() > max_tokens):
-                raise ValueError(f"a piece is empty or longer than {max_tokens} tokens")
-            order = np.argsort(lengths, kind="stable")
-            sorted_lengths = lengths[order]
-            found, starts, counts = np.unique(sorted_lengths, return_index=True, return_counts=True)
-            within = np.arange(len(lengths)) - np.repeat(starts, counts)
-            rank = np.empty(len(lengths), np.int64)
-            rank[order] = within + np.repeat(reached[found], counts)
-            reached[found] += counts
-            yield {n: batch.column(n) for n in names} | {"_task": np.full(len(lengths), task), "_rank": rank}
+            rank = ranks.of(batch.column("length").to_numpy())
+            yield {n: batch.column(n) for n in names} | {"_task": np.full(len(rank), task), "_rank": rank}
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", _task int, _rank long"
-    held = written(map_arrow(pieces, ranked, schema), "pieces")
+    return _placed(written(map_arrow(pieces, ranked, schema), "pieces"), max_tokens)
 
+
+def _placed(held: DataFrame, max_tokens: int) -> DataFrame:
+    """Stored pieces with ``_task`` and ``_rank``, at their places instead."""
+    kinds = {f.name: f.dataType.simpleString() for f in held.schema if f.name not in ("_task", "_rank")}
+    names = list(kinds)
     by_task = held.groupBy("length", "_task").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     base = written(by_task.select("length", "_task", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base")),
@@ -403,7 +431,7 @@ def pack(pieces: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
                 offset[own] = slot["offset"][at]
             yield {n: batch.column(n) for n in names} | {"sequence_id": sequence, "offset": offset}
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
+    schema = ", ".join(f"`{n}` {kind}" for n, kind in kinds.items())
     joined = held.join(base.drop("n"), ["length", "_task"]).select(*names, "_rank", "_base")
     return map_arrow(joined, placed, schema + ", sequence_id long, `offset` long")
 
@@ -417,9 +445,18 @@ def packed_documents(docs: DataFrame, path: str | None = None, max_tokens: int =
     import public_tokenizers
 
     # looking the known words up costs the same for a small batch as for a larger one
-    small_batches(docs.sparkSession, rows=1500, size="6m")
-    pieces = token_pieces(docs, path or public_tokenizers.path(TOKENIZER), max_tokens)
-    return pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), max_tokens)
+    small_batches(docs.sparkSession, rows=1000, size="4m")
+    path = path or public_tokenizers.path(TOKENIZER)
+
+    # cut, summed and ranked in one pass: a second Python stage would be a second worker beside each task
+    def run(batches):
+        task, ranks = TaskContext.get().partitionId(), Ranks(max_tokens)
+        for found in _cut(batches, path, max_tokens):
+            rank = ranks.of(np.array(found["length"], np.int64))
+            yield found | {"ids_crc32": [zlib.crc32(ids) for ids in found["ids"]], "_task": np.full(len(rank), task), "_rank": rank}
+
+    held = map_arrow(_texts(docs), run, "doc_id long, piece int, start long, length long, ids_crc32 long, _task int, _rank long")
+    return _placed(written(held, "pieces"), max_tokens)
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from newsloom.llm import packing, simhash
 
@@ -185,6 +186,25 @@ def test_packing_of_nasty_rows(spark):
     assert packing.packed_documents(docs.limit(0)).count() == 0
 
 
+def test_packing_has_one_python_worker_a_task(spark, sf, monkeypatch):
+    import public_tokenizers
+
+    stages, written = [], packing.written
+
+    def watched(df, label):
+        stages.append(df._jdf.queryExecution().executedPlan().toString().count("MapInArrow"))
+        return written(df, label)
+
+    monkeypatch.setattr(packing, "written", watched)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = packing.packed_documents(docs)
+    assert stages == [1, 0]
+    # the pieces as a table of their own have the same places
+    path = public_tokenizers.path(packing.TOKENIZER)
+    apart = packing.pack(packing.token_pieces(docs, path).withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    assert rows.exceptAll(apart.select(rows.columns)).isEmpty() and rows.count() == apart.count()
+
+
 @pytest.mark.parametrize("histogram", [
     {}, {2048: 5}, {1: 3}, {1025: 10, 1023: 10}, {1500: 4, 600: 4, 548: 4}, {k: 1 + k % 7 for k in range(1, 2049, 3)},
 ])
