@@ -178,6 +178,17 @@ def test_postings_take_a_few_bytes_each(spark, tmp_path):
     assert index.search(question, 1, BOOSTS).first()["chunk_id"] == some["chunk_id"]
 
 
+def test_sums_of_fields_come_from_the_terms(spark, tmp_path):
+    texts = [("a", "oak elm oak"), ("b", "elm"), ("c", ""), ("d", None), ("e", "the")]
+    rows = spark.createDataFrame([(i, i, t, "title") for i, t in texts], "article_id string, chunk_id string, content string, title string")
+    index = PostingTable(str(tmp_path / "p"), 4).build(rows, ["content", "title"]).change("gone", removed=rows.filter("chunk_id = 'a'"))
+    sums = spark.read.parquet(f"{index.path}/terms").groupBy("batch", "field").agg(F.sum("firsts"), F.sum("words"))
+    wanted = {("base", "content", 2, 4), ("base", "title", 5, 5), ("gone", "content", -1, -3), ("gone", "title", -1, -1)}
+    assert {tuple(r) for r in sums.collect()} == wanted
+    kept = spark.read.parquet(f"{index.path}/fields").select("batch", "field", "docs", "words")
+    assert {tuple(r) for r in kept.collect()} == wanted
+
+
 def test_hits_do_not_shuffle_the_chunks(spark, sf):
     from test_plans import plan
 
