@@ -16,7 +16,6 @@ the pieces of its length, and ranks come from counts by task.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -33,9 +32,12 @@ from newsloom.llm.base import Batches, map_arrow, small_batches, table, written
 TOKENIZER = "word_bpe_49k.json"
 MAX_TOKENS = 2048
 END_OF_TEXT = 0
-WORD_CACHE = 200_000        # words whose ids a worker remembers beside those of one batch
-#: What the vocabulary's pattern cuts words into: runs of letters, single digits, runs of signs (no apostrophes).
-PART = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+PART_CACHE = 260_000        # parts whose ids a worker remembers from batch to batch,
+CACHE_BYTES = 32 << 20      # and the bytes of these and their ids
+#: What the vocabulary's pattern makes of ASCII bytes: runs of letters, single digits, runs of signs; 0 needs its word.
+LETTER, DIGIT, SIGN = 1, 2, 3
+KIND = np.array([LETTER if chr(c).isalpha() else DIGIT if chr(c).isdigit() else SIGN if 32 < c < 127 and c != ord("'") else 0
+                 for c in range(128)] + [0] * 128, np.uint8)
 
 GROUPS = 48                 # length classes of the linear program
 ROUNDS = 1500               # of multiplicative weights
@@ -46,70 +48,93 @@ ROUNDED = 0.9               # share of a fractional count that is realised befor
 # --- tokens -----------------------------------------------------------------
 
 class WordTokens:
-    """Token ids of whole texts, found word by word.
-
-    The vocabulary's pattern never joins characters across white space, so the
-    ids of a text are the ids of its white-space separated words in order.  Words
-    repeat a lot: the different words of a batch are looked up among those met
-    before, and the ids of the batch are gathered from theirs.  New words are
-    encoded many to a call; a word of plain letters, digits and signs has as many
-    ids with the vocabulary's word end as the pattern cuts it into parts.
+    """Token ids of whole texts, found part by part.
+
+    The vocabulary's pattern never joins characters across white space and cuts a
+    word of plain letters, digits and signs where their kind changes, so the ids
+    of a text are those of its parts in order.  Other words are one part.  Parts
+    repeat more than words do: those of a batch's different words are looked up
+    among the parts met before, and the ids of the batch are gathered from theirs.
+    New parts are encoded many to a call; one of a single kind ends with the first
+    id that has the vocabulary's word end.  ASCII parts, in lower case and cut by
+    now, need the vocabulary's merges only, not what it does to a text before.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = WhitespaceSplit()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
-        # known words with their ids one after another; Arrow holds them in a tenth of a dictionary's memory
-        self.known = pa.array([], pa.string())
-        self.ids, self.start = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def encoded(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-
-    def learn(self, words: list[str]) -> pa.Array:
-        """Append ``words``, none of them known, with their ids; returns them in the order they got."""
-        cut, odd, order = [], [], []
-        for w in words:
-            if w.isascii() and w.isalpha():
-                cut.append((w, 1))
-            else:
-                parts = PART.findall(w)
-                if parts and sum(map(len, parts)) == len(w):
-                    cut.append((w, len(parts)))
+        # known parts, the bytes of their ids and the batch that met them last; Arrow holds them in a tenth of a dictionary's memory
+        self.known, self.ids = pa.array([], pa.string()), pa.array([], pa.large_binary())
+        self.met, self.batches = np.zeros(0, np.int32), 0
+
+    def encoded(self, text: str, merges_only: bool = False) -> np.ndarray:
+        by = self.merges if merges_only else self.tokenizer
+        return np.array(by.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def learn(self, parts: pa.Array, plain: np.ndarray) -> np.ndarray:
+        """Append ``parts``, none of them known, with their ids; returns their places."""
+        kept, odd = [], parts.filter(pa.array(~plain)).to_pylist()
+        ids, sizes = [], []
+        ascii = pc.string_is_ascii(parts).to_numpy(zero_copy_only=False)
+        for chosen, merges_only in ((plain & ascii, True), (plain & ~ascii, False)):
+            cut = parts.filter(pa.array(chosen)).to_pylist()
+            for at in range(0, len(cut), 200):
+                some = cut[at:at + 200]
+                made = self.encoded(" ".join(some), merges_only)
+                last = np.flatnonzero(self.ends[made]) + 1
+                if len(last) == len(some):
+                    ids.append(made)
+                    sizes.append(np.diff(last, prepend=0))
+                    kept += some
                 else:
-                    odd.append(w)
-        ids, sizes = [self.ids], [np.diff(self.start)]
-        for at in range(0, len(cut), 100):
-            part = [w for w, _ in cut[at:at + 100]]
-            made = self.encoded(" ".join(part))
-            last = np.flatnonzero(self.ends[made]) + 1
-            count = np.cumsum([n for _, n in cut[at:at + 100]])
-            if len(last) == count[-1]:
-                ids.append(made)
-                sizes.append(np.diff(last[count - 1], prepend=0))
-                order += part
-            else:
-                odd += part
-        for w in odd:
-            ids.append(self.encoded(w))
+                    odd += some
+        for part in odd:
+            ids.append(self.encoded(part))
             sizes.append([len(ids[-1])])
-        added = pa.array(order + odd, pa.string())
+        added, reached = pa.array(kept + odd, pa.string()), len(self.known)
         self.known = pa.concat_arrays([self.known, added])
-        self.ids = np.concatenate(ids)
-        self.start = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype(np.int64)
-        return added
-
-    def keep(self, place: np.ndarray) -> None:
-        """Forget all words but those at ``place``."""
-        sizes = self.start[place + 1] - self.start[place]
-        self.ids = self.ids[_ranges(self.start[place], sizes)]
-        self.start = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
-        self.known = self.known.take(pa.array(place))
+        self.ids = pa.concat_arrays([self.ids, _values(np.concatenate(ids).astype("<u4"), np.concatenate(sizes) * 4)])
+        self.met = np.concatenate((self.met, np.zeros(len(added), np.int32)))
+        return reached + _places(parts, added)
+
+    def forget(self) -> None:
+        """Keep the parts met last, up to three quarters of what the bounds allow."""
+        newest = np.argsort(-self.met, kind="stable")
+        size = pc.add(pc.binary_length(self.ids), pc.cast(pc.binary_length(self.known), pa.int64())).to_numpy()
+        room = np.searchsorted(np.cumsum(size[newest]), CACHE_BYTES * 3 // 4, "right")
+        kept = np.sort(newest[:min(room, PART_CACHE * 3 // 4)])
+        self.met = self.met[kept]
+        self.known, self.ids = self.known.take(pa.array(kept)), self.ids.take(pa.array(kept))
+
+    def of_words(self, words: pa.Array) -> pa.Array:
+        """The bytes of the ids of each word."""
+        parts, first, plain = _parts(words)
+        found = parts.dictionary_encode()
+        code = found.indices.to_numpy()
+        place = _places(found.dictionary, self.known)
+        new = place < 0
+        if new.any():
+            is_plain = np.zeros(len(place), bool)
+            is_plain[code] = plain
+            place[new] = self.learn(found.dictionary.filter(pa.array(new)), is_plain[new])
+        self.batches += 1
+        self.met[place] = self.batches
+        made = self.ids.take(pa.array(place[code]))
+        if len(self.known) > PART_CACHE or self.known.nbytes + self.ids.nbytes > CACHE_BYTES:
+            self.forget()
+        if not len(made):
+            return pa.array([b""] * len(words), pa.large_binary())
+        _, at, ids = made.buffers()
+        at = np.frombuffer(at, np.int64)[made.offset:made.offset + len(made) + 1][first]
+        return pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(at), ids])
 
     def packed(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text; null as empty."""
@@ -120,41 +145,60 @@ class WordTokens:
                    if any(s in (text := texts[k].as_py()).lower() for s in self.special)}
         split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
         found = split.flatten().dictionary_encode()
-        words = found.dictionary
-        place = _places(words, self.known)
-        if len(self.known) > WORD_CACHE:
-            self.keep(place[place >= 0])
-            place[place >= 0] = np.arange(len(self.known))
-        new = place < 0
-        if new.any():
-            unknown, reached = words.filter(pa.array(new)), len(self.known)
-            place[new] = reached + _places(unknown, self.learn(unknown.to_pylist()))
-        place = place[found.indices.to_numpy()]
         offsets = split.offsets.to_numpy()
         offsets = offsets - offsets[0]
-        del split, found
-        start, sizes = self.start[place], np.diff(self.start)[place]
-        ids = self.ids[_ranges(start, sizes)]
-        bounds = np.concatenate(([0], np.cumsum(sizes)))[offsets].tolist()
+        del split
+        made = self.of_words(found.dictionary).take(found.indices)
+        if not len(made):
+            return [np.zeros(0, np.uint32)] * len(texts)
+        _, at, ids = made.buffers()
+        bounds = (np.frombuffer(at, np.int64)[made.offset + offsets] // 4).tolist()
+        ids = np.frombuffer(ids, "<u4") if ids else np.zeros(0, np.uint32)
         return [self.encoded(special[k]) if k in special else ids[a:b] for k, (a, b) in enumerate(zip(bounds, bounds[1:]))]
 
 
+def _parts(words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Parts of all words one after another, which are each word's (``first[k]`` to ``first[k + 1]``) and which are of one kind."""
+    _, at, text = words.buffers()
+    at = np.frombuffer(at, np.int32)[words.offset:words.offset + len(words) + 1]
+    start, text = int(at[0]), text or pa.py_buffer(b"")
+    at = at - start
+    data = np.frombuffer(text, np.uint8)[start:start + int(at[-1])]
+    kind = KIND[data]
+    # two bytes of a Latin letter from U+00C0 on, other than the signs for times and division
+    lead = np.flatnonzero(data == 0xC3)
+    lead = lead[(data[lead + 1] & 0xDF) != 0x97]
+    kind[lead] = kind[lead + 1] = LETTER
+    edge = np.empty(len(data), bool)
+    edge[:1] = True
+    edge[1:] = kind[1:] != kind[:-1]
+    edge |= kind == DIGIT
+    odd = np.searchsorted(at, np.flatnonzero(kind == 0), "right") - 1
+    if len(odd):
+        whole = np.zeros(len(words), bool)
+        whole[odd] = True
+        edge &= ~np.repeat(whole, np.diff(at))
+    edge[at[:-1][at[1:] > at[:-1]]] = True
+    begin = np.flatnonzero(edge)
+    ends = np.append(begin, len(data)).astype(np.int32)
+    first = np.searchsorted(begin, at)
+    parts = pa.Array.from_buffers(pa.string(), len(begin), [None, pa.py_buffer(ends + np.int32(start)), text])
+    plain = np.ones(len(begin), bool)
+    plain[first[odd]] = False
+    return parts, first, plain
+
+
+def _values(content: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Binary values of the given sizes in bytes, one after another in ``content``."""
+    at = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(at), pa.py_buffer(content)])
+
+
 def _places(words: pa.Array, among: pa.Array) -> np.ndarray:
     """Where each word is among others, -1 if nowhere."""
     return pc.index_in(words, value_set=among).fill_null(-1).to_numpy().copy()
 
 
-def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The numbers of all ranges ``start, start + 1, ...`` of the given sizes, one after another."""
-    total = np.cumsum(size)
-    every = int(total[-1]) if len(total) else 0
-    # half as wide where they fit: these lists are the largest a batch makes
-    kind = np.int32 if every + int(start.max(initial=0)) < 1 << 31 else np.int64
-    found = np.repeat((start - total + size).astype(kind), size)
-    found += np.arange(every, dtype=kind)
-    return found
-
-
 _TOKENS: dict[str, WordTokens] = {}
 
 

@@ -4,6 +4,7 @@ import itertools
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -205,6 +206,57 @@ def test_packing_has_one_python_worker_a_task(spark, sf, monkeypatch):
     assert rows.exceptAll(apart.select(rows.columns)).isEmpty() and rows.count() == apart.count()
 
 
+@pytest.fixture
+def tokens(monkeypatch):
+    """A tokenizer of words and the number of strings it learned at each call."""
+    import public_tokenizers
+
+    made, learned = packing.WordTokens(public_tokenizers.path(packing.TOKENIZER)), []
+    learn = made.learn
+    monkeypatch.setattr(made, "learn", lambda words, *more: (learned.append(len(words)), learn(words, *more))[1])
+    return made, learned
+
+
+def whole_ids(made, text):
+    return made.tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
+def test_words_are_learned_by_their_parts(tokens):
+    made, learned = tokens
+    words = ["house", "tree", "caf\u00e9"]
+    texts = [f"{a}{sign}{b} {a.upper()}{k}{sign}" for a in words for b in words for k, sign in enumerate([".", "...", ",", "?!"])]
+    assert [ids.tolist() for ids in made.packed(pa.array(texts))] == [whole_ids(made, t) for t in texts]
+    # upper-case E-acute in the one word beside the lower-case one, four digits, four runs of signs
+    assert learned == [3 + 1 + 4 + 4]
+    made.packed(pa.array(["tree-house", "house?!9"]))
+    assert learned[1:] == [2]
+
+
+def test_parts_met_lately_stay_known(tokens, monkeypatch):
+    made, learned = tokens
+    monkeypatch.setattr(packing, "PART_CACHE", 40)
+    for k in range(10):
+        text = " ".join(f"stays word{chr(97 + k)}{chr(97 + x)}" for x in range(15))
+        assert made.packed(pa.array([text]))[0].tolist() == whole_ids(made, text)
+        assert len(made.known) == len(made.ids) == len(made.met) <= 40
+    assert learned == [16] + [15] * 9
+    monkeypatch.setattr(packing, "CACHE_BYTES", 100)
+    made.packed(pa.array(["y" * 90 + " again"]))
+    assert made.known.to_pylist() in (["again"], []) and len(made.ids) == len(made.known)
+
+
+def test_ids_of_words_of_many_kinds(tokens, monkeypatch):
+    made, _ = tokens
+    monkeypatch.setattr(packing, "PART_CACHE", 60)
+    draw = np.random.default_rng(11)
+    pieces = ["a", "Bc", "the", "\u00e9", "\u00c9", "\u00d7", "\u00f7", "\u00df", "\u00b2", "1", "23", "!", "--", "_", "<|", "|>",
+              "<|endoftext|>", "'", "'s", "'LL", "\u2019", " ", "\t", "\n", "\x1c", "\x85", "\u00a0", "\u6f22", "\u0301", "\u03a3",
+              "\u0130", "\ufb01", "\x00", "\x7f", "\u044f", "\U0001f600"]
+    for _ in range(30):
+        texts = ["".join(draw.choice(pieces, n)) for n in draw.choice([0, 1, 2, 3, 9, 40], 40)] + [None]
+        assert [ids.tolist() for ids in made.packed(pa.array(texts).slice(1))] == [whole_ids(made, t) for t in texts[1:]]
+
+
 @pytest.mark.parametrize("histogram", [
     {}, {2048: 5}, {1: 3}, {1025: 10, 1023: 10}, {1500: 4, 600: 4, 548: 4}, {k: 1 + k % 7 for k in range(1, 2049, 3)},
 ])
